@@ -7,16 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character that counts as white space, once as a list to
-# strip and once as a pattern class.
-WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
-)
-WHITESPACE_RUN = (
-    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+# Code point ranges of every character that counts as white space.
+_SPACES = (
+    (0x09, 0x0D),
+    (0x1C, 0x20),
+    (0x85, 0x85),
+    (0xA0, 0xA0),
+    (0x1680, 0x1680),
+    (0x2000, 0x200A),
+    (0x2028, 0x2029),
+    (0x202F, 0x202F),
+    (0x205F, 0x205F),
+    (0x3000, 0x3000),
 )
+WHITESPACE = "".join(chr(point) for low, high in _SPACES for point in range(low, high + 1))
+WHITESPACE_RUN = "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in _SPACES) + "]+"
 
 # The marks put where a preview leaves text out.
 SKIPPED = " ... [CONTENT SKIPPED] ... "
