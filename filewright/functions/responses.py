@@ -3,182 +3,139 @@
 An answer is one of three things. ``empty`` (no JSON, or an empty value) means
 the fallback decides. ``object`` with usable fields is taken as it is. All else
 is ``invalid``, and the document fails with an error.
+
+Each step adds plain columns, so that a value used many times is made once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filewright.functions.text import bind, strip
+from filewright.functions.text import WHITESPACE, literal
 
-UNDERSTANDING_SHAPE = (
-    "struct<state:string,summary:string,keywords:array<string>,language:string,"
-    "document_type:string,content_signals:array<string>>"
-)
-CLASSIFICATION_SHAPE = (
-    "struct<state:string,category_l1:string,category_l2:string,confidence:double,"
-    "reason:string,needs_review:boolean>"
-)
+UNDERSTANDING_TEXTS = ("summary", "language", "document_type")
+UNDERSTANDING_LISTS = ("keywords", "content_signals")
+CLASSIFICATION_TEXTS = ("category_l1", "category_l2", "reason")
 
 # Fixed value: how many keywords and signals of an answer are kept.
 LIST_LIMIT = 8
 
-_FALSE_WORDS = ("false", "no", "0", "")
-
 
-def parse_answer(raw: Column) -> Column:
+def parse_answer(raw: str) -> Column:
     """The whole text as JSON, else the slice from the first ``{`` to the last ``}``."""
-    sliced = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.try_parse_json(raw), F.try_parse_json(sliced))
-
-
-def kind_of(value: Column) -> Column:
-    """JSON kind of a variant: string, number, boolean, null, array, object; NULL if absent."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name.isNull(), None)
-        .when(name == "VOID", "null")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name.startswith("OBJECT"), "object")
-        .otherwise("number")
-    )
-
-
-def truthy(value: Column, parse_bool_strings: bool = False) -> Column:
-    """Empty and zero values are false, as is an absent one."""
-    text = F.try_variant_get(value, "$", "string")
-    worded = ~F.lower(strip(text)).isin(*_FALSE_WORDS) if parse_bool_strings else text != ""
-    return bind(
-        value,
-        lambda v: F.coalesce(
-            F.when(kind_of(v) == "boolean", F.try_variant_get(v, "$", "boolean"))
-            .when(kind_of(v) == "string", worded)
-            .when(kind_of(v) == "number", F.try_variant_get(v, "$", "double") != 0)
-            .when(kind_of(v) == "array", F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
-            .when(kind_of(v) == "object", F.schema_of_variant(v) != "OBJECT<>"),
-            F.lit(False),
-        ),
-    )
-
-
-def _field(payload: Column, name: str) -> Column:
-    return F.try_variant_get(payload, f"$.{name}", "variant")
-
-
-def _text_is_usable(value: Column) -> Column:
-    kind = kind_of(value)
-    return kind.isNull() | kind.isin("string", "null")
-
-
-def _text(value: Column) -> Column:
-    return F.when(kind_of(value) == "string", F.try_variant_get(value, "$", "string"))
-
-
-def _item_as_text(item: Column) -> Column:
-    plain = F.try_variant_get(item, "$", "string")
-    return (
-        F.when(kind_of(item) == "null", "None")
-        .when(kind_of(item) == "boolean", F.initcap(plain))
-        .when(kind_of(item).isin("array", "object"), F.to_json(item))
-        .otherwise(plain)
-    )
-
-
-def _list_is_usable(value: Column) -> Column:
-    kind = kind_of(value)
-    return kind.isNull() | kind.isin("array", "string", "object")
-
-
-def _list(value: Column) -> Column:
-    empty = F.array().cast("array<string>")
-    text = F.try_variant_get(value, "$", "string")
-    letters = F.when(text == "", empty).otherwise(F.split(text, ""))
-    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), _item_as_text)
-    full = (
-        F.when(kind_of(value) == "array", items)
-        .when(kind_of(value) == "string", letters)
-        .when(kind_of(value) == "object", F.json_object_keys(F.to_json(value)))
-        .otherwise(empty)
-    )
-    return F.slice(full, 1, LIST_LIMIT)
-
-
-def _confidence(value: Column) -> Column:
-    """Number or numeric text; empty values are 0; NULL when unusable."""
-    text = strip(F.try_variant_get(value, "$", "string"))
-    return (
-        F.when(~truthy(value), 0.0)
-        .when(kind_of(value) == "number", F.try_variant_get(value, "$", "double"))
-        .when(kind_of(value) == "boolean", 1.0)
-        .when(kind_of(value) == "string", text.try_cast("double"))
-    )
-
-
-def _state(payload: Column, usable: Column) -> Column:
-    return (
-        F.when(~truthy(payload), "empty")
-        .when((kind_of(payload) == "object") & usable, "object")
-        .otherwise("invalid")
-    )
-
-
-def _only_objects(state: Column, shape: str, **fields: Column) -> Column:
-    values = [F.when(state == "object", column).alias(name) for name, column in fields.items()]
-    return F.struct(state.alias("state"), *values).cast(shape)
-
-
-def typed_understanding(payload: Column) -> Column:
-    def build(p: Column) -> Column:
-        texts = [_field(p, name) for name in ("summary", "language", "document_type")]
-        lists = [_field(p, name) for name in ("keywords", "content_signals")]
-        usable = F.lit(True)
-        for value in texts:
-            usable = usable & _text_is_usable(value)
-        for value in lists:
-            usable = usable & _list_is_usable(value)
-        return bind(
-            _state(p, usable),
-            lambda state: _only_objects(
-                state,
-                UNDERSTANDING_SHAPE,
-                summary=_text(texts[0]),
-                keywords=_list(lists[0]),
-                language=_text(texts[1]),
-                document_type=_text(texts[2]),
-                content_signals=_list(lists[1]),
-            ),
-        )
-
-    return bind(payload, build)
-
-
-def typed_classification(payload: Column, parse_bool_strings: bool = False) -> Column:
-    def build(p: Column) -> Column:
-        texts = [_field(p, name) for name in ("category_l1", "category_l2", "reason")]
-        confidence = _confidence(_field(p, "confidence"))
-        usable = confidence.isNotNull()
-        for value in texts:
-            usable = usable & _text_is_usable(value)
-        return bind(
-            _state(p, usable),
-            lambda state: _only_objects(
-                state,
-                CLASSIFICATION_SHAPE,
-                category_l1=_text(texts[0]),
-                category_l2=_text(texts[1]),
-                confidence=confidence,
-                reason=_text(texts[2]),
-                needs_review=truthy(_field(p, "needs_review"), parse_bool_strings),
-            ),
-        )
-
-    return bind(payload, build)
-
-
-def answered_text(payload: Column, name: str) -> Column:
-    """A field of an answer that must be a non-empty string, else NULL."""
-    value = _field(payload, name)
-    return F.nullif(F.when(kind_of(payload) == "object", _text(value)), F.lit(""))
+    braces = literal(r"(?s)\{.*\}")
+    return F.expr(f"coalesce(try_parse_json({raw}), try_parse_json(regexp_extract({raw}, {braces}, 0)))")
+
+
+def with_fields(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add the variant of each field of ``payload``, and its JSON type as ``<name>_type``.
+
+    The type is NULL for an absent field. ``payload_type`` is added as well.
+    """
+    values = [f"try_variant_get(payload, '$.{name}', 'variant') AS {name}" for name in names]
+    kinds = [f"schema_of_variant({name}) AS {name}_type" for name in ("payload", *names)]
+    return rows.selectExpr("*", *values).selectExpr("*", *kinds)
+
+
+def _as(name: str, shape: str) -> str:
+    return f"try_variant_get({name}, '$', '{shape}')"
+
+
+def _stripped(name: str) -> str:
+    return f"btrim({_as(name, 'string')}, {literal(WHITESPACE)})"
+
+
+def truthy(name: str, parse_bool_strings: bool = False) -> str:
+    """SQL: empty and zero values are false, as is an absent one."""
+    worded = f"lower({_stripped(name)}) NOT IN ('false', 'no', '0', '')"
+    text = worded if parse_bool_strings else f"{_as(name, 'string')} != ''"
+    return f"""coalesce(CASE
+        WHEN {name}_type = 'VOID' THEN false
+        WHEN {name}_type = 'STRING' THEN {text}
+        WHEN {name}_type = 'BOOLEAN' THEN {_as(name, 'boolean')}
+        WHEN {name}_type LIKE 'ARRAY%' THEN size({_as(name, 'array<variant>')}) > 0
+        WHEN {name}_type LIKE 'OBJECT%' THEN {name}_type != 'OBJECT<>'
+        ELSE {_as(name, 'double')} != 0 END, false)"""
+
+
+def _text(name: str) -> str:
+    return f"CASE WHEN {name}_type = 'STRING' THEN {_as(name, 'string')} END"
+
+
+def _list(name: str) -> str:
+    kind, plain = "schema_of_variant(item)", _as("item", "string")
+    item = f"""CASE
+        WHEN {kind} = 'VOID' THEN 'None'
+        WHEN {kind} = 'BOOLEAN' THEN initcap({plain})
+        WHEN {kind} LIKE 'ARRAY%' OR {kind} LIKE 'OBJECT%' THEN to_json(item)
+        ELSE {plain} END"""
+    text = _as(name, "string")
+    return f"""slice(CASE
+        WHEN {name}_type LIKE 'ARRAY%' THEN transform({_as(name, 'array<variant>')}, item -> {item})
+        WHEN {name}_type = 'STRING' AND {text} != '' THEN split({text}, '')
+        WHEN {name}_type LIKE 'OBJECT%' THEN json_object_keys(to_json({name}))
+        ELSE cast(array() AS array<string>) END, 1, {LIST_LIMIT})"""
+
+
+def _confidence(name: str) -> str:
+    """SQL: number or numeric text; empty values are 0; NULL when unusable."""
+    return f"""CASE
+        WHEN NOT {truthy(name)} THEN 0D
+        WHEN {name}_type = 'STRING' THEN try_cast({_stripped(name)} AS double)
+        WHEN {name}_type = 'BOOLEAN' THEN 1D
+        WHEN {name}_type NOT LIKE 'ARRAY%' AND {name}_type NOT LIKE 'OBJECT%' THEN {_as(name, 'double')} END"""
+
+
+def _usable_text(name: str) -> str:
+    return f"coalesce({name}_type IN ('STRING', 'VOID'), true)"
+
+
+def _usable_list(name: str) -> str:
+    return f"coalesce({name}_type = 'STRING' OR {name}_type LIKE 'ARRAY%' OR {name}_type LIKE 'OBJECT%', true)"
+
+
+def _state(*usable: str) -> str:
+    good = " AND ".join(f"({condition})" for condition in usable)
+    return f"""CASE
+        WHEN NOT {truthy('payload')} THEN 'empty'
+        WHEN payload_type LIKE 'OBJECT%' AND {good} THEN 'object'
+        ELSE 'invalid' END"""
+
+
+def _struct(name: str, fields: dict[str, str]) -> str:
+    return f"struct({', '.join(f'{sql} AS {field}' for field, sql in fields.items())}) AS {name}"
+
+
+def typed_understanding(rows: DataFrame) -> DataFrame:
+    """Add the struct ``understood`` to rows with a ``payload``."""
+    texts, lists = UNDERSTANDING_TEXTS, UNDERSTANDING_LISTS
+    fields = {
+        "state": _state(*map(_usable_text, texts), *map(_usable_list, lists)),
+        **{name: _text(name) for name in texts},
+        **{name: _list(name) for name in lists},
+    }
+    return with_fields(rows, (*texts, *lists)).selectExpr(*rows.columns, _struct("understood", fields))
+
+
+def typed_classification(rows: DataFrame, parse_bool_strings: bool = False) -> DataFrame:
+    """Add the struct ``classified`` to rows with a ``payload``."""
+    texts = CLASSIFICATION_TEXTS
+    fields = {
+        "state": _state(*map(_usable_text, texts), f"{_confidence('confidence')} IS NOT NULL"),
+        **{name: _text(name) for name in texts},
+        "confidence": _confidence("confidence"),
+        "needs_review": truthy("needs_review", parse_bool_strings),
+    }
+    wanted = (*texts, "confidence", "needs_review")
+    return with_fields(rows, wanted).selectExpr(*rows.columns, _struct("classified", fields))
+
+
+def answered_text(name: str) -> Column:
+    """A field of ``payload`` that must be a non-empty string, else NULL.
+
+    Use on rows that went through ``with_fields``.
+    """
+    return F.expr(f"CASE WHEN payload_type LIKE 'OBJECT%' THEN nullif({_text(name)}, '') END")

@@ -7,38 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from filewright.functions.text import literal
 from filewright.settings import Rule
 
 # Fixed value: how much of the text the rules look at.
 RULE_HEAD = 1000
 
+VERDICT = "struct<category_l1:string,category_l2:string,confidence:double,reason:string>"
 
-def first_rule(text: Column, rules: Sequence[Rule]) -> Column:
-    """Index of the first rule that matches, NULL when none does."""
-    found = F.lit(None).cast("int")
-    for index, rule in reversed(list(enumerate(rules))):
-        found = F.when(text.rlike(f"(?iU){rule.pattern}"), F.lit(index)).otherwise(found)
-    return found
 
+def first_rule(text: str, rules: Sequence[Rule]) -> Column:
+    """Index of the first rule that matches a SQL text expression, NULL when none does."""
+    cases = [f"WHEN {text} RLIKE {literal('(?iU)' + rule.pattern)} THEN {index}" for index, rule in enumerate(rules)]
+    return F.expr(f"CASE {' '.join(cases)} END") if cases else F.lit(None).cast("int")
 
-def rule_for_name(filename: Column, rules: Sequence[Rule]) -> Column:
-    return first_rule(F.lower(filename), rules)
 
+def rule_for_name(filename: str, rules: Sequence[Rule]) -> Column:
+    return first_rule(f"lower({filename})", rules)
 
-def rule_for_text(text: Column, rules: Sequence[Rule]) -> Column:
-    return first_rule(F.lower(F.substring(text, 1, RULE_HEAD)), rules)
 
+def rule_for_text(text: str, rules: Sequence[Rule]) -> Column:
+    return first_rule(f"lower(left({text}, {RULE_HEAD}))", rules)
 
-def rule_verdict(index: Column, rules: Sequence[Rule]) -> Column:
+
+def rule_verdict(index: str, rules: Sequence[Rule]) -> Column:
     """The verdict struct of a rule index, NULL for NULL."""
-    shape = "struct<category_l1:string,category_l2:string,confidence:double,reason:string>"
-    verdict = F.lit(None).cast(shape)
-    for position, rule in enumerate(rules):
-        values = F.struct(
-            F.lit(rule.category_l1).alias("category_l1"),
-            F.lit(rule.category_l2).alias("category_l2"),
-            F.lit(rule.confidence).alias("confidence"),
-            F.lit(rule.reason).alias("reason"),
-        )
-        verdict = F.when(index == position, values).otherwise(verdict)
-    return verdict
+    cases = [
+        f"WHEN {position} THEN named_struct('category_l1', {literal(rule.category_l1)}, 'category_l2',"
+        f" {literal(rule.category_l2)}, 'confidence', {rule.confidence}D, 'reason', {literal(rule.reason)})"
+        for position, rule in enumerate(rules)
+    ]
+    nothing = f"cast(NULL AS {VERDICT})"
+    return F.expr(f"CASE {index} {' '.join(cases)} ELSE {nothing} END" if cases else nothing)

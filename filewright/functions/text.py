@@ -1,4 +1,9 @@
-"""Text expressions. All are row-local and stay in the JVM."""
+"""Text expressions. All are row-local and stay in the JVM.
+
+Short ones are built from columns. Those that a run applies to several texts
+take the name of a text column and are written as SQL, which Spark parses in
+one go.
+"""
 
 from __future__ import annotations
 
@@ -36,9 +41,10 @@ KEYWORD_PATTERN = r"[a-z][a-z0-9_-]{3,}"
 PORTUGUESE_PATTERN = r"(?U)\b(nao|para|uma|documento|arquivo)\b"
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def literal(value: str) -> str:
+    """A string as a SQL literal."""
+    plain = "".join(c if " " <= c <= "~" and c not in "'\\" else f"\\u{ord(c):04x}" for c in value)
+    return f"'{plain}'"
 
 
 def is_blank(text: Column) -> Column:
@@ -53,12 +59,11 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(strip(text), WHITESPACE_RUN, " ")
 
 
-def quality_score(text: Column) -> Column:
-    size = F.length(strip(text))
-    score = F.when(is_blank(text), 0.0)
-    for least, value in QUALITY_STEPS:
-        score = score.when(size >= least, value)
-    return score.otherwise(QUALITY_FLOOR)
+def quality_score(text: str) -> Column:
+    """Score by stripped length; 0 for no text, the lowest step for white space."""
+    size = f"length(btrim({text}, {literal(WHITESPACE)}))"
+    steps = " ".join(f"WHEN {size} >= {least} THEN {value}D" for least, value in QUALITY_STEPS)
+    return F.expr(f"CASE WHEN coalesce({text}, '') = '' THEN 0D {steps} ELSE {QUALITY_FLOOR}D END")
 
 
 def _cut(text: Column, limit: int, head: int, tail: int, mark: str) -> Column:
@@ -91,13 +96,15 @@ def excerpt(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(cut, F.lit("..."))).otherwise(cut)
 
 
-def summary(text: Column) -> Column:
+def summary(text: str) -> Column:
     """Stripped text, its first 240 characters if longer; NULL when nothing is left."""
-    return F.nullif(excerpt(strip(text), 240), F.lit(""))
+    stripped = f"btrim({text}, {literal(WHITESPACE)})"
+    short = f"concat(left({stripped}, 240), '...')"
+    return F.expr(f"nullif(CASE WHEN length({stripped}) > 240 THEN {short} ELSE {stripped} END, '')")
 
 
-def guess_language(text: Column) -> Column:
-    return F.when(F.lower(text).rlike(PORTUGUESE_PATTERN), "pt-BR").otherwise("en")
+def guess_language(text: str) -> Column:
+    return F.expr(f"CASE WHEN lower({text}) RLIKE {literal(PORTUGUESE_PATTERN)} THEN 'pt-BR' ELSE 'en' END")
 
 
 def strip_html(html: Column) -> Column:
@@ -111,38 +118,26 @@ def decode_text(content: Column) -> Column:
     )
 
 
-def top_keywords(text: Column, stop_words: Sequence[str], k: int = 8) -> Column:
+def top_keywords(text: str, stop_words: Sequence[str], k: int = 8) -> Column:
     """The k most frequent words, ties in alphabetical order.
 
     Words are counted inside the row: the sorted word array is cut where the
     word changes, and the distance between cuts is the count. Nothing is
     shuffled, and the work per row is that of one sort.
+
+    ``transform(array(x), v -> ...)[0]`` names a value, so that it is made once.
     """
-    words = F.sort_array(F.regexp_extract_all(F.lower(text), F.lit(KEYWORD_PATTERN), F.lit(0)))
-
-    def run_ends(s: Column) -> Column:
-        marked = F.transform(
-            s, lambda w, i: F.struct(w.alias("word"), i.alias("at"), F.get(s, i + 1).alias("following"))
-        )
-        return F.filter(marked, lambda m: m["following"].isNull() | (m["following"] != m["word"]))
-
-    def ranked(ends: Column) -> Column:
-        counted = F.transform(
-            ends,
-            lambda e, i: F.struct(
-                (F.coalesce(F.get(ends, i - 1)["at"], F.lit(-1)) - e["at"]).alias("minus_count"),
-                e["word"].alias("word"),
-            ),
-        )
-        # Only the stop words can be dropped, so k + their number is enough to look at.
-        leaders = F.slice(F.sort_array(counted), 1, k + len(stop_words))
-        names = F.transform(leaders, lambda c: c["word"])
-        if stop_words:
-            names = F.filter(names, lambda w: ~w.isin(*stop_words))
-        return F.slice(names, 1, k)
-
-    picked = bind(words, lambda s: bind(run_ends(s), ranked))
-    return F.coalesce(picked, F.array().cast("array<string>"))
+    words = f"sort_array(regexp_extract_all(lower({text}), {literal(KEYWORD_PATTERN)}, 0))"
+    ends = """filter(
+        transform(s, (w, i) -> struct(w AS word, i AS at, get(s, i + 1) AS following)),
+        m -> m.following IS NULL OR m.following != m.word)"""
+    counts = "transform(e, (m, i) -> struct(coalesce(get(e, i - 1).at, -1) - m.at AS minus_count, m.word AS word))"
+    # Only the stop words can be dropped, so k + their number is enough to look at.
+    leaders = f"transform(slice(sort_array({counts}), 1, {k + len(stop_words)}), c -> c.word)"
+    dropped = f"array({', '.join(literal(word) for word in stop_words)})"
+    kept = f"filter({leaders}, w -> NOT array_contains({dropped}, w))" if stop_words else leaders
+    picked = f"transform(array({words}), s -> transform(array({ends}), e -> slice({kept}, 1, {k}))[0])[0]"
+    return F.expr(f"coalesce({picked}, cast(array() AS array<string>))")
 
 
 def rows_as_text(*columns: Column) -> Column:

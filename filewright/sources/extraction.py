@@ -20,11 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filewright.functions.text import WHITESPACE, quality_score, strip
+from filewright.functions.text import WHITESPACE, strip
 from filewright.sources.inbox import content_hash, decode_texts, dispatch, envelopes
 
 READ_IN_PYTHON = ("eml", "docx", "pptx", "xlsx")
-_READ = "document_id STRING, read_text STRING, read_metadata MAP<STRING,STRING>, read_error STRING"
+_IDENTITY = (
+    "run_id STRING, document_id STRING, source_path STRING, filename STRING, extension STRING,"
+    " mime_type STRING, file_hash STRING, file_size BIGINT"
+)
+_READ = f"{_IDENTITY}, read_text STRING, read_metadata MAP<STRING,STRING>, read_error STRING"
 
 # XML namespaces of the office formats.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -133,33 +137,17 @@ def read_sheets(content: bytes) -> tuple[str, dict]:
 READERS = {"eml": read_mail, "docx": read_document, "pptx": read_slides, "xlsx": read_sheets}
 
 
-def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Replace the content of each row by what its reader finds; a bad file is one error row."""
     for batch in batches:
-        rows = []
-        for row in batch.itertuples(index=False):
+        found = []
+        for extractor, content in zip(batch["extractor_name"], batch["content"], strict=True):
             try:
-                text, about = READERS[row.extractor_name](row.content)
-                rows.append((row.document_id, text, about, None))
+                found.append((*READERS[extractor](content), None))
             except Exception as error:
-                label = row.extractor_name.upper()
-                rows.append((row.document_id, None, {}, f"{label} extraction failed: {error}"))
-        yield pd.DataFrame(rows, columns=["document_id", "read_text", "read_metadata", "read_error"])
-
-
-def read_containers(rows: DataFrame) -> DataFrame:
-    """Text, metadata and error per mail or office file; one row in, one row out."""
-    wanted = rows.where(F.col("extractor_name").isin(*READ_IN_PYTHON))
-    read = wanted.select("document_id", "extractor_name", "content").mapInPandas(_read_batches, _READ)
-    text = strip(F.col("read_text"))
-    return read.select(
-        "document_id",
-        F.nullif(text, F.lit("")).alias("extracted_text"),
-        F.when(F.col("read_error").isNull(), quality_score(text)).otherwise(0.0).alias("extraction_quality"),
-        F.col("read_metadata").alias("metadata"),
-        F.when(F.col("read_error").isNotNull(), F.array("read_error"))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("errors"),
-    )
+                found.append((None, {}, f"{extractor.upper()} extraction failed: {error}"))
+        read = pd.DataFrame(found, columns=["read_text", "read_metadata", "read_error"], index=batch.index)
+        yield pd.concat([batch.drop(columns=["content", "extractor_name"]), read], axis=1)
 
 
 def _about(rows: DataFrame, metadata: Column) -> Column:
@@ -167,14 +155,6 @@ def _about(rows: DataFrame, metadata: Column) -> Column:
     return F.map_filter(F.map_concat(metadata, named), lambda _, value: value.isNotNull())
 
 
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replace the content of each row by what a reader finds in it."""
-    for batch in batches:
-        kept = batch.drop(columns=["content"]).reset_index(drop=True)
-        read = next(_read_batches(iter([batch])))
-        yield pd.concat([kept, read.drop(columns=["document_id"])], axis=1)
-
-
 def files_from_binary(files: DataFrame, run_id: str | Column) -> DataFrame:
     """File rows from ``source_path, file_size, content``.
 
@@ -197,12 +177,7 @@ def files_from_binary(files: DataFrame, run_id: str | Column) -> DataFrame:
     )
 
     containers = rows.where(F.col("extractor_name").isin(*READ_IN_PYTHON))
-    shape = "run_id STRING, source_path STRING, filename STRING, extension STRING, mime_type STRING, file_hash STRING"
-    read = containers.select(*names, "extractor_name", "content").mapInPandas(
-        _read_files,
-        f"{shape}, file_size BIGINT, document_id STRING, extractor_name STRING,"
-        " read_text STRING, read_metadata MAP<STRING,STRING>, read_error STRING",
-    )
+    read = containers.select(*names, "extractor_name", "content").mapInPandas(_read_files, _READ)
     read = read.select(
         *names,
         F.nullif(strip(F.col("read_text")), F.lit("")).alias("extracted_text"),

@@ -38,7 +38,7 @@ EXTERNAL_EXTRACTORS = ("pdf", "image", "doc", "ppt", "xls", "msg")
 
 
 def _literal_map(mapping: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(part) for pair in mapping.items() for part in pair])
+    return F.expr("map(" + ", ".join(f"'{key}', '{value}'" for key, value in mapping.items()) + ")")
 
 
 def extractor_name(extension: Column) -> Column:

@@ -62,8 +62,8 @@ def decode_texts(files: DataFrame, content: str = "content") -> DataFrame:
     text = strip(decode_text(raw))
     return (
         files.withColumn("encoding", encoding)
-        .withColumn("extraction_quality", quality_score(text))
         .withColumn("extracted_text", F.nullif(text, F.lit("")))
+        .withColumn("extraction_quality", quality_score("extracted_text"))
     )
 
 
