@@ -61,9 +61,10 @@ def collapse(text: Column) -> Column:
 
 def quality_score(text: str) -> Column:
     """Score by stripped length; 0 for no text, the lowest step for white space."""
-    size = f"length(btrim({text}, {literal(WHITESPACE)}))"
-    steps = " ".join(f"WHEN {size} >= {least} THEN {value}D" for least, value in QUALITY_STEPS)
-    return F.expr(f"CASE WHEN coalesce({text}, '') = '' THEN 0D {steps} ELSE {QUALITY_FLOOR}D END")
+    steps = " ".join(f"WHEN size >= {least} THEN {value}D" for least, value in QUALITY_STEPS)
+    score = f"CASE {steps} ELSE {QUALITY_FLOOR}D END"
+    length = f"length(btrim({text}, {literal(WHITESPACE)}))"
+    return F.expr(f"CASE WHEN coalesce({text}, '') = '' THEN 0D ELSE transform(array({length}), size -> {score})[0] END")
 
 
 def _cut(text: Column, limit: int, head: int, tail: int, mark: str) -> Column:

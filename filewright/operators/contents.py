@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from filewright.functions.text import guess_language, quality_score, summary, top_keywords
 from filewright.functions.rules import rule_for_text
 from filewright.operators.ledger import committed
-from filewright.operators.skew import attach, latest_by
+from filewright.operators.skew import attach, latest_by, spread
 from filewright.settings import Settings
 
 DECISION_FIELDS = (
@@ -71,7 +71,8 @@ def current_decisions(cache: DataFrame, settings: Settings) -> DataFrame:
 
 def current_extractions(cache: DataFrame, settings: Settings) -> DataFrame:
     """The latest cached text of each content, reduced to its facts before the shuffle."""
-    rows = cache.where((F.col("ocr_model") == settings.ocr_key) & F.col("file_hash").isNotNull()).select(
+    wanted = cache.where((F.col("ocr_model") == settings.ocr_key) & F.col("file_hash").isNotNull())
+    rows = spread(wanted, "file_hash").select(
         "file_hash",
         "cached_at",
         text_facts("extracted_text", settings)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from filewright.functions.responses import parse_answer, typed_classification, typed_understanding
 from filewright.functions.rules import rule_verdict
 from filewright.functions.text import literal
-from filewright.operators.skew import latest_by
+from filewright.operators.skew import latest_by, spread
 from filewright.settings import DUPLICATES, Settings
 
 # Texts that end up in decisions.
@@ -24,7 +24,7 @@ KNOWN_DUPLICATE = "KnownDuplicate"
 
 def typed_answers(responses: DataFrame, settings: Settings) -> DataFrame:
     """One row per document with its typed answers; raw texts are not shuffled."""
-    parsed = responses.select("document_id", "stage", parse_answer("raw").alias("payload"))
+    parsed = spread(responses, "document_id").select("document_id", "stage", parse_answer("raw").alias("payload"))
     typed = typed_classification(typed_understanding(parsed), settings.parse_bool_strings)
     return typed.groupBy("document_id").agg(
         F.max(F.when(F.col("stage") == "understand", F.col("understood"))).alias("understood"),

@@ -38,15 +38,11 @@ def attach(
     return left.join(right, [*keys, "salt"], "left").drop("salt")
 
 
-def _position(cuts: Column, value: Column) -> Column:
+def _position(cuts: str, value: str) -> Column:
     """How many of the sorted cuts are not above the value, by binary search."""
-    steps = F.array(*[F.lit(1 << power) for power in range(20, -1, -1)])
-
-    def move(at: Column, step: Column) -> Column:
-        fits = F.coalesce(F.get(cuts, at + step - 1) <= value, F.lit(False))
-        return F.when((at + step <= F.size(cuts)) & fits, at + step).otherwise(at)
-
-    return F.when(cuts.isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), move))
+    steps = ", ".join(str(1 << power) for power in range(20, -1, -1))
+    return F.expr(f"""CASE WHEN {cuts} IS NULL THEN 0 ELSE aggregate(array({steps}), 0,
+        (at, step) -> CASE WHEN coalesce(get({cuts}, at + step - 1) <= {value}, false) THEN at + step ELSE at END) END""")
 
 
 def rank_within(rows: DataFrame, keys: Sequence[str], order: str, name: str, hot_rows: int) -> DataFrame:
@@ -60,9 +56,9 @@ def rank_within(rows: DataFrame, keys: Sequence[str], order: str, name: str, hot
     keys = list(keys)
     window = Window.partitionBy(*keys).orderBy(order)
     hot = rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > hot_rows).select(*keys)
-    hot = materialize(hot)
     if hot.isEmpty():
         return rows.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
+    hot = materialize(hot)
 
     drawn = F.pmod(F.xxhash64(order), F.lit(hot_rows)) < 4
     # About 4 x total rows / hot_rows values in all, hence safe to broadcast.
@@ -73,7 +69,7 @@ def rank_within(rows: DataFrame, keys: Sequence[str], order: str, name: str, hot
         .agg(F.sort_array(F.collect_set(order)).alias("cuts"))
     )
     cuts = materialize(cuts)
-    placed = rows.join(F.broadcast(cuts), keys, "left").withColumn("piece", _position(F.col("cuts"), F.col(order)))
+    placed = rows.join(F.broadcast(cuts), keys, "left").withColumn("piece", _position("cuts", order))
     pieces = placed.where(F.col("cuts").isNotNull()).groupBy(*keys, "piece").agg(F.count("*").alias("size"))
     earlier = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     shifts = pieces.select(*keys, "piece", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("shift"))
@@ -91,3 +87,12 @@ def latest_by(rows: DataFrame, keys: Sequence[str], order: Column, columns: Sequ
     return rows.groupBy(*keys).agg(last).select(*keys, "last.*")
 
 
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Use all cores for per-row work on an input that comes in few pieces.
+
+    An input with at least as many splits as the cluster has cores is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)

@@ -21,7 +21,7 @@ from filewright.operators.decisions import (
 from filewright.operators.ledger import event_rows
 from filewright.operators.metrics import document_report, metrics_of_run
 from filewright.operators.routing import destination_folder, destination_path, technical_folder, unique_names
-from filewright.operators.skew import attach
+from filewright.operators.skew import attach, spread
 from filewright.operators.taxonomy import align, normalized_pair, scan_taxonomy
 from filewright.settings import DUPLICATES, Run, Settings
 from filewright.sources.tables import empty_table, materialize
@@ -99,7 +99,8 @@ class Organized:
 def describe(files: DataFrame, settings: Settings) -> DataFrame:
     """File rows with their text replaced by its facts."""
     return (
-        files.withColumn("facts", text_facts("extracted_text", settings))
+        spread(files, "source_path")
+        .withColumn("facts", text_facts("extracted_text", settings))
         .withColumn("name_rule", rule_for_name("filename", settings.rules))
         .drop("extracted_text")
     )
@@ -107,7 +108,7 @@ def describe(files: DataFrame, settings: Settings) -> DataFrame:
 
 def precomputed_facts(precomputed: DataFrame, settings: Settings) -> DataFrame:
     """Facts of the texts a batch extractor made; empty texts do not count."""
-    made = precomputed.where(F.col("text") != "")
+    made = spread(precomputed, "source_path").where(F.col("text") != "")
     return made.select("source_path", text_facts("text", settings).alias("precomputed"))
 
 

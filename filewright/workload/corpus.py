@@ -18,7 +18,8 @@ from filewright.functions.paths import suffix_of, with_number
 from filewright.functions.rules import rule_for_name, rule_for_text, rule_verdict
 from filewright.functions.text import quality_score, strip
 from filewright.operators.routing import destination_folder, destination_path, technical_folder
-from filewright.plans.organize import Tables
+from filewright.operators.ledger import closed, opened
+from filewright.plans.organize import Organized, Tables, organize
 from filewright.settings import Run, Settings
 from filewright.sources.inbox import files_from_texts
 from filewright.sources.tables import materialize
@@ -35,6 +36,8 @@ SETTINGS = Settings(
     level2_aliases={"receipt": "Invoices", "resumes": "Resumes"},
 )
 
+STRICT = Settings(review_confidence=0.9)
+
 # Model answers. The expressions are plain enough to mean the same in any SQL.
 ANSWER_LEVEL1 = (
     "CASE floor(doc_id / 10) % 5 WHEN 0 THEN 'financeiro' WHEN 1 THEN 'FINANCE' WHEN 2 THEN 'knowledge'"
@@ -87,6 +90,12 @@ UNDERSTAND_RAW = _dressed(
     _understanding("null"),
     "[]",
 )
+RENAME_RAW = _dressed(
+    "doc_id % 7",
+    f"""concat('{{"category": "', {ANSWER_LEVEL1}, '", "new_filename": "', source, '/', lang, ': draft.txt"}}')""",
+    f"""concat('{{"category": 7, "new_filename": "', source, '"}}')""",
+    '{"category": ""}',
+)
 CLASSIFY_RAW = _dressed("doc_id % 7", _classification("false"), _classification('"False"'), "[1, 2]")
 
 
@@ -238,11 +247,11 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @stored
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model answers for both stages of every document, in all shapes models give."""
+    """Raw model answers for each stage of every document, in all shapes models give."""
     rows = identified(spark, sf_dir)
-    answer = F.struct(F.lit("understand").alias("stage"), F.expr(UNDERSTAND_RAW).alias("raw"))
-    other = F.struct(F.lit("classify").alias("stage"), F.expr(CLASSIFY_RAW).alias("raw"))
-    return rows.select("document_id", F.inline(F.array(answer, other)))
+    stages = {"understand": UNDERSTAND_RAW, "classify": CLASSIFY_RAW, "rename": RENAME_RAW}
+    answers = [F.struct(F.lit(stage).alias("stage"), F.expr(raw).alias("raw")) for stage, raw in stages.items()]
+    return rows.select("document_id", F.inline(F.array(*answers)))
 
 
 @stored
@@ -287,3 +296,52 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         precomputed=precomputed(spark, sf_dir),
         responses=responses(spark, sf_dir),
     )
+
+
+@stored
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records, one run per document source; the last one but one is still open."""
+    number = F.substring("source", 4, 10).cast("int")
+    runs = table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count("*").alias("total_files"),
+        F.count_if(F.col("lang") == "en").alias("processed_files"),
+        F.count_if(F.col("lang") == "de").alias("failed_files"),
+        F.count_if(F.col("lang") == "fr").alias("review_files"),
+        (F.sum("n_chars") / F.count("*")).alias("avg_confidence"),
+    )
+    runs = runs.select(
+        F.col("source").alias("run_id"),
+        F.timestamp_seconds(F.unix_timestamp(F.lit("2024-03-01").cast("timestamp")) + number).alias("started_at"),
+        F.timestamp_seconds(F.unix_timestamp(F.lit("2024-03-02").cast("timestamp")) + number).alias("completed_at"),
+        (F.col("source") == "src19").alias("dry_run"),
+        *("total_files", "processed_files", "failed_files", "review_files", "avg_confidence"),
+    )
+    return opened(runs).unionByName(closed(runs.where(F.col("run_id") != "src18")))
+
+
+@stored
+def history_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs behind the ledger: the earlier one, and a dry run of the current inbox."""
+    started = F.when(F.col("run_id") == HISTORY.run_id, F.lit(HISTORY.started_at)).otherwise(F.lit(CURRENT.started_at))
+    runs = named_documents(spark, sf_dir).select("run_id").distinct()
+    return runs.select("run_id", started.alias("started_at"), (F.col("run_id") == CURRENT.run_id).alias("dry_run"))
+
+
+@stored
+def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored plan of the current run, for the reports drawn from it."""
+    return organized(spark, sf_dir).plan
+
+
+@stored
+def strict_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan under another configuration: a higher threshold and no aliases."""
+    return organize(current_files(spark, sf_dir), tables(spark, sf_dir), CURRENT, STRICT).plan
+
+
+def organized(spark: SparkSession, sf_dir: str) -> Organized:
+    return organize(current_files(spark, sf_dir), tables(spark, sf_dir), CURRENT, SETTINGS)
+
+
+def stored_run(spark: SparkSession, sf_dir: str) -> Organized:
+    return Organized(plan(spark, sf_dir), CURRENT, SETTINGS)
