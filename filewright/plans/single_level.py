@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filewright.functions.paths import name_of, sanitize_category, sanitize_filename, suffix_of
@@ -20,17 +20,13 @@ NO_CONTENT = "Empty content or unsupported file type"
 def _answers(rows: DataFrame, responses: DataFrame, stage: str) -> DataFrame:
     """Category and new name each model answer proposes, NULL where it is unusable."""
     found = attach_raw_answer(rows, responses, stage).withColumn("payload", parse_answer("raw"))
-    return (
-        with_fields(found, ("category", "new_filename"))
-        .withColumn("category", sanitize_category(answered_text("category")))
-        .withColumn("category", F.when(answered_text_present("category"), F.col("category")))
-        .withColumn("new_filename", answered_text("new_filename"))
-        .select(*rows.columns, "category", "new_filename")
+    proposed = with_fields(found, ("category", "new_filename")).select(
+        *rows.columns,
+        answered_text("category").alias("proposed"),
+        answered_text("new_filename").alias("new_filename"),
     )
-
-
-def answered_text_present(name: str) -> Column:
-    return F.expr(f"payload_type LIKE 'OBJECT%' AND {name}_type = 'STRING'") & (F.col(name) != "")
+    category = F.when(F.col("proposed").isNotNull(), sanitize_category(F.col("proposed")))
+    return proposed.withColumn("category", category).drop("proposed")
 
 
 def organize_single_level(

@@ -1,0 +1,140 @@
+"""Mail and office files made from documents, to be read back."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape, quoteattr
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filewright.sources.extraction import DRAWING, RELATION, SHEET, SLIDE, WORD
+from filewright.workload.corpus import identified
+
+_RELS = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+
+def _namespace(tag_prefix: str) -> str:
+    return tag_prefix.strip("{}")
+
+
+def _lines(*parts: str | Column) -> Column:
+    return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def mail_content() -> Column:
+    """English documents as plain mail, the others as mail with several parts."""
+    head = (
+        F.concat(F.lit("Subject: "), "filename"),
+        F.concat(F.lit("From: "), "source", F.lit("@example.com")),
+        "To: desk@example.com",
+        "MIME-Version: 1.0",
+    )
+    text_part = (
+        'Content-Type: text/plain; charset="utf-8"',
+        "Content-Transfer-Encoding: 8bit",
+        "",
+        F.col("text"),
+    )
+    plain = _lines(*head, *text_part)
+    parts = _lines(
+        *head,
+        'Content-Type: multipart/mixed; boundary="=part="',
+        "",
+        "--=part=",
+        *text_part,
+        "--=part=",
+        "Content-Type: text/html",
+        "",
+        F.concat(F.lit("<p><b>"), "lang", F.lit("</b></p>")),
+        "--=part=",
+        "Content-Type: text/plain",
+        'Content-Disposition: attachment; filename="left-out.txt"',
+        "",
+        "left out",
+        "--=part=--",
+        "",
+    )
+    return F.encode(F.when(F.col("lang") == "en", plain).otherwise(parts), "UTF-8")
+
+
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = identified(spark, sf_dir)
+    path = F.concat(F.lit("/inbox/"), F.col("doc_id").cast("string"), F.lit(".eml"))
+    content = mail_content()
+    return rows.select("doc_id", path.alias("source_path"), content.alias("content")).withColumn(
+        "file_size", F.octet_length("content").cast("bigint")
+    )
+
+
+def _zip(members: dict[str, str]) -> bytes:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, text in members.items():
+            archive.writestr(name, text)
+    return buffer.getvalue()
+
+
+def _relations(target: str) -> str:
+    return f'<Relationships xmlns="{_RELS}"><Relationship Id="rId1" Target="{target}"/></Relationships>'
+
+
+def make_document(text: str) -> bytes:
+    body = "".join(
+        f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n")
+    )
+    return _zip({"word/document.xml": f'<w:document xmlns:w="{_namespace(WORD)}"><w:body>{body}</w:body></w:document>'})
+
+
+def make_slides(text: str) -> bytes:
+    runs = "".join(f"<a:p><a:r><a:t>{escape(line)}</a:t></a:r></a:p>" for line in text.split("\n"))
+    names = f'xmlns:p="{_namespace(SLIDE)}" xmlns:a="{_namespace(DRAWING)}" xmlns:r="{_namespace(RELATION)}"'
+    shape = f"<p:sp><p:txBody>{runs}</p:txBody></p:sp>"
+    return _zip(
+        {
+            "ppt/presentation.xml": f'<p:presentation {names}><p:sldIdLst><p:sldId r:id="rId1"/></p:sldIdLst></p:presentation>',
+            "ppt/_rels/presentation.xml.rels": _relations("slides/slide1.xml"),
+            "ppt/slides/slide1.xml": f"<p:sld {names}><p:cSld><p:spTree>{shape}</p:spTree></p:cSld></p:sld>",
+        }
+    )
+
+
+def make_sheets(text: str, name: str = "Text") -> bytes:
+    rows = "".join(
+        f'<row><c t="inlineStr"><is><t xml:space="preserve">{escape(line)}</t></is></c></row>'
+        for line in text.split("\n")
+    )
+    names = f'xmlns="{_namespace(SHEET)}" xmlns:r="{_namespace(RELATION)}"'
+    sheet = f'<sheet name={quoteattr(name)} sheetId="1" r:id="rId1"/>'
+    return _zip(
+        {
+            "xl/workbook.xml": f"<workbook {names}><sheets>{sheet}</sheets></workbook>",
+            "xl/_rels/workbook.xml.rels": _relations("worksheets/sheet1.xml"),
+            "xl/worksheets/sheet1.xml": f"<worksheet {names}><sheetData>{rows}</sheetData></worksheet>",
+        }
+    )
+
+
+_MAKERS = {"docx": make_document, "pptx": make_slides, "xlsx": make_sheets}
+
+
+def _make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        made = [_MAKERS[kind](text) for kind, text in zip(batch["kind"], batch["text"], strict=True)]
+        yield batch[["doc_id", "source_path"]].assign(content=made)
+
+
+def office_kind() -> Column:
+    return F.when(F.col("lang") == "en", "docx").when(F.col("lang") == "fr", "pptx").otherwise("xlsx")
+
+
+def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = identified(spark, sf_dir).withColumn("kind", office_kind())
+    path = F.concat(F.lit("/inbox/"), F.col("doc_id").cast("string"), F.lit("."), "kind")
+    made = rows.select("doc_id", path.alias("source_path"), "kind", "text").mapInPandas(
+        _make, "doc_id BIGINT, source_path STRING, content BINARY"
+    )
+    return made.withColumn("file_size", F.octet_length("content").cast("bigint"))
