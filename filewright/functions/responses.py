@@ -105,32 +105,31 @@ def _state(*usable: str) -> str:
         ELSE 'invalid' END"""
 
 
-def _struct(name: str, fields: dict[str, str]) -> str:
-    return f"struct({', '.join(f'{sql} AS {field}' for field, sql in fields.items())}) AS {name}"
+def _typed(rows: DataFrame, name: str, state: str, fields: dict[str, str]) -> DataFrame:
+    """Add a struct of the state and the fields, which are NULL unless the answer is usable."""
+    values = ", ".join(f"CASE WHEN state = 'object' THEN {sql} END AS {field}" for field, sql in fields.items())
+    typed = with_fields(rows, list(fields)).selectExpr("*", f"{state} AS state")
+    return typed.selectExpr(*rows.columns, f"struct(state, {values}) AS {name}")
 
 
 def typed_understanding(rows: DataFrame) -> DataFrame:
     """Add the struct ``understood`` to rows with a ``payload``."""
     texts, lists = UNDERSTANDING_TEXTS, UNDERSTANDING_LISTS
-    fields = {
-        "state": _state(*map(_usable_text, texts), *map(_usable_list, lists)),
-        **{name: _text(name) for name in texts},
-        **{name: _list(name) for name in lists},
-    }
-    return with_fields(rows, (*texts, *lists)).selectExpr(*rows.columns, _struct("understood", fields))
+    state = _state(*map(_usable_text, texts), *map(_usable_list, lists))
+    fields = {**{name: _text(name) for name in texts}, **{name: _list(name) for name in lists}}
+    return _typed(rows, "understood", state, fields)
 
 
 def typed_classification(rows: DataFrame, parse_bool_strings: bool = False) -> DataFrame:
     """Add the struct ``classified`` to rows with a ``payload``."""
     texts = CLASSIFICATION_TEXTS
+    state = _state(*map(_usable_text, texts), f"{_confidence('confidence')} IS NOT NULL")
     fields = {
-        "state": _state(*map(_usable_text, texts), f"{_confidence('confidence')} IS NOT NULL"),
         **{name: _text(name) for name in texts},
         "confidence": _confidence("confidence"),
         "needs_review": truthy("needs_review", parse_bool_strings),
     }
-    wanted = (*texts, "confidence", "needs_review")
-    return with_fields(rows, wanted).selectExpr(*rows.columns, _struct("classified", fields))
+    return _typed(rows, "classified", state, fields)
 
 
 def answered_text(name: str) -> Column:

@@ -437,6 +437,7 @@ _STREAM = {
             THEN 'Fallback heuristic classification | Below review threshold' ELSE {verdict('rule', 4)} END AS own_reason FROM stream_ruled""",
     "stream_leads": "SELECT file_hash, filename AS lead_name, l2 AS lead_l2 FROM stream_own WHERE source_path = first_path",
     "stream_done": """SELECT source_path, document_id, filename, CASE WHEN source_path <> first_path THEN '_Duplicates' ELSE l1 END AS category_l1,
+        CASE WHEN source_path <> first_path THEN coalesce(nullif(lead_l2, ''), 'KnownDuplicate') ELSE l2 END AS category_l2,
         CASE WHEN source_path <> first_path THEN 'Duplicate of ' || lead_name ELSE own_reason END AS reason,
         CASE WHEN source_path <> first_path THEN '_Duplicates' WHEN chosen IS NULL OR rule IS NULL THEN '_NeedsReview' ELSE l1 || '/' || l2 END AS folder
         FROM stream_own JOIN stream_leads USING (file_hash)""",
@@ -461,7 +462,7 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
     "office_extract": f"""SELECT '/inbox/' || doc_id || '.' || CASE lang WHEN 'en' THEN 'docx' WHEN 'fr' THEN 'pptx' ELSE 'xlsx' END AS source_path,
         nullif(trim(CASE WHEN lang IN ('en', 'fr') THEN text ELSE {_SHEET} END, {SPACE}), '') AS extracted_text,
         CASE WHEN lang = 'fr' THEN '1' END AS slides, CASE WHEN lang NOT IN ('en', 'fr') THEN 'Text' END AS sheets, 0 AS error_count FROM ids""",
-    "rows_as_text": "SELECT l_orderkey, l_linenumber, concat_ws(' | ', l_orderkey, l_linenumber, nullif(l_returnflag, ''), nullif(l_linestatus, ''), nullif(l_shipmode, '')) AS line FROM lineitem",
+    "rows_as_text": "SELECT l_orderkey, l_linenumber, concat_ws(' | ', l_orderkey, l_partkey, l_suppkey, nullif(l_returnflag, ''), nullif(l_linestatus, '')) AS line FROM lineitem",
     "benchmark_load": "SELECT * FROM expected",
     "taxonomy_scan": "SELECT * FROM taxonomy",
     "ledger_rows": """SELECT row_number() OVER (ORDER BY source_path) AS event_id, run_id, document_id, source_path, destination_path, filename, status,
@@ -579,14 +580,31 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
     "model_hook": f"""SELECT document_id, 'understand' AS stage, '{{"summary": "' || length({_UNDERSTAND}) || ' characters"}}' AS raw FROM ids""",
     "streaming_organize": (
         """SELECT row_number() OVER (ORDER BY source_path) AS event_id, 'batch-0' AS run_id, source_path, destination_path, 'moved' AS status,
-        category_l1, reason FROM stream_done JOIN stream_named USING (document_id)""",
+        category_l1, category_l2, reason FROM stream_done JOIN stream_named USING (document_id)""",
         _STREAM,
     ),
 }
 
 
+def _strict() -> str:
+    """The cases of a run with a higher threshold and no aliases, as one derived table."""
+    level1 = sanitize("coalesce(nullif(raw_l1, ''), 'General')", "General")
+    level2 = sanitize("coalesce(nullif(raw_l2, ''), 'Unsorted')", "Unsorted")
+    other = {
+        "raw_outcomes": CTES["raw_outcomes"].replace("0.55", "0.9"),
+        "normal": f"""SELECT *, CASE WHEN is_filed_away THEN {level1} END AS n_l1,
+            CASE WHEN is_filed_away THEN {level2} END AS n_l2 FROM outcomes""",
+    }
+    return with_ctes("SELECT * FROM cases", other)
+
+
 def oracle_sql() -> dict[str, str]:
     made = {}
+    counted = "total_cases, matched_level1, matched_level2, matched_review_flag, full_matches, failures"
+    made["benchmark_compare"] = (
+        f"SELECT 'default' AS config, {counted} FROM (SELECT {_COUNTERS} FROM ({with_ctes('SELECT * FROM cases')}))"
+        f" UNION ALL SELECT 'strict', {counted} FROM (SELECT {_COUNTERS} FROM ({_strict()}))"
+    )
     for name, final in FINALS.items():
         made[name] = with_ctes(final) if isinstance(final, str) else with_ctes(*final)
     return made

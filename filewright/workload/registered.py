@@ -106,7 +106,6 @@ def eml_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = files_from_binary(containers.mails(spark, sf_dir), "mail")
     return read.select(
         "source_path",
-        "file_hash",
         "extracted_text",
         F.col("metadata")["subject"].alias("subject"),
         F.col("metadata")["from"].alias("sender"),
@@ -129,7 +128,7 @@ def office_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rows_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipmode")
+    names = ("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
     rows = corpus.table(spark, sf_dir, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", text.rows_as_text(*map(F.col, names)).alias("line"))
 
