@@ -133,7 +133,3 @@ def extraction_candidates(files: DataFrame, decisions: DataFrame, settings: Sett
     pdfs = files.where(F.col("extension") == ".pdf")
     return look_up(pdfs, settings, decisions=decisions).where(F.col("decision").isNull())
 
-
-def missing_extractions(files: DataFrame, extractions: DataFrame, settings: Settings) -> DataFrame:
-    """Files whose content has no cached text yet."""
-    return look_up(files, settings, extractions=extractions).where(F.col("extraction").isNull())

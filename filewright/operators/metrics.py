@@ -21,7 +21,7 @@ def run_metrics(plan: DataFrame) -> DataFrame:
 
 def metrics_of_run(plan: DataFrame, run_id: str) -> DataFrame:
     """Metrics as one row, also for a run without files."""
-    run = plan.sparkSession.createDataFrame([(run_id,)], "run_id STRING")
+    run = plan.sparkSession.range(1).select(F.lit(run_id).alias("run_id"))
     counters = ("total_files", "processed_files", "failed_files", "review_files")
     found = run_metrics(plan)
     return run.join(found, "run_id", "left").select(

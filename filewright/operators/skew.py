@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from filewright.sources.tables import materialize
 
-# Tasks over which rows without a key are spread.
-_KEYLESS_SALTS = 256
+# Salts over which rows without a key are spread. They meet nothing on the other side.
+_KEYLESS_SALTS = 1 << 20
 
 
 def attach(

@@ -11,6 +11,7 @@ from filewright.functions.paths import sanitize_component
 from filewright.operators.ledger import committed
 from filewright.operators.skew import attach
 from filewright.settings import Settings
+from filewright.sources.tables import materialize
 
 
 def _excluded(settings: Settings) -> list[str]:
@@ -95,13 +96,17 @@ def align_pairs(pairs: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 def align(rows: DataFrame, taxonomy: DataFrame, settings: Settings, spread_by: str = "document_id") -> DataFrame:
-    """Align ``category_l1, category_l2`` of many rows through their distinct pairs."""
+    """Align ``category_l1, category_l2`` of many rows through their distinct pairs.
+
+    The aligned pairs are stored, so that Spark knows their size. It broadcasts
+    them while they are few, and else joins them by shuffle, large pairs split.
+    """
     pairs = (
         rows.where(F.col("category_l1").isNotNull() & F.col("category_l2").isNotNull())
         .groupBy("category_l1", "category_l2")
         .agg(F.count("*").alias("pair_rows"))
     )
-    aligned = align_pairs(pairs, taxonomy)
+    aligned = materialize(align_pairs(pairs, taxonomy))
     joined = attach(
         rows,
         aligned,

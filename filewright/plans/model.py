@@ -20,17 +20,15 @@ Infer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 def build_prompts(documents: DataFrame, taxonomy: DataFrame, settings: Settings) -> DataFrame:
     """Both prompts of each document, from ``document_id, source_path, filename, extracted_text, facts``.
 
-    The taxonomy is a single row of text that goes into every prompt.
+    The taxonomy is a single value that goes into every prompt.
     """
-    line = taxonomy_text(taxonomy_index(taxonomy))
+    line = taxonomy_text(taxonomy_index(taxonomy)).scalar()
     text, name, path = F.col("extracted_text"), F.col("filename"), F.col("source_path")
-    rows = documents.withColumn("reading", understanding_fallback("facts")).crossJoin(F.broadcast(line))
+    rows = documents.withColumn("reading", understanding_fallback("facts"))
     return rows.select(
         "document_id",
         understanding_prompt(name, path, text, settings).alias("understand_prompt"),
-        classification_prompt(F.col("taxonomy"), name, path, F.col("reading"), text, settings).alias(
-            "classify_prompt"
-        ),
+        classification_prompt(line, name, path, F.col("reading"), text, settings).alias("classify_prompt"),
     )
 
 

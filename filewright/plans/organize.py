@@ -24,6 +24,7 @@ from filewright.operators.routing import destination_folder, destination_path, t
 from filewright.operators.skew import attach, spread
 from filewright.operators.taxonomy import align, normalized_pair, scan_taxonomy
 from filewright.settings import DUPLICATES, Run, Settings
+from filewright.sources.inbox import document_id
 from filewright.sources.tables import empty_table, materialize
 
 
@@ -106,18 +107,22 @@ def describe(files: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def precomputed_facts(precomputed: DataFrame, settings: Settings) -> DataFrame:
-    """Facts of the texts a batch extractor made; empty texts do not count."""
+def precomputed_facts(precomputed: DataFrame, run_id: str, settings: Settings) -> DataFrame:
+    """Facts of the texts a batch extractor made, by document; empty texts do not count.
+
+    Keyed by document like the model answers, so that one shuffle of the files serves both.
+    """
     made = spread(precomputed, "source_path").where(F.col("text") != "")
-    return made.select("source_path", text_facts("text", settings).alias("precomputed"))
+    identity = document_id(F.lit(run_id), F.col("source_path")).alias("document_id")
+    return made.select(identity, text_facts("text", settings).alias("precomputed"))
 
 
-def prepare(described: DataFrame, tables: Tables, settings: Settings) -> DataFrame:
+def prepare(described: DataFrame, tables: Tables, run_id: str, settings: Settings) -> DataFrame:
     """Look everything up and choose the text of each file."""
     found = look_up(
         described, settings, events=tables.events, decisions=tables.decisions, extractions=tables.extractions
     )
-    return choose_text(found.join(precomputed_facts(tables.precomputed, settings), "source_path", "left"))
+    return choose_text(found.join(precomputed_facts(tables.precomputed, run_id, settings), "document_id", "left"))
 
 
 def model_workload(prepared: DataFrame) -> DataFrame:
@@ -196,20 +201,20 @@ def route(rows: DataFrame, existing: DataFrame, run: Run, settings: Settings) ->
 
 
 def organize(files: DataFrame, tables: Tables, run: Run, settings: Settings) -> Organized:
-    """Plan a run. ``files`` has the columns of ``schemas.FILES``.
+    """Plan a run. ``files`` has the columns of ``schemas.FILES`` and the run id of ``run``.
 
     Texts are read once and reduced to facts where they lie. What is shuffled
     is narrow, and is stored where a later step reads it more than once.
     """
     described = materialize(describe(files, settings))
-    prepared = prepare(described, tables, settings)
+    prepared = prepare(described, tables, run.run_id, settings)
     decided = decide(attach_answers(prepared, typed_answers(tables.responses, settings)), settings)
     taxonomy = tables.taxonomy
     if taxonomy is None:
         taxonomy = scan_taxonomy(tables.events, settings)
     decided = materialize(decided)
     categorized = materialize(categorize(decided, taxonomy, settings))
-    marked = materialize(mark_copies(categorized, settings))
+    marked = mark_copies(categorized, settings)
     placed = tables.events.where(~F.col("dry_run") & F.col("destination_path").isNotNull())
     routed = route(marked, placed, run, settings)
     plan = routed.select(

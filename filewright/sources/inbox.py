@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from filewright.functions.paths import extension_of, name_of
 from filewright.functions.text import decode_text, quality_score, strip
+from filewright.sources.tables import empty_table
 from filewright.sources.filetypes import EXTERNAL_EXTRACTORS, extractor_name, mime_type, unsupported_error
 
 _BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -20,7 +21,7 @@ def scan_inbox(spark: SparkSession, folder: str, only_filename: str | None = Non
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        found = spark.createDataFrame([], _BINARY)
+        found = empty_table(spark, _BINARY)
     name = name_of(F.col("path"))
     kept = found.where(~name.startswith("."))
     if only_filename is not None:

@@ -16,11 +16,17 @@ def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return empty_table(spark, schema)
 
 
 def empty_table(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    """No rows, in a form from which the optimizer drops the joins that cannot match."""
+    columns = [f"cast(NULL AS {kind}) AS {name}" for name, kind in _parts(schema)]
+    return spark.sql(f"SELECT {', '.join(columns)} WHERE false")
+
+
+def _parts(schema: str) -> list[list[str]]:
+    return [column.split(" ", 1) for column in schema.split(", ")]
 
 
 def append_rows(rows: DataFrame, path: str, *partition_by: str) -> None:

@@ -453,7 +453,7 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
         nullif({strip('text')}, '') AS extracted_text, {quality(strip('text'))} AS extraction_quality FROM documents""",
     "extraction_dispatch": "SELECT document_id, extension, mime_type, extractor_name, error FROM files",
     "html_strip": f"SELECT page_id, {strip(chr(34) + 't' + chr(34))} AS text FROM (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS t FROM pages)",
-    "precomputed_attach": f"""SELECT document_id, coalesce(p.text, '') <> '' AS odl_batch,
+    "precomputed_attach": f"""SELECT sha256('run-2|' || source_path) AS document_id, coalesce(p.text, '') <> '' AS odl_batch,
         CASE WHEN p.text <> '' THEN {quality('p.text')} END AS extraction_quality, false AS ocr_used
         FROM files LEFT JOIN precomputed p USING (source_path)""",
     "extraction_candidates": "SELECT document_id, source_path FROM files WHERE extension = '.pdf' AND file_hash NOT IN (SELECT file_hash FROM decided)",

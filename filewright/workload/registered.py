@@ -84,9 +84,10 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def precomputed_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpus.all_files(spark, sf_dir).select("document_id", "source_path")
-    made = precomputed_facts(corpus.precomputed(spark, sf_dir), SETTINGS)
-    return files.join(made, "source_path", "left").select(
+    run_id = corpus.CURRENT.run_id
+    files = envelopes(corpus.named_documents(spark, sf_dir), run_id).select("document_id")
+    made = precomputed_facts(corpus.precomputed(spark, sf_dir), run_id, SETTINGS)
+    return files.join(made, "document_id", "left").select(
         "document_id",
         F.col("precomputed").isNotNull().alias("odl_batch"),
         F.col("precomputed.quality").alias("extraction_quality"),
@@ -257,7 +258,7 @@ def extraction_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def model_workload_(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = materialize(describe(corpus.current_files(spark, sf_dir), SETTINGS))
-    prepared = prepare(files, corpus.tables(spark, sf_dir), SETTINGS)
+    prepared = prepare(files, corpus.tables(spark, sf_dir), corpus.CURRENT.run_id, SETTINGS)
     return model_workload(prepared).select("document_id", "text_source")
 
 
