@@ -65,4 +65,4 @@ def taxonomy_text(index: DataFrame) -> DataFrame:
 
 def prompt_audit(prompt: Column, limit: int = 500) -> tuple[Column, Column]:
     """Length and short excerpt of a prompt, for a log."""
-    return F.length(prompt), excerpt(prompt, limit)
+    return F.length(prompt).cast("bigint"), excerpt(prompt, limit)

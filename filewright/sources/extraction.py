@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filewright.functions.text import WHITESPACE, strip
+from filewright.operators.skew import spread
 from filewright.sources.inbox import content_hash, decode_texts, dispatch, envelopes
 
 READ_IN_PYTHON = ("eml", "docx", "pptx", "xlsx")
@@ -159,9 +160,10 @@ def files_from_binary(files: DataFrame, run_id: str | Column) -> DataFrame:
     """File rows from ``source_path, file_size, content``.
 
     The two kinds of file take separate branches, so that only containers are
-    handed to Python, and file contents are never shuffled.
+    handed to Python. Contents are not shuffled, except to get an input of few
+    splits onto all cores.
     """
-    rows = dispatch(envelopes(files, run_id)).withColumn("file_hash", content_hash(F.col("content")))
+    rows = dispatch(envelopes(spread(files, "source_path"), run_id)).withColumn("file_hash", content_hash(F.col("content")))
     names = ["run_id", "document_id", "source_path", "filename", "extension", "mime_type", "file_hash", "file_size"]
     flags = [F.lit(False).alias("ocr_used"), F.lit(False).alias("conversion_used")]
 

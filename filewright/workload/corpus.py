@@ -19,6 +19,7 @@ from filewright.functions.rules import rule_for_name, rule_for_text, rule_verdic
 from filewright.functions.text import quality_score, strip
 from filewright.operators.routing import destination_folder, destination_path, technical_folder
 from filewright.operators.ledger import closed, opened
+from filewright.operators.skew import spread
 from filewright.plans.organize import Organized, Tables, organize
 from filewright.settings import Run, Settings
 from filewright.sources.inbox import files_from_texts
@@ -99,8 +100,13 @@ RENAME_RAW = _dressed(
 CLASSIFY_RAW = _dressed("doc_id % 7", _classification("false"), _classification('"False"'), "[1, 2]")
 
 
+# Tables of long texts and the column to spread them by when they come in one piece.
+_TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, _TEXTS[name]) if name in _TEXTS else rows
 
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from check_queries import rows_of
+from check_queries import rows_of, type_differences
 
 
 @pytest.fixture(scope="module")
@@ -22,4 +22,5 @@ def test_query_equals_sql(spark, data, database, name):
     frame = entry.queries()[name](spark, data)
     got = rows_of(frame.columns, [tuple(row) for row in frame.collect()])
     found = database.execute(entry.oracle_sql()[name])
+    assert type_differences(frame, found.description) == []
     assert got == rows_of([column[0] for column in found.description], found.fetchall())
