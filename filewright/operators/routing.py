@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright.functions.paths import folder_of, name_of, stem_of, suffix_of, with_number
-from filewright.operators.skew import rank_within
+from filewright.operators.skew import attach, has_room, rank_within
 from filewright.settings import DUPLICATES, FAILED_EXTRACTION, NEEDS_REVIEW, Settings
 from filewright.sources.tables import materialize
 
@@ -40,6 +40,22 @@ def _reserved(names: DataFrame, existing: DataFrame) -> DataFrame:
     return bare.unionByName(numbered).distinct()
 
 
+def _starts(marks: DataFrame, groups: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """For each piece of a line, the sum of all marks in earlier pieces, as a mark before its first place."""
+    totals = marks.groupBy(*keys, "piece").agg(F.sum("passed").alias("passed"))
+    last = groups.select(*keys, F.floor((F.col("wanted") - 1) / span).alias("last"))
+    pieces = last.join(totals.select(*keys).distinct(), keys, "left_semi").select(
+        *keys, F.explode(F.sequence(F.lit(0), F.col("last"))).alias("piece")
+    )
+    earlier = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("passed").over(earlier), F.lit(0))
+    return (
+        pieces.join(totals, [*keys, "piece"], "left")
+        .select(*keys, "piece", F.lit(-1).cast("bigint").alias("at"), before.alias("passed"))
+        .where(F.col("passed") > 0)
+    )
+
+
 def unique_names(requests: DataFrame, existing: DataFrame, settings: Settings) -> DataFrame:
     """Add ``unique_name``: the wanted name, or the first free ``stem_N.ext``.
 
@@ -61,31 +77,22 @@ def unique_names(requests: DataFrame, existing: DataFrame, settings: Settings) -
     )
     ranked = rank_within(requests, keys, "source_path", "rank", span)
     groups = requests.groupBy(*keys).agg(F.count("*").alias("wanted"))
-    reserved = _reserved(groups.select(*keys), placed).join(groups, keys)
-    # Reserved numbers lie in one row per name and number, so their own rank is
-    # split in the same way as that of the requests.
-    numbered = rank_within(materialize(reserved), keys, "number", "j", span)
+    # A name may have as many reserved numbers as requests, so they are joined
+    # and ranked with the same splitting.
+    reserved = materialize(_reserved(groups.select(*keys), placed))
+    sizes = reserved.groupBy(*keys).agg(F.count("*").alias("size"))
+    kept = attach(reserved, groups.join(sizes, keys), keys, size="size", spread_by="number", hot_rows=span)
+    kept = materialize(kept.where(F.col("wanted").isNotNull()))
+    numbered = rank_within(kept, keys, "number", "j", span)
     slack = (F.col("number") - F.col("j")).alias("at")
     gaps = numbered.select(*keys, "wanted", slack).where(F.col("at") < F.col("wanted"))
     gaps = gaps.groupBy(*keys, "at").agg(F.count("*").alias("passed"))
 
     piece = F.floor(F.col("at") / span).alias("piece")
     asked = ranked.withColumn("at", F.col("rank")).withColumn("piece", piece)
-    line = [*keys, "piece", "at", "passed"]
-    gap_rows = gaps.select(*keys, piece, "at", "passed")
-    totals = gap_rows.groupBy(*keys, "piece").agg(F.sum("passed").alias("passed"))
-    last = groups.select(*keys, F.floor((F.col("wanted") - 1) / span).alias("last"))
-    # What earlier pieces passed is put at the start of each later piece.
-    pieces = last.join(totals.select(*keys).distinct(), keys, "left_semi").select(
-        *keys, F.explode(F.sequence(F.lit(0), F.col("last"))).alias("piece")
-    )
-    earlier = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        pieces.join(totals, [*keys, "piece"], "left")
-        .select(*keys, "piece", F.lit(-1).cast("bigint").alias("at"), F.coalesce(F.sum("passed").over(earlier), F.lit(0)).alias("passed"))
-        .where(F.col("passed") > 0)
-    )
-    marks = gap_rows.unionByName(starts).select(*line)
+    marks = gaps.select(*keys, piece, "at", "passed")
+    if not has_room(requests, span):
+        marks = marks.unionByName(_starts(marks, groups, keys, span))
     both = asked.unionByName(marks, allowMissingColumns=True)
     # At the same place a mark comes before a request.
     along = Window.partitionBy(*keys, "piece").orderBy("at", F.col("rank").isNotNull())

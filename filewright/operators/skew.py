@@ -13,6 +13,11 @@ from filewright.sources.tables import materialize
 _KEYLESS_SALTS = 1 << 20
 
 
+def has_room(rows: DataFrame, hot_rows: int) -> bool:
+    """Whether so few rows are there that no key can be hot. Costs a count, so use it on stored rows."""
+    return rows.count() <= hot_rows
+
+
 def attach(
     rows: DataFrame, facts: DataFrame, keys: Sequence[str], *, size: str, spread_by: str, hot_rows: int
 ) -> DataFrame:
@@ -21,9 +26,12 @@ def attach(
     ``facts[size]`` says how many rows share the key. A key with more than
     ``hot_rows`` of them gets one salt per ``hot_rows``, on both sides. The list
     of such keys is at most total rows / ``hot_rows`` long, so it is broadcast.
-    Rows whose key is NULL match nothing and are spread as well.
+    Rows whose key is NULL match nothing and are spread as well. With no more
+    than ``hot_rows`` rows in all, this is a plain join.
     """
     keys = list(keys)
+    if has_room(rows, hot_rows):
+        return rows.join(facts, keys, "left")
     salts = F.ceil(F.col(size) / hot_rows).cast("int")
     hot = facts.where(F.col(size) > hot_rows).select(*keys, salts.alias("salts"))
     spread = F.xxhash64(spread_by)
@@ -55,10 +63,13 @@ def rank_within(rows: DataFrame, keys: Sequence[str], order: str, name: str, hot
     """
     keys = list(keys)
     window = Window.partitionBy(*keys).orderBy(order)
+    plain = rows.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
+    if has_room(rows, hot_rows):
+        return plain
     hot = rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return rows.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
     hot = materialize(hot)
+    if hot.isEmpty():
+        return plain
 
     drawn = F.pmod(F.xxhash64(order), F.lit(hot_rows)) < 4
     # About 4 x total rows / hot_rows values in all, hence safe to broadcast.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from filewright.operators.decisions import (
     needs_model,
     typed_answers,
 )
-from filewright.operators.ledger import event_rows
+from filewright.operators.ledger import closed, event_rows, opened
 from filewright.operators.metrics import document_report, metrics_of_run
 from filewright.operators.routing import destination_folder, destination_path, technical_folder, unique_names
 from filewright.operators.skew import attach, spread
@@ -76,6 +77,12 @@ class Organized:
     def report(self) -> DataFrame:
         return document_report(self.plan)
 
+    def run_record(self, completed_at: datetime | None = None) -> DataFrame:
+        """The record that opens the run, or with a time the one that closes it."""
+        known = {"started_at": F.lit(self.run.started_at), "dry_run": F.lit(self.run.dry_run)}
+        metrics = self.metrics().withColumns({**known, "completed_at": F.lit(completed_at).cast("timestamp")})
+        return opened(metrics) if completed_at is None else closed(metrics)
+
     def new_decisions(self) -> DataFrame:
         """Decision-cache rows of the documents that were decided in this run."""
         made = self.plan.where(F.col("decided_here") & F.col("file_hash").isNotNull())
@@ -211,7 +218,7 @@ def organize(files: DataFrame, tables: Tables, run: Run, settings: Settings) ->
     decided = decide(attach_answers(prepared, typed_answers(tables.responses, settings)), settings)
     taxonomy = tables.taxonomy
     if taxonomy is None:
-        taxonomy = scan_taxonomy(tables.events, settings)
+        taxonomy = materialize(scan_taxonomy(tables.events, settings))
     decided = materialize(decided)
     categorized = materialize(categorize(decided, taxonomy, settings))
     marked = mark_copies(categorized, settings)

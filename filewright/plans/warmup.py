@@ -1,4 +1,4 @@
-"""Fill the extraction cache for a label set ahead of a benchmark."""
+"""New rows for the extraction cache."""
 
 from __future__ import annotations
 
@@ -10,20 +10,29 @@ from filewright.operators.contents import distinct_contents
 from filewright.settings import Run, Settings
 
 
-def warm_extractions(
-    labels: DataFrame, files: DataFrame, extractions: DataFrame, run: Run, settings: Settings
+def new_extractions(
+    files: DataFrame, extractions: DataFrame, run: Run, settings: Settings, precomputed: DataFrame | None = None
 ) -> DataFrame:
-    """Cache rows to append: one per labelled content that has no cached text yet.
+    """Cache rows to append: one per content that has no cached text under the current model.
 
     Which files to read is settled on hashes and ids; only the chosen ones are
-    joined to their text.
+    joined to their text. Precomputed text is kept in place of the file's own.
     """
     narrow = files.select("source_path", "document_id", "filename", "file_hash")
-    labelled = narrow.join(labels.select("source_path").distinct(), "source_path", "left_semi")
     cached = extractions.where(F.col("ocr_model") == settings.ocr_key).select("file_hash")
-    wanted = distinct_contents(labelled).join(cached, "file_hash", "left_anti")
-    chosen = wanted.select(F.col("first_copy.document_id").alias("document_id"))
-    return files.join(chosen, "document_id", "left_semi").select(
+    wanted = distinct_contents(narrow).join(cached, "file_hash", "left_anti")
+    chosen = files.join(wanted.select(F.col("first_copy.document_id").alias("document_id")), "document_id", "left_semi")
+    if precomputed is not None:
+        made = precomputed.where(F.col("text") != "")
+        chosen = chosen.join(made, "source_path", "left").withColumns(
+            {
+                "extracted_text": F.coalesce("text", "extracted_text"),
+                "metadata": F.when(
+                    F.col("text").isNotNull(), F.create_map(F.lit("odl_batch"), F.lit("true"))
+                ).otherwise(F.col("metadata")),
+            }
+        )
+    return chosen.select(
         "file_hash",
         F.lit(settings.ocr_key).alias("ocr_model"),
         "extracted_text",
@@ -33,3 +42,11 @@ def warm_extractions(
         "conversion_used",
         F.lit(run.started_at).alias("cached_at"),
     )
+
+
+def warm_extractions(
+    labels: DataFrame, files: DataFrame, extractions: DataFrame, run: Run, settings: Settings
+) -> DataFrame:
+    """Cache rows for the files of a label set, to be written ahead of a benchmark."""
+    labelled = files.join(labels.select("source_path").distinct(), "source_path", "left_semi")
+    return new_extractions(labelled, extractions, run, settings)

@@ -1,4 +1,4 @@
-"""Schemas of the stored tables, as DDL."""
+"""Schemas of the stored tables, as DDL. The column names are fixed values."""
 
 FILES = (
     "run_id STRING, document_id STRING, source_path STRING, filename STRING, extension STRING,"

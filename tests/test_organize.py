@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from filewright import schemas
+from filewright.operators.ledger import current_runs
+from filewright.plans.benchmark import benchmark
 from filewright.plans.organize import Tables, organize
+from filewright.plans.warmup import new_extractions
 from filewright.settings import Run, Settings
 from filewright.sources.inbox import files_from_texts
 from filewright.streaming.incremental import organize_batch
@@ -52,6 +55,9 @@ def test_ways_through_a_run(spark):
     assert plan["pic.xyz"].errors == ["Unsupported file type: .xyz"]
     metrics = done.metrics().first()
     assert (metrics.total_files, metrics.processed_files, metrics.review_files) == (5, 5, 3)
+    records = done.run_record().unionByName(done.run_record(datetime(2024, 5, 2)))
+    run = current_runs(records).first()
+    assert (run.run_id, run.total_files, run.completed_at) == ("r1", 5, datetime(2024, 5, 2))
     events = done.events(first_id=10).orderBy("event_id").collect()
     assert [event.event_id for event in events] == [10, 11, 12, 13, 14]
     assert [row.filename for row in done.report().collect()] == sorted(plan)
@@ -109,6 +115,25 @@ def test_empty_cached_text_reaches_the_model(spark):
     assert (row.decision_source, row.ocr_used, row.classification_model) == ("llm", True, "qwen3.5:4b")
 
 
+def test_new_extractions(spark):
+    files = files_of(spark, ("a.txt", "one"), ("b.txt", "one"), ("c.pdf", "two"), ("d.txt", "three"))
+    ready = spark.createDataFrame([("/inbox/c.pdf", "read by a batch")], schemas.PRECOMPUTED)
+    first = new_extractions(files, Tables.empty(spark).extractions, RUN, Settings(), ready)
+    assert sorted(row.extracted_text for row in first.collect()) == ["one", "read by a batch", "three"]
+    assert new_extractions(files, first, RUN, Settings(), ready).count() == 0
+
+
+def test_benchmark(spark):
+    files = files_of(spark, ("invoice.txt", "pay"), ("memo.txt", "hello"), ("extra.txt", "hey"))
+    labels = spark.createDataFrame(
+        [("/inbox/invoice.txt", "Finance", None, False), ("/inbox/memo.txt", "Work", None, None), ("/gone", None, None, None)],
+        schemas.LABELS,
+    )
+    made = benchmark(labels, files, Tables.empty(spark), RUN, Settings())
+    assert tuple(made.report.first()) == (3, 1, 2, 2, 1, 1)
+    assert {row.status for row in made.cases.collect()} == {"planned", "missing"}
+
+
 def test_files_without_hash_are_not_copies(spark):
     files = files_of(spark, ("a1.txt", "x"), ("a2.txt", "x")).withColumn("file_hash", F.lit(None).cast("string"))
     plan = by_name(organize(files, Tables.empty(spark), RUN, Settings()))
