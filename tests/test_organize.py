@@ -141,20 +141,20 @@ def test_files_without_hash_are_not_copies(spark):
 
 
 @pytest.fixture(scope="module")
-def reference_plan(spark, data):
+def plain_plan(spark, data):
     return shown(corpus.plan(spark, data))
 
 
-def test_order_of_rows_does_not_matter(spark, data, reference_plan):
+def test_order_of_rows_does_not_matter(spark, data, plain_plan):
     files = corpus.current_files(spark, data).repartition(7, F.xxhash64("document_id", F.lit(3)))
     again = organize(files, corpus.tables(spark, data), corpus.CURRENT, corpus.SETTINGS)
-    assert shown(again.plan) == reference_plan
+    assert shown(again.plan) == plain_plan
 
 
-def test_splitting_hot_keys_does_not_matter(spark, data, reference_plan):
+def test_splitting_hot_keys_does_not_matter(spark, data, plain_plan):
     settings = replace(corpus.SETTINGS, hot_rows=3)
     again = organize(corpus.current_files(spark, data), corpus.tables(spark, data), corpus.CURRENT, settings)
-    assert shown(again.plan) == reference_plan
+    assert shown(again.plan) == plain_plan
 
 
 def test_a_batch_can_be_delivered_twice(spark, tmp_path):
