@@ -4,16 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import golay, winnowing
+from filewright.llm import golay, language, packing, pii, sharding, toxicity, winnowing
 
 
 def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text", "lang")
+    return language.languages(docs).withColumnRenamed("id", "doc_id")
+
+
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, folder, "documents", "doc_id", "text"))
+    return pii.digest(found).withColumnRenamed("id", "doc_id")
+
+
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shards(_table(spark, folder, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = winnowing.contamination(
         _table(spark, folder, "documents", "doc_id", "text"), _table(spark, folder, "benchmark", "item_id", "text")
@@ -21,6 +41,11 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.digest(found).withColumnRenamed("id", "doc_id")
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    return toxicity.toxicity(docs, _table(spark, folder, "labels", "doc_id", "toxic")).withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = golay.near_duplicates(_table(spark, folder, "documents", "doc_id", "text"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -28,7 +53,12 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_language": op2_language,
+    "op5_pii": op5_pii,
+    "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
