@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filewright.llm.components import components
-from filewright.llm.store import stage
+from filewright.llm.store import attach, fresh, may_match, stage
 from filewright.llm.text import text_bytes
 
 SEED = 42
@@ -73,26 +73,25 @@ def codewords(words: np.ndarray) -> np.ndarray:
     return np.where(errors >= 0, (words[:, None] ^ np.maximum(errors, 0)) >> CHECK_BITS, -1)
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """The fingerprint of one text as a signed number; zero if it has no word."""
+def shingles(text: bytes, words: int) -> list[bytes]:
+    """All runs of ``words`` words, or the whole sequence if it is shorter; none without a word."""
     tokens = text.lower().split()
-    if not tokens:
-        return 0
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED) - (1 << 64 if xxhash.xxh64_intdigest(joined, SEED) >> 63 else 0)
+        return [joined] if tokens else []
     ends = [end + at for at, end in enumerate(accumulate(map(len, tokens)))]
     starts = [0, *(end + 1 for end in ends[:-1])]
-    count = len(tokens) - words + 1
+    return [joined[s:e] for s, e in zip(starts, ends[words - 1 :])]
+
+
+def fingerprint(runs: list[bytes], seed: int = SEED) -> int:
+    """The fingerprint of a text's shingles as a signed number; zero if there are none."""
     ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for low in range(0, count, 1 << 16):
-        hashes = np.array(
-            [digest(joined[s:e], SEED) for s, e in zip(starts[low : min(low + (1 << 16), count)], ends[low + words - 1 :])],
-            "<u8",
-        )
+    for low in range(0, len(runs), 1 << 16):
+        hashes = np.array([digest(run, seed) for run in runs[low : low + (1 << 16)]], "<u8")
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(runs), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -101,7 +100,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = text_bytes(batch.column(1)) if batch.num_rows else (np.zeros(1, np.int64), b"")
-            found = [fingerprint(data[s:e].tobytes(), words) for s, e in zip(offsets, offsets[1:])]
+            found = [fingerprint(shingles(data[s:e].tobytes(), words)) for s, e in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -156,3 +155,129 @@ def near_duplicates(
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(least, "root").select("fp", "component")
     return made.join(named, "fp").select("id", "fp", "component")
+
+
+# Near copies by similarity: links between texts whose sets of word shingles have at least this Jaccard similarity.
+SIMILARITY, SIMILAR_WORDS = 0.8, 5
+SIMILAR_SEEDS = (42, 43, 44)
+# Texts are compared if at most so many of their 192 bits differ: at that similarity 29 do on average, and 45 is three deviations more.
+SIMILAR_BITS = 45
+
+
+def _signed(words: int):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            offsets, data = text_bytes(batch.column(1)) if batch.num_rows else (np.zeros(1, np.int64), b"")
+            for s, e in zip(offsets, offsets[1:]):
+                runs = list(set(shingles(data[s:e].tobytes(), words)))
+                rows.append([len(runs), *(fingerprint(runs, seed) for seed in SIMILAR_SEEDS)])
+            columns = np.array(rows, np.int64).reshape(len(rows), 1 + len(SIMILAR_SEEDS)).T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(c)) for c in columns)],
+                ["id", "digest", "size", *(f"fp{k}" for k in range(len(SIMILAR_SEEDS)))],
+            )
+
+    return made
+
+
+def _similar_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, size, fp...) for all pairs of near codewords of two segments of one fingerprint."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 1024):
+            part = batch.slice(low, 1024)
+            for k in range(len(SIMILAR_SEEDS)):
+                values = part.column(2 + k).to_numpy().astype(np.int64)
+                found = [codewords(values >> shift & (1 << width) - 1) for shift, width in SEGMENTS]
+                for at, (left, right) in enumerate(PAIRS):
+                    key = (found[left][:, :, None] << 12 | found[right][:, None, :]) | (k * len(PAIRS) + at) << 24
+                    valid = (found[left] >= 0)[:, :, None] & (found[right] >= 0)[:, None, :]
+                    owner = np.broadcast_to(np.arange(len(values))[:, None, None], key.shape)[valid]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[valid].astype(np.int32)), *(c.take(pa.array(owner)) for c in part.columns)],
+                        ["key", *part.schema.names],
+                    )
+
+
+def _shingle_hashes(words: int):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                runs = set(shingles((batch.column(1)[at].as_py() or "").encode(), words))
+                hashes = np.array([xxhash.xxh64_intdigest(run, SEED) for run in runs], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, 1), pa.array([np.unique(hashes)], pa.list_(pa.int64()))], ["digest", "runs"]
+                )
+
+    return made
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(digest, kept, least, repeats) of every text that has copies or near copies; the digest is the MD5 of the text.
+
+    Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8; texts without a word are
+    copies of each other. ``kept`` says whether the text stays for its group, ``least`` is the id of the row that
+    stays then, and ``repeats`` says how often that row is there. Candidates meet in a pair of near
+    codewords, which finds nearly all close copies and fewer at the bound; each is verified on the whole texts.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.coalesce(text_col, F.lit(""))).alias("digest")
+    )
+    names = [f"fp{k}" for k in range(len(SIMILAR_SEEDS))]
+    schema = f"id {kind}, digest string, size bigint, " + ", ".join(f"{name} bigint" for name in names)
+    signed = stage(rows.select("id", "text", "digest").mapInArrow(_signed(SIMILAR_WORDS), schema), "signatures")
+    # Texts without a word are one node, whatever their white space.
+    signed = signed.withColumn("digest", F.when(F.col("size") == 0, "").otherwise(F.col("digest")))
+    counted = signed.groupBy("digest", "id", "size", *names).agg(F.count("*").alias("repeats"))
+    nodes = stage(
+        counted.groupBy("digest", "size", *names)
+        .agg(F.min(F.struct(F.col("id").isNull(), "id", "repeats")).alias("first"), F.sum("repeats").alias("rows"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "texts",
+    )
+    keys = stage(
+        nodes.where("size > 0").select("node", "size", *names).mapInArrow(
+            _similar_keys, "key int, node bigint, size bigint, " + ", ".join(f"{name} bigint" for name in names)
+        ),
+        "similar-keys",
+    )
+    other = keys.withColumnsRenamed({c: f"other_{c}" for c in ("node", "size", *names)})
+    bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"other_{n}"))) for n in names), F.lit(0))
+    sizes = F.least("size", "other_size") >= SIMILARITY * F.greatest("size", "other_size")
+    met = keys.join(other, "key").where((F.col("node") > F.col("other_node")) & sizes & (bits <= SIMILAR_BITS))
+    pairs = stage(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), "similar-pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stage(ends.join(nodes.select("node", "digest", "first.id"), "node"), "similar-texts")
+    texts = may_match(rows.select("id", "text", "digest"), ["digest"], wanted, ["digest"])
+    chosen = texts.join(wanted.select("digest", F.col("id").alias("i")), "digest").where(F.col("id").eqNullSafe(F.col("i")))
+    runs = chosen.select("digest", "text").mapInArrow(_shingle_hashes(SIMILAR_WORDS), "digest string, runs array<bigint>")
+    runs = stage(runs.dropDuplicates(["digest"]).join(wanted.select("digest", "node"), "digest").select("node", "runs"), "shingles")
+    left, right = (runs.select(F.col("node").alias(n), F.col("runs").alias(f"runs_{n}")) for n in ("a", "b"))
+    shared = F.size(F.array_intersect("runs_a", "runs_b"))
+    alike = pairs.join(left, "a").join(right, "b").where(
+        shared >= SIMILARITY * (F.size("runs_a") + F.size("runs_b") - shared)
+    )
+    roots = components(alike.select("a", "b")).withColumnRenamed("root", "top")
+    rooted = nodes.join(roots, "node", "left").where("top IS NOT NULL OR rows > 1").withColumn("top", F.coalesce("top", "node"))
+    best = rooted.groupBy("top").agg(F.min(F.struct("first", "node")).alias("best"))
+    return rooted.join(best, "top").select(
+        "digest",
+        (F.col("node") == F.col("best.node")).alias("kept"),
+        F.col("first.id").alias("least"),
+        F.col("first.repeats").alias("repeats"),
+    )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of copies and near copies: that of the least id; NULL ids come last."""
+    mark, digest, kept, least, repeats = (fresh(docs, n) for n in ("mark", "group_digest", "group_kept", "group_least", "group_repeats"))
+    groups = stage(similar_groups(docs, id_col, text_col), "groups").toDF(digest, kept, least, repeats)
+    no_word = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    marked = docs.withColumn(mark, F.when(no_word, "").otherwise(F.md5(text_col)))
+    joined = attach(marked, [mark], groups, [digest])
+    stays = F.col(digest).isNull() | (F.col(kept) & F.col(id_col).eqNullSafe(F.col(least)))
+    joined = joined.where(stays)
+    once = joined.where(F.coalesce(F.col(repeats), F.lit(1)) == 1)
+    again = joined.where(F.col(repeats) > 1).dropDuplicates([mark])
+    return once.unionByName(again).select(*docs.columns)

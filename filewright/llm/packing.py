@@ -9,7 +9,6 @@ only the last sequence is padded.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -18,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filewright.llm.bpe import Encoder
 from filewright.llm.store import stage
-from filewright.llm.text import mix
+from filewright.llm.text import mix, text_chunks
 
 SEQUENCE = 2048
 END_ID = 1
@@ -27,32 +27,7 @@ DIMENSIONS = 4
 CELL_BITS = 8
 BUCKETS = 1024
 SEED = 7
-KNOWN_WORDS = 200_000
-
-
-class Encoder:
-    """Ids of texts, encoding each distinct word between spaces once while it is remembered."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-
-    def texts(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; the same as encoding it whole, since no token spans a space. What else separates words, the tokenizer finds itself."""
-        split = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        known = self.known
-        new = list({word for words in split for word in words}.difference(known))
-        for low in range(0, len(new), 20_000):
-            part = new[low : low + 20_000]
-            for word, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(made.ids, self.kind).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), self.kind) for words in split]
+CHUNK_BYTES = 2 << 20
 
 
 def projection(buckets: int, dimensions: int) -> np.ndarray:
@@ -92,26 +67,29 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 def _encode(path: str):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        directions = projection(BUCKETS, DIMENSIONS)
-        end = np.array([END_ID], encoder.kind)
+        kind = np.dtype(token_type(encoder.size))
+        # What a token adds to a document's place: its bucket's direction, with a sign of its own.
+        hashed = mix(np.arange(encoder.size, dtype=np.uint64) + np.uint64(SEED))
+        adds = projection(BUCKETS, DIMENSIONS)[(hashed % np.uint64(BUCKETS)).astype(np.int64)]
+        adds *= np.where(hashed >> np.uint64(63), 1.0, -1.0)[:, None]
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                tokens = encoder.texts(part.column(1).to_pylist())
-                points = []
-                for ids in tokens:
-                    values, counts = np.unique(ids, return_counts=True)
-                    hashed = mix(values.astype(np.uint64) + np.uint64(SEED))
-                    sign = np.where(hashed >> np.uint64(63), 1.0, -1.0)
-                    weights = sign * np.sqrt(counts)
-                    vector = weights @ directions[(hashed % np.uint64(BUCKETS)).astype(np.int64)]
-                    points.append(vector / max(np.sqrt(counts.sum()), 1.0))
+            for first, offsets, data in text_chunks(batch.column(1), CHUNK_BYTES):
+                ids, counts = encoder.encode(offsets, data)
+                rows = len(counts)
+                ends = np.cumsum(counts)
+                sums = np.vstack((np.zeros((1, DIMENSIONS)), np.cumsum(adds[ids], axis=0)))
+                points = (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1)[:, None]
+                whole = np.insert(ids, ends, END_ID).astype(kind)
+                bounds = np.append(0, (ends + np.arange(1, rows + 1))) * kind.itemsize
+                tokens = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), rows, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(whole)]
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
-                        pa.array([np.append(ids, end).tobytes() for ids in tokens], pa.binary()),
-                        pa.array([len(ids) + 1 for ids in tokens], pa.int64()),
-                        pa.array(points, pa.list_(pa.float64())),
+                        batch.column(0).slice(first, rows),
+                        tokens.cast(pa.binary()),
+                        pa.array(counts + 1),
+                        pa.array(list(points), pa.list_(pa.float64())),
                     ],
                     ["id", "tokens", "n", "point"],
                 )
@@ -152,14 +130,18 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cut(befores: dict[int, int], sequence: int, width: int, with_tokens: bool):
+def token_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _cut(befores: dict[int, int], sequence: int, width: str, with_tokens: bool):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for at, (tokens, part, before) in enumerate(
                 zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())
             ):
-                ids = np.frombuffer(tokens, f"<u{width}").astype("<u4")
+                ids = np.frombuffer(tokens, width).astype("<u4")
                 first = befores[part] + before
                 start = 0
                 while start < len(ids):
@@ -212,9 +194,6 @@ def pack(
     befores, total = {}, 0
     for row in chained.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row per partition
         befores[row["part"]], total = total, total + row["n"]
-    with open(tokenizer, encoding="utf-8") as file:
-        entries = json.load(file)
-    size = max([*entries["model"]["vocab"].values(), *(token["id"] for token in entries["added_tokens"])]) + 1
     made = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, curve bigint"
-    cut = _cut(befores, sequence, 2 if size <= 1 << 16 else 4, with_tokens)
+    cut = _cut(befores, sequence, token_type(Encoder(tokenizer).size), with_tokens)
     return chained.mapInArrow(cut, made + (", ids array<int>" if with_tokens else ""))

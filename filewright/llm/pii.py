@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filewright.llm.store import fresh, stage
+from filewright.llm.store import attach, fresh, stage
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("secret", "id", "name")
@@ -283,11 +283,9 @@ def digest(found: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
     found = spans_by_document(docs, id_col, text_col)
-    one, two, sought, mark = (fresh(docs, name) for name in ("pii_id", "pii_digest", "pii_spans", "digest"))
-    found = found.select(F.col("id").alias(one), F.col("digest").alias(two), F.col("spans").alias(sought))
-    joined = docs.withColumn(mark, F.xxhash64(text_col)).join(
-        found, F.col(id_col).eqNullSafe(F.col(one)) & (F.col(mark) == F.col(two)), "left"
-    )
+    one, two, sought, mark = (fresh(docs, name) for name in ("pii_id", "pii_digest", "pii_spans", "text_digest"))
+    facts = stage(found, "pii-spans").toDF(one, two, sought)
+    joined = attach(docs.withColumn(mark, F.xxhash64(text_col)), [id_col, mark], facts, [one, two])
     text = f"`{text_col}`"
     cut = F.expr(f"""aggregate(array_sort(transform(`{sought}`, x -> struct(x.start AS s, x.end AS e, x.kind AS k))),
         named_struct('at', 0L, 'out', ''),

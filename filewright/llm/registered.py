@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import golay, language, packing, pii, sharding, toxicity, winnowing
+from filewright.llm import crosspolytope, extraction, golay, language, packing, pii, sharding, suffixes, toxicity, winnowing
 
 
 def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -25,6 +25,17 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(docs).withColumnRenamed("id", "doc_id")
 
 
+def op3_crosspolytope(spark: SparkSession, folder: str) -> DataFrame:
+    found = crosspolytope.near_duplicates(_table(spark, folder, "embeddings", "vec_id", "embedding"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(False))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(_table(spark, folder, "documents", "doc_id", "text"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.personal_data(_table(spark, folder, "documents", "doc_id", "text"))
     return pii.digest(found).withColumnRenamed("id", "doc_id")
@@ -46,6 +57,10 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(docs, _table(spark, folder, "labels", "doc_id", "toxic")).withColumnRenamed("id", "doc_id")
 
 
+def op9_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(_table(spark, folder, "pages", "page_id", "url", "html"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = golay.near_duplicates(_table(spark, folder, "documents", "doc_id", "text"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -55,10 +70,66 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
+    "op3_crosspolytope": op3_crosspolytope,
+    "op4_suffixes": op4_suffixes,
     "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_extraction": op9_extraction,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_crosspolytope": f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM v AS a JOIN v AS b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {crosspolytope.THRESHOLD}
+), reached(x, y) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reached AS r JOIN links AS l ON r.y = l.x
+), counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT r.x AS vec_id, CAST(coalesce(any_value(c.n), 0) AS BIGINT) AS n_links, min(r.y) AS component_id, r.x = min(r.y) AS kept
+FROM reached AS r LEFT JOIN counted AS c ON r.x = c.x GROUP BY r.x
+""",
+    "op6_sharding": f"""
+WITH k AS (
+    SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+    FROM documents
+), p AS (
+    SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, key >> (60 - depth) AS prefix FROM k, range(0, 41) AS t(depth)
+), cells AS (
+    SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY depth, prefix
+), fits AS (
+    SELECT p.*, shard_bytes, shard_rows FROM p JOIN cells USING (depth, prefix)
+    WHERE shard_bytes <= {sharding.SHARD_BYTES} OR shard_rows = 1
+)
+SELECT doc_id, n_bytes, depth, depth || '-' || prefix AS shard, shard_bytes, shard_rows
+FROM fits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+""",
+    "op7_decontamination": f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark),
+iw AS (
+    SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS win
+    FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)
+), dw AS (
+    SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS win
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+), hits AS (SELECT doc_id, s, n, item FROM dw JOIN iw USING (n, win)),
+covered AS (
+    SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS at FROM hits) GROUP BY doc_id
+), items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+    n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +38,35 @@ def fresh(rows: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+FILTER_CELLS = 1 << 20
+
+
+def _cells(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(F.pmod(F.xxhash64(*keys), F.lit(FILTER_CELLS)).alias("cell")).distinct()
+
+
+def may_match(rows: DataFrame, keys: list[str], facts: DataFrame, fact_keys: list[str], how: str = "left_semi") -> DataFrame:
+    """Rows whose key may be one of ``facts``, or with ``left_anti`` those whose key is certainly none.
+
+    What is broadcast is a set of at most 2**20 numbers, whatever the size of ``facts``. It only saves wide
+    rows the way through a shuffle; the join that follows is exact.
+    """
+    cell = fresh(rows, "cell")
+    cells = F.broadcast(_cells(facts, fact_keys).withColumnRenamed("cell", cell))
+    return rows.withColumn(cell, F.pmod(F.xxhash64(*keys), F.lit(FILTER_CELLS))).join(cells, cell, how).drop(cell)
+
+
+def attach(rows: DataFrame, keys: list[str], facts: DataFrame, fact_keys: list[str]) -> DataFrame:
+    """Left join of wide rows to facts, NULL keys matching NULL keys; only rows that may match are shuffled.
+
+    The columns of ``facts`` must not be among those of ``rows``, and ``rows`` should be cheap to read twice.
+    """
+    near = may_match(rows, keys, facts, fact_keys)
+    same = F.lit(True)
+    for key, fact_key in zip(keys, fact_keys):
+        same = same & near[key].eqNullSafe(facts[fact_key])
+    far = may_match(rows, keys, facts, fact_keys, "left_anti")
+    empty = [F.lit(None).cast(field.dataType).alias(field.name) for field in facts.schema]
+    return near.join(facts, same, "left").unionByName(far.select("*", *empty))

@@ -48,7 +48,7 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     lengths = np.diff(np.append(first, len(places)))
     within = np.arange(len(places)) - np.repeat(first, lengths)
     values = (LOWER[data[places]].astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASE, int(lengths.max()))[within]
-    hashes = mix(np.add.reduceat(values, first) ^ (lengths.astype(np.uint64) << np.uint64(40)))
+    hashes = mix(np.add.reduceat(values, first) * np.uint64(BYTE_BASE) ^ (lengths.astype(np.uint64) << np.uint64(40)))
     return hashes, np.searchsorted(offsets, starts, "right") - 1
 
 
@@ -148,6 +148,37 @@ def _hex_of(items: Column) -> Column:
     return F.sha2(F.concat_ws(",", F.sort_array(items)), 256)
 
 
+def _met(
+    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their windows that may be known, windows of the items, and windows found in both, all stored."""
+    known = stage(
+        _scanned(items, item_col, item_text_col, None, None)
+        .select(F.col("id").cast("string").alias("item"), F.inline("windows"))
+        .select("item", "words", "kept", "joint")
+        .distinct(),
+        "benchmark-windows",
+    )
+    lengths = sorted(row["words"] for row in known.select("words").distinct().collect())
+    scanned = stage(_scanned(docs, id_col, text_col, lengths, _bit_table(known)), "document-windows")
+    key = ["words", "kept", "joint"]
+    met = scanned.where(F.size("windows") > 0).select("id", "digest", F.inline("windows")).distinct()
+    hits = stage(met.join(known.select(*key).distinct(), key, "left_semi"), "hits")
+    return scanned, known, hits
+
+
+def contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """(id, digest) of the documents with a window of an item; the digest is the hash of the text."""
+    return _met(docs, items, id_col, text_col, item_col, item_text_col)[2].select("id", "digest").distinct()
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -167,18 +198,8 @@ def contamination(
     The bit table sent to the executors has 2**23 bits at any size of the
     benchmark; a fuller one lets more windows through to the join.
     """
-    known = stage(
-        _scanned(items, item_col, item_text_col, None, None)
-        .select(F.col("id").cast("string").alias("item"), F.inline("windows"))
-        .select("item", "words", "kept", "joint")
-        .distinct(),
-        "benchmark-windows",
-    )
-    lengths = sorted(row["words"] for row in known.select("words").distinct().collect())
-    scanned = stage(_scanned(docs, id_col, text_col, lengths, _bit_table(known)), "document-windows")
+    scanned, known, hits = _met(docs, items, id_col, text_col, item_col, item_text_col)
     key = ["words", "kept", "joint"]
-    met = scanned.where(F.size("windows") > 0).select("id", "digest", F.inline("windows")).distinct()
-    hits = stage(met.join(known.select(*key).distinct(), key, "left_semi"), "hits")
     place = F.explode(F.expr("sequence(start, start + words - 1)"))
     covered = hits.select("id", "digest", place.alias("at")).distinct().groupBy("id", "digest").agg(F.count("*").alias("n_hit"))
     named = (
