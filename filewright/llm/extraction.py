@@ -155,7 +155,7 @@ def features(page: list[tuple[str, frozenset, float]]) -> list[list[str]]:
     made = []
     longest = max((len(text) for text, _, _ in page), default=1)
     for at, (text, above, linked) in enumerate(page):
-        found = ["bias", f"size:{min(len(text).bit_length(), 12)}", *above]
+        found = ["bias", f"size:{min(len(text).bit_length(), 10)}", *above]
         if linked > 0.5:
             found.append("linked")
         if text[-1] in ".?!":

@@ -158,8 +158,10 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[tuple[str, int
         page = Page(random.Random(seed * 1_000_003 + number))
         rng = page.rng
         page.parts.append('<!DOCTYPE html><html><head><meta charset="utf-8"><title>' + page.words(3, 9) + "</title></head><body>")
-        _before(page)
-        left = rng.random() < 0.2
+        bare = rng.random() < 0.15  # a page may have nothing around its text
+        if not bare:
+            _before(page)
+        left = not bare and rng.random() < 0.2
         if left:
             _side(page)
         tag, name = rng.choice(CONTAINERS)
@@ -177,9 +179,10 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[tuple[str, int
             page.close("table")
         if wrapped:
             page.close("div")
-        if not left and rng.random() < 0.4:
+        if not bare and not left and rng.random() < 0.4:
             _side(page)
-        _after(page)
+        if not bare:
+            _after(page)
         page.parts.append("</body></html>")
         made.append(("".join(page.parts), page.blocks))
     return made
