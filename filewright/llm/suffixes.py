@@ -25,9 +25,10 @@ from filewright.llm.store import attach, may_match, stage
 from filewright.llm.text import mix, powers, text_bytes
 
 LENGTH = 400
-GRAM = 32
+GRAM = 128
 PIECE_BYTES = 1 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
+COMPARED_BYTES = 1 << 20
 SPLIT_SEGMENTS = 512  # distinct segments of one anchor in one shard
 MERGE_ROWS = 100_000
 BASE = 0x9E3779B97F4A7C15
@@ -142,7 +143,8 @@ def refine(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, rank of each suffix), sorted by the first ``length`` bytes; equal ranks mean equal bytes.
 
     Larsson-Sadakane: suffixes sorted by h bytes are sorted by 2h, by the rank of the suffix h bytes on, and only
-    within groups that are still tied. A rank is the group's first place. Past the end, bytes count as zero.
+    within groups that are still tied. A rank is the group's first place. Past the end, bytes count as zero. Suffixes
+    of one rank are in the order of the text.
     """
     size = len(data)
     depth = 8
@@ -168,7 +170,7 @@ def refine(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         rank[suffixes] = np.maximum.accumulate(np.where(new, tied, 0))
         tied = tied[~(new & np.append(new[1:], True))]
         depth += step
-    return order, rank
+    return np.argsort(rank, kind="stable"), rank
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
@@ -186,20 +188,32 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, lengt
     own = order[by_text]
     shift = own - order[by_text - 1]
     first = np.flatnonzero(np.append(True, (np.diff(own) != 1) | (np.diff(shift) != 0)))
-    runs = np.diff(np.append(first, len(own)))
-    ends = np.cumsum(runs + length - 1)
-    at = np.arange(ends[-1]) - np.repeat(ends - (runs + length - 1), runs + length - 1)
-    at += np.repeat(own[first], runs + length - 1)
-    other = at - np.repeat(shift[first], runs + length - 1)
-    inside = (at < size) & (other < size)
-    differs = ~inside
-    differs[inside] = data[at[inside]] != data[other[inside]]
-    stops = np.append(np.flatnonzero(differs), len(differs) + length)
-    begins = np.repeat(ends - (runs + length - 1) - first, runs) + np.arange(len(own))
-    found[by_text] = np.minimum(stops[np.searchsorted(stops, begins)] - begins, length)
+    reach = np.diff(np.append(first, len(own))) + length - 1  # bytes to compare for each run of pairs
+    upto = np.cumsum(reach)
+    low = 0
+    while low < len(first):
+        high = max(int(np.searchsorted(upto, (upto[low - 1] if low else 0) + COMPARED_BYTES)), low + 1)
+        part = slice(int(first[low]), int(first[high]) if high < len(first) else len(own))
+        found[by_text[part]] = _compared(data, own[part], shift[part], first[low:high] - first[low], reach[low:high], length)
+        low = high
     return found
 
 
+def _compared(
+    data: np.ndarray, own: np.ndarray, shift: np.ndarray, first: np.ndarray, reach: np.ndarray, length: int
+) -> np.ndarray:
+    """Common prefixes, up to ``length``, of the suffixes ``own`` with those ``shift`` before, by runs that begin at ``first``."""
+    size = len(data)
+    begins = np.cumsum(reach) - reach
+    at = np.arange(int(reach.sum())) + np.repeat(own[first] - begins, reach)
+    differs = at >= size
+    at[differs] = size - 1
+    differs |= data[at] != data[at - np.repeat(shift[first], reach)]
+    stops = np.append(np.flatnonzero(differs), len(differs) + length)
+    places = np.repeat(begins - first, reach - length + 1) + np.arange(len(own))
+    return np.minimum(stops[np.searchsorted(stops, places)] - places, length)
+
+
 def _shard(rows: pd.DataFrame) -> pd.DataFrame:
     """Spans of a shard's strings that repeat, and for anchors of several shards the hashes of the distinct strings."""
     rows = rows.drop_duplicates(["anchor", "segment"])  # repeated rows of a table are cut out each
