@@ -154,7 +154,7 @@ def ancestry(path: tuple) -> frozenset:
 def features(page: list[tuple[str, frozenset, float]]) -> list[list[str]]:
     made = []
     longest = max((len(text) for text, _, _ in page), default=1)
-    for at, (text, above, linked) in enumerate(page):
+    for text, above, linked in page:
         found = ["bias", f"size:{min(len(text).bit_length(), 10)}", *above]
         if linked > 0.5:
             found.append("linked")
@@ -166,10 +166,6 @@ def features(page: list[tuple[str, frozenset, float]]) -> list[list[str]]:
             found.append("copyright")
         if len(text) * 2 >= longest:
             found.append("long here")
-        if at == 0:
-            found.append("first")
-        if at == len(page) - 1:
-            found.append("last")
         made.append(found)
     return made
 
