@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from filewright.functions.text import guess_language, quality_score, summary, top_keywords
 from filewright.functions.rules import rule_for_text
 from filewright.operators.ledger import committed
-from filewright.operators.skew import attach, latest_by, spread
+from filewright.operators.skew import attach, latest_by
 from filewright.settings import Settings
 
 DECISION_FIELDS = (
@@ -50,10 +50,13 @@ def distinct_contents(files: DataFrame) -> DataFrame:
     )
 
 
-def filed_contents(events: DataFrame) -> DataFrame:
-    """The latest committed filing of each content."""
+def filed_contents(events: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The latest committed filing of each content, or of the contents ``wanted`` (``file_hash``)."""
     rows = committed(events).where(F.col("file_hash").isNotNull())
-    filed = latest_by(rows, ["file_hash"], F.col("event_id"), ["filename", "category_l2"])
+    if wanted is not None:
+        rows = rows.join(wanted, "file_hash", "left_semi")
+    order = F.struct("created_at", "run_id", "event_id")
+    filed = latest_by(rows, ["file_hash"], order, ["filename", "category_l2"])
     return filed.select("file_hash", F.struct("filename", "category_l2").alias("filed"))
 
 
@@ -65,16 +68,16 @@ def current_decisions(cache: DataFrame, settings: Settings) -> DataFrame:
         & (F.col("classification_model") == settings.classification_model)
         & F.col("file_hash").isNotNull()
     )
-    last = latest_by(rows, ["file_hash"], F.col("cached_at"), DECISION_FIELDS)
+    last = latest_by(rows, ["file_hash"], F.struct("cached_at", *DECISION_FIELDS), DECISION_FIELDS)
     return last.select("file_hash", F.struct(*DECISION_FIELDS).alias("decision"))
 
 
 def current_extractions(cache: DataFrame, settings: Settings) -> DataFrame:
     """The latest cached text of each content, reduced to its facts before the shuffle."""
     wanted = cache.where((F.col("ocr_model") == settings.ocr_key) & F.col("file_hash").isNotNull())
-    rows = spread(wanted, "file_hash").select(
+    rows = wanted.select(
         "file_hash",
-        "cached_at",
+        F.struct("cached_at", F.xxhash64("extracted_text"), "ocr_used", "conversion_used").alias("order"),
         text_facts("extracted_text", settings)
         .withField("quality", F.col("extraction_quality"))
         .alias("facts"),
@@ -83,20 +86,21 @@ def current_extractions(cache: DataFrame, settings: Settings) -> DataFrame:
         "conversion_used",
     )
     columns = ["facts", "metadata", "ocr_used", "conversion_used"]
-    last = latest_by(rows, ["file_hash"], F.col("cached_at"), columns)
+    last = latest_by(rows, ["file_hash"], F.col("order"), columns)
     return last.select("file_hash", F.struct(*columns).alias("extraction"))
 
 
 def merged_decisions(cache: DataFrame) -> DataFrame:
     """The decision cache as it stands: the last write of each key wins."""
     keys = ["file_hash", "prompt_version", "understanding_model", "classification_model"]
-    return latest_by(cache, keys, F.col("cached_at"), [*DECISION_FIELDS, "cached_at"])
+    return latest_by(cache, keys, F.struct("cached_at", *DECISION_FIELDS), [*DECISION_FIELDS, "cached_at"])
 
 
 def merged_extractions(cache: DataFrame) -> DataFrame:
     keys = ["file_hash", "ocr_model"]
     columns = ["extracted_text", "metadata", "extraction_quality", "ocr_used", "conversion_used", "cached_at"]
-    return latest_by(cache, keys, F.col("cached_at"), columns)
+    order = F.struct("cached_at", F.xxhash64("extracted_text"), "ocr_used", "conversion_used")
+    return latest_by(cache, keys, order, columns)
 
 
 def look_up(
@@ -112,12 +116,16 @@ def look_up(
     ``files`` is read twice, for its distinct contents and for the join.
     """
     facts = distinct_contents(files)
+    wanted = facts.select("file_hash")
     if events is not None:
-        facts = facts.join(filed_contents(events), "file_hash", "left")
+        # Undone rows are told by run and document, so the hashes restrict only what they are taken from.
+        facts = facts.join(filed_contents(events, wanted), "file_hash", "left")
     if decisions is not None:
-        facts = facts.join(current_decisions(decisions, settings), "file_hash", "left")
+        known = decisions.join(wanted, "file_hash", "left_semi")
+        facts = facts.join(current_decisions(known, settings), "file_hash", "left")
     if extractions is not None:
-        facts = facts.join(current_extractions(extractions, settings), "file_hash", "left")
+        known = extractions.join(wanted, "file_hash", "left_semi")
+        facts = facts.join(current_extractions(known, settings), "file_hash", "left")
     return attach(
         files, facts, ["file_hash"], size="copies", spread_by="document_id", hot_rows=settings.hot_rows
     )

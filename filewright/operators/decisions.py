@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from filewright.functions.responses import parse_answer, typed_classification, typed_understanding
 from filewright.functions.rules import rule_verdict
 from filewright.functions.text import literal
-from filewright.operators.skew import latest_by, spread
+from filewright.operators.skew import latest_by
 from filewright.settings import DUPLICATES, Settings
 
 # Texts that end up in decisions.
@@ -24,12 +24,21 @@ KNOWN_DUPLICATE = "KnownDuplicate"
 
 def typed_answers(responses: DataFrame, settings: Settings) -> DataFrame:
     """One row per document with its typed answers; raw texts are not shuffled."""
-    parsed = spread(responses, "document_id").select("document_id", "stage", parse_answer("raw").alias("payload"))
+    wanted = responses.where(F.col("stage").isin("understand", "classify"))
+    order = answer_order(responses).alias("order")
+    parsed = wanted.select("document_id", "stage", order, parse_answer("raw").alias("payload"))
     typed = typed_classification(typed_understanding(parsed), settings.parse_bool_strings)
-    return typed.groupBy("document_id").agg(
-        F.max(F.when(F.col("stage") == "understand", F.col("understood"))).alias("understood"),
-        F.max(F.when(F.col("stage") == "classify", F.col("classified"))).alias("classified"),
-    )
+
+    def last(stage: str, answer: str) -> Column:
+        return F.max_by(F.when(F.col("stage") == stage, F.col(answer)), F.when(F.col("stage") == stage, F.col("order"))).alias(answer)
+
+    return typed.groupBy("document_id").agg(last("understand", "understood"), last("classify", "classified"))
+
+
+def answer_order(responses: DataFrame) -> Column:
+    """By which the last of several answers is known: their time where it is kept, then the answer itself."""
+    times = ["answered_at"] if "answered_at" in responses.columns else []
+    return F.struct(*times, "raw")
 
 
 def attach_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
@@ -39,7 +48,7 @@ def attach_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
 def attach_raw_answer(rows: DataFrame, responses: DataFrame, stage: str) -> DataFrame:
     """The raw answer of one stage beside each document."""
     wanted = responses.where(F.col("stage") == stage)
-    last = latest_by(wanted, ["document_id"], F.col("raw"), ["raw"])
+    last = latest_by(wanted, ["document_id"], answer_order(responses), ["raw"])
     return rows.join(last, "document_id", "left")
 
 

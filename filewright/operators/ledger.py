@@ -23,7 +23,9 @@ def committed(events: DataFrame) -> DataFrame:
 
 def event_rows(plan: DataFrame, run: Run, first_id: int, hot_rows: int) -> DataFrame:
     """One ledger row per planned document, numbered in path order."""
-    numbered = rank_within(plan.withColumn("one", F.lit(1)), ["one"], "source_path", "place", hot_rows)
+    paths = plan.select("document_id", "source_path", F.lit(1).alias("one"))
+    places = rank_within(paths, ["one"], "source_path", "place", hot_rows).select("document_id", "place")
+    numbered = plan.join(places, "document_id")
     message = F.when(F.size("errors") > 0, F.concat_ws("\n", "errors"))
     return numbered.select(
         (F.col("place") + first_id).alias("event_id"),

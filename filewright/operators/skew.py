@@ -97,13 +97,3 @@ def latest_by(rows: DataFrame, keys: Sequence[str], order: Column, columns: Sequ
     last = F.max_by(F.struct(*columns), order).alias("last")
     return rows.groupBy(*keys).agg(last).select(*keys, "last.*")
 
-
-
-
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Use all cores for per-row work on an input that comes in few pieces.
-
-    An input with at least as many splits as the cluster has cores is left as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)

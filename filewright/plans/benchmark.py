@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from filewright.operators.scoring import benchmark_cases, benchmark_report
 from filewright.plans.organize import Organized, Tables, organize
 from filewright.settings import Run, Settings
+from filewright.sources.inbox import first_files
 
 
 class Benchmark(NamedTuple):
@@ -17,8 +18,12 @@ class Benchmark(NamedTuple):
     done: Organized
 
 
-def benchmark(labels: DataFrame, files: DataFrame, tables: Tables, run: Run, settings: Settings) -> Benchmark:
-    """Labels without a file stay in the cases, as missing."""
+def benchmark(
+    labels: DataFrame, files: DataFrame, tables: Tables, run: Run, settings: Settings, limit: int | None = None
+) -> Benchmark:
+    """Labels without a file stay in the cases, as missing. With a limit, only the first labels in path order are used."""
+    if limit is not None:
+        labels = first_files(labels, limit)
     labelled = files.join(labels.select("source_path").distinct(), "source_path", "left_semi")
     done = organize(labelled, tables, run._replace(dry_run=True), settings)
     cases = benchmark_cases(labels, done.plan)

@@ -19,10 +19,10 @@ from filewright.operators.decisions import (
     needs_model,
     typed_answers,
 )
-from filewright.operators.ledger import closed, event_rows, opened
+from filewright.operators.ledger import closed, committed, event_rows, opened
 from filewright.operators.metrics import document_report, metrics_of_run
 from filewright.operators.routing import destination_folder, destination_path, technical_folder, unique_names
-from filewright.operators.skew import attach, spread
+from filewright.operators.skew import attach
 from filewright.operators.taxonomy import align, normalized_pair, scan_taxonomy
 from filewright.settings import DUPLICATES, Run, Settings
 from filewright.sources.inbox import document_id
@@ -107,8 +107,7 @@ class Organized:
 def describe(files: DataFrame, settings: Settings) -> DataFrame:
     """File rows with their text replaced by its facts."""
     return (
-        spread(files, "source_path")
-        .withColumn("facts", text_facts("extracted_text", settings))
+        files.withColumn("facts", text_facts("extracted_text", settings))
         .withColumn("name_rule", rule_for_name("filename", settings.rules))
         .drop("extracted_text")
     )
@@ -119,7 +118,7 @@ def precomputed_facts(precomputed: DataFrame, run_id: str, settings: Settings) -
 
     Keyed by document like the model answers, so that one shuffle of the files serves both.
     """
-    made = spread(precomputed, "source_path").where(F.col("text") != "")
+    made = precomputed.where(F.col("text") != "")
     identity = document_id(F.lit(run_id), F.col("source_path")).alias("document_id")
     return made.select(identity, text_facts("text", settings).alias("precomputed"))
 
@@ -154,14 +153,24 @@ def categorize(decided: DataFrame, taxonomy: DataFrame, settings: Settings) -> D
 
 
 def mark_copies(decided: DataFrame, settings: Settings) -> DataFrame:
-    """Later copies of a content follow the first copy, unless that one failed.
+    """Copies of a content follow the first one in path order that did not fail.
 
     A content filed by an earlier run keeps pointing at that filing.
     """
-    later = is_later_copy() & (F.col("state") != "duplicate")
-    copies, others = decided.where(later), decided.where(~later)
-    firsts = decided.where((F.col("copies") > 1) & ~is_later_copy() & (F.col("state") != "failed")).selectExpr(
-        "file_hash", "copies AS group_size", "filename AS first_filename", "category_l2 AS first_category_l2"
+    several = F.coalesce((F.col("copies") > 1) & (F.col("state") != "duplicate"), F.lit(False))
+    copies, others = decided.where(several), decided.where(~several)
+    kept = F.min(F.struct("source_path", "filename", "category_l2"))
+    firsts = (
+        copies.where(F.col("state") != "failed")
+        .groupBy("file_hash")
+        .agg(kept.alias("kept"), F.max("copies").alias("group_size"))
+        .selectExpr(
+            "file_hash",
+            "group_size",
+            "kept.source_path AS first_path",
+            "kept.filename AS first_filename",
+            "kept.category_l2 AS first_category_l2",
+        )
     )
     joined = attach(
         copies, firsts, ["file_hash"], size="group_size", spread_by="document_id", hot_rows=settings.hot_rows
@@ -170,6 +179,7 @@ def mark_copies(decided: DataFrame, settings: Settings) -> DataFrame:
     category_l2 = duplicate_category("first_category_l2")
     values = {
         "state": "'duplicate'",
+        "path": "'duplicate'",
         "decision_source": "'duplicate'",
         **{name: "NULL" for name in ("summary", "language", "document_type")},
         **{name: "NULL" for name in ("understanding_model", "classification_model", "prompt_version")},
@@ -186,7 +196,7 @@ def mark_copies(decided: DataFrame, settings: Settings) -> DataFrame:
         "errors": nothing,
     }
     chosen = [
-        f"CASE WHEN first_filename IS NOT NULL THEN {values[name]} ELSE {name} END AS {name}" if name in values else name
+        f"CASE WHEN source_path > first_path THEN {values[name]} ELSE {name} END AS {name}" if name in values else name
         for name in decided.columns
     ]
     return others.unionByName(joined.selectExpr(*chosen))
@@ -215,15 +225,15 @@ def organize(files: DataFrame, tables: Tables, run: Run, settings: Settings) ->
     """
     described = materialize(describe(files, settings))
     prepared = prepare(described, tables, run.run_id, settings)
-    decided = decide(attach_answers(prepared, typed_answers(tables.responses, settings)), settings)
+    answers = tables.responses.join(described.select("document_id"), "document_id", "left_semi")
+    decided = decide(attach_answers(prepared, typed_answers(answers, settings)), settings)
     taxonomy = tables.taxonomy
     if taxonomy is None:
         taxonomy = materialize(scan_taxonomy(tables.events, settings))
     decided = materialize(decided)
     categorized = materialize(categorize(decided, taxonomy, settings))
     marked = mark_copies(categorized, settings)
-    placed = tables.events.where(~F.col("dry_run") & F.col("destination_path").isNotNull())
-    routed = route(marked, placed, run, settings)
+    routed = route(marked, committed(tables.events), run, settings)
     plan = routed.select(
         *PLAN, F.col("facts.quality").alias("extraction_quality"), (F.col("path") == "sorted").alias("decided_here")
     )

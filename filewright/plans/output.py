@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filewright.functions.paths import folder_of
-from filewright.settings import Settings
+from filewright.settings import Run, Settings
 
 
 def organized_rows(plan: DataFrame, documents: DataFrame, settings: Settings) -> DataFrame:
@@ -23,8 +25,10 @@ def organized_rows(plan: DataFrame, documents: DataFrame, settings: Settings) ->
     return documents.join(placed, "document_id")
 
 
-def write_organized(plan: DataFrame, documents: DataFrame, path: str, settings: Settings) -> None:
-    """Write documents as parquet under ``folder_l1=…/folder_l2=…``.
+def write_organized(plan: DataFrame, documents: DataFrame, path: str, run: Run, settings: Settings) -> None:
+    """Write documents as parquet under ``run_id=…/folder_l1=…/folder_l2=…``.
+
+    Only what the same run wrote before is replaced; other runs stay.
 
     Rows are brought together by folder first, so that each folder gets few
     files. The rebalance hint splits a folder that would be too much for one
@@ -32,4 +36,4 @@ def write_organized(plan: DataFrame, documents: DataFrame, path: str, settings:
     """
     rows = organized_rows(plan, documents, settings)
     rows = rows.hint("rebalance", "folder_l1", "folder_l2")
-    rows.write.mode("overwrite").partitionBy("folder_l1", "folder_l2").parquet(path)
+    rows.write.mode("overwrite").partitionBy("folder_l1", "folder_l2").parquet(f"{path}/run_id={quote(run.run_id, safe='')}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filewright.functions.paths import name_of, sanitize_category, sanitize_filename, suffix_of
+from filewright.functions.paths import sanitize_category, sanitize_filename, suffix_of
 from filewright.functions.responses import answered_text, parse_answer, with_fields
 from filewright.operators.decisions import attach_raw_answer
 from filewright.operators.routing import destination_path, unique_names
@@ -107,12 +107,15 @@ def rename_plan(
         F.col("category").alias("folder"),
         sanitize_filename(F.col("new_filename"), suffix_of(F.col("filename"))).alias("filename"),
     )
-    named = unique_names(materialize(wanted), existing, settings)
+    wanted = materialize(wanted)
+    aside = wanted.select("document_id", "source_path", F.col("original_filename").alias("filename"), F.lit("").alias("folder"))
+    moved = unique_names(aside, existing.where(F.lit(False)), settings).select("document_id", F.col("unique_name").alias("aside"))
+    named = unique_names(wanted, existing, settings).join(moved, "document_id")
     return named.select(
         "document_id",
         "source_path",
         F.col("folder").alias("category"),
         destination_path(F.col("folder"), F.col("unique_name"), settings).alias("new_path"),
         F.col("unique_name").alias("new_filename"),
-        F.concat_ws("/", F.lit(processed_dir), name_of(F.col("source_path"))).alias("processed_path"),
+        F.concat_ws("/", F.lit(processed_dir), "aside").alias("processed_path"),
     )

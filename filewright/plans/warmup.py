@@ -16,9 +16,14 @@ def new_extractions(
     """Cache rows to append: one per content that has no cached text under the current model.
 
     Which files to read is settled on hashes and ids; only the chosen ones are
-    joined to their text. Precomputed text is kept in place of the file's own.
+    joined to their text. Precomputed text is kept in place of the file's own. Contents
+    without any text are left out, so that a text made later is not kept away.
     """
-    narrow = files.select("source_path", "document_id", "filename", "file_hash")
+    narrow = files.select("source_path", "document_id", "filename", "file_hash", F.col("extracted_text").isNotNull().alias("read"))
+    if precomputed is not None:
+        ready = precomputed.where(F.col("text") != "").select("source_path", F.lit(True).alias("ready"))
+        narrow = narrow.join(ready, "source_path", "left").withColumn("read", F.col("read") | F.coalesce("ready", F.lit(False)))
+    narrow = narrow.where("read")
     cached = extractions.where(F.col("ocr_model") == settings.ocr_key).select("file_hash")
     wanted = distinct_contents(narrow).join(cached, "file_hash", "left_anti")
     chosen = files.join(wanted.select(F.col("first_copy.document_id").alias("document_id")), "document_id", "left_semi")

@@ -1,190 +1,46 @@
-"""Text out of binary files.
+"""File rows from a folder of binaries.
 
-Text-like files are decoded by column expressions. Mail and office files are
-containers that no built-in expression opens, so they go through one Arrow
-batch function per partition, built on the standard library.
+Text-like files are decoded by column expressions. What no built-in expression
+opens, such as mail, office files and PDFs, gets its text from the precomputed table.
 """
 
 from __future__ import annotations
 
-import email
-import io
-import posixpath
-import re
-import zipfile
-from collections.abc import Iterator
-from email import policy
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filewright.functions.text import WHITESPACE, strip
-from filewright.operators.skew import spread
 from filewright.sources.inbox import content_hash, decode_texts, dispatch, envelopes
 
-READ_IN_PYTHON = ("eml", "docx", "pptx", "xlsx")
-_IDENTITY = (
-    "run_id STRING, document_id STRING, source_path STRING, filename STRING, extension STRING,"
-    " mime_type STRING, file_hash STRING, file_size BIGINT"
-)
-_READ = f"{_IDENTITY}, read_text STRING, read_metadata MAP<STRING,STRING>, read_error STRING"
-
-# XML namespaces of the office formats.
-WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-SLIDE = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
-RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-
-
-def read_mail(content: bytes) -> tuple[str, dict]:
-    message = email.message_from_bytes(content, policy=policy.default)
-    headers = {name: message[name] for name in ("subject", "from", "to")}
-    lines = [f"{name.capitalize()}: {value}" for name, value in headers.items() if value]
-    for part in message.walk():
-        if part.is_multipart() or "attachment" in (part.get("Content-Disposition") or "").lower():
-            continue
-        kind = part.get_content_type()
-        single = part is message
-        if not single and kind not in ("text/plain", "text/html"):
-            continue
-        try:
-            body = part.get_content()
-        except Exception:
-            if single:
-                raise
-            continue
-        if isinstance(body, str) and body:
-            strip_tags = kind == "text/html" and not single
-            lines.append(re.sub(r"<[^>]+>", " ", body).strip(WHITESPACE) if strip_tags else body)
-    about = {name: str(value) for name, value in headers.items() if value is not None}
-    return "\n".join(line for line in lines if line), about
-
-
-def read_document(content: bytes) -> tuple[str, dict]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{WORD}body")
-    marks = {f"{WORD}tab": "\t", f"{WORD}br": "\n", f"{WORD}cr": "\n"}
-    paragraphs = []
-    for paragraph in body.findall(f"{WORD}p"):
-        pieces = [n.text or "" if n.tag == f"{WORD}t" else marks.get(n.tag, "") for n in paragraph.iter()]
-        paragraphs.append("".join(pieces))
-    return "\n".join(paragraphs), {}
-
-
-def _targets(archive: zipfile.ZipFile, owner: str) -> dict[str, str]:
-    """Relation id to archive member, for one part of an office file."""
-    folder, name = posixpath.split(owner)
-    tree = ElementTree.fromstring(archive.read(f"{folder}/_rels/{name}.rels"))
-    return {r.get("Id"): posixpath.normpath(posixpath.join(folder, r.get("Target"))).lstrip("/") for r in tree}
-
-
-def read_slides(content: bytes) -> tuple[str, dict]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        main = "ppt/presentation.xml"
-        targets = _targets(archive, main)
-        order = ElementTree.fromstring(archive.read(main)).iter(f"{SLIDE}sldId")
-        slides = [archive.read(targets[entry.get(f"{RELATION}id")]) for entry in order]
-    runs = []
-    for slide in slides:
-        # Direct shapes only: text inside grouped shapes and tables is not read.
-        for shape in ElementTree.fromstring(slide).findall(f"{SLIDE}cSld/{SLIDE}spTree/{SLIDE}sp"):
-            for run in shape.iterfind(f"{SLIDE}txBody/{DRAWING}p/{DRAWING}r"):
-                runs.append(run.findtext(f"{DRAWING}t") or "")
-    return "\n".join(runs), {"slides": str(len(slides))}
-
-
-def _plain_number(text: str) -> str:
-    number = float(text)
-    return str(int(number)) if re.fullmatch(r"-?\d+", text) else str(number)
-
-
-def read_sheets(content: bytes) -> tuple[str, dict]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        main = "xl/workbook.xml"
-        targets = _targets(archive, main)
-        shared = []
-        if "xl/sharedStrings.xml" in archive.namelist():
-            for item in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")):
-                shared.append("".join(t.text or "" for t in item.iter(f"{SHEET}t")))
-        sheets = [
-            (entry.get("name"), ElementTree.fromstring(archive.read(targets[entry.get(f"{RELATION}id")])))
-            for entry in ElementTree.fromstring(archive.read(main)).iter(f"{SHEET}sheet")
-        ]
-
-    def value(cell: ElementTree.Element) -> str:
-        kind, text = cell.get("t", "n"), cell.findtext(f"{SHEET}v") or ""
-        if kind == "inlineStr":
-            return "".join(t.text or "" for t in cell.iter(f"{SHEET}t"))
-        if kind == "s":
-            return shared[int(text)]
-        if kind == "b":
-            return str(text == "1")
-        return _plain_number(text) if kind == "n" and text else text
-
-    lines = []
-    for name, sheet in sheets:
-        lines.append(f"[Sheet] {name}")
-        for row in sheet.iter(f"{SHEET}row"):
-            cells = [value(cell) for cell in row.findall(f"{SHEET}c")]
-            filled = [cell.strip(WHITESPACE) for cell in cells if cell != ""]
-            if filled:
-                lines.append(" | ".join(filled))
-    return "\n".join(lines), {"sheets": ", ".join(name for name, _ in sheets)}
-
-
-READERS = {"eml": read_mail, "docx": read_document, "pptx": read_slides, "xlsx": read_sheets}
-
-
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replace the content of each row by what its reader finds; a bad file is one error row."""
-    for batch in batches:
-        found = []
-        for extractor, content in zip(batch["extractor_name"], batch["content"], strict=True):
-            try:
-                found.append((*READERS[extractor](content), None))
-            except Exception as error:
-                found.append((None, {}, f"{extractor.upper()} extraction failed: {error}"))
-        read = pd.DataFrame(found, columns=["read_text", "read_metadata", "read_error"], index=batch.index)
-        yield pd.concat([batch.drop(columns=["content", "extractor_name"]), read], axis=1)
-
-
-def _about(rows: DataFrame, metadata: Column) -> Column:
-    named = F.create_map(F.lit("mime_type"), F.col("mime_type"), F.lit("filename"), F.col("filename"))
-    return F.map_filter(F.map_concat(metadata, named), lambda _, value: value.isNotNull())
+# Fixed value: the error of a file that could not be opened.
+UNREADABLE = "File could not be read"
 
 
 def files_from_binary(files: DataFrame, run_id: str | Column) -> DataFrame:
-    """File rows from ``source_path, file_size, content``.
-
-    The two kinds of file take separate branches, so that only containers are
-    handed to Python. Contents are not shuffled, except to get an input of few
-    splits onto all cores.
-    """
-    rows = dispatch(envelopes(spread(files, "source_path"), run_id)).withColumn("file_hash", content_hash(F.col("content")))
-    names = ["run_id", "document_id", "source_path", "filename", "extension", "mime_type", "file_hash", "file_size"]
-    flags = [F.lit(False).alias("ocr_used"), F.lit(False).alias("conversion_used")]
-
-    others = decode_texts(rows.where(~F.col("extractor_name").isin(*READ_IN_PYTHON)))
+    """File rows from ``source_path, file_size, content``; a row without content keeps an error."""
+    rows = dispatch(envelopes(files, run_id)).withColumn("file_hash", content_hash(F.col("content")))
     is_text = F.col("extractor_name") == "text"
-    encoding = F.create_map(F.lit("encoding"), F.when(is_text, F.col("encoding")))
-    others = others.select(
-        *names,
-        F.when(is_text, F.col("extracted_text")).alias("extracted_text"),
-        _about(others, encoding).alias("metadata"),
-        *flags,
-        "errors",
+    read = decode_texts(rows.withColumn("content", F.when(is_text, F.col("content"))))
+    about = F.create_map(
+        F.lit("encoding"),
+        F.when(is_text, F.col("encoding")),
+        F.lit("mime_type"),
+        F.col("mime_type"),
+        F.lit("filename"),
+        F.col("filename"),
     )
-
-    containers = rows.where(F.col("extractor_name").isin(*READ_IN_PYTHON))
-    read = containers.select(*names, "extractor_name", "content").mapInPandas(_read_files, _READ)
-    read = read.select(
-        *names,
-        F.nullif(strip(F.col("read_text")), F.lit("")).alias("extracted_text"),
-        _about(read, F.col("read_metadata")).alias("metadata"),
-        *flags,
-        F.array_compact(F.array("read_error")).alias("errors"),
+    unread = F.array_append("errors", F.lit(UNREADABLE))
+    return read.select(
+        "run_id",
+        "document_id",
+        "source_path",
+        "filename",
+        "extension",
+        "mime_type",
+        "file_hash",
+        "file_size",
+        "extracted_text",
+        F.map_filter(about, lambda _, value: value.isNotNull()).alias("metadata"),
+        F.lit(False).alias("ocr_used"),
+        F.lit(False).alias("conversion_used"),
+        F.when(F.col("file_hash").isNull(), unread).otherwise(F.col("errors")).alias("errors"),
     )
-    return others.unionByName(read)

@@ -34,7 +34,7 @@ EXTRACTOR_BY_EXTENSION = {
 }
 
 # Extractors whose text arrives from elsewhere, as precomputed text.
-EXTERNAL_EXTRACTORS = ("pdf", "image", "doc", "ppt", "xls", "msg")
+EXTERNAL_EXTRACTORS = ("pdf", "image", "doc", "docx", "ppt", "pptx", "xls", "xlsx", "eml", "msg")
 
 
 def _literal_map(mapping: dict[str, str]) -> Column:

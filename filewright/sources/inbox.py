@@ -15,13 +15,17 @@ _BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINAR
 
 
 def scan_inbox(spark: SparkSession, folder: str, only_filename: str | None = None) -> DataFrame:
-    """Plain, not hidden files directly inside a folder; none if it is missing."""
+    """Plain files directly inside a folder but dot-files; none if it is missing.
+
+    A file that the reader passes over for its name is a row without content.
+    """
     try:
         found = spark.read.format("binaryFile").load(folder)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         found = empty_table(spark, _BINARY)
+    found = found.select("path", "length", "content").unionByName(_hidden_from_reader(spark, folder))
     name = name_of(F.col("path"))
     kept = found.where(~name.startswith("."))
     if only_filename is not None:
@@ -29,9 +33,19 @@ def scan_inbox(spark: SparkSession, folder: str, only_filename: str | None = Non
     return kept.select(F.col("path").alias("source_path"), F.col("length").alias("file_size"), "content")
 
 
+def _hidden_from_reader(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose names the reader leaves out without a word, with their sizes but without content."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(folder, "{_*,*._COPYING_}")
+    listed = pattern.getFileSystem(conf).globStatus(pattern) or []
+    rows = [(status.getPath().toString(), status.getLen(), None) for status in listed if status.isFile()]
+    return spark.createDataFrame(rows, "path STRING, length BIGINT, content BINARY")
+
+
 def first_files(files: DataFrame, limit: int) -> DataFrame:
-    """The first files in path order."""
-    return files.orderBy("source_path").limit(limit)
+    """The first files in path order; only paths are sorted."""
+    first = files.select("source_path").orderBy("source_path").limit(limit)
+    return files.join(first, "source_path", "left_semi")
 
 
 def document_id(run_id: Column, source_path: Column) -> Column:

@@ -43,24 +43,33 @@ def replace_partitions(rows: DataFrame, path: str, *partition_by: str) -> None:
     )
 
 
+def work_folder(named: str | None, warehouse: str, master: str) -> str:
+    """The folder named, else one below the warehouse; in a local session a temporary one.
+
+    Without a named folder a cluster whose warehouse is on a local disk has no place that all executors share.
+    """
+    if named:
+        return named
+    if master == "local" or master.startswith("local["):
+        return tempfile.mkdtemp(prefix="filewright-")
+    if warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/filewright"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it."""
-    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="filewright-"))
-    return context.getCheckpointDir()
+    return work_folder(named, spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
 
 
 def materialize(rows: DataFrame) -> DataFrame:
     """Write rows to the shared folder once and read them back from there.
 
     Later steps then prune columns and know sizes, and a lost executor costs a
-    re-read of a file, not a recomputation.
+    re-read of a file, not a recomputation. All tables of an application are below one folder.
     """
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/filewright/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/filewright/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

@@ -15,8 +15,9 @@ from filewright.settings import Run, Settings
 from filewright.sources.tables import load_table, replace_partitions
 
 
-def batch_run(batch_id: int, started_at: datetime) -> Run:
-    return Run(f"batch-{batch_id}", started_at)
+def batch_run(stream: str, batch_id: int, started_at: datetime) -> Run:
+    """The run of one batch. Streams that share a ledger need names of their own."""
+    return Run(f"{stream}-batch-{batch_id}", started_at)
 
 
 def organize_batch(
@@ -25,9 +26,10 @@ def organize_batch(
     ledger: str,
     to_files: Callable[[DataFrame, str], DataFrame],
     settings: Settings,
+    runs: str | None = None,
     **known: DataFrame,
 ) -> None:
-    """Organise one batch and put its events into the ledger.
+    """Organise one batch and put its events into the ledger, and its records into the table at ``runs``.
 
     The partition of the run is replaced, so a batch that is delivered again
     leaves the ledger as it was.
@@ -37,6 +39,8 @@ def organize_batch(
     last_id = events.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
     done = organize(to_files(rows, run.run_id), Tables.empty(spark, events=events, **known), run, settings)
     replace_partitions(done.events(last_id + 1), ledger, "run_id")
+    if runs is not None:
+        replace_partitions(done.run_record().unionByName(done.run_record(run.started_at)), runs, "run_id")
 
 
 def organize_stream(
@@ -46,16 +50,21 @@ def organize_stream(
     to_files: Callable[[DataFrame, str], DataFrame],
     settings: Settings,
     started_at: datetime,
+    stream: str,
+    runs: str | None = None,
     **known: DataFrame,
 ) -> StreamingQuery:
     """Start a query that organises all that has arrived, batch by batch, and then stops.
 
+    ``stream`` names the query in its run ids. It belongs to the checkpoint: with a new checkpoint,
+    batches are numbered from the start again, so it takes a new name.
+
     ``to_files`` turns arrived rows and a run id into file rows. All state is
     the ledger, so no watermark is needed.
     """
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        organize_batch(rows, batch_run(batch_id, started_at), ledger, to_files, settings, **known)
+        organize_batch(rows, batch_run(stream, batch_id, started_at), ledger, to_files, settings, runs, **known)
 
     return (
         arriving.writeStream.foreachBatch(handle)

@@ -19,7 +19,6 @@ from filewright.functions.rules import rule_for_name, rule_for_text, rule_verdic
 from filewright.functions.text import quality_score, strip
 from filewright.operators.routing import destination_folder, destination_path, technical_folder
 from filewright.operators.ledger import closed, opened
-from filewright.operators.skew import spread
 from filewright.plans.organize import Organized, Tables, organize
 from filewright.settings import Run, Settings
 from filewright.sources.inbox import files_from_texts
@@ -30,6 +29,7 @@ EXTENSIONS = (".txt", ".md", ".csv", ".html", ".pdf", ".xyz")
 HISTORY_SOURCES = ("src0", "src1", "src2", "src3", "src4")
 HISTORY = Run("run-1", datetime(2024, 1, 1))
 CURRENT = Run("run-2", datetime(2024, 2, 1))
+LATER = Run("run-3", datetime(2024, 3, 1))
 
 SETTINGS = Settings(
     aliases={"invoices": "Invoices"},
@@ -106,7 +106,10 @@ _TEXTS = {"documents": "doc_id", "pages": "page_id"}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, _TEXTS[name]) if name in _TEXTS else rows
+    if name not in _TEXTS:
+        return rows
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, _TEXTS[name])
 
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}

@@ -299,8 +299,10 @@ CTES: dict[str, str] = {
         CASE WHEN is_filed_away THEN coalesce(b.known_l2, n_l2) ELSE raw_l2 END AS l2
         FROM normal n LEFT JOIN known_l1 a ON lower(n_l1) = a.key_l1
         LEFT JOIN known_l2 b ON a.known_l1 = b.known_l1 AND lower(n_l2) = b.key_l2""",
-    "leads": "SELECT file_hash, filename AS lead_name, l2 AS lead_l2 FROM aligned WHERE source_path = first_path AND state <> 'failed'",
-    "followed": """SELECT a.*, l.file_hash IS NOT NULL AND source_path <> first_path AND state <> 'duplicate' AS follows,
+    # A content counts as filed from the first file on that gets a place.
+    "leads": """SELECT file_hash, source_path AS lead_path, filename AS lead_name, l2 AS lead_l2 FROM aligned WHERE state NOT IN ('failed', 'duplicate')
+        QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY source_path) = 1""",
+    "followed": """SELECT a.*, coalesce(source_path > lead_path, false) AND state <> 'duplicate' AS follows,
         lead_name, coalesce(nullif(lead_l2, ''), 'KnownDuplicate') AS follow_l2 FROM aligned a LEFT JOIN leads l USING (file_hash)""",
     "settled": """SELECT document_id, run_id, source_path, filename, file_hash, ocr_used, extraction_quality,
         follows OR state <> 'failed' AS is_moved,
@@ -393,10 +395,6 @@ _COUNTERS = """count(*) AS total_cases,
         AND (expected_category_l2 IS NULL OR expected_category_l2 = actual_category_l2)
         AND (expected_needs_review IS NULL OR expected_needs_review = actual_needs_review)) AS full_matches,
     count(*) FILTER (status = 'missing') AS failures"""
-_BODY = "'Subject: ' || filename || chr(10) || 'From: ' || source || '@example.com' || chr(10) || 'To: desk@example.com' || chr(10) || text"
-_SHEET = """'[Sheet] Text' || chr(10) || array_to_string([trim(x, SPACES) FOR x IN string_split(text, chr(10)) IF x <> ''], chr(10))""".replace(
-    "SPACES", SPACE
-)
 _LEGACY = {
     "proposals": """SELECT document_id, CASE WHEN kind = 'OBJECT' AND json_type(payload, '$.category') = 'VARCHAR'
             THEN nullif(payload->>'$.category', '') END AS proposed,
@@ -420,6 +418,8 @@ _LEGACY = {
         FROM files JOIN proposals USING (document_id)
         WHERE extracted_text IS NOT NULL AND proposed IS NOT NULL AND new_name IS NOT NULL""",
     **unique("rename_requests", "rename"),
+    "aside_requests": "SELECT document_id, source_path, original_filename AS filename, '_Processed' AS folder FROM rename_requests",
+    **unique("aside_requests", "aside"),
 }
 _WANTED = {
     "wanted": f"SELECT document_id, source_path, filename, {_RULED_FOLDER} AS folder FROM ({_NAME_RULED})",
@@ -427,7 +427,7 @@ _WANTED = {
 }
 _STREAM = {
     "arrived": f"""SELECT '/inbox/' || doc_id || '/' || source || '.txt' AS source_path, source || '.txt' AS filename, md5(text) AS file_hash,
-        sha256('batch-0|/inbox/' || doc_id || '/' || source || '.txt') AS document_id,
+        sha256('arrivals-batch-0|/inbox/' || doc_id || '/' || source || '.txt') AS document_id,
         nullif({strip('text')}, '') AS chosen FROM documents""",
     "stream_firsts": "SELECT file_hash, min(source_path) AS first_path FROM arrived GROUP BY file_hash",
     "stream_ruled": f"""SELECT *, {rule_index('filename', 'chosen')} AS rule FROM arrived JOIN stream_firsts USING (file_hash)""",
@@ -445,6 +445,10 @@ _STREAM = {
     **unique("stream_done", "stream"),
 }
 
+_AMOUNTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_AMOUNTS, "l_returnflag", "l_linestatus", "l_shipdate")
+_CELLS = ", ".join(f"nullif(trim(CAST({f'CAST({c} AS DECIMAL(18,2))' if c in _AMOUNTS else c} AS VARCHAR)), '')" for c in _LINE)
+
 FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
     "ingest_envelopes": "SELECT document_id, run_id, source_path, filename, extension, mime_type, file_size, file_hash FROM files",
     "ingest_limit": "SELECT doc_id, source_path FROM ids ORDER BY source_path LIMIT 100",
@@ -457,12 +461,7 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
         CASE WHEN p.text <> '' THEN {quality('p.text')} END AS extraction_quality, false AS ocr_used
         FROM files LEFT JOIN precomputed p USING (source_path)""",
     "extraction_candidates": "SELECT document_id, source_path FROM files WHERE extension = '.pdf' AND file_hash NOT IN (SELECT file_hash FROM decided)",
-    "eml_extract": f"""SELECT '/inbox/' || doc_id || '.eml' AS source_path, nullif(trim({_BODY} || CASE WHEN lang = 'en' THEN '' ELSE chr(10) || lang END, {SPACE}), '') AS extracted_text,
-        filename AS subject, source || '@example.com' AS sender, 'desk@example.com' AS recipient, 0 AS error_count FROM ids""",
-    "office_extract": f"""SELECT '/inbox/' || doc_id || '.' || CASE lang WHEN 'en' THEN 'docx' WHEN 'fr' THEN 'pptx' ELSE 'xlsx' END AS source_path,
-        nullif(trim(CASE WHEN lang IN ('en', 'fr') THEN text ELSE {_SHEET} END, {SPACE}), '') AS extracted_text,
-        CASE WHEN lang = 'fr' THEN '1' END AS slides, CASE WHEN lang NOT IN ('en', 'fr') THEN 'Text' END AS sheets, 0 AS error_count FROM ids""",
-    "rows_as_text": "SELECT l_orderkey, l_linenumber, concat_ws(' | ', l_orderkey, l_partkey, l_suppkey, nullif(l_returnflag, ''), nullif(l_linestatus, '')) AS line FROM lineitem",
+    "rows_as_text": f"SELECT l_orderkey, l_linenumber, concat_ws(' | ', {_CELLS}) AS line FROM lineitem",
     "benchmark_load": "SELECT * FROM expected",
     "taxonomy_scan": "SELECT * FROM taxonomy",
     "ledger_rows": """SELECT row_number() OVER (ORDER BY source_path) AS event_id, run_id, document_id, source_path, destination_path, filename, status,
@@ -478,9 +477,11 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
     "document_report": """SELECT document_id, filename, source_path, status, decision_source, category_l1, category_l2, confidence, needs_review, reason,
         destination_path, mime_type, document_type, cached, plan.ocr_used, false AS conversion_used, errors
         FROM plan JOIN (SELECT document_id, mime_type FROM files) USING (document_id)""",
-    "organized_write": """SELECT document_id, destination_path, split_part(destination_path, '/', 3) AS folder_l1,
+    "organized_write": """SELECT run_id, document_id, destination_path, split_part(destination_path, '/', 3) AS folder_l1,
         CASE WHEN len(string_split(destination_path, '/')) = 5 THEN split_part(destination_path, '/', 4) END AS folder_l2, extracted_text
-        FROM plan JOIN (SELECT document_id, extracted_text FROM files) USING (document_id) WHERE destination_path IS NOT NULL""",
+        FROM (SELECT 'run-2' AS run_id, document_id, destination_path FROM plan
+            UNION ALL SELECT 'run-3', document_id, destination_path FROM plan WHERE category_l1 = '_Duplicates')
+        JOIN (SELECT document_id, extracted_text FROM files) USING (document_id) WHERE destination_path IS NOT NULL""",
     "movement_rows": """SELECT original_path, original_filename, new_path, CASE WHEN new_path IS NOT NULL THEN original_filename END AS new_filename, category,
         CASE WHEN new_path IS NOT NULL THEN file_hash END AS file_hash, CASE WHEN new_path IS NOT NULL THEN file_size END AS file_size,
         CASE WHEN new_path IS NOT NULL THEN processing_time_seconds END AS processing_time_seconds,
@@ -560,8 +561,16 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
     "organize_run": """SELECT document_id, run_id, source_path, filename, file_hash, status, decision_source, category_l1, category_l2, confidence,
         needs_review, reason, destination_path, cached, summary, language, document_type, ocr_used, extraction_quality,
         understanding_model, classification_model, prompt_version, errors FROM plan""",
+    "dry_run": """SELECT row_number() OVER (ORDER BY source_path) AS event_id, document_id, destination_path,
+        CASE WHEN status = 'moved' THEN 'planned' ELSE status END AS status, true AS dry_run, nullif(errors, '') AS error_message FROM plan""",
+    "decision_cache_rows": """SELECT file_hash, raw_l1 AS category_l1, raw_l2 AS category_l2, confidence, reason, needs_review, summary,
+        TIMESTAMP '2024-02-01' AS cached_at FROM followed WHERE path = 'sorted' AND NOT follows""",
+    "benchmark_flow": (
+        "SELECT * REPLACE (CASE WHEN status = 'moved' THEN 'planned' ELSE status END AS status) FROM cases",
+        {"inbox": CTES["inbox"] + " AND doc_id IN (SELECT doc_id FROM labels)"},
+    ),
     "warm_cache": f"""SELECT file_hash, 'glm-ocr:q8_0' AS ocr_model, extracted_text, {quality('extracted_text')} AS extraction_quality,
-        TIMESTAMP '2024-02-01' AS cached_at FROM files WHERE doc_id IN (SELECT doc_id FROM labels) AND file_hash NOT IN (SELECT file_hash FROM extracted)
+        TIMESTAMP '2024-02-01' AS cached_at FROM files WHERE doc_id IN (SELECT doc_id FROM labels) AND extracted_text IS NOT NULL AND file_hash NOT IN (SELECT file_hash FROM extracted)
         QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY source_path) = 1""",
     "legacy_organize": (
         """SELECT source_path AS original_path, filename AS original_filename, destination_path AS new_path,
@@ -574,12 +583,13 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
     ),
     "rename_plan": (
         """SELECT document_id, source_path, folder AS category, destination_path AS new_path, unique_name AS new_filename,
-        '/inbox/_Processed/' || original_filename AS processed_path FROM rename_requests JOIN rename_named USING (document_id)""",
+        '/inbox/_Processed/' || aside AS processed_path FROM rename_requests JOIN rename_named USING (document_id)
+        JOIN (SELECT document_id, unique_name AS aside FROM aside_named) USING (document_id)""",
         _LEGACY,
     ),
     "model_hook": f"""SELECT document_id, 'understand' AS stage, '{{"summary": "' || length({_UNDERSTAND}) || ' characters"}}' AS raw FROM ids""",
     "streaming_organize": (
-        """SELECT row_number() OVER (ORDER BY source_path) AS event_id, 'batch-0' AS run_id, source_path, destination_path, 'moved' AS status,
+        """SELECT row_number() OVER (ORDER BY source_path) AS event_id, 'arrivals-batch-0' AS run_id, source_path, destination_path, 'moved' AS status,
         category_l1, category_l2, reason FROM stream_done JOIN stream_named USING (document_id)""",
         _STREAM,
     ),

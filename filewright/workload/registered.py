@@ -14,17 +14,17 @@ from filewright.functions import paths, prompts, text
 from filewright.functions.responses import answered_text, parse_answer, typed_classification, typed_understanding, with_fields
 from filewright.functions.rules import rule_for_name, rule_for_text, rule_verdict
 from filewright.operators import contents, decisions, ledger, metrics, movements, routing, scoring, taxonomy
+from filewright.plans.benchmark import benchmark
 from filewright.plans.model import build_prompts, with_model
-from filewright.plans.organize import describe, model_workload, precomputed_facts, prepare
+from filewright.plans.organize import describe, model_workload, organize, precomputed_facts, prepare
 from filewright.plans.output import write_organized
 from filewright.plans.single_level import organize_single_level, rename_plan
 from filewright.plans.warmup import warm_extractions
 from filewright.sources.inbox import decode_texts, dispatch, envelopes, files_from_texts, first_files
-from filewright.sources.extraction import files_from_binary
 from filewright.sources.labels import load_labels
 from filewright.sources.tables import materialize, shared_folder
 from filewright.streaming.incremental import organize_stream
-from filewright.workload import containers, corpus
+from filewright.workload import corpus
 from filewright.workload.corpus import SETTINGS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,36 +102,12 @@ def extraction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_id", "source_path")
 
 
-@query
-def eml_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = files_from_binary(containers.mails(spark, sf_dir), "mail")
-    return read.select(
-        "source_path",
-        "extracted_text",
-        F.col("metadata")["subject"].alias("subject"),
-        F.col("metadata")["from"].alias("sender"),
-        F.col("metadata")["to"].alias("recipient"),
-        F.size("errors").alias("error_count"),
-    )
-
-
-@query
-def office_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = files_from_binary(containers.office_files(spark, sf_dir), "office")
-    return read.select(
-        "source_path",
-        "extracted_text",
-        F.col("metadata")["slides"].alias("slides"),
-        F.col("metadata")["sheets"].alias("sheets"),
-        F.size("errors").alias("error_count"),
-    )
-
-
 @query
 def rows_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    """Whole rows; amounts are written with two decimals."""
     rows = corpus.table(spark, sf_dir, "lineitem")
-    return rows.select("l_orderkey", "l_linenumber", text.rows_as_text(*map(F.col, names)).alias("line"))
+    cells = [F.col(name).cast("decimal(18,2)") if kind == "double" else F.col(name) for name, kind in rows.dtypes]
+    return rows.select("l_orderkey", "l_linenumber", text.rows_as_text(*cells).alias("line"))
 
 
 @query
@@ -181,10 +157,14 @@ def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def organized_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "organized")
+    """The tree after a run, another run of its duplicates alone, and the first run once more."""
     documents = corpus.current_files(spark, sf_dir).select("document_id", "extracted_text")
-    write_organized(corpus.plan(spark, sf_dir), documents, path, SETTINGS)
+    plan = corpus.plan(spark, sf_dir)
+    copies = plan.where(F.col("category_l1") == "_Duplicates")
+    for rows, run in ((plan, corpus.CURRENT), (copies, corpus.LATER), (plan, corpus.CURRENT)):
+        write_organized(rows, documents, path, run, SETTINGS)
     back = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path)
-    return back.select("document_id", "destination_path", "folder_l1", "folder_l2", "extracted_text")
+    return back.select("run_id", "document_id", "destination_path", "folder_l1", "folder_l2", "extracted_text")
 
 
 @query
@@ -590,6 +570,28 @@ def organize_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current inbox planned only, and the ledger rows that say so."""
+    run = corpus.CURRENT._replace(dry_run=True)
+    done = organize(corpus.current_files(spark, sf_dir), corpus.tables(spark, sf_dir), run, SETTINGS)
+    return done.events().select("event_id", "document_id", "destination_path", "status", "dry_run", "error_message")
+
+
+@query
+def decision_cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run adds to the decision cache: contents it decided itself, copies left out."""
+    made = corpus.organized(spark, sf_dir).new_decisions()
+    return made.select("file_hash", "category_l1", "category_l2", "confidence", "reason", "needs_review", "summary", "cached_at")
+
+
+@query
+def benchmark_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dry run over the labelled files, scored."""
+    labels, files = corpus.benchmark_labels(spark, sf_dir), corpus.current_files(spark, sf_dir)
+    return benchmark(labels, files, corpus.tables(spark, sf_dir), corpus.CURRENT, SETTINGS).cases
+
+
 @query
 def warm_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, files = corpus.benchmark_labels(spark, sf_dir), corpus.all_files(spark, sf_dir)
@@ -652,7 +654,7 @@ def streaming_organize(spark: SparkSession, sf_dir: str) -> DataFrame:
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet")
     path = fresh_path(spark, "stream")
     started = organize_stream(
-        arriving, f"{path}/ledger", f"{path}/checkpoint", _arrived, SETTINGS, datetime(2024, 4, 1)
+        arriving, f"{path}/ledger", f"{path}/checkpoint", _arrived, SETTINGS, datetime(2024, 4, 1), "arrivals", f"{path}/runs"
     )
     started.awaitTermination()
     events = spark.read.parquet(f"{path}/ledger")

@@ -39,7 +39,8 @@ def test_filed_contents(spark):
     events = events_of(
         spark,
         event(1, "r1", "a", "h1"),
-        event(5, "r2", "b", "h1", category_l2=None),
+        event(1, "r2", "b", "h1", category_l2=None, created_at=DAY.replace(day=2)),
+        event(9, "r1", "z", "h1"),
         event(2, "r1", "c", "dry", dry_run=True),
         event(3, "r1", "d", "undone"),
         event(4, "r1", "d", "undone", destination=None, status="undone"),

@@ -8,10 +8,12 @@ from filewright import schemas
 from filewright.operators.ledger import current_runs
 from filewright.plans.benchmark import benchmark
 from filewright.plans.organize import Tables, organize
+from filewright.plans.output import write_organized
+from filewright.plans.single_level import rename_plan
 from filewright.plans.warmup import new_extractions
 from filewright.settings import Run, Settings
 from filewright.sources.inbox import files_from_texts
-from filewright.streaming.incremental import organize_batch
+from filewright.streaming.incremental import batch_run, organize_batch
 from filewright.workload import corpus
 
 RUN = Run("r1", datetime(2024, 5, 1))
@@ -64,12 +66,60 @@ def test_ways_through_a_run(spark):
 
 
 def test_failed_documents_stay_and_do_not_lead_copies(spark):
-    files = files_of(spark, ("a.txt", "same words"), ("b.txt", "same words"))
+    files = files_of(spark, ("a.txt", "same words"), ("b.txt", "same words"), ("c.txt", "same words"))
     bad = answers_of(spark, files.where(F.col("filename") == "a.txt"), "understand", "[1]")
     plan = by_name(organize(files, Tables.empty(spark, responses=bad), RUN, Settings()))
     assert (plan["a.txt"].status, plan["a.txt"].destination_path) == ("failed", None)
     assert plan["a.txt"].errors == ["Unusable understanding answer"]
     assert plan["b.txt"].category_l1 == "General"
+    assert plan["c.txt"].reason == "Duplicate of b.txt"
+
+
+def test_copies_add_nothing_to_the_decision_cache(spark):
+    files = files_of(spark, ("invoice.txt", "pay me"), ("other.txt", "pay me"))
+    made = organize(files, Tables.empty(spark), RUN, Settings()).new_decisions().collect()
+    assert [(row.category_l1, row.category_l2) for row in made] == [("Finance", "Invoices")]
+
+
+def test_names_of_undone_files_are_free_again(spark):
+    first = organize(files_of(spark, ("invoice.txt", "one")), Tables.empty(spark), RUN, Settings())
+    events = first.events()
+    undone = events.withColumns({"status": F.lit("undone"), "destination_path": F.lit(None).cast("string")})
+    later = Run("r2", datetime(2024, 6, 1))
+    files = files_of(spark, ("invoice.txt", "two"), run=later)
+    plan = by_name(organize(files, Tables.empty(spark, events=events.unionByName(undone)), later, Settings()))
+    assert plan["invoice.txt"].destination_path == "/organized/Finance/Invoices/invoice.txt"
+
+
+def test_the_last_answer_counts(spark):
+    files = files_of(spark, ("x.txt", "words"))
+    times = [(datetime(2024, 5, 2), "New"), (datetime(2024, 5, 1), "Zed")]
+    rows = [
+        (files.first().document_id, "classify", f'{{"category_l1": "{name}", "category_l2": "B", "confidence": 0.9}}', when)
+        for when, name in times
+    ]
+    answers = spark.createDataFrame(rows, schemas.RESPONSES + ", answered_at TIMESTAMP")
+    plan = by_name(organize(files, Tables.empty(spark, responses=answers), RUN, Settings()))
+    assert plan["x.txt"].category_l1 == "New"
+
+
+def test_runs_keep_apart_in_the_output_tree(spark, tmp_path):
+    tree = str(tmp_path / "tree")
+    for run_id, name in (("r1", "invoice.txt"), ("r2", "resume.txt"), ("r1", "invoice.txt")):
+        run = RUN._replace(run_id=run_id)
+        files = files_of(spark, (name, name), run=run)
+        done = organize(files, Tables.empty(spark), run, Settings())
+        write_organized(done.plan, files.select("document_id", "extracted_text"), tree, run, Settings())
+    found = spark.read.parquet(tree).collect()
+    assert sorted((row.run_id, row.folder_l1) for row in found) == [("r1", "Finance"), ("r2", "Career")]
+
+
+def test_originals_of_one_name_are_moved_apart(spark):
+    frame = spark.createDataFrame([("/in/1/a.txt", "x"), ("/in/2/a.txt", "y")], "source_path STRING, text STRING")
+    files = files_from_texts(frame, "r1")
+    answers = answers_of(spark, files, "rename", '{"category": "C", "new_filename": "n.txt"}')
+    plan = rename_plan(files, answers, Tables.empty(spark).events, Settings(), "rename", "/done")
+    assert sorted(row.processed_path for row in plan.collect()) == ["/done/a.txt", "/done/a_1.txt"]
 
 
 def test_dry_run_only_plans(spark):
@@ -118,7 +168,8 @@ def test_empty_cached_text_reaches_the_model(spark):
 def test_new_extractions(spark):
     files = files_of(spark, ("a.txt", "one"), ("b.txt", "one"), ("c.pdf", "two"), ("d.txt", "three"))
     ready = spark.createDataFrame([("/inbox/c.pdf", "read by a batch")], schemas.PRECOMPUTED)
-    first = new_extractions(files, Tables.empty(spark).extractions, RUN, Settings(), ready)
+    unread = files_of(spark, ("e.pdf", "no text here"))
+    first = new_extractions(files.unionByName(unread), Tables.empty(spark).extractions, RUN, Settings(), ready)
     assert sorted(row.extracted_text for row in first.collect()) == ["one", "read by a batch", "three"]
     assert new_extractions(files, first, RUN, Settings(), ready).count() == 0
 
@@ -165,11 +216,14 @@ def test_a_batch_can_be_delivered_twice(spark, tmp_path):
 
     first = spark.createDataFrame([("/in/a.txt", "one"), ("/in/b.txt", "two")], "source_path STRING, text STRING")
     second = spark.createDataFrame([("/in/c.txt", "one")], "source_path STRING, text STRING")
-    for rows, run_id in ((first, "batch-0"), (second, "batch-1"), (second, "batch-1")):
-        organize_batch(rows, Run(run_id, RUN.started_at), ledger, to_files, Settings())
+    runs = str(tmp_path / "runs")
+    for rows, stream, batch in ((first, "a", 0), (second, "b", 0), (second, "b", 0)):
+        organize_batch(rows, batch_run(stream, batch, RUN.started_at), ledger, to_files, Settings(), runs)
     events = spark.read.parquet(ledger).orderBy("event_id").collect()
     assert [(e.event_id, e.run_id, e.category_l1) for e in events] == [
-        (1, "batch-0", "General"),
-        (2, "batch-0", "General"),
-        (3, "batch-1", "_Duplicates"),
+        (1, "a-batch-0", "General"),
+        (2, "a-batch-0", "General"),
+        (3, "b-batch-0", "_Duplicates"),
     ]
+    records = {row.run_id: row.total_files for row in current_runs(spark.read.parquet(runs)).collect()}
+    assert records == {"a-batch-0": 2, "b-batch-0": 1}

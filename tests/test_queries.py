@@ -5,8 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
 from check_queries import rows_of, type_differences
+from filewright.workload.oracles import oracle_sql
+from filewright.workload.registered import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -17,10 +18,10 @@ def database(data):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, data, database, name):
-    frame = entry.queries()[name](spark, data)
+    frame = QUERIES[name](spark, data)
     got = rows_of(frame.columns, [tuple(row) for row in frame.collect()])
-    found = database.execute(entry.oracle_sql()[name])
+    found = database.execute(oracle_sql()[name])
     assert type_differences(frame, found.description) == []
     assert got == rows_of([column[0] for column in found.description], found.fetchall())

@@ -1,5 +1,4 @@
 import json
-from email.message import EmailMessage
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,75 +8,54 @@ from filewright.sources.extraction import files_from_binary
 from filewright.sources.filetypes import extractor_name, mime_type
 from filewright.sources.inbox import first_files, scan_inbox
 from filewright.sources.labels import load_labels, locate_labels
-from filewright.sources.tables import load_table
-from filewright.workload.containers import make_document, make_sheets, make_slides
+from filewright.sources.tables import load_table, materialize, shared_folder, work_folder
 
 
 def test_inbox_scan(spark, tmp_path):
     (tmp_path / "b.txt").write_text("b")
     (tmp_path / "a.txt").write_text("a")
     (tmp_path / ".hidden").write_text("h")
+    (tmp_path / "_plan.txt").write_text("under a name the reader skips")
+    (tmp_path / "x._COPYING_").write_text("half")
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "c.txt").write_text("c")
     found = scan_inbox(spark, str(tmp_path))
     names = sorted(row.source_path.rsplit("/", 1)[1] for row in found.collect())
-    assert names == ["a.txt", "b.txt"]
+    assert names == ["_plan.txt", "a.txt", "b.txt", "x._COPYING_"]
+    skipped = found.where(F.col("source_path").endswith("_plan.txt")).first()
+    assert (skipped.file_size, skipped.content) == (len("under a name the reader skips"), None)
     assert scan_inbox(spark, str(tmp_path), only_filename="b.txt").count() == 1
-    assert first_files(found, 1).first().source_path.endswith("a.txt")
+    assert first_files(found, 2).count() == 2
+    assert first_files(found, 1).first().source_path.endswith("_plan.txt")
     assert scan_inbox(spark, str(tmp_path / "missing")).count() == 0
 
 
-def mail(html=False):
-    message = EmailMessage()
-    message["Subject"], message["From"], message["To"] = "Olá", "a@x.org", "b@x.org"
-    message.set_content("plain body\n")
-    if html:
-        message.add_alternative("<p>rich <b>body</b></p>", subtype="html")
-        message.add_attachment(b"data", maintype="text", subtype="plain", filename="x.txt")
-    return message.as_bytes()
-
-
 def test_extraction_of_each_kind(spark):
     contents = {
         "plain.txt": "  café ".encode(),
         "old.csv": "café".encode("latin-1"),
         "empty.md": b"  ",
-        "one.eml": mail(),
-        "two.eml": mail(html=True),
-        "doc.docx": make_document("first\n\nlast & <end>"),
-        "deck.pptx": make_slides("one\ntwo"),
-        "table.xlsx": make_sheets("x\n\n y "),
-        "broken.docx": b"no archive",
+        "one.eml": b"Subject: x",
+        "doc.docx": b"no archive",
         "scan.pdf": b"%PDF",
         "thing.abc": b"?",
+        "_lost.txt": None,
     }
     frame = spark.createDataFrame(
-        [(f"/in/{name}", len(body), bytearray(body)) for name, body in contents.items()],
+        [(f"/in/{name}", len(body or b""), body and bytearray(body)) for name, body in contents.items()],
         "source_path STRING, file_size BIGINT, content BINARY",
     )
     read = {row.filename: row for row in files_from_binary(frame, "r").collect()}
     assert len(read) == len(contents)
-    texts = {name: row.extracted_text for name, row in read.items()}
-    assert texts == {
-        "plain.txt": "café",
-        "old.csv": "café",
-        "empty.md": None,
-        "one.eml": "Subject: Olá\nFrom: a@x.org\nTo: b@x.org\nplain body",
-        "two.eml": "Subject: Olá\nFrom: a@x.org\nTo: b@x.org\nplain body\n\nrich  body",
-        "doc.docx": "first\n\nlast & <end>",
-        "deck.pptx": "one\ntwo",
-        "table.xlsx": "[Sheet] Text\nx\ny",
-        "broken.docx": None,
-        "scan.pdf": None,
-        "thing.abc": None,
-    }
+    texts = {name: row.extracted_text for name, row in read.items() if row.extracted_text is not None}
+    assert texts == {"plain.txt": "café", "old.csv": "café"}
     assert read["old.csv"].metadata["encoding"] == "latin-1"
-    assert read["deck.pptx"].metadata["slides"] == "1"
-    assert read["table.xlsx"].metadata["sheets"] == "Text"
-    assert read["broken.docx"].errors[0].startswith("DOCX extraction failed: ")
+    assert read["doc.docx"].errors == ["DOCX text must be precomputed"]
+    assert read["one.eml"].errors == ["EML text must be precomputed"]
     assert read["scan.pdf"].errors == ["PDF text must be precomputed"]
     assert read["thing.abc"].errors == ["Unsupported file type: .abc"]
     assert read["plain.txt"].errors == []
+    assert (read["_lost.txt"].file_hash, read["_lost.txt"].errors) == (None, ["File could not be read"])
 
 
 def test_file_types(spark):
@@ -107,3 +85,16 @@ def test_labels(spark, tmp_path):
 def test_missing_tables_are_empty(spark, tmp_path):
     table = load_table(spark, str(tmp_path / "none"), schemas.EVENTS)
     assert (table.count(), table.columns[0]) == (0, "event_id")
+
+
+def test_work_folder(spark):
+    assert work_folder("hdfs://x/y", "file:/w", "yarn") == "hdfs://x/y"
+    assert work_folder(None, "hdfs://x/w", "yarn") == "hdfs://x/w/filewright"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(None, "file:/w", "yarn")
+    assert work_folder(None, "file:/w", "local[4]") != "file:/w"
+    before = spark.sparkContext.getCheckpointDir()
+    stored = materialize(spark.range(3))
+    assert spark.sparkContext.getCheckpointDir() == before
+    assert all(f"/filewright/{spark.sparkContext.applicationId}/" in file for file in stored.inputFiles())
+    assert shared_folder(spark)
