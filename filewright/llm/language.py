@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filewright.llm.store import stage
+from filewright.llm.store import may_match, stage
 from filewright.llm.text import text_chunks
 
 BUCKET_BITS = 14
@@ -139,7 +139,9 @@ def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, l
     drawn = rows.select("lang", "id", "number").join(sizes, "lang").where(F.pmod("number", F.lit(1 << 20)) < share * (1 << 20))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("number", "id"))
     drawn = drawn.withColumn("place", first).where(F.col("place") <= limit).select("lang", "id")
-    return rows.select("lang", "text", "id").join(drawn, ["lang", "id"], "left_semi").select("lang", "text")
+    drawn = stage(drawn, "language-sample")
+    texts = may_match(rows.select("lang", "text", "id"), ["lang", "id"], drawn, ["lang", "id"])
+    return texts.join(drawn, ["lang", "id"], "left_semi").select("lang", "text")
 
 
 def held_out(identity: Column) -> Column:

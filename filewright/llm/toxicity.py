@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filewright.llm.store import stage
+from filewright.llm.store import may_match, stage
 
 MAX_TRAINING_TEXTS = 20_000
 STEMS = range(4, 9)
@@ -178,8 +178,9 @@ def training_texts(
     )
     share = min(1.0, 1.2 * limit / max(chosen.count(), 1))
     chosen = chosen.where(F.pmod("number", F.lit(1 << 20)) < share * (1 << 20)).orderBy("number").limit(limit)
+    chosen = stage(chosen, "toxicity-sample")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(chosen, "id").select("number", "text", "toxic")
+    return may_match(texts, ["id"], chosen, ["id"]).join(chosen, "id").select("number", "text", "toxic")
 
 
 def held_out(identity: Column) -> Column:

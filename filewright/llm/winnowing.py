@@ -163,7 +163,7 @@ def _met(
     scanned = stage(_scanned(docs, id_col, text_col, lengths, _bit_table(known)), "document-windows")
     key = ["words", "kept", "joint"]
     met = scanned.where(F.size("windows") > 0).select("id", "digest", F.inline("windows")).distinct()
-    hits = stage(met.join(known.select(*key).distinct(), key, "left_semi"), "hits")
+    hits = stage(met.join(stage(known.select(*key).distinct(), "known-windows"), key, "left_semi"), "hits")
     return scanned, known, hits
 
 
