@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from filewright.llm.components import components
 from filewright.llm.store import stage
+from filewright.llm.text import trimmed
 
 THRESHOLD = 0.95
 TABLES = 10
@@ -141,7 +142,7 @@ def links(
 ) -> DataFrame:
     """(a, b) with a > b: pairs of ``nodes`` (node, vector) found whose cosine is at least ``threshold``."""
     kinds = "probe boolean, key bigint, node bigint, " + ", ".join(f"s{w} bigint" for w in range(SKETCH_WORDS))
-    hashed = stage(nodes.select("node", "vector").mapInArrow(_hashed(tables, hashes, probes), kinds), "vector-keys")
+    hashed = stage(nodes.select("node", "vector").mapInArrow(trimmed(_hashed(tables, hashes, probes)), kinds), "vector-keys")
     filed = hashed.where("NOT probe").drop("probe").withColumnRenamed("node", "b")
     sought = hashed.drop("probe").withColumnsRenamed({"node": "a", **{f"s{w}": f"t{w}" for w in range(SKETCH_WORDS)}})
     differing = sum((F.bit_count(F.col(f"s{w}").bitwiseXOR(F.col(f"t{w}"))) for w in range(SKETCH_WORDS)), F.lit(0))
@@ -151,7 +152,7 @@ def links(
     first = nodes.select(F.col("node").alias("a"), F.col("vector").alias("left"))
     second = nodes.select(F.col("node").alias("b"), F.col("vector").alias("right"))
     joined = pairs.join(first, "a").join(second, "b").where("size(left) = size(right)")
-    return joined.select("a", "b", "left", "right").mapInArrow(_verified(threshold), "a bigint, b bigint")
+    return joined.select("a", "b", "left", "right").mapInArrow(trimmed(_verified(threshold)), "a bigint, b bigint")
 
 
 def near_duplicates(

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filewright.llm.layouts import labelled_pages
+from filewright.llm.text import trimmed
 
 TRAINING_PAGES = 400
 TRAINING_SEED = 5
@@ -281,4 +282,4 @@ def extract(pages: DataFrame, html_col: str = "html", field: Field | None = None
     others = [c for c in pages.columns if c != html_col]
     rows = pages.select(F.col(html_col), *others)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(made, (schema + ", " if schema else "") + "text string, n_chars bigint")
+    return rows.mapInArrow(trimmed(made), (schema + ", " if schema else "") + "text string, n_chars bigint")

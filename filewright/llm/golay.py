@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from filewright.llm.components import components
 from filewright.llm.store import attach, fresh, may_match, stage
-from filewright.llm.text import text_bytes
+from filewright.llm.text import text_bytes, trimmed
 
 SEED = 42
 MAX_BITS = 3
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(made, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(made), f"id {kind}, fp bigint")
 
 
 def _keys(every: bool):
@@ -131,8 +131,8 @@ def _keys(every: bool):
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) with a > b: all pairs of the distinct fingerprints ``fps`` (fp) that differ in one to three bits."""
-    filed = fps.select("fp").mapInArrow(_keys(False), "key int, fp bigint").withColumnRenamed("fp", "b")
-    sought = fps.select("fp").mapInArrow(_keys(True), "key int, fp bigint").withColumnRenamed("fp", "a")
+    filed = fps.select("fp").mapInArrow(trimmed(_keys(False)), "key int, fp bigint").withColumnRenamed("fp", "b")
+    sought = fps.select("fp").mapInArrow(trimmed(_keys(True)), "key int, fp bigint").withColumnRenamed("fp", "a")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
     met = sought.join(filed, (sought["key"] == filed["key"]) & (F.col("a") != F.col("b")) & close)
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -159,9 +159,10 @@ def near_duplicates(
 
 # Near copies by similarity: links between texts whose sets of word shingles have at least this Jaccard similarity.
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
-SIMILAR_SEEDS = (42, 43, 44)
-# Texts are compared if at most so many of their 192 bits differ: at that similarity 29 do on average, and 45 is three deviations more.
-SIMILAR_BITS = 45
+SIMILAR_SEEDS = (42, 43)
+# At that similarity 9 to 10 of 64 bits differ on average. Pairs go on that are within four deviations of that, in one
+# fingerprint where they meet, and then in all.
+SIMILAR_BITS, ALL_SIMILAR_BITS = 22, 38
 
 
 def _signed(words: int):
@@ -181,22 +182,28 @@ def _signed(words: int):
     return made
 
 
-def _similar_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, size, fp...) for all pairs of near codewords of two segments of one fingerprint."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 1024):
-            part = batch.slice(low, 1024)
-            for k in range(len(SIMILAR_SEEDS)):
-                values = part.column(2 + k).to_numpy().astype(np.int64)
-                found = [codewords(values >> shift & (1 << width) - 1) for shift, width in SEGMENTS]
-                for at, (left, right) in enumerate(PAIRS):
-                    key = (found[left][:, :, None] << 12 | found[right][:, None, :]) | (k * len(PAIRS) + at) << 24
-                    valid = (found[left] >= 0)[:, :, None] & (found[right] >= 0)[:, None, :]
-                    owner = np.broadcast_to(np.arange(len(values))[:, None, None], key.shape)[valid]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[valid].astype(np.int32)), *(c.take(pa.array(owner)) for c in part.columns)],
-                        ["key", *part.schema.names],
-                    )
+def _similar_keys(every: bool):
+    """(key, node, fp) for pairs of codewords of two segments of each fingerprint: the nearest ones, or all that are near."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                nodes = part.column(0).to_numpy()
+                for k in range(len(SIMILAR_SEEDS)):
+                    values = part.column(1 + k).to_numpy()
+                    found = [codewords(values >> shift & (1 << width) - 1) for shift, width in SEGMENTS]
+                    found = found if every else [near[:, :1] for near in found]
+                    for at, (left, right) in enumerate(PAIRS):
+                        key = (found[left][:, :, None] << 12 | found[right][:, None, :]) | (k * len(PAIRS) + at) << 24
+                        valid = (found[left] >= 0)[:, :, None] & (found[right] >= 0)[:, None, :]
+                        owner = np.broadcast_to(np.arange(len(values))[:, None, None], key.shape)[valid]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(key[valid].astype(np.int32)), pa.array(nodes[owner]), pa.array(values[owner])],
+                            ["key", "node", "fp"],
+                        )
+
+    return made
 
 
 def _shingle_hashes(words: int):
@@ -226,7 +233,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     names = [f"fp{k}" for k in range(len(SIMILAR_SEEDS))]
     schema = f"id {kind}, digest string, size bigint, " + ", ".join(f"{name} bigint" for name in names)
-    signed = stage(rows.select("id", "text", "digest").mapInArrow(_signed(SIMILAR_WORDS), schema), "signatures")
+    signed = stage(rows.select("id", "text", "digest").mapInArrow(trimmed(_signed(SIMILAR_WORDS)), schema), "signatures")
     # Texts without a word are one node, whatever their white space.
     signed = signed.withColumn("digest", F.when(F.col("size") == 0, "").otherwise(F.col("digest")))
     counted = signed.groupBy("digest", "id", "size", *names).agg(F.count("*").alias("repeats"))
@@ -236,22 +243,25 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id()),
         "texts",
     )
-    keys = stage(
-        nodes.where("size > 0").select("node", "size", *names).mapInArrow(
-            _similar_keys, "key int, node bigint, size bigint, " + ", ".join(f"{name} bigint" for name in names)
-        ),
-        "similar-keys",
+    worded = nodes.where("size > 0").select("node", *names)
+    filed = worded.mapInArrow(trimmed(_similar_keys(False)), "key int, node bigint, fp bigint")
+    sought = worded.mapInArrow(trimmed(_similar_keys(True)), "key int, node bigint, fp bigint")
+    filed = filed.withColumnsRenamed({"node": "b", "fp": "other"})
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= SIMILAR_BITS
+    met = sought.withColumnRenamed("node", "a").join(filed, "key").where((F.col("a") != F.col("b")) & near)
+    met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    about = nodes.select("node", "size", *names)
+    both = met.join(about.withColumnRenamed("node", "a"), "a").join(
+        about.withColumnsRenamed({"node": "b", "size": "other_size", **{n: f"other_{n}" for n in names}}), "b"
     )
-    other = keys.withColumnsRenamed({c: f"other_{c}" for c in ("node", "size", *names)})
     bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"other_{n}"))) for n in names), F.lit(0))
     sizes = F.least("size", "other_size") >= SIMILARITY * F.greatest("size", "other_size")
-    met = keys.join(other, "key").where((F.col("node") > F.col("other_node")) & sizes & (bits <= SIMILAR_BITS))
-    pairs = stage(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), "similar-pairs")
+    pairs = stage(both.where(sizes & (bits <= ALL_SIMILAR_BITS)).select("a", "b"), "similar-pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stage(ends.join(nodes.select("node", "digest", "first.id"), "node"), "similar-texts")
     texts = may_match(rows.select("id", "text", "digest"), ["digest"], wanted, ["digest"])
     chosen = texts.join(wanted.select("digest", F.col("id").alias("i")), "digest").where(F.col("id").eqNullSafe(F.col("i")))
-    runs = chosen.select("digest", "text").mapInArrow(_shingle_hashes(SIMILAR_WORDS), "digest string, runs array<bigint>")
+    runs = chosen.select("digest", "text").mapInArrow(trimmed(_shingle_hashes(SIMILAR_WORDS)), "digest string, runs array<bigint>")
     runs = stage(runs.dropDuplicates(["digest"]).join(wanted.select("digest", "node"), "digest").select("node", "runs"), "shingles")
     left, right = (runs.select(F.col("node").alias(n), F.col("runs").alias(f"runs_{n}")) for n in ("a", "b"))
     shared = F.size(F.array_intersect("runs_a", "runs_b"))

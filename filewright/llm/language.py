@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright.llm.store import may_match, stage
-from filewright.llm.text import text_chunks
+from filewright.llm.text import text_chunks, trimmed
 
 BUCKET_BITS = 14
 GRAMS = (2, 3, 4)
@@ -124,8 +124,10 @@ class Model:
                     found.append((langs[best] if len(langs) else UNKNOWN, score, not len(langs) or score < least[best]))
                 yield pd.DataFrame(found, columns=["lang", "score", "rejected"])
 
-        judged.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-        return F.pandas_udf(judged, "lang string, score double, rejected boolean")(text)
+        kind = "lang string, score double, rejected boolean"
+        run = trimmed(judged)
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+        return F.pandas_udf(run, kind)(text)
 
 
 def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, limit: int = MAX_TEXTS) -> DataFrame:
@@ -150,9 +152,9 @@ def held_out(identity: Column) -> Column:
 
 def train(texts: DataFrame) -> Model:
     """A model from (lang, text); what reaches the driver is the idf and the centroids."""
-    counted = stage(texts.mapInArrow(_counted, "lang string, buckets array<int>, logs array<double>"), "language-training")
+    counted = stage(texts.mapInArrow(trimmed(_counted), "lang string, buckets array<int>, logs array<double>"), "language-training")
     total = counted.count()
-    seen = counted.select("buckets").mapInArrow(_seen, "bucket int, texts bigint").groupBy("bucket").agg(F.sum("texts").alias("texts"))
+    seen = counted.select("buckets").mapInArrow(trimmed(_seen), "bucket int, texts bigint").groupBy("bucket").agg(F.sum("texts").alias("texts"))
     idf = np.full(1 << BUCKET_BITS, np.log(total + 1.0) + 1)
     for row in seen.toLocalIterator():
         idf[row["bucket"]] = np.log((total + 1.0) / (row["texts"] + 1)) + 1

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from filewright.llm.bpe import Encoder
 from filewright.llm.store import stage
-from filewright.llm.text import mix, text_chunks
+from filewright.llm.text import mix, text_chunks, trimmed
 
 SEQUENCE = 2048
 END_ID = 1
@@ -27,7 +27,7 @@ DIMENSIONS = 4
 CELL_BITS = 8
 BUCKETS = 1024
 SEED = 7
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def projection(buckets: int, dimensions: int) -> np.ndarray:
@@ -178,7 +178,7 @@ def pack(
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     encoded = stage(
-        narrow.mapInArrow(_encode(tokenizer), f"id {kind}, tokens binary, n bigint, point array<double>"), "tokens"
+        narrow.mapInArrow(trimmed(_encode(tokenizer)), f"id {kind}, tokens binary, n bigint, point array<double>"), "tokens"
     )
     places = range(DIMENSIONS)
     moments = encoded.agg(
@@ -186,14 +186,14 @@ def pack(
     ).first()
     means = np.array([moments[f"avg{j}"] or 0.0 for j in places])
     spreads = np.array([moments[f"stddev_pop{j}"] or 1.0 for j in places])
-    keyed = encoded.mapInArrow(_keyed(means, spreads), f"id {kind}, tokens binary, n bigint, curve bigint")
+    keyed = encoded.mapInArrow(trimmed(_keyed(means, spreads)), f"id {kind}, tokens binary, n bigint, curve bigint")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = keyed.repartitionByRange(parts, "curve", "id", "n").sortWithinPartitions("curve", "id", "n")
     schema = f"id {kind}, tokens binary, n bigint, curve bigint, part int, before bigint"
-    chained = stage(ordered.mapInArrow(_chained, schema), "curve-order")
+    chained = stage(ordered.mapInArrow(trimmed(_chained), schema), "curve-order")
     befores, total = {}, 0
     for row in chained.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row per partition
         befores[row["part"]], total = total, total + row["n"]
     made = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, curve bigint"
     cut = _cut(befores, sequence, token_type(Encoder(tokenizer).size), with_tokens)
-    return chained.mapInArrow(cut, made + (", ids array<int>" if with_tokens else ""))
+    return chained.mapInArrow(trimmed(cut), made + (", ids array<int>" if with_tokens else ""))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filewright.llm.store import may_match, stage
+from filewright.llm.text import trimmed
 
 MAX_TRAINING_TEXTS = 20_000
 STEMS = range(4, 9)
@@ -202,7 +203,7 @@ def learn_lexicon(texts: DataFrame) -> dict[str, tuple[int, float]]:
     many keys are tried; keys under a shorter stem that is taken are left out. Then the
     texts that the keys explain are set aside, and the rest are tried again.
     """
-    scanned = stage(texts.mapInArrow(_stems, "number bigint, signatures array<bigint>, toxic int, keys array<string>"), "stems")
+    scanned = stage(texts.mapInArrow(trimmed(_stems), "number bigint, signatures array<bigint>, toxic int, keys array<string>"), "stems")
     kept = stage(_kept(scanned), "kept-stems")
     totals = kept.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     count, toxic = totals["n"], totals["toxic"] or 0
@@ -297,15 +298,16 @@ class Model:
                 rows = np.array([grammar.features(text) for text in texts], float).reshape(len(texts), len(FEATURES))
                 yield pd.Series(1 / (1 + np.exp(-np.clip(rows @ weights, -30, 30))))
 
-        scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return F.pandas_udf(scored, "double")(text)
+        run = trimmed(scored)
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(run, "double")(text)
 
 
 def train(texts: DataFrame) -> Model:
     """A model from (number, text, toxic). Without texts of both labels, the known words and prior weights hold."""
     texts = stage(texts, "toxicity-training")
     lexicon = learn_lexicon(texts)
-    rows = texts.mapInArrow(_features(lexicon), "features array<double>, toxic int").toPandas()
+    rows = texts.mapInArrow(trimmed(_features(lexicon)), "features array<double>, toxic int").toPandas()
     if not 0 < rows["toxic"].sum() < len(rows):
         return Model(lexicon, PRIOR.copy())
     return Model(lexicon, fit_weights(np.stack(rows["features"].to_numpy()), rows["toxic"].to_numpy(float)))

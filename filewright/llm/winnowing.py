@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filewright.llm.store import stage
-from filewright.llm.text import mix, powers, text_chunks
+from filewright.llm.text import mix, powers, text_chunks, trimmed
 
 WINDOW = 10
 GRAM = 5
@@ -129,7 +129,7 @@ def _scanned(rows: DataFrame, id_col: str, text_col: str, lengths: list[int] | N
     narrow = rows.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest")
     )
-    return narrow.mapInArrow(_scan(lengths, table), f"id {kind}, digest bigint, n_words bigint, {WINDOWS}")
+    return narrow.mapInArrow(trimmed(_scan(lengths, table)), f"id {kind}, digest bigint, n_words bigint, {WINDOWS}")
 
 
 def _bit_table(kept: DataFrame) -> np.ndarray:
