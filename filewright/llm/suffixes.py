@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filewright.llm.store import attach, may_match, stage
-from filewright.llm.text import mix, powers, text_bytes
+from filewright.llm.text import mix, powers, text_bytes, trimmed
 
 LENGTH = 400
 GRAM = 128
@@ -316,8 +316,9 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     owner = f"id {kind}, digest bigint"
     schema = f"{owner}, start bigint, runs int, place int, anchor bigint, segment binary"
-    every = stage(rows.select("id", "text", "digest").mapInArrow(_anchored, schema), "anchors")
-    often = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    every = stage(rows.select("id", "text", "digest").mapInArrow(trimmed(_anchored), schema), "anchors")
+    # Stored, so that both sides of the join are plain shuffles, whose hot partitions adaptive execution splits.
+    often = stage(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     wanted = stage(every.join(often, "anchor", "left_semi"), "repeated-anchors")
     segments = stage(
         wanted.groupBy("anchor", "segment").agg(
@@ -328,7 +329,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     # All strings of a segment with copies repeat. Only anchors with several distinct segments need their bytes.
     whole = wanted.join(segments.where("copies > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
     whole = whole.select("id", "digest", F.col("start").alias("low"), F.expr(f"start + runs + {LENGTH - 1}").alias("high"))
-    variants = segments.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
+    variants = stage(segments.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1"), "variants")
     mixed = stage(segments.join(variants, "anchor").select("first.*", "anchor", "segment", "copies", "variants"), "mixed")
     size = mixed.agg(F.sum(F.col("runs") + LENGTH - 1)).first()[0] or 0
     shards = max(-(-size // SHARD_BYTES), 1)
@@ -341,7 +342,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     texts = may_match(rows.select("id", "digest", "text"), ["id", "digest"], mixed, ["id", "digest"])
     sources = texts.join(listed, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))).select("text", "wanted")
     cut = sources.mapInArrow(
-        _cut_out,
+        trimmed(_cut_out),
         f"{owner}, start bigint, runs int, place int, copies bigint, anchor bigint, segment binary, shard bigint, parts int, bytes binary",
     )
     found = "array<struct<low:bigint,high:bigint>>"
@@ -370,4 +371,4 @@ def remove_repeats(
     spans = repeated_spans(rows).withColumnsRenamed({"id": "i", "digest": "d"})
     joined = attach(rows, ["id", "digest"], spans, ["i", "d"])
     schema = f"id {kind}, {RESULT}" + (", kept binary" if with_text else "")
-    return joined.select("id", "text", "spans").mapInArrow(_removed(with_text), schema)
+    return joined.select("id", "text", "spans").mapInArrow(trimmed(_removed(with_text)), schema)
