@@ -56,10 +56,15 @@ def classification_prompt(
     )
 
 
-def taxonomy_text(index: DataFrame) -> DataFrame:
-    """The taxonomy as one line of text, ``a: b, c; d: e``, in one row."""
-    entry = F.concat_ws(": ", "category_l1", F.concat_ws(", ", "category_l2"))
-    lines = index.select(entry.alias("entry"))
+def taxonomy_text(index: DataFrame, limit: int) -> DataFrame:
+    """The taxonomy as one line of text, ``a: b, c; d: e``, in one row.
+
+    Models may invent categories without end, so only the ``limit`` with the most subcategories
+    are named, and of each as many subcategories.
+    """
+    largest = index.orderBy(F.size("category_l2").desc(), "category_l1").limit(limit)
+    entry = F.concat_ws(": ", "category_l1", F.concat_ws(", ", F.slice("category_l2", 1, limit)))
+    lines = largest.select(entry.alias("entry"))
     return lines.agg(F.concat_ws("; ", F.sort_array(F.collect_list("entry"))).alias("taxonomy"))
 
 

@@ -22,7 +22,7 @@ def build_prompts(documents: DataFrame, taxonomy: DataFrame, settings: Settings)
 
     The taxonomy is a single value that goes into every prompt.
     """
-    line = taxonomy_text(taxonomy_index(taxonomy)).scalar()
+    line = taxonomy_text(taxonomy_index(taxonomy), settings.prompt_folders).scalar()
     text, name, path = F.col("extracted_text"), F.col("filename"), F.col("source_path")
     rows = documents.withColumn("reading", understanding_fallback("facts"))
     return rows.select(

@@ -45,6 +45,7 @@ TECHNICAL_FOLDERS = (NEEDS_REVIEW, UNSUPPORTED, DUPLICATES, FAILED_EXTRACTION)
 
 @dataclass(frozen=True)
 class Settings:
+    # The defaults up to the aliases.
     organized_dir: str = "/organized"
     ignore_dirs: tuple[str, ...] = (UNPROCESSED, IGNORED)
     technical_folders: tuple[str, ...] = TECHNICAL_FOLDERS
@@ -67,6 +68,8 @@ class Settings:
     # True reads "False", "no" and "0" in a model answer as false. By default
     # every non-empty string is true.
     parse_bool_strings: bool = False
+    # How many folders a prompt names, and how many subfolders of each.
+    prompt_folders: int = 1_000
     # A key with more rows than this is split over several tasks.
     hot_rows: int = 1_000_000
 

@@ -14,6 +14,7 @@ from filewright.workload import corpus
 
 SPACE = "'" + WHITESPACE + "'"
 SETTINGS = corpus.SETTINGS
+# Fixed values once more: rules, words and folder names as the given settings have them.
 NOT_WORD = r"($|[^\p{L}\p{N}_])"
 RULES = (
     (r"invoice|receipt|bill|nota fiscal|boleto", "Finance", "Invoices", 0.92, "Matched finance rule"),
