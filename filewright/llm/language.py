@@ -25,6 +25,7 @@ GRAMS = (2, 3, 4)
 CENTROIDS = 3
 ROUNDS = 10
 MAX_TEXTS = 400  # a language, chosen by a hash of the id
+PARTS = 64
 REJECT_SHARE = 0.01
 UNKNOWN = "und"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -136,11 +137,12 @@ def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, l
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     rows = rows.withColumn("number", F.xxhash64(F.lit("language"), "id"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * limit) / F.col("rows"))
-    drawn = rows.select("lang", "id", "number").join(sizes, "lang").where(F.pmod("number", F.lit(1 << 20)) < share * (1 << 20))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("number", "id"))
-    drawn = drawn.withColumn("place", first).where(F.col("place") <= limit).select("lang", "id")
+    # The least hashes of a language are among the least of each of its parts, so no task reads a whole language.
+    drawn = rows.select("lang", "id", "number", F.pmod("number", F.lit(PARTS)).alias("part"))
+    for keys in (("lang", "part"), ("lang",)):
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy("number", "id"))
+        drawn = drawn.withColumn("place", first).where(F.col("place") <= limit).drop("place")
+    drawn = drawn.select("lang", "id")
     drawn = stage(drawn, "language-sample")
     texts = may_match(rows.select("lang", "text", "id"), ["lang", "id"], drawn, ["lang", "id"])
     return texts.join(drawn, ["lang", "id"], "left_semi").select("lang", "text")
