@@ -34,7 +34,7 @@ CLASS[65:91] = CLASS[97:123] = LETTER
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LATIN = 0xC3  # first byte of the letters from U+00C0 to U+00FF; two of these are signs
-KNOWN_PIECES = 250_000
+KNOWN_PIECES = 100_000
 BASE = 0x9E3779B97F4A7C15
 
 

@@ -27,7 +27,7 @@ DIMENSIONS = 4
 CELL_BITS = 8
 BUCKETS = 1024
 SEED = 7
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def projection(buckets: int, dimensions: int) -> np.ndarray:

@@ -24,11 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/filewright-llm"
 
 
+BATCH_ROWS = 1_000  # texts are long, so fewer go in an Arrow batch than Spark's default
+
+
 def stage(rows: DataFrame, name: str) -> DataFrame:
     """Write rows once and read them back: a lost executor then costs a re-read of files."""
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_ROWS))
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(rows.schema).parquet(path)
 
 
