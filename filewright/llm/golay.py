@@ -160,9 +160,9 @@ def near_duplicates(
 # Near copies by similarity: links between texts whose sets of word shingles have at least this Jaccard similarity.
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
 SIMILAR_SEEDS = (42, 43)
-# At that similarity 9 to 10 of 64 bits differ on average. Pairs go on that are within four deviations of that, in one
-# fingerprint where they meet, and then in all.
-SIMILAR_BITS, ALL_SIMILAR_BITS = 22, 38
+# At that similarity 9 to 10 of 64 bits differ on average. Pairs go on that are within two deviations of that in a
+# fingerprint where they meet, and then within four in all.
+SIMILAR_BITS, ALL_SIMILAR_BITS = 16, 38
 
 
 def _signed(words: int):
