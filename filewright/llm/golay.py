@@ -159,10 +159,10 @@ def near_duplicates(
 
 # Near copies by similarity: links between texts whose sets of word shingles have at least this Jaccard similarity.
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
-SIMILAR_SEEDS = (42, 43)
-# At that similarity 9 to 10 of 64 bits differ on average. Pairs go on that are within two deviations of that in a
-# fingerprint where they meet, and then within four in all.
-SIMILAR_BITS, ALL_SIMILAR_BITS = 16, 38
+SIMILAR_SEEDS = (42, 43, 44, 45)
+# At that similarity 38 of the 256 bits differ on average, and 48 in the smallest sets, of four and five shingles. Pairs
+# go on that are within four deviations of the latter; of unlike texts half of the bits differ.
+SIMILAR_BITS = 73
 
 
 def _signed(words: int):
@@ -182,30 +182,46 @@ def _signed(words: int):
     return made
 
 
-def _similar_keys(every: bool):
-    """(key, node, fp) for pairs of codewords of two segments of each fingerprint: the nearest ones, or all that are near."""
+def _similar_keys(k: int):
+    """(key, node, size, fp...) for all pairs of near codewords of two segments of fingerprint ``k``; the rows of a node lie together."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
-                nodes = part.column(0).to_numpy()
-                for k in range(len(SIMILAR_SEEDS)):
-                    values = part.column(1 + k).to_numpy()
-                    found = [codewords(values >> shift & (1 << width) - 1) for shift, width in SEGMENTS]
-                    found = found if every else [near[:, :1] for near in found]
-                    for at, (left, right) in enumerate(PAIRS):
-                        key = (found[left][:, :, None] << 12 | found[right][:, None, :]) | (k * len(PAIRS) + at) << 24
-                        valid = (found[left] >= 0)[:, :, None] & (found[right] >= 0)[:, None, :]
-                        owner = np.broadcast_to(np.arange(len(values))[:, None, None], key.shape)[valid]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(key[valid].astype(np.int32)), pa.array(nodes[owner]), pa.array(values[owner])],
-                            ["key", "node", "fp"],
-                        )
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                values = part.column(2 + k).to_numpy()
+                found = [codewords(values >> shift & (1 << width) - 1) for shift, width in SEGMENTS]
+                keys, valid = [], []
+                for at, (left, right) in enumerate(PAIRS):
+                    key = (found[left][:, :, None] << 12 | found[right][:, None, :]) | at << 24
+                    keys.append(key.reshape(len(values), -1))
+                    valid.append(((found[left] >= 0)[:, :, None] & (found[right] >= 0)[:, None, :]).reshape(len(values), -1))
+                near = np.concatenate(valid, axis=1)
+                owner = pa.array(np.nonzero(near)[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys, axis=1)[near].astype(np.int32)), *(c.take(owner) for c in part.columns)],
+                    ["key", *part.schema.names],
+                )
 
     return made
 
 
+def _similar_candidates(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b) of texts of like size whose fingerprints differ in few bits in all, found by each fingerprint in turn."""
+    worded = nodes.where("size > 0").select("node", "size", *names)
+    schema = "key int, node bigint, size bigint, " + ", ".join(f"{name} bigint" for name in names)
+    bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"other_{n}"))) for n in names), F.lit(0))
+    sizes = F.least("size", "other_size") >= SIMILARITY * F.greatest("size", "other_size")
+    pairs = None
+    for k in range(len(names)):
+        keys = worded.mapInArrow(trimmed(_similar_keys(k)), schema)
+        other = keys.withColumnsRenamed({c: f"other_{c}" for c in ("node", "size", *names)})
+        met = keys.join(other, "key").where((F.col("node") > F.col("other_node")) & (bits <= SIMILAR_BITS) & sizes)
+        met = stage(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), f"similar-pairs-{k}")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs.distinct()
+
+
 def _shingle_hashes(words: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +241,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8; texts without a word are
     copies of each other. ``kept`` says whether the text stays for its group, ``least`` is the id of the row that
     stays then, and ``repeats`` says how often that row is there. Candidates meet in a pair of near
-    codewords, which finds nearly all close copies and fewer at the bound; each is verified on the whole texts.
+    codewords of one of four fingerprints, which misses few pairs even at the bound; each is verified on the whole texts.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
@@ -243,20 +259,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id()),
         "texts",
     )
-    worded = nodes.where("size > 0").select("node", *names)
-    filed = worded.mapInArrow(trimmed(_similar_keys(False)), "key int, node bigint, fp bigint")
-    sought = worded.mapInArrow(trimmed(_similar_keys(True)), "key int, node bigint, fp bigint")
-    filed = filed.withColumnsRenamed({"node": "b", "fp": "other"})
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= SIMILAR_BITS
-    met = sought.withColumnRenamed("node", "a").join(filed, "key").where((F.col("a") != F.col("b")) & near)
-    met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    about = nodes.select("node", "size", *names)
-    both = met.join(about.withColumnRenamed("node", "a"), "a").join(
-        about.withColumnsRenamed({"node": "b", "size": "other_size", **{n: f"other_{n}" for n in names}}), "b"
-    )
-    bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"other_{n}"))) for n in names), F.lit(0))
-    sizes = F.least("size", "other_size") >= SIMILARITY * F.greatest("size", "other_size")
-    pairs = stage(both.where(sizes & (bits <= ALL_SIMILAR_BITS)).select("a", "b"), "similar-pairs")
+    pairs = stage(_similar_candidates(nodes, names), "similar-pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stage(ends.join(nodes.select("node", "digest", "first.id"), "node"), "similar-texts")
     texts = may_match(rows.select("id", "text", "digest"), ["digest"], wanted, ["digest"])

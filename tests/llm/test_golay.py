@@ -107,3 +107,32 @@ def test_one_of_each_keeps_the_least_id_of_copies_and_near_copies(spark):
         [(2, " ".join(near)), (1, " ".join(far)), (7, "short"), (6, ""), (0, "alone")]
     )
     assert golay.one_of_each(no_documents(spark)).count() == 0
+
+
+def test_near_copies_are_found_down_to_the_bound(spark):
+    rng = random.Random(13)
+
+    def jaccard(one, other):
+        one, other = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (one, other))
+        return len(one & other) / len(one | other)
+
+    rows, wanted = [], {}
+    for number in range(400):
+        base = words_of(rng, rng.randint(40, 250))
+        copy = base
+        low = rng.uniform(0.8, 0.95)
+        while True:
+            changed = list(copy)
+            changed[rng.randrange(len(base))] = f"z{rng.random()}"
+            if jaccard(base, changed) < low:
+                break
+            copy = changed
+        rows += [(2 * number, " ".join(base)), (2 * number + 1, " ".join(copy))]
+        if copy != base:
+            wanted[2 * number + 1] = jaccard(base, copy)
+    assert len(wanted) > 300 and sum(j < 0.87 for j in wanted.values()) > 100
+    kept = {r["doc_id"] for r in golay.one_of_each(odd_documents(spark, rows)).collect()}
+    assert {2 * number for number in range(400)} <= kept
+    for low, high in ((0.8, 0.87), (0.87, 1)):
+        near = [i for i, j in wanted.items() if low <= j < high]
+        assert sum(i not in kept for i in near) >= 0.98 * len(near)
