@@ -32,6 +32,9 @@ NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 
 # Elements of HTML, by how they bound text.
 RAW = set("script style noscript template iframe svg math object canvas audio video head title textarea select".split())
+# Those whose text runs to the end of a page that does not end them, and what may be inside a head.
+TO_THE_END = set("script style textarea title".split())
+IN_HEAD = set("html head title base basefont bgsound link meta script style noscript noframes template".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -69,6 +72,8 @@ def blocks(page: str) -> list[tuple[str, frozenset, float]]:
     pieces: list[str] = []
     linked = 0
     memory: dict[tuple, frozenset] = {}
+    in_head = False
+    unended: set[str] = set()
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -89,9 +94,12 @@ def blocks(page: str) -> list[tuple[str, frozenset, float]]:
                 return
 
     def text_to(end: int) -> None:
-        nonlocal linked
+        nonlocal linked, in_head
         if end > at:
             piece = page[at:end]
+            if in_head and not piece.strip():
+                return
+            in_head = False
             if "&" in piece:
                 piece = html.unescape(piece)
             pieces.append(piece)
@@ -112,6 +120,8 @@ def blocks(page: str) -> list[tuple[str, frozenset, float]]:
         name = name.lower()
         ending = bool(found.group(1) or found.group(4))
         attributes = found.group(3) or found.group(6) or ""
+        if in_head:
+            in_head = name not in ("head", "body", "html", "br") if ending else name in IN_HEAD
         if name in BLOCKS:
             flush()
         elif name == "br":
@@ -121,9 +131,16 @@ def blocks(page: str) -> list[tuple[str, frozenset, float]]:
                 shut({name}, set())
             continue
         if name in RAW:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            if attributes.endswith("/") or name in unended:
+                continue
+            if name == "head":
+                in_head = True
+                continue
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            if end or name in TO_THE_END:
                 at = end.end() if end else len(page)
+            else:
+                unended.add(name)
             continue
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue

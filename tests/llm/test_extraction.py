@@ -57,3 +57,24 @@ def test_best_chain_is_the_best_of_all_chains(field):
 
     chains = [[n >> k & 1 for k in range(len(page))] for n in range(1 << len(page))]
     assert value([int(s) for s in field.decode(page)]) == pytest.approx(max(map(value, chains)))
+
+
+def texts_of(page):
+    return [text for text, _, _ in extraction.blocks(page)]
+
+
+def test_a_head_without_an_end_tag_ends_where_the_body_begins():
+    top = "<html><head><meta charset=utf-8><title>name</title><style>p {}</style><script>a()</script>"
+    for middle in ("<body>", "", "</head>", "</head><body>", "\n<noscript><img src=x></noscript>\n<link rel=x>\n", "<template>row", "<base></link>"):
+        assert texts_of(f"{top}{middle}<article><p>one<p>two</article>")[-2:] == ["one", "two"]
+    assert texts_of(f"{top}<svg><text>drawn</text></svg>plain<p>one") == ["plain", "one"]
+    assert texts_of(f"{top}</head><p>one") == texts_of(f"{top}\n<body><p>one") == texts_of("<head/><p>one") == ["one"]
+    assert texts_of("<head><title>never ended<p>one") == []
+
+
+def test_a_skipped_element_without_an_end_tag_loses_no_later_text():
+    for name in sorted(extraction.RAW - {"head"}):
+        later = [] if name in ("script", "style", "textarea", "title") else ["one", "two"]
+        assert texts_of(f"<body><p>zero</p><{name}><p>one</p><p>two</p>") == ["zero", *later]
+        assert texts_of(f"<body><p>zero</p><{name}>skipped</{name}><p>one</p><{name}><p>two</p>") == ["zero", "one", *later[1:]]
+    assert len(texts_of("<svg><p>x</p>" * 20_000)) == 20_000
