@@ -28,7 +28,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 # Wider patterns, one alternation; the shape of a match tells its kind.
-SECRET = r"(?<=(?:token|secret|passwd|password|api_key|apikey)[\x20]{0,2}[=:][\x20]{0,2}[\"']?)[A-Za-z0-9_/+-]{16,200}"
+SECRET = r"(?<=(?:token|secret|passwd|password|api_key|apikey)[\x20]{0,2}[=:][\x20]{0,2}[\"']?)[A-Za-z0-9_/+-]{16,}+"
 WRITTEN_MAIL = r"[A-Za-z0-9_%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}){1,4}"
 LOCAL_PHONE = r"(?<![0-9+(.-])(?<!\+[0-9]{1,3}[ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])"
 NUMBERED = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b"

@@ -109,3 +109,11 @@ def test_reliabilities_of_labelers(spark):
     assert row["chance"] == pytest.approx(60 / 190, abs=0.08)
     found = dict(zip(pii.LABELERS, row["reliable"]))
     assert found["checksum"] > found["format"] > 0.8
+
+
+def test_a_long_secret_is_taken_whole(spark):
+    secret = "".join(random.Random(4).choices("abcdefghijkLMNOPQRSTUV/+-", k=1000))
+    rows = [(k, f"words token={secret} and more words {k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(spans == [("secret", 12, 1012)] for _, _, spans in run(docs))
+    assert {r["text"] for r in pii.masked(docs).collect()} == {f"words token=<secret> and more words {k}" for k in range(20)}
