@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import crosspolytope, extraction, golay, language, packing, pii, sharding, suffixes, toxicity, winnowing
+from filewright.llm import crosspolytope, extraction, golay, language, order_minhash, packing, pii, sharding, suffixes, toxicity, winnowing
 
 
 def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), text.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = order_minhash.edited(_table(spark, folder, "documents", "doc_id", "text"))
+    return order_minhash.digest(found).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_extraction": op9_extraction,
     "op10_simhash": op10_simhash,
+    "op11_order_minhash": op11_order_minhash,
 }
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

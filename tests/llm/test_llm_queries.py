@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op9_extraction": {"page_id", "url", "text", "n_chars"},
     "op10_simhash": {"doc_id", "fingerprint", "component_id"},
+    "op11_order_minhash": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
 }
 
 
