@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import crosspolytope, extraction, golay, language, order_minhash, packing, pii, sharding, suffixes, toxicity, winnowing
+from filewright.llm import crosspolytope, extraction, golay, language, order_minhash, packing, pii, repair, sharding, suffixes, toxicity, winnowing
 
 
 def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op11_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.digest(found).withColumnRenamed("id", "doc_id")
 
 
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.damage_summary(_table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
@@ -84,11 +88,98 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_extraction": op9_extraction,
     "op10_simhash": op10_simhash,
     "op11_order_minhash": op11_order_minhash,
+    "op12_repair": op12_repair,
 }
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+BLANK = r"[\x20\x09-\x0D]"
+
+
+def _least(*offers: str) -> str:
+    """The cheapest edits of several, the least audit among equal costs."""
+    return f"list_sort([{', '.join(offers)}], 'ASC', 'NULLS LAST')[1]"
+
+
+def _edit(state: str, when: str, cost: str, letter: str, line: str = "''") -> str:
+    """The edits up to ``state`` and one more, if there are any and it is allowed."""
+    more = f"{{'c': ({state}).c + ({cost}), 'a': ({state}).a || '{letter}', 'o': ({state}).o || {line}}}"
+    return f"CASE WHEN ({state}) IS NOT NULL AND ({when}) THEN {more} END"
+
+
+def _turn(state: str, initial: str, role: str) -> str:
+    """A turn after ``state`` that has or gets a role."""
+    keep = _edit(state, f"may AND initial = '{initial}'", "cut", "K", "chr(10) || role || ':' || text")
+    if initial == "s":
+        return keep
+    return _least(keep, _edit(state, "may", "3 + cut", "R", f"chr(10) || '{role}:' || text"))
+
+
+def _insert(state: str, role: str) -> str:
+    return _edit(state, "true", "3", "I", f"chr(10) || '{role}:'")
+
+
+_DROP = ("true", "4", "D")
+REPAIR_SQL = f"""
+WITH RECURSIVE raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+    FROM conversations
+), faulty AS (
+    SELECT *, xor(4294967295, list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    )) % 20 AS f FROM raw
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+        CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE f WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM faulty
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k,
+        regexp_replace(text, '{BLANK}+$', '') AS seen FROM damaged
+), marked AS (
+    SELECT *, seen = '' AS blank, seen <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again FROM numbered
+), messages AS (
+    SELECT conv_id, k, turn, role, text, left(role, 1) AS initial, blank, again, NOT blank AND NOT again AS may,
+        NOT blank AND NOT again AND right(seen, 1) NOT IN ('.', '!', '?') AS truncated,
+        CASE WHEN right(seen, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS cut,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS previous
+    FROM marked
+), counted AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count_if(blank) AS blank, count_if(again) AS duplicate, count_if(truncated) AS truncated,
+        count_if(previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM messages GROUP BY conv_id
+), walk(conv_id, k, x0, x1, x2, x3) AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {{'c': 0, 'a': '', 'o': ''}}, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, o VARCHAR)),
+        CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, o VARCHAR)), CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, o VARCHAR))
+    FROM messages
+    UNION ALL
+    SELECT conv_id, k, {_edit("x0", *_DROP)}, {_least(_edit("x1", *_DROP), _turn("x0", "s", ""))},
+        {_least(_edit("z2", *_DROP), _turn("x0", "u", "user"), _turn("x1", "u", "user"), _turn("z3", "u", "user"))},
+        {_least(_edit("z3", *_DROP), _turn("z2", "a", "assistant"))}
+    FROM (
+        SELECT *, {_least("x3", _insert("z2", "assistant"))} AS z3
+        FROM (
+            SELECT m.conv_id, m.k, m.role, m.text, m.initial, m.may, m.cut, x0, x1, x3,
+                {_least("x2", _insert("x0", "user"), _insert("x1", "user"), _insert("x3", "user"))} AS z2
+            FROM walk AS w JOIN messages AS m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.k = w.k + 1
+        )
+    )
+), ended AS (
+    SELECT c.*, {_least("x0", "x3", _insert("x2", "assistant"), _insert(_insert("x1", "user"), "assistant"))} AS best
+    FROM walk AS w JOIN counted AS c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.k
+)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+    CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+    CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit,
+    sha256(coalesce(substr(best.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS i LEFT JOIN ended AS e ON e.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_repair": REPAIR_SQL,
     "op3_crosspolytope": f"""
 WITH RECURSIVE v AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -138,4 +229,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
     n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
-}
+}
\ No newline at end of file
