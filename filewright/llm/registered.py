@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import crosspolytope, extraction, golay, language, order_minhash, packing, pii, repair, sharding, suffixes, toxicity, winnowing
+from filewright.llm import blocking, crosspolytope, extraction, golay, language, order_minhash, packing, pii, repair, sharding, suffixes, toxicity, winnowing
 
 
 def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -76,6 +76,12 @@ def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.damage_summary(_table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op13_blocking(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    ranked = blocking.rank(docs, _table(spark, folder, "benchmark", "item_id", "text"))
+    return ranked.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
@@ -89,10 +95,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_order_minhash": op11_order_minhash,
     "op12_repair": op12_repair,
+    "op13_blocking": op13_blocking,
 }
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+TERMS = WORDS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+
 BLANK = r"[\x20\x09-\x0D]"
 
 
@@ -229,4 +238,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
     n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
-}
\ No newline at end of file
+    "op13_blocking": f"""
+WITH d AS (SELECT doc_id, {TERMS} AS t FROM documents),
+i AS (SELECT DISTINCT item_id, {TERMS} AS t FROM benchmark),
+total AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM d WHERE len(t) > 0),
+asked AS (SELECT DISTINCT item_id, t AS item, unnest(t) AS term FROM i),
+tf AS (SELECT rowid_ AS doc, doc_id, n, term, count(*) AS tf FROM (
+    SELECT row_number() OVER () AS rowid_, doc_id, len(t) AS n, unnest(t) AS term FROM d
+) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+scores AS (
+    SELECT doc, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))) AS score
+    FROM tf JOIN w USING (term), total
+), ranked AS (
+    SELECT item_id, item, doc, doc_id, CAST(sum(score) AS BIGINT) AS score
+    FROM asked JOIN scores USING (term) GROUP BY item_id, item, doc, doc_id HAVING sum(score) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM ranked QUALIFY rank <= 50
+""",
+}
