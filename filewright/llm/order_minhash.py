@@ -24,12 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filewright.llm.store import stage
-
 PIECE = r"[^\x20\x09-\x0D]{1,32}"
 GRAM = 2  # pieces in a k-mer
 TUPLE = 2  # k-mers in a tuple
 SIGNATURES = 64
+PART_BYTES = 1 << 27  # of text in a range of neighbouring documents, by which a longer table gets more ranges
 
 PLACE_BITS = 28  # more than the elements an array can have
 PLACE = (1 << PLACE_BITS) - 1
@@ -118,32 +117,46 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return with_sketch(texts, "text", "sketch")
 
 
-def with_next(rows: DataFrame, order: list[str], follow: list[str]) -> DataFrame:
+def _cuts(keys: DataFrame, parts: int) -> list:
+    """The least key of each range partition of ``keys`` that has rows, in order: at most ``parts`` values."""
+    ranged = keys.repartitionByRange(parts, F.col("key").asc_nulls_first())
+    least = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("key"))
+    return [row.key for row in least.orderBy("part").collect()]
+
+
+def with_next(rows: DataFrame, order: list[str], follow: list[str], size: str | None = None) -> DataFrame:
     """``rows`` with the columns ``next_*`` of the row that follows in ``order``, that of the last being the first row.
 
-    Rows are range-partitioned, so no task orders them all. Within a partition a window looks ahead; the last
-    row of each is joined to the first of the next one, one row a partition.
+    Only the columns of ``order`` are sorted over all tasks, for the cuts between ranges of about
+    ``PART_BYTES`` by the column ``size``. The rows go through one shuffle, to their range, and the first of
+    each range also to the end of the one before; within a range a window looks ahead.
     """
     spark = rows.sparkSession
-    keys = [F.col(name).asc_nulls_first() for name in order]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    sorted_rows = stage(sorted_rows.withColumn("part", F.spark_partition_id()), "in-order")
-    window = Window.partitionBy("part").orderBy(*keys)
-    ahead = sorted_rows.select(
-        "*",
-        F.lead(F.struct(*follow)).over(window).alias("ahead"),
-        F.row_number().over(window).alias("place"),
-    )
+    if size is not None:
+        parts = max(parts, (rows.agg(F.sum(size)).first()[0] or 0) // PART_BYTES)
+    key = F.struct(*order)
+    cuts = _cuts(rows.select(key.alias("key")), parts)
+    if not cuts:
+        return rows.select("*", *[F.col(name).alias(f"next_{name}") for name in follow])
+    kind = rows.select(key.alias("key")).schema["key"].dataType
+    bounds = F.array(*[F.struct(*[F.lit(cut[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields]) for cut in cuts])
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(len(cuts).bit_length()))])
+
+    def farther(at: Column, step: Column) -> Column:
+        fits = (at + step < len(cuts)) & (F.get(bounds, F.least(at + step, F.lit(len(cuts) - 1))) <= key)
+        return F.when(fits, at + step).otherwise(at)
+
+    part = F.aggregate(steps, F.lit(0), farther)
+    before = F.pmod(F.col("part") + len(cuts) - 1, F.lit(len(cuts))).cast("int")
+    own = F.struct(F.col("part"), F.lit(False).alias("copy"))
+    copy = F.struct(before.alias("part"), F.lit(True).alias("copy"))
+    first = F.get(bounds, F.col("part")) == key
+    dealt = rows.withColumn("part", part).withColumn("goes", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
+    window = Window.partitionBy("goes.part").orderBy("goes.copy", *[F.col(name).asc_nulls_first() for name in order])
+    ahead = dealt.select("*", F.lead(F.struct(*follow)).over(window).alias("ahead"))
     names = [F.col(f"ahead.{name}").alias(f"next_{name}") for name in follow]
-    inner = ahead.where("ahead IS NOT NULL").select(*rows.columns, *names)
-
-    ends = sorted_rows.groupBy("part").agg(F.count("*").alias("place"))
-    line = Window.orderBy("part")  # one row a partition
-    ends = ends.select("part", "place", F.coalesce(F.lead("part").over(line), F.min("part").over(line)).alias("next_part"))
-    firsts = ahead.where("place = 1").select(F.col("part").alias("next_part"), *[F.col(n).alias(f"next_{n}") for n in follow])
-    lasts = ahead.where("ahead IS NULL").drop("ahead").join(ends.drop("place"), "part").join(firsts, "next_part")
-    return inner.unionByName(lasts.select(*rows.columns, *[f"next_{name}" for name in follow]))
+    return ahead.where("NOT goes.copy").select(*rows.columns, *names)
 
 
 def halves_swapped(text: str, following: str) -> Column:
@@ -154,8 +167,9 @@ def halves_swapped(text: str, following: str) -> Column:
 
 def edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, text, sketch, edited_text, edited_sketch, next_sketch): each text beside an edited one and the next one."""
-    rows = fingerprints(docs, id_column, text_column).withColumn("digest", F.xxhash64("text"))
-    rows = with_next(rows, ["id", "digest", "text"], ["text", "sketch"])
+    rows = fingerprints(docs, id_column, text_column)
+    rows = rows.withColumn("digest", F.xxhash64("text")).withColumn("size", F.octet_length("text").cast("bigint"))
+    rows = with_next(rows, ["id", "digest"], ["text", "sketch"], "size")
     rows = rows.select("id", "text", "sketch", halves_swapped("text", "next_text").alias("edited_text"), "next_sketch")
     return with_sketch(rows, "edited_text", "edited_sketch")
 
