@@ -2,44 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filewright.functions.paths import extension_of, name_of
 from filewright.functions.text import decode_text, quality_score, strip
-from filewright.sources.tables import empty_table
 from filewright.sources.filetypes import EXTERNAL_EXTRACTORS, extractor_name, mime_type, unsupported_error
+from filewright.sources.inbox_source import Inbox
 
-_BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+def scan_inbox(spark: SparkSession, folder: str, only_filename: str | None = None, slices: int | None = None) -> DataFrame:
+    """Plain files directly inside a folder but dot-files, whatever their names; none if it is missing.
 
-
-def scan_inbox(spark: SparkSession, folder: str, only_filename: str | None = None) -> DataFrame:
-    """Plain files directly inside a folder but dot-files; none if it is missing.
-
-    A file that the reader passes over for its name is a row without content.
+    The folder is walked and read by ``slices`` tasks. A file that cannot be read is a row without content.
     """
-    try:
-        found = spark.read.format("binaryFile").load(folder)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        found = empty_table(spark, _BINARY)
-    found = found.select("path", "length", "content").unionByName(_hidden_from_reader(spark, folder))
-    name = name_of(F.col("path"))
-    kept = found.where(~name.startswith("."))
+    spark.dataSource.register(Inbox)
+    count = slices or 4 * spark.sparkContext.defaultParallelism
+    kept = spark.read.format("inbox").option("slices", str(count)).load(folder)
     if only_filename is not None:
-        kept = kept.where(name == only_filename)
-    return kept.select(F.col("path").alias("source_path"), F.col("length").alias("file_size"), "content")
+        kept = kept.where(name_of(F.col("source_path")) == only_filename)
+    return kept.select("source_path", "file_size", "content")
 
 
-def _hidden_from_reader(spark: SparkSession, folder: str) -> DataFrame:
-    """Files whose names the reader leaves out without a word, with their sizes but without content."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(folder, "{_*,*._COPYING_}")
-    listed = pattern.getFileSystem(conf).globStatus(pattern) or []
-    rows = [(status.getPath().toString(), status.getLen(), None) for status in listed if status.isFile()]
-    return spark.createDataFrame(rows, "path STRING, length BIGINT, content BINARY")
+def inbox_stream(spark: SparkSession, folder: str, slices: int | None = None, settle: float = 1.0) -> DataFrame:
+    """The files of a folder as they arrive, with the columns of ``scan_inbox``.
+
+    Its offsets are arrival times and are kept in the checkpoint of the query, so a restarted query goes on
+    after the last file. A file is given once it is ``settle`` seconds old.
+    """
+    spark.dataSource.register(Inbox)
+    count = slices or 4 * spark.sparkContext.defaultParallelism
+    reader = spark.readStream.format("inbox").option("slices", str(count)).option("settle", str(settle))
+    return reader.load(folder).select("source_path", "file_size", "content")
 
 
 def first_files(files: DataFrame, limit: int) -> DataFrame:

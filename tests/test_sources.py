@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 from filewright import schemas
 from filewright.sources.extraction import files_from_binary
 from filewright.sources.filetypes import extractor_name, mime_type
-from filewright.sources.inbox import first_files, scan_inbox
+from filewright.sources import inbox_source
+from filewright.sources.inbox import first_files, inbox_stream, scan_inbox
 from filewright.sources.labels import load_labels, locate_labels
 from filewright.sources.tables import load_table, materialize, shared_folder, work_folder
 
@@ -23,13 +25,66 @@ def test_inbox_scan(spark, tmp_path):
     names = sorted(row.source_path.rsplit("/", 1)[1] for row in found.collect())
     assert names == ["_plan.txt", "a.txt", "b.txt", "x._COPYING_"]
     skipped = found.where(F.col("source_path").endswith("_plan.txt")).first()
-    assert (skipped.file_size, skipped.content) == (len("under a name the reader skips"), None)
+    assert (skipped.file_size, bytes(skipped.content)) == (29, b"under a name the reader skips")
+    assert sorted(bytes(row.content) for row in found.collect()) == [b"a", b"b", b"half", b"under a name the reader skips"]
     assert scan_inbox(spark, str(tmp_path), only_filename="b.txt").count() == 1
     assert first_files(found, 2).count() == 2
     assert first_files(found, 1).first().source_path.endswith("_plan.txt")
     assert scan_inbox(spark, str(tmp_path / "missing")).count() == 0
 
 
+def test_inbox_slices_hold_each_file_once(spark, tmp_path):
+    for number in range(200):
+        (tmp_path / f"{'_' * (number % 3)}f{number}.txt").write_bytes(bytes([number]) * number)
+    (tmp_path / "broken").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "a b%20c é.txt").write_text("odd name")
+    for slices in (1, 7, 64):
+        found = scan_inbox(spark, f"file://{tmp_path}", slices=slices)
+        assert found.rdd.getNumPartitions() == slices
+        rows = {row.source_path.rsplit("/", 1)[1]: bytes(row.content) for row in found.collect()}
+        assert len(rows) == 201 and rows["a b%20c é.txt"] == b"odd name"
+        assert all(rows[f"{'_' * (n % 3)}f{n}.txt"] == bytes([n]) * n for n in range(200))
+    assert [found.name for found in inbox_source.listed(str(tmp_path / "none"))] == []
+
+
+def test_inbox_file_that_cannot_be_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "big.txt").write_text("12345")
+    monkeypatch.setattr(inbox_source, "LARGEST", 4)
+    part = inbox_source.Slice(0, 1)
+    (batch,) = inbox_source._batches(str(tmp_path), part)
+    assert batch.to_pylist()[0]["content"] is None and batch.to_pylist()[0]["file_size"] == 5
+
+
+def test_inbox_stream_goes_on_after_a_restart(spark, tmp_path):
+    inbox, out = tmp_path / "inbox", tmp_path / "out"
+    inbox.mkdir()
+
+    def run():
+        stream = inbox_stream(spark, str(inbox), slices=3, settle=0)
+        started = (
+            stream.writeStream.format("parquet")
+            .option("path", str(out))
+            .option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        started.awaitTermination()
+        return sorted(bytes(row.content) for row in spark.read.parquet(str(out)).collect())
+
+    (inbox / "_one.txt").write_text("1")
+    (inbox / ".no.txt").write_text("no")
+    assert run() == [b"1"]
+    assert run() == [b"1"]
+    old = tmp_path / "old.txt"
+    old.write_text("2")
+    os.utime(old, (1, 1))
+    old.rename(inbox / "old.txt")  # an old file that is moved in is new here
+    (inbox / "x._COPYING_").write_text("3")
+    assert run() == [b"1", b"2", b"3"]
+    (inbox / "_one.txt").write_text("again")
+    assert run() == [b"1", b"2", b"3", b"again"]
+
+
 def test_extraction_of_each_kind(spark):
     contents = {
         "plain.txt": "  café ".encode(),
