@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from filewright.functions.text import guess_language, quality_score, summary, top_keywords
 from filewright.functions.rules import rule_for_text
+from filewright.operators.history import History
 from filewright.operators.ledger import committed
 from filewright.operators.skew import attach, latest_by
 from filewright.settings import Settings
@@ -110,14 +111,18 @@ def look_up(
     events: DataFrame | None = None,
     decisions: DataFrame | None = None,
     extractions: DataFrame | None = None,
+    history: History | None = None,
 ) -> DataFrame:
     """Add ``copies``, ``first_copy`` and one struct per table given, NULL without a match.
 
-    ``files`` is read twice, for its distinct contents and for the join.
+    ``files`` is read twice, for its distinct contents and for the join. With a ``history`` the earlier
+    filings come from there and ``events`` are not read.
     """
     facts = distinct_contents(files)
     wanted = facts.select("file_hash")
-    if events is not None:
+    if history is not None:
+        facts = facts.join(history.filed(wanted), "file_hash", "left")
+    elif events is not None:
         # Undone rows are told by run and document, so the hashes restrict only what they are taken from.
         facts = facts.join(filed_contents(events, wanted), "file_hash", "left")
     if decisions is not None:

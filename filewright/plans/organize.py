@@ -19,6 +19,7 @@ from filewright.operators.decisions import (
     needs_model,
     typed_answers,
 )
+from filewright.operators.history import History
 from filewright.operators.ledger import closed, committed, event_rows, opened
 from filewright.operators.metrics import document_report, metrics_of_run
 from filewright.operators.routing import destination_folder, destination_path, technical_folder, unique_names
@@ -40,7 +41,7 @@ PLAN = (
 
 @dataclass(frozen=True)
 class Tables:
-    """What a run knows from before. ``taxonomy`` defaults to the folders the events use."""
+    """What a run knows from before. ``taxonomy`` defaults to the folders the events use, ``history`` to the events."""
 
     events: DataFrame
     decisions: DataFrame
@@ -48,9 +49,10 @@ class Tables:
     precomputed: DataFrame
     responses: DataFrame
     taxonomy: DataFrame | None = None
+    history: History | None = None
 
     @staticmethod
-    def empty(spark: SparkSession, **given: DataFrame) -> Tables:
+    def empty(spark: SparkSession, **given: DataFrame | History) -> Tables:
         names = {
             "events": schemas.EVENTS,
             "decisions": schemas.DECISIONS,
@@ -126,7 +128,12 @@ def precomputed_facts(precomputed: DataFrame, run_id: str, settings: Settings) -
 def prepare(described: DataFrame, tables: Tables, run_id: str, settings: Settings) -> DataFrame:
     """Look everything up and choose the text of each file."""
     found = look_up(
-        described, settings, events=tables.events, decisions=tables.decisions, extractions=tables.extractions
+        described,
+        settings,
+        events=tables.events,
+        decisions=tables.decisions,
+        extractions=tables.extractions,
+        history=tables.history,
     )
     return choose_text(found.join(precomputed_facts(tables.precomputed, run_id, settings), "document_id", "left"))
 

@@ -7,10 +7,11 @@ wherever a run takes place, so they are stored here too, once per session.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from filewright.functions.paths import suffix_of, with_number
 from filewright.functions.rules import rule_for_name, rule_for_text, rule_verdict
 from filewright.functions.text import quality_score, strip
 from filewright.operators.routing import destination_folder, destination_path, technical_folder
-from filewright.operators.ledger import closed, opened
+from filewright.operators.ledger import closed, opened, undone_events
 from filewright.plans.organize import Organized, Tables, organize
 from filewright.settings import Run, Settings
 from filewright.sources.inbox import files_from_texts
@@ -208,6 +209,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
+def several_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier filings dealt over five runs; of one run every other file is undone, of the last all."""
+    number = F.col("event_id") % 5
+    started = F.timestamp_seconds(F.unix_timestamp(F.lit(HISTORY.started_at)) + number * 86400)
+    run = F.concat(F.lit("run-"), number.cast("string"))
+    placed = events(spark, sf_dir).withColumns({"run_id": run, "created_at": started})
+    gone = ((number == 3) & (F.floor(F.col("event_id") / 5) % 2 == 0)) | (number == 4)
+    return placed.unionByName(undone_events(placed.where(gone).withColumn("restore_path", F.col("source_path")), LATER.started_at))
+
+
 @stored
 def precomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a batch extractor made of the PDFs: nothing for two of the languages."""
@@ -348,6 +360,37 @@ def strict_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organize(current_files(spark, sf_dir), tables(spark, sf_dir), CURRENT, STRICT).plan
 
 
+def inbox_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files under names that file readers pass over, dot-files and plain names."""
+    number = F.col("doc_id").cast("string")
+    name = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("_plan-"), number, F.lit(".txt")))
+        .when(F.col("doc_id") % 4 == 1, F.concat(number, F.lit("._COPYING_")))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit(".hidden-"), number, F.lit(".txt")))
+        .otherwise(F.concat(F.lit("doc-"), number, F.lit(".md")))
+    )
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), content.alias("content"))
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Each row of ``name, content`` as a plain file in a folder, written by the tasks."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        target = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+        store, root = fs.FileSystem.from_uri(target if "://" in target else target.replace("file:", "file://", 1))
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(*(column.to_pylist() for column in batch.columns)):
+                with store.open_output_stream(f"{root}/{name}") as file:
+                    file.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    files.select("name", "content").mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
 def organized(spark: SparkSession, sf_dir: str) -> Organized:
     return organize(current_files(spark, sf_dir), tables(spark, sf_dir), CURRENT, SETTINGS)
 

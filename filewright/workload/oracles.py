@@ -154,6 +154,10 @@ def unique(requests: str, prefix: str) -> dict[str, str]:
     }
 
 
+_INBOX_FILES = r"""SELECT doc_id, name AS filename, lower(regexp_extract(name, '(\.[^.]+)$', 1)) AS extension, text,
+    CAST(octet_length(encode(text)) AS BIGINT) AS file_size, md5(text) AS file_hash
+    FROM (SELECT doc_id, coalesce(text, '') AS text, CASE doc_id % 4 WHEN 0 THEN '_plan-' || doc_id || '.txt'
+        WHEN 1 THEN doc_id || '._COPYING_' ELSE 'doc-' || doc_id || '.md' END AS name FROM documents WHERE doc_id % 4 <> 2)"""
 _STEMS = ", ".join(f"'{stem}'" for stem in corpus.STEMS)
 _EXTENSIONS = ", ".join(f"'{extension}'" for extension in corpus.EXTENSIONS)
 _HISTORY = ", ".join(f"'{source}'" for source in corpus.HISTORY_SOURCES)
@@ -496,6 +500,33 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
         AND (text_source <> 'extractor' OR has_text) AND source_path = first_path""",
     "duplicate_lookup": """SELECT document_id, '_Duplicates' AS category_l1, coalesce(nullif(f.category_l2, ''), 'KnownDuplicate') AS category_l2,
         'Duplicate of ' || f.filename AS reason FROM ids JOIN filed_rows f USING (file_hash)""",
+    "history_lookup": (
+        """SELECT document_id, coalesce(nullif(f.category_l2, ''), 'KnownDuplicate') AS category_l2, 'Duplicate of ' || f.filename AS reason
+        FROM (SELECT document_id, file_hash FROM ids) JOIN kept f USING (file_hash)""",
+        {
+            "kept": """SELECT file_hash, filename, category_l2 FROM ledger
+            WHERE event_id % 5 < 3 OR (event_id % 5 = 3 AND (event_id // 5) % 2 = 1)
+            QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY event_id % 5 DESC, event_id DESC) = 1"""
+        },
+    ),
+    "history_runs_read": (
+        """SELECT 'run-' || r AS run_id, CAST(coalesce(shared, 0) AS BIGINT) AS shared, coalesce(shared, 0) > 0 AS read
+        FROM (SELECT DISTINCT event_id % 5 AS r FROM ledger) LEFT JOIN (SELECT r, count(DISTINCT place) AS shared FROM kept JOIN
+            (SELECT substr(file_hash, 1, 6) AS place FROM ids WHERE doc_id % 3 = 0 AND source = 'src1') USING (place) GROUP BY r) USING (r)""",
+        {
+            "kept": """SELECT event_id % 5 AS r, substr(file_hash, 1, 6) AS place FROM ledger
+            WHERE event_id % 5 < 3 OR (event_id % 5 = 3 AND (event_id // 5) % 2 = 1)"""
+        },
+    ),
+    "inbox_scan": (
+        f"""SELECT filename, extension, file_size, file_hash, CASE WHEN extension <> '._copying_' THEN nullif({strip('text')}, '') END AS extracted_text,
+        CASE WHEN extension = '._copying_' THEN 'Unsupported file type: ._copying_' ELSE '' END AS error FROM inbox_files""",
+        {"inbox_files": _INBOX_FILES},
+    ),
+    "inbox_arrivals": (
+        "SELECT filename, file_size, file_hash, CAST((doc_id // 4) % 2 AS INTEGER) AS batch FROM inbox_files",
+        {"inbox_files": _INBOX_FILES},
+    ),
     "duplicates_in_run": """SELECT document_id, copies, first_path FROM ids JOIN (SELECT file_hash, count(*) AS copies, min(source_path) AS first_path
         FROM ids GROUP BY file_hash) USING (file_hash) WHERE source_path <> first_path""",
     "cache_lookup": f"SELECT document_id, {_DECISION} FROM (SELECT document_id, file_hash FROM ids) JOIN decided USING (file_hash)",

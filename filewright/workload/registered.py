@@ -14,13 +14,15 @@ from filewright.functions import paths, prompts, text
 from filewright.functions.responses import answered_text, parse_answer, typed_classification, typed_understanding, with_fields
 from filewright.functions.rules import rule_for_name, rule_for_text, rule_verdict
 from filewright.operators import contents, decisions, ledger, metrics, movements, routing, scoring, taxonomy
+from filewright.operators.history import History
 from filewright.plans.benchmark import benchmark
 from filewright.plans.model import build_prompts, with_model
 from filewright.plans.organize import describe, model_workload, organize, precomputed_facts, prepare
 from filewright.plans.output import write_organized
 from filewright.plans.single_level import organize_single_level, rename_plan
 from filewright.plans.warmup import warm_extractions
-from filewright.sources.inbox import decode_texts, dispatch, envelopes, files_from_texts, first_files
+from filewright.sources.extraction import files_from_binary
+from filewright.sources.inbox import decode_texts, dispatch, envelopes, files_from_texts, first_files, inbox_stream, scan_inbox
 from filewright.sources.labels import load_labels
 from filewright.sources.tables import materialize, shared_folder
 from filewright.streaming.incremental import organize_stream
@@ -56,6 +58,33 @@ def ingest_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def inbox_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of files under all kinds of names, read back with their contents."""
+    folder = fresh_path(spark, "inbox")
+    corpus.write_files(corpus.inbox_names(spark, sf_dir), folder)
+    files = files_from_binary(scan_inbox(spark, folder), corpus.CURRENT.run_id)
+    error = F.concat_ws("\n", "errors").alias("error")
+    return files.select("filename", "extension", "file_size", "file_hash", "extracted_text", error)
+
+
+@query
+def inbox_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files in two lots, as a stream that is started again for the second."""
+    folder = fresh_path(spark, "inbox")
+    files = corpus.inbox_names(spark, sf_dir)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        made = rows.select(paths.name_of(F.col("source_path")).alias("filename"), "file_size", F.md5("content").alias("file_hash"))
+        made.write.mode("overwrite").parquet(f"{folder}-batches/batch={batch}")
+
+    for lot in range(2):
+        corpus.write_files(files.where(F.floor(F.col("doc_id") / 4) % 2 == lot), folder)
+        stream = inbox_stream(spark, folder, settle=0).writeStream.foreachBatch(keep)
+        stream.option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}-batches").select("filename", "file_size", "file_hash", "batch")
+
+
 @query
 def ingest_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_files(corpus.named_documents(spark, sf_dir).select("doc_id", "source_path"), 100)
@@ -262,6 +291,32 @@ def duplicate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def several_runs_history(spark: SparkSession, sf_dir: str) -> History:
+    """Runs recorded as they came, and once more what was undone of two of them."""
+    events = corpus.several_runs(spark, sf_dir)
+    history = History(fresh_path(spark, "history"), buckets=16)
+    history.record(events.where(F.col("status") != ledger.UNDONE))
+    history.record(events.where(F.col("run_id").isin("run-3", "run-4")))
+    return history
+
+
+@query
+def history_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files against the stored filings of several runs, some of them undone."""
+    files = narrow_files(spark, sf_dir)
+    found = contents.look_up(files, SETTINGS, history=several_runs_history(spark, sf_dir))
+    hits = found.where(F.col("filed").isNotNull())
+    reason = F.concat(F.lit("Duplicate of "), "filed.filename").alias("reason")
+    return hits.select("document_id", F.expr(decisions.duplicate_category("filed.category_l2")).alias("category_l2"), reason)
+
+
+@query
+def history_runs_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which runs a lookup of a few contents reads, by the bitmaps of their hashes."""
+    few = corpus.identified(spark, sf_dir).where((F.col("doc_id") % 3 == 0) & (F.col("source") == "src1"))
+    return several_runs_history(spark, sf_dir).runs_to_read(few.select("file_hash"))
+
+
 @query
 def duplicates_in_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contents.look_up(narrow_files(spark, sf_dir), SETTINGS)
