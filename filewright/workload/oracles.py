@@ -577,6 +577,17 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
     "sanitize_filename": f"""SELECT page_id, {sanitize_name('url', "'.html'")} AS from_url, {sanitize_name('html', "'.Html'")} AS from_html FROM pages""",
     "rule_classify": f"""SELECT doc_id, {verdict('rule', 1)} AS category_l1, {verdict('rule', 2)} AS category_l2, {verdict('rule', 3)} AS confidence,
         {verdict('rule', 4)} AS reason FROM ruled""",
+    "rule_table_classify": (
+        """SELECT doc_id, 'L' || substr(d, 2, 1) AS category_l1, 'M' || substr(d, 3, 2) AS category_l2, length(word) / 100 AS confidence,
+        'Matched ' || word AS reason FROM (SELECT doc_id, word, d FROM heads JOIN word_rules ON contains(head, word) OR contains(name, word)
+            WHERE substr(d, 1, 1) NOT IN ('0', '1') OR regexp_matches(head, word || bound) OR regexp_matches(name, word || bound)
+            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY substr(d, 1, 15)) = 1)""",
+        {
+            "heads": "SELECT doc_id, lower(left(text, 1000)) AS head, lower(filename) AS name FROM named",
+            "word_rules": f"""SELECT DISTINCT word, md5(word) AS d, '{NOT_WORD}' AS bound FROM (
+                SELECT unnest(regexp_extract_all(lower(left(text, 1000)), '[a-z]{{7,}}')) AS word FROM documents)""",
+        },
+    ),
     "understand_fallback": f"""SELECT doc_id, {summary('text')} AS summary, array_to_string(keywords, ',') AS keywords, {language('text')} AS language,
         'document' AS document_type, array_to_string(keywords[1:5], ',') AS content_signals FROM documents JOIN keywords USING (doc_id)""",
     "classify_fallback": f"""SELECT doc_id, 'General' AS category_l1, CASE WHEN lang <> 'de' THEN lang ELSE 'Unsorted' END AS category_l2,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from filewright.functions import paths, prompts, text
 from filewright.functions.responses import answered_text, parse_answer, typed_classification, typed_understanding, with_fields
 from filewright.functions.rules import rule_for_name, rule_for_text, rule_verdict
-from filewright.operators import contents, decisions, ledger, metrics, movements, routing, scoring, taxonomy
+from filewright.operators import contents, decisions, ledger, metrics, movements, routing, rule_table, scoring, taxonomy
 from filewright.operators.history import History
 from filewright.plans.benchmark import benchmark
 from filewright.plans.model import build_prompts, with_model
@@ -546,6 +546,30 @@ def rule_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each long word at the head of a document; every eighth only where the word ends."""
+    words = F.regexp_extract_all(F.lower(F.left("text", F.lit(1000))), F.lit("[a-z]{7,}"), F.lit(0))
+    rows = corpus.table(spark, sf_dir, "documents").select(F.explode(words).alias("word")).distinct()
+    digest = F.md5("word")
+    bounded = F.left(digest, F.lit(1)).isin("0", "1")
+    return rows.select(
+        F.conv(F.left(digest, F.lit(15)), 16, 10).cast("bigint").alias("precedence"),
+        F.when(bounded, F.concat("word", F.lit(r"\b"))).otherwise(F.col("word")).alias("pattern"),
+        F.concat(F.lit("L"), F.substring(digest, 2, 1)).alias("category_l1"),
+        F.concat(F.lit("M"), F.substring(digest, 3, 2)).alias("category_l2"),
+        (F.length("word") / 100).alias("confidence"),
+        F.concat(F.lit("Matched "), "word").alias("reason"),
+    )
+
+
+@query
+def rule_table_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against thousands of rules at once."""
+    rows = corpus.identified(spark, sf_dir)
+    found = rule_table.classify(rows, materialize(word_rules(spark, sf_dir)), "doc_id")
+    return found.select(F.col("id").alias("doc_id"), "category_l1", "category_l2", "confidence", "reason")
+
+
 @query
 def understand_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = contents.text_facts("text", SETTINGS).alias("facts")
