@@ -18,24 +18,27 @@ def _excluded(settings: Settings) -> list[str]:
     return [*settings.ignore_dirs, *settings.technical_folders]
 
 
-def folders_in_use(destinations: DataFrame, settings: Settings) -> DataFrame:
-    """Folder pairs below the organised root, from a ``destination_path`` column."""
+def folder_pairs(destinations: DataFrame, settings: Settings) -> DataFrame:
+    """Rows with a ``destination_path`` in a folder below the organised root, with that folder as ``category_l1, category_l2``."""
     root = settings.organized_dir.rstrip("/") + "/"
     parts = F.split(F.substring(F.col("destination_path"), len(root) + 1, 1 << 30), "/")
-    return (
-        destinations.where(F.col("destination_path").startswith(root) & (F.size(parts) >= 2))
-        .select(
-            F.get(parts, 0).alias("category_l1"),
-            F.when(F.size(parts) >= 3, F.get(parts, 1)).alias("category_l2"),
-        )
-        .distinct()
-    )
+    below = destinations.where(F.col("destination_path").startswith(root) & (F.size(parts) >= 2))
+    return below.withColumns({"category_l1": F.get(parts, 0), "category_l2": F.when(F.size(parts) >= 3, F.get(parts, 1))})
+
+
+def folders_in_use(destinations: DataFrame, settings: Settings) -> DataFrame:
+    """Folder pairs below the organised root, from a ``destination_path`` column."""
+    return folder_pairs(destinations, settings).select("category_l1", "category_l2").distinct()
+
+
+def categories(folders: DataFrame, settings: Settings) -> DataFrame:
+    """Folder pairs without the technical and ignored ones."""
+    return folders.where(~F.col("category_l1").isin(*_excluded(settings)))
 
 
 def scan_taxonomy(events: DataFrame, settings: Settings) -> DataFrame:
     """The categories that hold committed files, technical and ignored folders left out."""
-    used = folders_in_use(committed(events), settings)
-    return used.where(~F.col("category_l1").isin(*_excluded(settings)))
+    return categories(folders_in_use(committed(events), settings), settings)
 
 
 def taxonomy_index(taxonomy: DataFrame) -> DataFrame:

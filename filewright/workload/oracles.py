@@ -558,6 +558,13 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
         round(sum(processing_time_seconds) / count(*), 6) AS seconds_per_file FROM moved""",
     "category_counts": """SELECT category AS category_name, count(*) AS file_count, min(processed_date) AS created_date FROM moved
         WHERE new_path IS NOT NULL GROUP BY category""",
+    "category_state": """SELECT category AS category_name, count(*) AS file_count, min(processed_date) AS created_date FROM moved
+        WHERE new_path IS NOT NULL AND NOT (id % 5 = 4 AND (id // 5) % 2 = 0) GROUP BY category""",
+    "folder_state": r"""SELECT split_part(destination_path, '/', 3) AS category_l1,
+        CASE WHEN destination_path LIKE '/%/%/%/%' THEN split_part(destination_path, '/', 4) END AS category_l2,
+        count(*) AS files, min(TIMESTAMP '2024-01-01' + to_days(CAST(event_id % 5 AS INTEGER))) AS first_at FROM ledger
+        WHERE event_id % 5 < 3 OR (event_id % 5 = 3 AND (event_id // 5) % 2 = 1) GROUP BY ALL""",
+    "taxonomy_state": "SELECT category_l1, category_l2 FROM taxonomy",
     "file_history": "SELECT id, original_path, new_path, category, processed_date, cached FROM moved ORDER BY processed_date DESC, id DESC LIMIT 100",
     "keywords_topk": "SELECT doc_id, array_to_string(keywords, ',') AS keywords FROM keywords",
     "taxonomy_index": "SELECT category_l1, string_agg(category_l2, ',' ORDER BY category_l2) AS category_l2 FROM taxonomy GROUP BY category_l1",

@@ -14,6 +14,7 @@ from filewright.functions import paths, prompts, text
 from filewright.functions.responses import answered_text, parse_answer, typed_classification, typed_understanding, with_fields
 from filewright.functions.rules import rule_for_name, rule_for_text, rule_verdict
 from filewright.operators import contents, decisions, ledger, metrics, movements, routing, rule_table, scoring, taxonomy
+from filewright.operators.counters import Counters, current_taxonomy, moved_rows, record_events
 from filewright.operators.history import History
 from filewright.plans.benchmark import benchmark
 from filewright.plans.model import build_prompts, with_model
@@ -429,6 +430,37 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return movements.category_counts(corpus.movements(spark, sf_dir))
 
 
+@query
+def category_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters after five lots of movements, one of them delivered twice and another partly taken back."""
+    rows = corpus.movements(spark, sf_dir)
+    counters = Counters(fresh_path(spark, "counters"), ("category",))
+    left = ~((F.col("id") % 5 == 4) & (F.floor(F.col("id") / 5) % 2 == 0))
+    for lot, kept in ((0, None), (1, None), (2, None), (3, None), (4, None), (2, None), (4, left)):
+        run = spark.range(1).select(F.lit(f"lot-{lot}").alias("run_id"))
+        part = rows.where(F.col("id") % 5 == lot)
+        counters.record(moved_rows(part if kept is None else part.where(kept), f"lot-{lot}"), run)
+    return counters.current(spark).select(F.col("category").alias("category_name"), F.col("files").alias("file_count"), F.col("first_at").alias("created_date"))
+
+
+@query
+def folder_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders in use after several runs and the undo of two of them."""
+    events = corpus.several_runs(spark, sf_dir)
+    counters = Counters(fresh_path(spark, "counters"))
+    record_events(counters, events.where(F.col("status") != ledger.UNDONE), SETTINGS)
+    record_events(counters, events.where(F.col("run_id").isin("run-3", "run-4")), SETTINGS)
+    return counters.current(spark).drop("contents")
+
+
+@query
+def taxonomy_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The taxonomy from the states of the runs instead of the ledger."""
+    counters = Counters(fresh_path(spark, "counters"))
+    record_events(counters, corpus.events(spark, sf_dir), SETTINGS)
+    return current_taxonomy(counters, spark, SETTINGS)
+
+
 @query
 def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = movements.file_history(corpus.movements(spark, sf_dir))
