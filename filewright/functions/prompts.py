@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright.functions.text import excerpt, preview
@@ -56,16 +56,27 @@ def classification_prompt(
     )
 
 
-def taxonomy_text(index: DataFrame, limit: int) -> DataFrame:
+def taxonomy_text(taxonomy: DataFrame, limit: int) -> DataFrame:
     """The taxonomy as one line of text, ``a: b, c; d: e``, in one row.
 
-    Models may invent categories without end, so only the ``limit`` with the most subcategories
-    are named, and of each as many subcategories.
+    Models may invent categories without end, and the line goes into every prompt. So it names the ``limit``
+    categories that hold the most files, by a column ``files`` if there is one, and of each the ``limit``
+    subcategories that do; how many it leaves out is said beside them. Names are in order.
     """
-    largest = index.orderBy(F.size("category_l2").desc(), "category_l1").limit(limit)
-    entry = F.concat_ws(": ", "category_l1", F.concat_ws(", ", F.slice("category_l2", 1, limit)))
-    lines = largest.select(entry.alias("entry"))
-    return lines.agg(F.concat_ws("; ", F.sort_array(F.collect_list("entry"))).alias("taxonomy"))
+    files = F.sum("files" if "files" in taxonomy.columns else F.lit(1)).alias("files")
+    pairs = taxonomy.groupBy("category_l1", "category_l2").agg(files)
+    place = F.row_number().over(Window.partitionBy("category_l1").orderBy(F.desc("files"), "category_l2"))
+    named = pairs.where("category_l2 IS NOT NULL").withColumn("place", place).where(F.col("place") <= limit)
+    subs = named.groupBy("category_l1").agg(F.sort_array(F.collect_list("category_l2")).alias("subs"))
+    whole = pairs.groupBy("category_l1").agg(F.sum("files").alias("files"), F.count("category_l2").alias("held"))
+    largest = whole.orderBy(F.desc("files"), "category_l1").limit(limit).join(subs, "category_l1", "left")
+    more = F.col("held") - F.coalesce(F.size("subs"), F.lit(0))
+    listed = F.concat_ws(", ", "subs", F.when(more > 0, F.format_string("and %d more", more)))
+    entries = largest.select(F.concat_ws(": ", "category_l1", F.nullif(listed, F.lit(""))).alias("entry"))
+    line = F.concat_ws("; ", F.sort_array(F.collect_list("entry")))
+    left = whole.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("left"))
+    counted = entries.agg(line.alias("line")).crossJoin(left)  # one row each
+    return counted.select(F.concat_ws("; ", "line", F.when(F.col("left") > 0, F.format_string("and %d more", "left"))).alias("taxonomy"))
 
 
 def prompt_audit(prompt: Column, limit: int = 500) -> tuple[Column, Column]:

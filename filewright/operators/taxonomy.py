@@ -41,6 +41,12 @@ def scan_taxonomy(events: DataFrame, settings: Settings) -> DataFrame:
     return categories(folders_in_use(committed(events), settings), settings)
 
 
+def taxonomy_use(events: DataFrame, settings: Settings) -> DataFrame:
+    """The categories that hold committed files, and how many ``files`` each holds."""
+    placed = categories(folder_pairs(committed(events), settings), settings)
+    return placed.groupBy("category_l1", "category_l2").agg(F.count("*").alias("files"))
+
+
 def taxonomy_index(taxonomy: DataFrame) -> DataFrame:
     """Each first level with its sorted second levels."""
     pairs = taxonomy.distinct()

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from filewright.functions.prompts import classification_prompt, taxonomy_text, understanding_prompt
 from filewright.operators.decisions import understanding_fallback
-from filewright.operators.taxonomy import taxonomy_index
 from filewright.schemas import RESPONSES
 from filewright.settings import Settings
 
@@ -20,9 +19,9 @@ Infer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 def build_prompts(documents: DataFrame, taxonomy: DataFrame, settings: Settings) -> DataFrame:
     """Both prompts of each document, from ``document_id, source_path, filename, extracted_text, facts``.
 
-    The taxonomy is a single value that goes into every prompt.
+    The taxonomy is a single value that goes into every prompt; a column ``files`` says how much each folder holds.
     """
-    line = taxonomy_text(taxonomy_index(taxonomy), settings.prompt_folders).scalar()
+    line = taxonomy_text(taxonomy, settings.prompt_folders).scalar()
     text, name, path = F.col("extracted_text"), F.col("filename"), F.col("source_path")
     rows = documents.withColumn("reading", understanding_fallback("facts"))
     return rows.select(

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filewright.functions.text import quality_score
-from filewright.operators.contents import distinct_contents
+from filewright.operators.contents import distinct_contents, look_up
+from filewright.plans.organize import Tables
 from filewright.settings import Run, Settings
+from filewright.sources.labels import locate_labels
+from filewright.sources.tables import materialize
 
 
 def new_extractions(
@@ -49,9 +54,25 @@ def new_extractions(
     )
 
 
-def warm_extractions(
-    labels: DataFrame, files: DataFrame, extractions: DataFrame, run: Run, settings: Settings
-) -> DataFrame:
-    """Cache rows for the files of a label set, to be written ahead of a benchmark."""
-    labelled = files.join(labels.select("source_path").distinct(), "source_path", "left_semi")
-    return new_extractions(labelled, extractions, run, settings)
+class Warmed(NamedTuple):
+    """``rows`` to append to the extraction cache, and the ``missing`` labels, for which there is no file."""
+
+    rows: DataFrame
+    missing: DataFrame
+
+
+def warm_extractions(labels: DataFrame, files: DataFrame, tables: Tables, run: Run, settings: Settings, base: str = "/") -> Warmed:
+    """Cache rows for the files of a label set, to be written ahead of a benchmark.
+
+    Relative paths of labels are meant from the folder ``base``. As in a run, contents that were filed
+    before or have a cached decision are passed over, and precomputed text is taken before the file's own.
+    """
+    located = locate_labels(labels, base, files)
+    wanted = located.where(~F.col("missing")).select("source_path").distinct()
+    labelled = files.join(wanted, "source_path", "left_semi")
+    narrow = materialize(labelled.select("source_path", "document_id", "filename", "file_hash"))
+    known = look_up(narrow, settings, events=tables.events, decisions=tables.decisions, history=tables.history)
+    undecided = known.where(F.col("filed").isNull() & F.col("decision").isNull()).select("document_id")
+    chosen = labelled.join(undecided, "document_id", "left_semi")
+    rows = new_extractions(chosen, tables.extractions, run, settings, tables.precomputed)
+    return Warmed(rows, located.where("missing").drop("missing"))

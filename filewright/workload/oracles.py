@@ -606,6 +606,19 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
     "typed_understanding": "SELECT * REPLACE (coalesce(keywords, '') AS keywords, coalesce(content_signals, '') AS content_signals) FROM understanding",
     "typed_classification": "SELECT * FROM classification",
     "build_prompts": f"SELECT document_id, {_UNDERSTAND} AS understand_prompt, {_CLASSIFY} AS classify_prompt FROM ids JOIN keywords USING (doc_id)",
+    "taxonomy_line": (
+        """SELECT string_agg(entry, '; ' ORDER BY entry) || CASE WHEN any_value(total) > 5 THEN '; and ' || (any_value(total) - 5) || ' more' ELSE '' END AS taxonomy
+        FROM (SELECT l1 || ': ' || string_agg(l2, ', ' ORDER BY l2) || CASE WHEN any_value(held) > 5 THEN ', and ' || (any_value(held) - 5) || ' more' ELSE '' END AS entry,
+            any_value(total) AS total FROM used JOIN (SELECT l1, count(*) AS held, count(*) OVER () AS total FROM used GROUP BY l1
+                ORDER BY sum(files) DESC, l1 LIMIT 5) USING (l1) WHERE place <= 5 GROUP BY l1)""",
+        {
+            "used": """SELECT l1, l2, count(*) AS files, row_number() OVER (PARTITION BY l1 ORDER BY count(*) DESC, l2) AS place
+            FROM (SELECT w[1] AS l1, w[2] AS l2 FROM (SELECT regexp_extract_all(lower(left(text, 200)), '[a-z]{2,}') AS w FROM documents))
+            WHERE l2 IS NOT NULL GROUP BY l1, l2"""
+        },
+    ),
+    "warm_cache_missing": """SELECT '/inbox/gone/' || doc_id || '/' || filename AS source_path, expected_category_l1, expected_needs_review
+        FROM expected JOIN (SELECT source_path, doc_id, filename FROM named) USING (source_path) WHERE doc_id % 5 = 0""",
     "prompt_audit": f"""SELECT document_id, length(prompt) AS prompt_chars, left(prompt, 500) || CASE WHEN length(prompt) > 500 THEN '...' ELSE '' END AS excerpt
         FROM (SELECT document_id, {_UNDERSTAND} AS prompt FROM ids)""",
     "organize_run": """SELECT document_id, run_id, source_path, filename, file_hash, status, decision_source, category_l1, category_l2, confidence,
@@ -619,8 +632,11 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
         "SELECT * REPLACE (CASE WHEN status = 'moved' THEN 'planned' ELSE status END AS status) FROM cases",
         {"inbox": CTES["inbox"] + " AND doc_id IN (SELECT doc_id FROM labels)"},
     ),
-    "warm_cache": f"""SELECT file_hash, 'glm-ocr:q8_0' AS ocr_model, extracted_text, {quality('extracted_text')} AS extraction_quality,
-        TIMESTAMP '2024-02-01' AS cached_at FROM files WHERE doc_id IN (SELECT doc_id FROM labels) AND extracted_text IS NOT NULL AND file_hash NOT IN (SELECT file_hash FROM extracted)
+    "warm_cache": f"""SELECT file_hash, 'glm-ocr:q8_0' AS ocr_model, chosen AS extracted_text, {quality('chosen')} AS extraction_quality,
+        TIMESTAMP '2024-02-01' AS cached_at FROM (SELECT *, coalesce(nullif(p.text, ''), extracted_text) AS chosen
+            FROM (SELECT * EXCLUDE (text) FROM files) LEFT JOIN precomputed p USING (source_path))
+        WHERE doc_id IN (SELECT doc_id FROM labels) AND chosen IS NOT NULL AND file_hash NOT IN (SELECT file_hash FROM extracted)
+            AND file_hash NOT IN (SELECT file_hash FROM filed_rows) AND file_hash NOT IN (SELECT file_hash FROM decided)
         QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY source_path) = 1""",
     "legacy_organize": (
         """SELECT source_path AS original_path, filename AS original_filename, destination_path AS new_path,

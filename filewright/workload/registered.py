@@ -651,7 +651,7 @@ def typed_classification_(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.identified(spark, sf_dir).withColumnRenamed("text", "extracted_text")
     rows = rows.withColumn("facts", contents.text_facts("extracted_text", SETTINGS))
-    return build_prompts(rows, taxonomy_scan(spark, sf_dir), SETTINGS)
+    return build_prompts(rows, taxonomy.taxonomy_use(corpus.events(spark, sf_dir), SETTINGS), SETTINGS)
 
 
 @query
@@ -659,6 +659,15 @@ def build_prompts_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_prompts(spark, sf_dir)
 
 
+@query
+def taxonomy_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The taxonomy of the first words of documents, as prompts name it: the most used of far more folders."""
+    words = F.regexp_extract_all(F.lower(F.left("text", F.lit(200))), F.lit("[a-z]{2,}"), F.lit(0))
+    rows = corpus.table(spark, sf_dir, "documents").select(F.get(words, 0).alias("category_l1"), F.get(words, 1).alias("category_l2"))
+    used = rows.where(F.col("category_l2").isNotNull()).groupBy("category_l1", "category_l2").agg(F.count("*").alias("files"))
+    return prompts.taxonomy_text(used, 5)
+
+
 @query
 def prompt_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     length, excerpt = prompts.prompt_audit(F.col("understand_prompt"))
@@ -706,10 +715,22 @@ def benchmark_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def warm_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, files = corpus.benchmark_labels(spark, sf_dir), corpus.all_files(spark, sf_dir)
-    made = warm_extractions(labels, files, corpus.extractions(spark, sf_dir), corpus.CURRENT, SETTINGS)
+    made = warm_extractions(labels, files, corpus.tables(spark, sf_dir), corpus.CURRENT, SETTINGS).rows
     return made.select("file_hash", "ocr_model", "extracted_text", "extraction_quality", "cached_at")
 
 
+@query
+def warm_cache_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with paths from the folder of the label set, every fifth of them for a file that is not there."""
+    labels = corpus.benchmark_labels(spark, sf_dir)
+    inner = F.regexp_replace("source_path", "^/inbox/", "")
+    number = F.split(inner, "/")[0].cast("bigint")
+    relative = labels.withColumn("source_path", F.concat(F.when(number % 5 == 0, "gone/").otherwise("./"), inner))
+    files = corpus.all_files(spark, sf_dir)
+    warmed = warm_extractions(relative, files, corpus.tables(spark, sf_dir), corpus.CURRENT, SETTINGS, "/inbox")
+    return warmed.missing.select("source_path", "expected_category_l1", "expected_needs_review")
+
+
 def category_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.decisions(spark, sf_dir).where(F.col("needs_review"))
     return rows.select("file_hash", F.col("category_l1").alias("category"), "cached_at")
