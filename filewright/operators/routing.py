@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filewright.functions.paths import folder_of, name_of, stem_of, suffix_of, with_number
+from filewright.functions.paths import with_number
+from filewright.operators.names import Names, intervals, numbered, placed_names, skipped, taken_numbers
 from filewright.operators.skew import attach, has_room, rank_within
 from filewright.settings import DUPLICATES, FAILED_EXTRACTION, NEEDS_REVIEW, Settings
 from filewright.sources.tables import materialize
 
-# Fixed value: a name that already ends in the number of another name.
-NUMBERED_STEM = r"(?s)^(.+)_([1-9][0-9]*)$"
-
 
 def technical_folder(category_l1: str, category_l2: str, needs_review: str, has_text: str) -> Column:
     """The folder of a document that gets no category folder, else NULL. Takes SQL expressions."""
@@ -29,15 +27,7 @@ def destination_folder(technical: Column, category_l1: Column, category_l2: Colu
 
 def _reserved(names: DataFrame, existing: DataFrame) -> DataFrame:
     """Numbers that may not be given out: ``folder, filename, number``."""
-    bare = existing.select("folder", "filename", F.lit(0).cast("bigint").alias("number"))
-    stem, suffix = stem_of(F.col("filename")), suffix_of(F.col("filename"))
-    number = F.regexp_extract(stem, NUMBERED_STEM, 2).try_cast("bigint")
-    numbered = (
-        names.unionByName(existing)
-        .where(stem.rlike(NUMBERED_STEM) & number.isNotNull())
-        .select("folder", F.concat(F.regexp_extract(stem, NUMBERED_STEM, 1), suffix).alias("filename"), number.alias("number"))
-    )
-    return bare.unionByName(numbered).distinct()
+    return taken_numbers(existing).unionByName(numbered(names)).distinct()
 
 
 def _starts(marks: DataFrame, groups: DataFrame, keys: list[str], span: int) -> DataFrame:
@@ -56,11 +46,34 @@ def _starts(marks: DataFrame, groups: DataFrame, keys: list[str], span: int) ->
     )
 
 
-def unique_names(requests: DataFrame, existing: DataFrame, settings: Settings) -> DataFrame:
+def _gaps_beside(groups: DataFrame, existing: DataFrame, settings: Settings) -> DataFrame:
+    """``folder, filename, wanted, at, passed`` from every name that is there."""
+    keys, span = ["folder", "filename"], settings.hot_rows
+    # A name may have as many reserved numbers as requests, so they are joined
+    # and ranked with the same splitting.
+    reserved = materialize(_reserved(groups.select(*keys), placed_names(existing, settings)))
+    sizes = reserved.groupBy(*keys).agg(F.count("*").alias("size"))
+    kept = attach(reserved, groups.join(sizes, keys), keys, size="size", spread_by="number", hot_rows=span)
+    kept = materialize(kept.where(F.col("wanted").isNotNull()))
+    counted = rank_within(kept, keys, "number", "j", span)
+    slack = (F.col("number") - F.col("j")).alias("at")
+    gaps = counted.select(*keys, "wanted", slack).where(F.col("at") < F.col("wanted"))
+    return gaps.groupBy(*keys, "at").agg(F.count("*").alias("passed"))
+
+
+def _gaps_beside_intervals(groups: DataFrame, names: Names) -> DataFrame:
+    """The same from the stored intervals of the wanted names and the names that are asked for."""
+    keys = ["folder", "filename"]
+    asked = intervals(numbered(groups.select(*keys)))
+    marks = skipped(asked.unionByName(names.taken(groups.select(*keys))))
+    return marks.join(groups, keys).where(F.col("at") < F.col("wanted")).select(*keys, "at", "passed")
+
+
+def unique_names(requests: DataFrame, existing: DataFrame | Names, settings: Settings) -> DataFrame:
     """Add ``unique_name``: the wanted name, or the first free ``stem_N.ext``.
 
     Names are given in path order within ``folder, filename``. Taken are the
-    ``destination_path`` values of ``existing`` and every name another document
+    ``destination_path`` values of ``existing``, or what stored names say of them, and every name another document
     asks for as such.
 
     The request of rank r gets the r-th number that is not reserved. With the
@@ -70,23 +83,12 @@ def unique_names(requests: DataFrame, existing: DataFrame, settings: Settings) -
     wanted by millions nor a long list of reserved numbers meets in one task.
     """
     keys, span = ["folder", "filename"], settings.hot_rows
-    root = settings.organized_dir.rstrip("/") + "/"
-    placed = existing.where(F.col("destination_path").startswith(root)).select(
-        F.substring(folder_of(F.col("destination_path")), len(root) + 1, 1 << 30).alias("folder"),
-        name_of(F.col("destination_path")).alias("filename"),
-    )
     ranked = rank_within(requests, keys, "source_path", "rank", span)
     groups = requests.groupBy(*keys).agg(F.count("*").alias("wanted"))
-    # A name may have as many reserved numbers as requests, so they are joined
-    # and ranked with the same splitting.
-    reserved = materialize(_reserved(groups.select(*keys), placed))
-    sizes = reserved.groupBy(*keys).agg(F.count("*").alias("size"))
-    kept = attach(reserved, groups.join(sizes, keys), keys, size="size", spread_by="number", hot_rows=span)
-    kept = materialize(kept.where(F.col("wanted").isNotNull()))
-    numbered = rank_within(kept, keys, "number", "j", span)
-    slack = (F.col("number") - F.col("j")).alias("at")
-    gaps = numbered.select(*keys, "wanted", slack).where(F.col("at") < F.col("wanted"))
-    gaps = gaps.groupBy(*keys, "at").agg(F.count("*").alias("passed"))
+    if isinstance(existing, Names):
+        gaps = _gaps_beside_intervals(groups, existing)
+    else:
+        gaps = _gaps_beside(groups, existing, settings)
 
     piece = F.floor(F.col("at") / span).alias("piece")
     asked = ranked.withColumn("at", F.col("rank")).withColumn("piece", piece)

@@ -22,6 +22,7 @@ from filewright.operators.decisions import (
 from filewright.operators.history import History
 from filewright.operators.ledger import closed, committed, event_rows, opened
 from filewright.operators.metrics import document_report, metrics_of_run
+from filewright.operators.names import Names
 from filewright.operators.routing import destination_folder, destination_path, technical_folder, unique_names
 from filewright.operators.skew import attach
 from filewright.operators.taxonomy import align, normalized_pair, scan_taxonomy
@@ -41,7 +42,7 @@ PLAN = (
 
 @dataclass(frozen=True)
 class Tables:
-    """What a run knows from before. ``taxonomy`` defaults to the folders the events use, ``history`` to the events."""
+    """What a run knows from before. ``taxonomy`` defaults to the folders the events use, ``history`` and ``names`` to the events."""
 
     events: DataFrame
     decisions: DataFrame
@@ -50,9 +51,10 @@ class Tables:
     responses: DataFrame
     taxonomy: DataFrame | None = None
     history: History | None = None
+    names: Names | None = None
 
     @staticmethod
-    def empty(spark: SparkSession, **given: DataFrame | History) -> Tables:
+    def empty(spark: SparkSession, **given: DataFrame | History | Names) -> Tables:
         names = {
             "events": schemas.EVENTS,
             "decisions": schemas.DECISIONS,
@@ -209,7 +211,7 @@ def mark_copies(decided: DataFrame, settings: Settings) -> DataFrame:
     return others.unionByName(joined.selectExpr(*chosen))
 
 
-def route(rows: DataFrame, existing: DataFrame, run: Run, settings: Settings) -> DataFrame:
+def route(rows: DataFrame, existing: DataFrame | Names, run: Run, settings: Settings) -> DataFrame:
     """Destination and final status. Failed documents stay where they are."""
     technical = technical_folder("category_l1", "category_l2", "needs_review", "routable")
     folder = destination_folder(technical, F.col("category_l1"), F.col("category_l2"))
@@ -240,7 +242,7 @@ def organize(files: DataFrame, tables: Tables, run: Run, settings: Settings) ->
     decided = materialize(decided)
     categorized = materialize(categorize(decided, taxonomy, settings))
     marked = mark_copies(categorized, settings)
-    routed = route(marked, committed(tables.events), run, settings)
+    routed = route(marked, tables.names or committed(tables.events), run, settings)
     plan = routed.select(
         *PLAN, F.col("facts.quality").alias("extraction_quality"), (F.col("path") == "sorted").alias("decided_here")
     )

@@ -573,6 +573,7 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
     "new_categories": f"""SELECT DISTINCT category_l1 FROM plan WHERE category_l1 IS NOT NULL AND category_l1 NOT IN ({TECHNICAL})
         AND category_l1 NOT IN (SELECT category_l1 FROM taxonomy)""",
     "unique_destinations": ("SELECT document_id, destination_path FROM wanted_named", _WANTED),
+    "unique_destinations_kept": ("SELECT document_id, destination_path FROM wanted_named", _WANTED),
     "latest_run": "SELECT run_id, started_at FROM records WHERE NOT dry_run ORDER BY started_at DESC, run_id DESC LIMIT 1",
     "run_documents": "SELECT event_id, document_id, source_path, destination_path FROM ledger",
     "content_hash": "SELECT document_id, file_hash, file_size FROM files",
@@ -654,6 +655,11 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
         _LEGACY,
     ),
     "model_hook": f"""SELECT document_id, 'understand' AS stage, '{{"summary": "' || length({_UNDERSTAND}) || ' characters"}}' AS raw FROM ids""",
+    "streaming_state": (
+        """SELECT CASE WHEN source_path < '/inbox/4' THEN 'arrivals-batch-0' ELSE 'arrivals-batch-1' END AS run_id, source_path, destination_path,
+        'moved' AS status, category_l1, category_l2 FROM stream_done JOIN stream_named USING (document_id)""",
+        _STREAM,
+    ),
     "streaming_organize": (
         """SELECT row_number() OVER (ORDER BY source_path) AS event_id, 'arrivals-batch-0' AS run_id, source_path, destination_path, 'moved' AS status,
         category_l1, category_l2, reason FROM stream_done JOIN stream_named USING (document_id)""",

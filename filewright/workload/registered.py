@@ -16,6 +16,8 @@ from filewright.functions.rules import rule_for_name, rule_for_text, rule_verdic
 from filewright.operators import contents, decisions, ledger, metrics, movements, routing, rule_table, scoring, taxonomy
 from filewright.operators.counters import Counters, current_taxonomy, moved_rows, record_events
 from filewright.operators.history import History
+from filewright.operators.names import Names
+from filewright.operators.state import State
 from filewright.plans.benchmark import benchmark
 from filewright.plans.model import build_prompts, with_model
 from filewright.plans.organize import describe, model_workload, organize, precomputed_facts, prepare
@@ -491,19 +493,42 @@ def new_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ranks and limits
 
 
-@query
-def unique_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names for all documents in the folders their names ask for, beside what is filed there."""
+def destination_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = rule_verdict("rule", SETTINGS.rules)
     rows = corpus.identified(spark, sf_dir).withColumn("rule", rule_for_name("filename", SETTINGS.rules))
     folder = F.coalesce(F.concat_ws("/", verdict["category_l1"], verdict["category_l2"]), F.lit("_NeedsReview"))
     folder = F.when(F.col("rule").isNull(), "_NeedsReview").otherwise(folder)
-    requests = materialize(rows.select("document_id", "source_path", "filename", folder.alias("folder")))
+    return rows.select("document_id", "source_path", "filename", folder.alias("folder"))
+
+
+@query
+def unique_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names for all documents in the folders their names ask for, beside what is filed there."""
+    requests = materialize(destination_requests(spark, sf_dir))
     named = routing.unique_names(requests, corpus.events(spark, sf_dir), SETTINGS)
     path = routing.destination_path(F.col("folder"), F.col("unique_name"), SETTINGS)
     return named.select("document_id", path.alias("destination_path"))
 
 
+@query
+def unique_destinations_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same names for three lots of documents in path order, from intervals kept after each; of the second lot a part is undone and named again."""
+    wanted = materialize(destination_requests(spark, sf_dir))
+    kept = Names(fresh_path(spark, "names"), buckets=16)
+    kept.record(corpus.events(spark, sf_dir), SETTINGS)
+    lot = F.when(F.col("source_path") < "/inbox/3", 0).when(F.col("source_path") < "/inbox/6", 1).otherwise(2)
+    made = []
+    for number, again in ((0, False), (1, True), (1, False), (2, False)):
+        named = routing.unique_names(materialize(wanted.where(lot == number)), kept, SETTINGS)
+        path = routing.destination_path(F.col("folder"), F.col("unique_name"), SETTINGS)
+        named = materialize(named.select("document_id", path.alias("destination_path")))
+        events = named.withColumns({"run_id": F.lit(f"lot-{number}"), "dry_run": F.lit(False), "status": F.lit("moved")})
+        gone = events.withColumns({"destination_path": F.lit(None).cast("string"), "status": F.lit(ledger.UNDONE)})
+        kept.record(events.unionByName(gone) if again else events, SETTINGS)
+        made += [] if again else [named]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 @query
 def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = ledger.current_runs(corpus.run_records(spark, sf_dir))
@@ -791,3 +816,21 @@ def streaming_organize(spark: SparkSession, sf_dir: str) -> DataFrame:
     started.awaitTermination()
     events = spark.read.parquet(f"{path}/ledger")
     return events.select("event_id", "run_id", "source_path", "destination_path", "status", "category_l1", "category_l2", "reason")
+
+
+@query
+def streaming_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in two lots in path order, the second by a stream that was started again; no batch reads the ledger."""
+    documents = corpus.table(spark, sf_dir, "documents")
+    path = fresh_path(spark, "stream")
+    early = F.left(F.col("doc_id").cast("string"), F.lit(1)) < "4"
+    for lot in (early, ~early):
+        documents.where(lot).write.mode("append").parquet(f"{path}/arrived")
+        arriving = spark.readStream.schema(documents.schema).parquet(f"{path}/arrived")
+        started = organize_stream(
+            arriving, f"{path}/ledger", f"{path}/checkpoint", _arrived, SETTINGS, datetime(2024, 4, 1), "arrivals",
+            state=State(f"{path}/state", buckets=8),
+        )
+        started.awaitTermination()
+    events = spark.read.parquet(f"{path}/ledger")
+    return events.select("run_id", "source_path", "destination_path", "status", "category_l1", "category_l2")
