@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from filewright import schemas
@@ -71,6 +72,13 @@ class Organized:
     plan: DataFrame
     run: Run
     settings: Settings
+    observed: Mapping[str, Observation] = field(default_factory=dict)
+
+    def stage_metrics(self) -> DataFrame:
+        """What went through each stored stage, counted while it was written: one row for each stage, in order."""
+        rows = [(place, stage, *(seen.get[name] for name in COUNTED)) for place, (stage, seen) in enumerate(self.observed.items())]
+        counts = ", ".join(f"{name} BIGINT" for name in COUNTED)
+        return self.plan.sparkSession.createDataFrame(rows, f"place INT, stage STRING, {counts}").drop("place")
 
     def events(self, first_id: int = 1) -> DataFrame:
         return event_rows(self.plan, self.run, first_id, self.settings.hot_rows)
@@ -108,6 +116,17 @@ class Organized:
         )
 
 
+COUNTED = ("files", "duplicates", "cached", "review", "failed")
+
+
+def _observed(rows: DataFrame, duplicate: Column, cached: Column, failed: Column) -> tuple[DataFrame, Observation]:
+    """The same rows, counted as they pass."""
+    seen = Observation()
+    kinds = dict(zip(COUNTED[1:], (duplicate, cached, F.col("needs_review"), failed)))
+    counts = [F.count_if(F.coalesce(kind, F.lit(False))).alias(name) for name, kind in kinds.items()]
+    return rows.observe(seen, F.count(F.lit(1)).alias("files"), *counts), seen
+
+
 def describe(files: DataFrame, settings: Settings) -> DataFrame:
     """File rows with their text replaced by its facts."""
     return (
@@ -239,6 +258,7 @@ def organize(files: DataFrame, tables: Tables, run: Run, settings: Settings) ->
     taxonomy = tables.taxonomy
     if taxonomy is None:
         taxonomy = materialize(scan_taxonomy(tables.events, settings))
+    decided, seen = _observed(decided, F.col("path") == "duplicate", F.col("path") == "cache", F.col("state") == "failed")
     decided = materialize(decided)
     categorized = materialize(categorize(decided, taxonomy, settings))
     marked = mark_copies(categorized, settings)
@@ -246,4 +266,5 @@ def organize(files: DataFrame, tables: Tables, run: Run, settings: Settings) ->
     plan = routed.select(
         *PLAN, F.col("facts.quality").alias("extraction_quality"), (F.col("path") == "sorted").alias("decided_here")
     )
-    return Organized(materialize(plan), run, settings)
+    plan, seen_plan = _observed(plan, F.col("category_l1") == DUPLICATES, F.col("cached"), F.col("status") == "failed")
+    return Organized(materialize(plan), run, settings, {"decided": seen, "planned": seen_plan})

@@ -551,6 +551,9 @@ FINALS: dict[str, str | tuple[str, dict[str, str]]] = {
         count(*) FILTER (status = 'failed') AS failed_files, count(*) FILTER (needs_review) AS review_files,
         round(avg(confidence), 6) AS avg_confidence FROM plan GROUP BY run_id""",
     "benchmark_report": f"SELECT {_COUNTERS} FROM cases",
+    "stage_metrics": """SELECT 'decided' AS stage, count(*) AS files, count(*) FILTER (path = 'duplicate') AS duplicates, count(*) FILTER (path = 'cache') AS cached,
+        count(*) FILTER (needs_review) AS review, count(*) FILTER (state = 'failed') AS failed FROM raw_outcomes
+        UNION ALL SELECT 'planned', count(*), count(*) FILTER (category_l1 = '_Duplicates'), count(*) FILTER (cached), count(*) FILTER (needs_review), count(*) FILTER (status = 'failed') FROM plan""",
     "stats_by_category": "SELECT category, count(*) AS count FROM moved WHERE new_path IS NOT NULL GROUP BY category",
     "stats_overall": """SELECT count(new_path) AS total_processed,
         round(count(*) FILTER (new_path IS NOT NULL AND cached) / count(new_path) * 100.0, 6) AS cache_hit_rate,

@@ -403,6 +403,12 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
+@query
+def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What went through the stages of a run, counted on the way."""
+    return corpus.organized(spark, sf_dir).stage_metrics()
+
+
 @query
 def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.benchmark_report(benchmark_cases(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from filewright import schemas
 from filewright.operators.ledger import current_runs
+from filewright.operators.state import State
 from filewright.plans.benchmark import benchmark
 from filewright.plans.organize import Tables, organize
 from filewright.plans.output import write_organized
@@ -227,3 +228,38 @@ def test_a_batch_can_be_delivered_twice(spark, tmp_path):
     ]
     records = {row.run_id: row.total_files for row in current_runs(spark.read.parquet(runs)).collect()}
     assert records == {"a-batch-0": 2, "b-batch-0": 1}
+
+
+def test_stages_are_counted_on_the_way(spark):
+    files = files_of(spark, ("invoice.txt", "pay me"), ("other.txt", "pay me"), ("page.html", ""))
+    done = organize(files, Tables.empty(spark), RUN, Settings())
+    counted = {row.stage: tuple(row)[1:] for row in done.stage_metrics().collect()}
+    assert counted == {"decided": (3, 0, 0, 2, 0), "planned": (3, 1, 0, 1, 0)}
+    metrics = done.metrics().first()
+    assert (metrics.total_files, metrics.review_files, metrics.failed_files) == (3, 1, 0)
+    empty = organize(files.limit(0), Tables.empty(spark), RUN, Settings())
+    assert [tuple(row)[1:] for row in empty.stage_metrics().collect()] == [(0,) * 5] * 2
+
+
+def test_batches_with_a_state_equal_batches_with_the_ledger(spark, tmp_path):
+    def to_files(rows, run_id):
+        return files_from_texts(rows, run_id)
+
+    lots = [
+        [("/inbox/a/note.txt", "one"), ("/inbox/b/note.txt", "two"), ("/inbox/c/invoice.txt", "three")],
+        [("/inbox/d/note.txt", "one"), ("/inbox/e/note.txt", "four"), ("/inbox/f/note_1.txt", "five")],
+        [("/inbox/g/note.txt", "six"), ("/inbox/h/invoice.txt", "seven"), ("/inbox/i/x.txt", "two")],
+    ]
+    state = State(str(tmp_path / "state"), buckets=2)
+    for number, lot in enumerate(lots):
+        rows = spark.createDataFrame(lot, "source_path STRING, text STRING")
+        run = batch_run("s", number, datetime(2024, 5, 1 + number))
+        organize_batch(rows, run, str(tmp_path / "plain"), to_files, Settings())
+        for _ in range(2 if number == 1 else 1):  # one batch is delivered twice
+            organize_batch(rows, run, str(tmp_path / "kept"), to_files, Settings(), state=state, first_id=number * 1000 + 1)
+    names = ("run_id", "source_path", "destination_path", "category_l1", "category_l2", "reason", "status")
+    plain, kept = (sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / t)).select(*names).collect()) for t in ("plain", "kept"))
+    assert kept == plain and len(kept) == 9
+    assert sum("_Duplicates" in row[2] for row in kept) == 2
+    ids = [row.event_id for row in spark.read.parquet(str(tmp_path / "kept")).collect()]
+    assert len(set(ids)) == 9 and max(ids) == 2003
