@@ -7,6 +7,9 @@ what is not plain there, and any other tokenizer, goes through the tokenizers li
 from __future__ import annotations
 
 import json
+import os
+import sys
+import types
 
 import numpy as np
 
@@ -34,7 +37,8 @@ CLASS[65:91] = CLASS[97:123] = LETTER
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LATIN = 0xC3  # first byte of the letters from U+00C0 to U+00FF; two of these are signs
-KNOWN_PIECES = 100_000
+KNOWN_PIECES = 1 << 18
+LONGEST = 64  # rounds of merging copy the piece, so longer ones go through the library
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -68,18 +72,36 @@ class Encoder:
             and steps[1].get("type") == "ByteLevel"
             and not steps[1].get("add_prefix_space")
         )
-        self.hashes = np.zeros(0, np.uint64)
-        self.ends = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self._forget()
         if self.plain:
             names = _byte_names()
             self.inner = np.array([self.vocab[name] for name in names], np.int64)
             self.last = np.array([self.vocab[name + END] for name in names], np.int64)
             pairs = [merge if isinstance(merge, list) else merge.split(" ") for merge in model["merges"]]
             keys = np.array([self.vocab[a] << 32 | self.vocab[b] for a, b in pairs], np.int64)
-            order = np.argsort(keys)
-            self.keys, self.ranks = keys[order], order
-            self.made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)[order]
+            self.made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
+            self._file(keys)
+
+    def _forget(self) -> None:
+        """Known pieces by their hash, with the begin and number of their ids in a list that grows."""
+        self.known: dict[int, int] = {}
+        self.begins = np.zeros(0, np.int64)
+        self.counts = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _file(self, keys: np.ndarray) -> None:
+        """A hash table of merges by rank: a pair is in one of few columns of its row."""
+        self.keys = keys
+        self.bits = 18
+        rows = self._row(keys)
+        order = np.argsort(rows, kind="stable")
+        first = np.searchsorted(rows[order], rows[order])
+        column = np.arange(len(keys)) - first
+        self.table = np.full((int(column.max(initial=0)) + 1, 1 << self.bits), len(keys), np.int32)
+        self.table[column, rows[order]] = order
+
+    def _row(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def library(self):
         if self._library is None:
@@ -104,24 +126,22 @@ class Encoder:
         hashes = mix(sums * np.uint64(BASE) ^ (lengths.astype(np.uint64) << np.uint64(33)) ^ (odd.astype(np.uint64) << np.uint64(63)))
         distinct, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
         self._learn(distinct, first, folded, data, starts, lengths, odd)
-        known = np.searchsorted(self.hashes, distinct)[codes]
-        counts = np.diff(self.ends)[known]
+        known = np.array([self.known[value] for value in distinct.tolist()], np.int64)[codes]
+        counts = self.counts[known]
         at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids = self.ids[np.repeat(self.ends[known], counts) + at]
+        ids = self.ids[np.repeat(self.begins[known], counts) + at]
         text = np.searchsorted(offsets, starts, "right") - 1
         return ids, np.bincount(text, counts, len(offsets) - 1).astype(np.int64)
 
     def _learn(self, distinct, first, folded, data, starts, lengths, odd) -> None:
-        """Make sure that the ids of these pieces are known. What is known is kept in order of the hash."""
-        if len(self.hashes) > KNOWN_PIECES:
-            self.hashes, self.ends, self.ids = self.hashes[:0], np.zeros(1, np.int64), self.ids[:0]
-        at = np.searchsorted(self.hashes, distinct)
-        fresh = np.append(self.hashes, np.uint64(0))[at] != distinct
-        fresh |= at == len(self.hashes)
+        """Make sure that the ids of these pieces are known."""
+        if len(self.known) > KNOWN_PIECES:
+            self._forget()
+        fresh = np.array([value not in self.known for value in distinct.tolist()], bool)
         if not fresh.any():
             return
         hashes, first = distinct[fresh], first[fresh]
-        usual = ~odd[first]
+        usual = ~odd[first] & (lengths[first] <= LONGEST)
         counts = np.zeros(len(first), np.int64)
         ids, counts[usual] = self._merged(folded, starts[first[usual]], lengths[first[usual]])
         parts = [ids]
@@ -130,23 +150,24 @@ class Encoder:
             made = self.library().encode(raw, add_special_tokens=False).ids
             counts[k] = len(made)
             parts.append(np.array(made, np.uint32))
-        # Lists in the order in which they were made: those known, the usual new ones, the odd ones.
+        # Lists in the order in which they were made: the usual new ones, then the others.
         order = np.concatenate((np.flatnonzero(usual), np.flatnonzero(~usual)))
-        all_hashes = np.concatenate((self.hashes, hashes[order]))
-        all_counts = np.concatenate((np.diff(self.ends), counts[order]))
-        all_ids = np.concatenate((self.ids, *parts))
-        begins = np.cumsum(all_counts) - all_counts
-        sort = np.argsort(all_hashes)
-        all_counts, begins = all_counts[sort], begins[sort]
-        take = np.arange(all_counts.sum()) - np.repeat(np.cumsum(all_counts) - all_counts, all_counts)
-        self.ids = all_ids[np.repeat(begins, all_counts) + take]
-        self.hashes, self.ends = all_hashes[sort], np.append(0, np.cumsum(all_counts))
+        self.known.update(zip(hashes[order].tolist(), range(len(self.counts), len(self.counts) + len(order))))
+        counts = counts[order]
+        self.begins = np.append(self.begins, len(self.ids) + np.cumsum(counts) - counts)
+        self.counts = np.append(self.counts, counts)
+        self.ids = np.concatenate((self.ids, *parts))
 
-    def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank of the merge of each pair, or a number above all; its place in the table)."""
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each pair, or a number above all."""
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], len(self.keys)), at
+        row = self._row(key)
+        found = np.full(len(key), len(self.keys))
+        known = np.append(self.keys, -1)
+        for column in self.table:
+            rank = column[row]
+            found = np.where(known[rank] == key, rank, found)
+        return found
 
     def _merged(self, folded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each piece): every round does the first merge of least rank in every piece that has one."""
@@ -162,8 +183,7 @@ class Encoder:
         ids[ends] = self.last[signs[ends]]
         none = len(self.keys)
         rank = np.full(total, none)
-        place = np.zeros(total, np.int64)
-        rank[:-1], place[:-1] = self._rank(ids[:-1], ids[1:])
+        rank[:-1] = self._rank(ids[:-1], ids[1:])
         rank[ends] = none
         piece = np.arange(len(starts))
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -176,27 +196,27 @@ class Encoder:
                 moved = np.cumsum(mask) - 1
                 best = best[active]
                 at = moved[best % total]
-                ids, rank, place = ids[mask], rank[mask], place[mask]
+                ids, rank = ids[mask], rank[mask]
                 piece, lengths = piece[active], lengths[active]
                 begin = np.cumsum(lengths) - lengths
                 if not len(piece):
                     break
             else:
                 at = best % total
-            ids[at] = self.made[place[at]]
+            ids[at] = self.made[rank[at]]
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
             at = at - np.arange(len(at))  # one sign goes in each piece before
             rank[np.flatnonzero(~keep) - 1] = rank[~keep]  # the end of a piece stays one
-            ids, rank, place = ids[keep], rank[keep], place[keep]
+            ids, rank = ids[keep], rank[keep]
             lengths = lengths - 1
             begin = begin - np.arange(len(begin))
             last = begin + lengths - 1
             inner = at[at < last]
-            rank[inner], place[inner] = self._rank(ids[inner], ids[inner + 1])
+            rank[inner] = self._rank(ids[inner], ids[inner + 1])
             rank[last] = none
             before = at[at > begin] - 1
-            rank[before], place[before] = self._rank(ids[before], ids[before + 1])
+            rank[before] = self._rank(ids[before], ids[before + 1])
         pieces_, counts, made = (np.concatenate(x) for x in zip(*done))
         out_counts[pieces_] = counts
         begins = np.cumsum(counts) - counts
@@ -206,6 +226,18 @@ class Encoder:
         return made[np.repeat(begins, counts) + take].astype(np.uint32), out_counts
 
 
+def encoder(path: str) -> Encoder:
+    """The encoder of a worker process for a tokenizer file, with the pieces that earlier tasks have met.
+
+    Code of this package comes to workers with each task, so what outlives a task is kept among the modules.
+    """
+    kept = sys.modules.setdefault("filewright_encoders", types.ModuleType("filewright_encoders")).__dict__
+    name = f"{path} {os.stat(path).st_mtime_ns}"
+    if name not in kept:
+        kept[name] = Encoder(path)
+    return kept[name]
+
+
 def pieces(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(folded bytes, start and length of each piece, whether it is odd); a run between spaces with unusual bytes is one odd piece."""
     size = len(data)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filewright.llm.bpe import Encoder
+from filewright.llm.bpe import Encoder, encoder
 from filewright.llm.store import stage
 from filewright.llm.text import mix, text_chunks, trimmed
 
@@ -28,6 +28,7 @@ CELL_BITS = 8
 BUCKETS = 1024
 SEED = 7
 CHUNK_BYTES = 1 << 18
+PART_TOKENS = 1 << 26  # in a range of the curve, by which a longer table gets more ranges
 
 
 def projection(buckets: int, dimensions: int) -> np.ndarray:
@@ -66,15 +67,15 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 def _encode(path: str):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        kind = np.dtype(token_type(encoder.size))
+        tokens_of = encoder(path)
+        kind = np.dtype(token_type(tokens_of.size))
         # What a token adds to a document's place: its bucket's direction, with a sign of its own.
-        hashed = mix(np.arange(encoder.size, dtype=np.uint64) + np.uint64(SEED))
+        hashed = mix(np.arange(tokens_of.size, dtype=np.uint64) + np.uint64(SEED))
         adds = projection(BUCKETS, DIMENSIONS)[(hashed % np.uint64(BUCKETS)).astype(np.int64)]
         adds *= np.where(hashed >> np.uint64(63), 1.0, -1.0)[:, None]
         for batch in batches:
             for first, offsets, data in text_chunks(batch.column(1), CHUNK_BYTES):
-                ids, counts = encoder.encode(offsets, data)
+                ids, counts = tokens_of.encode(offsets, data)
                 rows = len(counts)
                 ends = np.cumsum(counts)
                 sums = np.vstack((np.zeros((1, DIMENSIONS)), np.cumsum(adds[ids], axis=0)))
@@ -182,12 +183,13 @@ def pack(
     )
     places = range(DIMENSIONS)
     moments = encoded.agg(
-        *(f(F.col("point")[j]).alias(f"{f.__name__}{j}") for j in places for f in (F.avg, F.stddev_pop))
+        F.sum("n").alias("n"),
+        *(f(F.col("point")[j]).alias(f"{f.__name__}{j}") for j in places for f in (F.avg, F.stddev_pop)),
     ).first()
     means = np.array([moments[f"avg{j}"] or 0.0 for j in places])
     spreads = np.array([moments[f"stddev_pop{j}"] or 1.0 for j in places])
     keyed = encoded.mapInArrow(trimmed(_keyed(means, spreads)), f"id {kind}, tokens binary, n bigint, curve bigint")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (moments["n"] or 0) // PART_TOKENS, 1)
     ordered = keyed.repartitionByRange(parts, "curve", "id", "n").sortWithinPartitions("curve", "id", "n")
     schema = f"id {kind}, tokens binary, n bigint, curve bigint, part int, before bigint"
     chained = stage(ordered.mapInArrow(trimmed(_chained), schema), "curve-order")

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -27,6 +28,24 @@ def test_encoder_equals_the_library():
     assert encode(texts) == [library.encode(text, add_special_tokens=False).ids for text in texts]
 
 
+def test_long_runs_take_time_in_proportion():
+    library = Tokenizer.from_file(PATH)
+    for text in ("a" * 1_000_000, "=" * 1_000_000, "é" * 200_000, "x1" * 200_000):
+        begin = time.perf_counter()
+        assert encode([text]) == [library.encode(text, add_special_tokens=False).ids]
+        assert time.perf_counter() - begin < 10  # twice the time of the library, on a busy machine
+
+
+def test_known_pieces_are_forgotten_and_learned_again(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_PIECES", 5)
+    shared, library = bpe.encoder(PATH), Tokenizer.from_file(PATH)
+    assert shared is bpe.encoder(PATH)
+    for text in ("one two three four five six seven", "one two", "eight nine one", ""):
+        raw = text.encode()
+        ids, counts = shared.encode(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+
+
 def test_another_tokenizer_goes_through_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoder = bpe.Encoder(path)
