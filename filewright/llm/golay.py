@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from filewright.llm.components import components
 from filewright.llm.store import attach, fresh, may_match, stage
-from filewright.llm.text import text_bytes, trimmed
+from filewright.llm.text import mix, powers, text_bytes, trimmed
 
 SEED = 42
 MAX_BITS = 3
@@ -159,10 +159,23 @@ def near_duplicates(
 
 # Near copies by similarity: links between texts whose sets of word shingles have at least this Jaccard similarity.
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
-SIMILAR_SEEDS = (42, 43, 44, 45)
+FINGERPRINTS = 4
 # At that similarity 38 of the 256 bits differ on average, and 48 in the smallest sets, of four and five shingles. Pairs
-# go on that are within four deviations of the latter; of unlike texts half of the bits differ.
-SIMILAR_BITS = 73
+# go on that are within four deviations of the latter, in the fingerprint where they meet and its neighbour and then in
+# all; of unlike texts half of the bits differ.
+SIMILAR_BITS, SIMILAR_BITS_OF_TWO = 73, 42
+
+
+def similar_fingerprints(hashes: np.ndarray) -> list[int]:
+    """Fingerprints of a set of shingles by their hashes, each from another scattering of the bits."""
+    made = []
+    for turn in powers(0x9E3779B97F4A7C15, FINGERPRINTS):
+        ones = np.zeros(64, np.int64)
+        for low in range(0, len(hashes), 1 << 16):
+            turned = mix(hashes[low : low + (1 << 16)] ^ turn).view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(turned, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        made.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
+    return made
 
 
 def _signed(words: int):
@@ -171,53 +184,66 @@ def _signed(words: int):
             rows = []
             offsets, data = text_bytes(batch.column(1)) if batch.num_rows else (np.zeros(1, np.int64), b"")
             for s, e in zip(offsets, offsets[1:]):
-                runs = list(set(shingles(data[s:e].tobytes(), words)))
-                rows.append([len(runs), *(fingerprint(runs, seed) for seed in SIMILAR_SEEDS)])
-            columns = np.array(rows, np.int64).reshape(len(rows), 1 + len(SIMILAR_SEEDS)).T
+                runs = set(shingles(data[s:e].tobytes(), words))
+                hashes = np.array([xxhash.xxh64_intdigest(run, SEED) for run in runs], "<u8")
+                rows.append([len(runs), *similar_fingerprints(hashes)])
+            columns = np.array(rows, np.int64).reshape(len(rows), 1 + FINGERPRINTS).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(c)) for c in columns)],
-                ["id", "digest", "size", *(f"fp{k}" for k in range(len(SIMILAR_SEEDS)))],
+                ["id", "digest", "size", *(f"fp{k}" for k in range(FINGERPRINTS))],
             )
 
     return made
 
 
-def _similar_keys(k: int):
-    """(key, node, size, fp...) for all pairs of near codewords of two segments of fingerprint ``k``; the rows of a node lie together."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                values = part.column(2 + k).to_numpy()
-                found = [codewords(values >> shift & (1 << width) - 1) for shift, width in SEGMENTS]
-                keys, valid = [], []
-                for at, (left, right) in enumerate(PAIRS):
-                    key = (found[left][:, :, None] << 12 | found[right][:, None, :]) | at << 24
-                    keys.append(key.reshape(len(values), -1))
-                    valid.append(((found[left] >= 0)[:, :, None] & (found[right] >= 0)[:, None, :]).reshape(len(values), -1))
-                near = np.concatenate(valid, axis=1)
-                owner = pa.array(np.nonzero(near)[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys, axis=1)[near].astype(np.int32)), *(c.take(owner) for c in part.columns)],
-                    ["key", *part.schema.names],
-                )
-
-    return made
+def _similar_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp, beside) for all pairs of near codewords of two segments of ``fp``."""
+    for batch in batches:
+        values, beside = (column.to_numpy() for column in batch.columns)
+        for low in range(0, len(values), 256):
+            part = values[low : low + 256]
+            found = [codewords(part >> shift & (1 << width) - 1) for shift, width in SEGMENTS]
+            keys, valid = [], []
+            for at, (left, right) in enumerate(PAIRS):
+                key = (found[left][:, :, None] << 12 | found[right][:, None, :]) | at << 24
+                keys.append(key.reshape(len(part), -1))
+                valid.append(((found[left] >= 0)[:, :, None] & (found[right] >= 0)[:, None, :]).reshape(len(part), -1))
+            near = np.concatenate(valid, axis=1)
+            owner = np.nonzero(near)[0]
+            columns = [np.concatenate(keys, axis=1)[near].astype(np.int32), part[owner], beside[low : low + 256][owner]]
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["key", "fp", "beside"])
+
+
+def _similar_prints(prints: DataFrame) -> DataFrame:
+    """(a, a2, b, b2) of the distinct ``prints`` (fp, beside) that share a key of ``fp`` and differ in few bits; each with itself.
+
+    Both sides of the join are one relation, which is made and shuffled once.
+    """
+    keys = prints.mapInArrow(trimmed(_similar_keys), "key int, fp bigint, beside bigint").hint("merge")  # more than Spark expects
+    bits = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) + F.bit_count(F.col("l.beside").bitwiseXOR(F.col("r.beside")))
+    once = F.struct("l.fp", "l.beside") < F.struct("r.fp", "r.beside")
+    met = keys.alias("l").join(keys.alias("r"), (F.col("l.key") == F.col("r.key")) & once & (bits <= SIMILAR_BITS_OF_TWO))
+    names = ("a", "a2", "b", "b2")
+    met = met.select("l.fp", "l.beside", "r.fp", "r.beside").toDF(*names).distinct()
+    return met.unionByName(prints.select("fp", "beside", "fp", "beside").toDF(*names))
 
 
 def _similar_candidates(nodes: DataFrame, names: list[str]) -> DataFrame:
     """(a, b) of texts of like size whose fingerprints differ in few bits in all, found by each fingerprint in turn."""
     worded = nodes.where("size > 0").select("node", "size", *names)
-    schema = "key int, node bigint, size bigint, " + ", ".join(f"{name} bigint" for name in names)
-    bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"other_{n}"))) for n in names), F.lit(0))
-    sizes = F.least("size", "other_size") >= SIMILARITY * F.greatest("size", "other_size")
+    left, right = (worded.select(*[F.col(c).alias(f"{side}_{c}") for c in worded.columns]) for side in ("a", "b"))
+    bits = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
+    sizes = F.least("a_size", "b_size") >= SIMILARITY * F.greatest("a_size", "b_size")
+    other = (F.col("a") != F.col("b")) | (F.col("a2") != F.col("b2")) | (F.col("a_node") < F.col("b_node"))
     pairs = None
-    for k in range(len(names)):
-        keys = worded.mapInArrow(trimmed(_similar_keys(k)), schema)
-        other = keys.withColumnsRenamed({c: f"other_{c}" for c in ("node", "size", *names)})
-        met = keys.join(other, "key").where((F.col("node") > F.col("other_node")) & (bits <= SIMILAR_BITS) & sizes)
-        met = stage(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), f"similar-pairs-{k}")
+    for name, beside in zip(names, [*names[1:], names[0]]):
+        prints = worded.select(F.col(name).alias("fp"), F.col(beside).alias("beside")).distinct()
+        prints = stage(_similar_prints(stage(prints, f"prints-{name}")), f"similar-{name}")
+        met = prints.join(left, (F.col("a") == F.col(f"a_{name}")) & (F.col("a2") == F.col(f"a_{beside}")))
+        met = met.join(right, (F.col("b") == F.col(f"b_{name}")) & (F.col("b2") == F.col(f"b_{beside}")))
+        met = met.where((bits <= SIMILAR_BITS) & sizes & other)
+        met = met.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
+        met = stage(met, f"similar-pairs-{name}")
         pairs = met if pairs is None else pairs.unionByName(met)
     return pairs.distinct()
 
@@ -247,7 +273,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.coalesce(text_col, F.lit(""))).alias("digest")
     )
-    names = [f"fp{k}" for k in range(len(SIMILAR_SEEDS))]
+    names = [f"fp{k}" for k in range(FINGERPRINTS)]
     schema = f"id {kind}, digest string, size bigint, " + ", ".join(f"{name} bigint" for name in names)
     signed = stage(rows.select("id", "text", "digest").mapInArrow(trimmed(_signed(SIMILAR_WORDS)), schema), "signatures")
     # Texts without a word are one node, whatever their white space.
