@@ -24,20 +24,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/filewright-llm"
 
 
-BATCH_ROWS = 1_000  # texts are long, so fewer go in an Arrow batch than Spark's default
+# What goes in an Arrow batch. Texts are long, and some partitions hold the longest of them together.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def stage(rows: DataFrame, name: str) -> DataFrame:
     """Write rows once and read them back: a lost executor then costs a re-read of files."""
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(BATCH_ROWS))
+    before = {setting: spark.conf.get(setting) for setting in BATCHES}
+    for setting, value in BATCHES.items():
+        spark.conf.set(setting, value)
     try:
         rows.write.parquet(path)
     finally:
-        spark.conf.set(setting, before)
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
     return spark.read.schema(rows.schema).parquet(path)
 
 
