@@ -23,15 +23,12 @@ TRAINING_PAGES = 400
 TRAINING_SEED = 5
 STEPS, RATE, RIDGE = 300, 0.1, 1e-3
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.DOTALL,
-)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+SIGNS = re.compile("[>\"']")
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
 # Elements of HTML, by how they bound text.
-RAW = set("script style noscript template iframe svg math object canvas audio video head title textarea select".split())
+RAW = set("script style noscript template iframe svg annotation annotation-xml head title textarea select".split())
 # Those whose text runs to the end of a page that does not end them, and what may be inside a head.
 TO_THE_END = set("script style textarea title".split())
 IN_HEAD = set("html head title base basefont bgsound link meta script style noscript noframes template".split())
@@ -65,13 +62,129 @@ def _names(attributes: str) -> str:
     return " ".join("".join(found) for found in NAMES.findall(attributes)) if "=" in attributes else ""
 
 
+class Tags:
+    """The tags of a page from left to right. Where a search found nothing it is not made again, so all take time in proportion."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.ends = {quote: page.rfind(quote) for quote in "\"'"}
+        self.unclosed: set[int] = set()  # quotes from which no tag ends
+
+    def after(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """(start, end, name, whether it ends an element, attributes) of the next tag; comments and the like have no name."""
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return None
+            if page.startswith("<!--", start):
+                return start, self._to("-->", start), None, False, ""
+            if page.startswith("<![CDATA[", start):
+                return start, self._to("]]>", start), None, False, ""
+            if start < self.last:
+                if page.startswith(("<!", "<?"), start):
+                    return start, page.find(">", start) + 1, None, False, ""
+                found = NAME.match(page, start + 1, self.last)
+                if found:
+                    end = self._end(found.end())
+                    return start, end, found.group(2).lower(), bool(found.group(1)), page[found.end() : end - 1]
+                at = start + 1
+            else:  # only a comment can begin here
+                found = [place for place in (page.find(mark, start) for mark in ("<!--", "<![CDATA[")) if place >= 0]
+                if not found:
+                    return None
+                at = min(found)
+
+    def _to(self, mark: str, start: int) -> int:
+        end = self.page.find(mark, start)
+        return len(self.page) if end < 0 else end + len(mark)
+
+    def _end(self, at: int) -> int:
+        """Behind the ``>`` of a tag: the first outside quotes, or the first at all if a quote is not closed."""
+        page, first, opened = self.page, at, []
+        while True:
+            found = SIGNS.search(page, at)
+            if found is None:
+                break
+            if found.group() == ">":
+                return found.end()
+            opened.append(found.start())
+            if found.start() in self.unclosed or found.start() == self.ends[found.group()]:
+                break
+            at = page.find(found.group(), found.end()) + 1
+        self.unclosed.update(opened)
+        return page.find(">", first) + 1
+
+
+class Element:
+    """An open element with what its ancestors and itself say of text in it."""
+
+    __slots__ = ("tag", "links", "tags", "hints", "own", "article", "odd", "features")
+
+    def __init__(self, above: Element | None, tag: str, names: str):
+        self.tag = tag
+        self.links = (above.links if above else 0) + (tag == "a")
+        self.tags = above.tags if above else frozenset()
+        self.hints = above.hints if above else frozenset()
+        self.own = tag if tag in BLOCKS else above.own if above else None
+        self.article = bool(above and above.article) or tag in ("article", "main")
+        self.odd = bool(above and above.odd)
+        self.features: frozenset | None = None
+        if tag in SEEN_TAGS and tag not in self.tags:
+            self.tags = self.tags | {tag}
+        if names:
+            hints = {hint for hint, pattern in HINT_PATTERNS.items() if pattern.search(names)}
+            self.odd = self.odd or bool(hints - {"main"})
+            if tag not in ("body", "html") and not hints <= self.hints:
+                self.hints = self.hints | hints
+
+    def above(self) -> frozenset:
+        if self.features is None:
+            found = {f"in:{tag}" for tag in self.tags} | {f"name:{hint}" for hint in self.hints}
+            if self.own:
+                found.add(f"own:{self.own}" if self.own in SEEN_TAGS else "own:other")
+            if self.article and not self.odd:
+                found.add("plain article")
+            self.features = frozenset(found)
+        return self.features
+
+
+class Stack:
+    """The open elements, with the places of each tag among them."""
+
+    def __init__(self):
+        self.elements: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+
+    def top(self) -> Element | None:
+        return self.elements[-1] if self.elements else None
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost element with one of the tags, -1 if there is none."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=-1)
+
+    def open(self, tag: str, names: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.elements))
+        self.elements.append(Element(self.top(), tag, names))
+
+    def shut(self, tags, stop=()) -> None:
+        """End the innermost element with one of ``tags``, and all in it, unless one of ``stop`` is inside of it."""
+        place = self.nearest(tags)
+        if place > self.nearest(stop):
+            while len(self.elements) > place:
+                self.places[self.elements.pop().tag].pop()
+
+
+OTHER_BLOCKS = BLOCKS - {"p"}
+
+
 def blocks(page: str) -> list[tuple[str, frozenset, float]]:
     """(text, features of the ancestors, share of link text) of every leaf block, in page order; character references are decoded."""
-    stack: list[tuple[str, str]] = []
+    stack, tags = Stack(), Tags(page)
     made: list[tuple[str, frozenset, float]] = []
     pieces: list[str] = []
     linked = 0
-    memory: dict[tuple, frozenset] = {}
     in_head = False
     unended: set[str] = set()
 
@@ -79,20 +192,10 @@ def blocks(page: str) -> list[tuple[str, frozenset, float]]:
         nonlocal pieces, linked
         text = " ".join("".join(pieces).split())
         if text:
-            path = tuple(stack)
-            if path not in memory:
-                memory[path] = ancestry(path)
-            made.append((text, memory[path], min(linked / len(text), 1.0)))
+            top = stack.top()
+            made.append((text, top.above() if top else frozenset(), min(linked / len(text), 1.0)))
         pieces, linked = [], 0
 
-    def shut(tags: set[str], stop: set[str]) -> None:
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] in tags:
-                del stack[at:]
-                return
-            if stack[at][0] in stop:
-                return
-
     def text_to(end: int) -> None:
         nonlocal linked, in_head
         if end > at:
@@ -103,23 +206,16 @@ def blocks(page: str) -> list[tuple[str, frozenset, float]]:
             if "&" in piece:
                 piece = html.unescape(piece)
             pieces.append(piece)
-            if any(tag == "a" for tag, _ in stack):
+            if stack.elements and stack.elements[-1].links:
                 linked += len(piece.strip())
 
     at = 0
-    while True:
-        found = TOKEN.search(page, at)
-        if found is None:
-            text_to(len(page))
-            break
-        text_to(found.start())
-        at = found.end()
-        name = found.group(2) or found.group(5)
+    while (found := tags.after(at)) is not None:
+        start, end, name, ending, attributes = found
+        text_to(start)
+        at = end
         if name is None:
             continue
-        name = name.lower()
-        ending = bool(found.group(1) or found.group(4))
-        attributes = found.group(3) or found.group(6) or ""
         if in_head:
             in_head = name not in ("head", "body", "html", "br") if ending else name in IN_HEAD
         if name in BLOCKS:
@@ -127,8 +223,7 @@ def blocks(page: str) -> list[tuple[str, frozenset, float]]:
         elif name == "br":
             pieces.append(" ")
         if ending:
-            if any(tag == name for tag, _ in stack):
-                shut({name}, set())
+            stack.shut((name,))
             continue
         if name in RAW:
             if attributes.endswith("/") or name in unended:
@@ -136,39 +231,24 @@ def blocks(page: str) -> list[tuple[str, frozenset, float]]:
             if name == "head":
                 in_head = True
                 continue
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            if end or name in TO_THE_END:
-                at = end.end() if end else len(page)
+            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at, tags.last + 1)
+            if stop or name in TO_THE_END:
+                at = stop.end() if stop else len(page)
             else:
                 unended.add(name)
             continue
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
         if name in BLOCKS:
-            shut({"p"}, BLOCKS - {"p"})
+            stack.shut(("p",), OTHER_BLOCKS)
         if name in CLOSES:
-            shut(CLOSES[name], KEEPS_OPEN)
-        stack.append((name, _names(attributes)))
+            stack.shut(CLOSES[name], KEEPS_OPEN)
+        stack.open(name, _names(attributes))
+    text_to(len(page))
     flush()
     return made
 
 
-def ancestry(path: tuple) -> frozenset:
-    """Features of a path of (tag, names)."""
-    found = {f"in:{tag}" for tag, _ in path if tag in SEEN_TAGS}
-    for tag, names in path:
-        if not names or tag in ("body", "html"):
-            continue
-        found.update(f"name:{hint}" for hint, pattern in HINT_PATTERNS.items() if pattern.search(names))
-    outer = [tag for tag, _ in path if tag in BLOCKS]
-    if outer:
-        found.add(f"own:{outer[-1]}" if outer[-1] in SEEN_TAGS else "own:other")
-    articles = [at for at, (tag, _) in enumerate(path) if tag in ("article", "main")]
-    if articles and not any(pattern.search(names) for _, names in path for hint, pattern in HINT_PATTERNS.items() if hint != "main" and names):
-        found.add("plain article")
-    return frozenset(found)
-
-
 def features(page: list[tuple[str, frozenset, float]]) -> list[list[str]]:
     made = []
     longest = max((len(text) for text, _, _ in page), default=1)
@@ -282,7 +362,7 @@ def extract(pages: DataFrame, html_col: str = "html", field: Field | None = None
 
     NULL and empty pages, and pages without a block of main text, have an empty text. Markup that is
     cut off or wrongly nested is read as far as it goes. Repeated rows each get their result; an empty table
-    gives none. The other columns must not be named text or n_chars.
+    gives none. The results take the place of other columns named text or n_chars, whatever their case.
     """
     chain = field or train()
 
@@ -296,7 +376,7 @@ def extract(pages: DataFrame, html_col: str = "html", field: Field | None = None
                     [*part.schema.names[1:], "text", "n_chars"],
                 )
 
-    others = [c for c in pages.columns if c != html_col]
+    others = [c for c in pages.columns if c != html_col and c.lower() not in ("text", "n_chars")]
     rows = pages.select(F.col(html_col), *others)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     return rows.mapInArrow(trimmed(made), (schema + ", " if schema else "") + "text string, n_chars bigint")
