@@ -23,8 +23,8 @@ from filewright.llm.store import stage
 from filewright.llm.text import trimmed
 
 THRESHOLD = 0.95
-TABLES = 10
-HASHES = 2
+TABLES = 7
+HASHES = 3  # of 128 axes for 64 dimensions: two million buckets a table
 PROBES = 2  # axes tried for each hash
 SKETCH_WORDS = 4
 SEED = 11

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from filewright.llm import crosspolytope
@@ -62,3 +63,36 @@ def test_rotations_keep_lengths_and_angles():
     assert np.allclose(turned @ turned.T, rows @ rows.T)
     assert (crosspolytope.axes(np.array([[0.1, -3.0, 2.0]]), 2) == [[3, 4]]).all()
     assert crosspolytope.sketch_bound(0.95) == pytest.approx(55, abs=3)
+
+
+def keys_of(vectors):
+    """(probe, key, number of the vector) of each row that vectors are hashed to."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(vectors)), pa.int64()), pa.array(vectors.tolist())], ["node", "vector"])
+    made = crosspolytope._hashed(crosspolytope.TABLES, crosspolytope.HASHES, crosspolytope.PROBES)(iter([batch]))
+    return [np.concatenate(columns) for columns in zip(*[[c.to_numpy(zero_copy_only=False) for c in part.columns[:3]] for part in made])]
+
+
+def test_planted_pairs_at_the_threshold_meet():
+    rng = np.random.default_rng(12)
+    for cosine in (0.95, 0.96, 0.97):
+        left, right = (rng.standard_normal((1500, 64)) for _ in range(2))
+        left /= np.linalg.norm(left, axis=1, keepdims=True)
+        right -= (left * right).sum(axis=1, keepdims=True) * left
+        right *= np.sqrt(1 - cosine**2) / np.linalg.norm(right, axis=1, keepdims=True)
+        (_, sought, a), (probe, filed, b) = keys_of(left), keys_of(cosine * left + right)
+        buckets = {(int(key), int(node)) for key, node, is_probe in zip(filed, b, probe) if not is_probe}
+        met = {int(node) for key, node in zip(sought, a) if (int(key), int(node)) in buckets}
+        assert len(met) >= 0.98 * len(left)  # in one direction; the join goes both ways
+
+
+def test_unlike_vectors_seldom_meet():
+    rng = np.random.default_rng(13)
+    each = []
+    for count in (2000, 8000):
+        probe, key, _ = keys_of(rng.standard_normal((count, 64)))
+        filed, found = np.unique(key[~probe], return_counts=True)
+        at = np.minimum(np.searchsorted(filed, key), len(filed) - 1)
+        met = np.where(filed[at] == key, found[at], 0).sum() - crosspolytope.TABLES * count  # not itself
+        each.append(met / count)
+    # Candidates a vector grow with the table, by a few hundredths for a thousand vectors.
+    assert each[0] < 0.3 and each[1] < 1.2
