@@ -17,7 +17,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright.llm.components import components
@@ -214,36 +214,75 @@ def _similar_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["key", "fp", "beside"])
 
 
-def _similar_prints(prints: DataFrame) -> DataFrame:
-    """(a, a2, b, b2) of the distinct ``prints`` (fp, beside) that share a key of ``fp`` and differ in few bits; each with itself.
+PAIR = ("a", "a2", "b", "b2")
 
-    Both sides of the join are one relation, which is made and shuffled once.
+
+def _shared_keys(prints: DataFrame) -> DataFrame:
+    """(key, fp, beside, least, least2) of the keys of ``prints`` (fp, beside) that several have, each with the least print of the key."""
+    keys = prints.select("fp", "beside").mapInArrow(trimmed(_similar_keys), "key int, fp bigint, beside bigint")
+    same = Window.partitionBy("key")
+    least = F.first(F.struct("fp", "beside")).over(same.orderBy("fp", "beside"))
+    held = keys.select("*", F.count("*").over(same).alias("n"), least.alias("first")).where("n > 1")
+    return held.select("key", "fp", "beside", F.col("first.fp").alias("least"), F.col("first.beside").alias("least2"))
+
+
+def _pairs_with_least(shared: DataFrame) -> DataFrame:
+    """``PAIR`` of prints and the least print of one of their keys, if they differ in few bits: as many as there are keys at most."""
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) + F.bit_count(F.col("beside").bitwiseXOR(F.col("least2")))
+    other = (F.col("fp") != F.col("least")) | (F.col("beside") != F.col("least2"))
+    return shared.where(other & (bits <= SIMILAR_BITS_OF_TWO)).select("fp", "beside", "least", "least2").toDF(*PAIR).distinct()
+
+
+def _pairs_apart(shared: DataFrame, prints: DataFrame) -> DataFrame:
+    """``PAIR`` of all prints that share a key and differ in few bits, but those whose texts are one component.
+
+    ``low`` and ``high`` of ``prints`` are the least and greatest component of the texts of a print.
     """
-    keys = prints.mapInArrow(trimmed(_similar_keys), "key int, fp bigint, beside bigint").hint("merge")  # more than Spark expects
-    bits = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) + F.bit_count(F.col("l.beside").bitwiseXOR(F.col("r.beside")))
+    keys = shared.select("key", "fp", "beside").join(prints.select("fp", "beside", "low", "high"), ["fp", "beside"]).hint("merge")
+    bits = sum((F.bit_count(F.col(f"l.{n}").bitwiseXOR(F.col(f"r.{n}"))) for n in ("fp", "beside")), F.lit(0))
     once = F.struct("l.fp", "l.beside") < F.struct("r.fp", "r.beside")
-    met = keys.alias("l").join(keys.alias("r"), (F.col("l.key") == F.col("r.key")) & once & (bits <= SIMILAR_BITS_OF_TWO))
-    names = ("a", "a2", "b", "b2")
-    met = met.select("l.fp", "l.beside", "r.fp", "r.beside").toDF(*names).distinct()
-    return met.unionByName(prints.select("fp", "beside", "fp", "beside").toDF(*names))
+    apart = (F.col("l.low") != F.col("r.low")) | (F.col("l.high") != F.col("r.high")) | (F.col("l.low") != F.col("l.high"))
+    met = keys.alias("l").join(keys.alias("r"), (F.col("l.key") == F.col("r.key")) & once & apart & (bits <= SIMILAR_BITS_OF_TWO))
+    return met.select("l.fp", "l.beside", "r.fp", "r.beside").toDF(*PAIR).distinct()
+
 
+def _similar_candidates(nodes: DataFrame, names: list[str], shared: dict[str, DataFrame]) -> DataFrame:
+    """(a, b) of texts of like size whose fingerprints differ in few bits in all, found by each fingerprint in turn.
 
-def _similar_candidates(nodes: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b) of texts of like size whose fingerprints differ in few bits in all, found by each fingerprint in turn."""
-    worded = nodes.where("size > 0").select("node", "size", *names)
+    ``nodes`` have a component ``top``, and only pairs of different components are given. In the first pass, which fills
+    ``shared`` with the keys, each print is held against the least one of its key alone, so a group of near copies makes pairs
+    in proportion to its size.
+    """
+    first = not shared
+    worded = nodes.where("size > 0").select("node", "size", "top", *names)
     left, right = (worded.select(*[F.col(c).alias(f"{side}_{c}") for c in worded.columns]) for side in ("a", "b"))
     bits = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
     sizes = F.least("a_size", "b_size") >= SIMILARITY * F.greatest("a_size", "b_size")
-    other = (F.col("a") != F.col("b")) | (F.col("a2") != F.col("b2")) | (F.col("a_node") < F.col("b_node"))
+    apart = (F.col("a_node") != F.col("b_node")) & (F.col("a_top") != F.col("b_top"))
     pairs = None
     for name, beside in zip(names, [*names[1:], names[0]]):
-        prints = worded.select(F.col(name).alias("fp"), F.col(beside).alias("beside")).distinct()
-        prints = stage(_similar_prints(stage(prints, f"prints-{name}")), f"similar-{name}")
-        met = prints.join(left, (F.col("a") == F.col(f"a_{name}")) & (F.col("a2") == F.col(f"a_{beside}")))
-        met = met.join(right, (F.col("b") == F.col(f"b_{name}")) & (F.col("b2") == F.col(f"b_{beside}")))
-        met = met.where((bits <= SIMILAR_BITS) & sizes & other)
+        held = worded.withColumnsRenamed({name: "fp", beside: "beside"}).groupBy("fp", "beside")
+        held = held.agg(F.min("top").alias("low"), F.max("top").alias("high"), F.min("node").alias("one"), F.count("*").alias("n"))
+        prints = stage(held, f"prints-{name}")
+        if first:
+            shared[name] = stage(_shared_keys(prints), f"shared-keys-{name}")
+        found = stage(_pairs_with_least(shared[name]) if first else _pairs_apart(shared[name], prints), f"similar-{name}")
+        met = found.join(left, (F.col("a") == F.col(f"a_{name}")) & (F.col("a2") == F.col(f"a_{beside}")))
+        if first:
+            # Of each print one text, and the other texts of a print with that one.
+            one = prints.select(F.col("fp").alias("b"), F.col("beside").alias("b2"), F.col("one").alias("b_node"))
+            met = met.join(one, ["b", "b2"]).join(right, "b_node")
+            several = prints.where("n > 1").select(F.col("fp").alias(f"a_{name}"), F.col("beside").alias(f"a_{beside}"), F.col("one").alias("b_node"))
+            same = left.join(several, [f"a_{name}", f"a_{beside}"]).join(right, "b_node")
+        else:
+            met = met.join(right, (F.col("b") == F.col(f"b_{name}")) & (F.col("b2") == F.col(f"b_{beside}")))
+            mixed = prints.where("low <> high").select(F.col("fp").alias(f"a_{name}"), F.col("beside").alias(f"a_{beside}"))
+            same = left.join(mixed, [f"a_{name}", f"a_{beside}"], "left_semi")
+            same = same.join(right, (F.col(f"a_{name}") == F.col(f"b_{name}")) & (F.col(f"a_{beside}") == F.col(f"b_{beside}")))
+        columns = [*left.columns, *right.columns]
+        met = met.select(*columns).unionByName(same.select(*columns)).where((bits <= SIMILAR_BITS) & sizes & apart)
         met = met.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
-        met = stage(met, f"similar-pairs-{name}")
+        met = stage(met.distinct(), f"similar-pairs-{name}")
         pairs = met if pairs is None else pairs.unionByName(met)
     return pairs.distinct()
 
@@ -261,6 +300,21 @@ def _shingle_hashes(words: int):
     return made
 
 
+def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts, of ``rows``, have enough shingles in common."""
+    pairs = stage(pairs, "similar-pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stage(ends.join(nodes.select("node", "digest", "first.id"), "node"), "similar-texts")
+    texts = may_match(rows.select("id", "text", "digest"), ["digest"], wanted, ["digest"])
+    chosen = texts.join(wanted.select("digest", F.col("id").alias("i")), "digest").where(F.col("id").eqNullSafe(F.col("i")))
+    runs = chosen.select("digest", "text").mapInArrow(trimmed(_shingle_hashes(SIMILAR_WORDS)), "digest string, runs array<bigint>")
+    runs = stage(runs.dropDuplicates(["digest"]).join(wanted.select("digest", "node"), "digest").select("node", "runs"), "shingles")
+    left, right = (runs.select(F.col("node").alias(n), F.col("runs").alias(f"runs_{n}")) for n in ("a", "b"))
+    shared = F.size(F.array_intersect("runs_a", "runs_b"))
+    enough = shared >= SIMILARITY * (F.size("runs_a") + F.size("runs_b") - shared)
+    return stage(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "similar-links")
+
+
 def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(digest, kept, least, repeats) of every text that has copies or near copies; the digest is the MD5 of the text.
 
@@ -268,6 +322,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     copies of each other. ``kept`` says whether the text stays for its group, ``least`` is the id of the row that
     stays then, and ``repeats`` says how often that row is there. Candidates meet in a pair of near
     codewords of one of four fingerprints, which misses few pairs even at the bound; each is verified on the whole texts.
+    A first pass joins most of each group through few of its texts; the second makes the pairs that the first left apart.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
@@ -285,19 +340,13 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id()),
         "texts",
     )
-    pairs = stage(_similar_candidates(nodes, names), "similar-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stage(ends.join(nodes.select("node", "digest", "first.id"), "node"), "similar-texts")
-    texts = may_match(rows.select("id", "text", "digest"), ["digest"], wanted, ["digest"])
-    chosen = texts.join(wanted.select("digest", F.col("id").alias("i")), "digest").where(F.col("id").eqNullSafe(F.col("i")))
-    runs = chosen.select("digest", "text").mapInArrow(trimmed(_shingle_hashes(SIMILAR_WORDS)), "digest string, runs array<bigint>")
-    runs = stage(runs.dropDuplicates(["digest"]).join(wanted.select("digest", "node"), "digest").select("node", "runs"), "shingles")
-    left, right = (runs.select(F.col("node").alias(n), F.col("runs").alias(f"runs_{n}")) for n in ("a", "b"))
-    shared = F.size(F.array_intersect("runs_a", "runs_b"))
-    alike = pairs.join(left, "a").join(right, "b").where(
-        shared >= SIMILARITY * (F.size("runs_a") + F.size("runs_b") - shared)
-    )
-    roots = components(alike.select("a", "b")).withColumnRenamed("root", "top")
+    first = nodes.withColumn("top", F.col("node"))
+    shared: dict[str, DataFrame] = {}
+    alike = _alike(_similar_candidates(first, names, shared), nodes, rows)
+    roots = stage(components(alike).withColumnRenamed("root", "top"), "first-components")
+    second = nodes.join(roots, "node", "left").withColumn("top", F.coalesce("top", "node"))
+    alike = alike.unionByName(_alike(_similar_candidates(stage(second, "joined-texts"), names, shared), nodes, rows))
+    roots = components(alike).withColumnRenamed("root", "top")
     rooted = nodes.join(roots, "node", "left").where("top IS NOT NULL OR rows > 1").withColumn("top", F.coalesce("top", "node"))
     best = rooted.groupBy("top").agg(F.min(F.struct("first", "node")).alias("best"))
     return rooted.join(best, "top").select(
