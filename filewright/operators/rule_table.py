@@ -1,8 +1,9 @@
 """Classification rules as a table of any length.
 
 The rules of ``functions.rules`` are one condition each on every text. Here texts and rules meet on a piece of
-three signs first: each alternative of a pattern has a run of plain signs that every match contains, and of
-the pieces of that run the one that the fewest rules ask for. A text is held only against the rules whose piece
+three to eight signs first: each alternative of a pattern has a run of plain signs that every match contains, and of
+the longest pieces of that run the one that the fewest rules ask for. A bit table of all these pieces leaves of a text only the
+pieces that some rule asks for, so few others are shuffled. A text is held only against the rules whose piece
 it has, and the first of those that match, by precedence, is its rule. An alternative without three plain signs in a row has to be tried on
 every text; such alternatives are conditions on the texts, as there.
 
@@ -14,7 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +27,10 @@ from filewright.functions.text import literal
 from filewright.sources.tables import materialize
 
 RULES = "precedence BIGINT, pattern STRING, category_l1 STRING, category_l2 STRING, confidence DOUBLE, reason STRING"
-PIECE = 3
+PIECE, LONGEST = 3, 8
+# The bit table has at least 32 bits a piece, while that is not above its greatest size of 8 MiB.
+PIECE_BITS, LEAST_BITS, MOST_BITS = 32, 16, 26
+CHUNK_BYTES = 1 << 20
 _REPEATS = "?*{"
 
 
@@ -89,31 +96,108 @@ def _closing(pattern: str, at: int) -> int:
     return len(pattern) - 1
 
 
+def _pieces(run: str) -> list[int]:
+    """The pieces of a run of plain signs, of up to eight bytes each, as numbers."""
+    signs = run.encode()
+    length = min(len(signs), LONGEST)
+    found = (int.from_bytes(signs[at : at + length], "little", signed=length == LONGEST) for at in range(len(signs) - length + 1))
+    return list(dict.fromkeys(found))
+
+
 def _split(rules: DataFrame) -> DataFrame:
-    """(precedence, pattern, alternative, needed) of every alternative."""
+    """(precedence, pattern, alternative, needed, pieces) of every alternative."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, t, *found) for p, t in zip(batch["precedence"], batch["pattern"]) for found in alternatives(t)]
-            yield pd.DataFrame(rows, columns=["precedence", "pattern", "alternative", "needed"])
-
-    schema = "precedence BIGINT, pattern STRING, alternative STRING, needed STRING"
+            rows = [
+                (p, t, alternative, needed, None if needed is None else _pieces(needed))
+                for p, t in zip(batch["precedence"], batch["pattern"])
+                for alternative, needed in alternatives(t)
+            ]
+            yield pd.DataFrame(rows, columns=["precedence", "pattern", "alternative", "needed", "pieces"])
+
+    schema = "precedence BIGINT, pattern STRING, alternative STRING, needed STRING, pieces ARRAY<BIGINT>"
     return rules.where("precedence IS NOT NULL AND pattern IS NOT NULL").select("precedence", "pattern").mapInPandas(split, schema)
 
 
-def _pieces(text: Column) -> Column:
-    count = F.greatest(F.length(text) - (PIECE - 1), F.lit(0))
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda at: F.substring(text, at, F.lit(PIECE))))
-
-
 def _rarest(split: DataFrame) -> DataFrame:
     """Each alternative with the piece of its run that the fewest alternatives have."""
-    every = split.where("needed IS NOT NULL").withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("needed")))))
+    every = split.where("needed IS NOT NULL").withColumn("piece", F.explode("pieces")).drop("pieces")
     asked = every.groupBy("piece").agg(F.count("*").alias("asked"))
     keys = ["precedence", "pattern", "alternative", "needed"]
     return every.join(asked, "piece").groupBy(*keys).agg(F.min_by("piece", F.struct("asked", "piece")).alias("piece"))
 
 
+def _cells(pieces: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each piece (unsigned 64-bit numbers) in a table of 2**bits bits."""
+    mixed = (pieces ^ (pieces >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(31)
+    return (mixed & np.uint64((1 << bits) - 1)).astype(np.int64), (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bit_table(pieces: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2**bits bits that has both places of every piece set."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.concatenate(_cells(batch.column(0).to_numpy().view(np.uint64), bits))
+            words = np.left_shift(np.int64(1), cells & 63)
+            yield pa.RecordBatch.from_arrays([pa.array(cells >> 6), pa.array(words)], ["at", "bits"])
+
+    found = pieces.mapInArrow(placed, "at BIGINT, bits BIGINT").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return table.view(np.uint8)
+
+
+def _asked(texts: DataFrame, lengths: list[int], bits: int, table: np.ndarray) -> DataFrame:
+    """(id, piece) of the pieces of each text that may be in the table."""
+
+    def in_table(cell: np.ndarray) -> np.ndarray:
+        return table[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 > 0
+
+    def chunk(data: np.ndarray, left: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        padded = np.append(data, np.zeros(LONGEST, np.uint8)).astype(np.uint64)
+        pieces, found = np.zeros(len(data), np.uint64), []
+        for length in range(1, LONGEST + 1):
+            pieces |= padded[length - 1 : length - 1 + len(data)] << np.uint64(8 * (length - 1))
+            if length in lengths:
+                whole = np.flatnonzero(left >= length)
+                first, second = _cells(pieces[whole], bits)
+                near = in_table(first)
+                near[near] = in_table(second[near])
+                found.append((owner[whole[near]], pieces[whole[near]]))
+        owners, kept = (np.concatenate(column) for column in zip(*found))
+        order = np.lexsort((kept, owners))
+        owners, kept = owners[order], kept[order]
+        new = np.append(True, (owners[1:] != owners[:-1]) | (kept[1:] != kept[:-1]))[: len(kept)]
+        return owners[new], kept[new].view(np.int64)
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = batch.column(1)
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(fields).to_numpy(zero_copy_only=False))
+            values = fields.flatten().cast(pa.large_binary())
+            if not len(values) or not lengths:
+                continue
+            _, ends, data = values.buffers()
+            ends = np.frombuffer(ends, np.int64)[values.offset : values.offset + len(values) + 1]
+            data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+            first = 0
+            while first < len(values):
+                last = int(np.searchsorted(ends, ends[first] + CHUNK_BYTES, "right")) - 1
+                last = min(max(last, first + 1), len(values))
+                size = np.diff(ends[first : last + 1])
+                left = np.repeat(ends[first + 1 : last + 1], size) - np.arange(ends[first], ends[last])
+                owners, pieces = chunk(data[ends[first] : ends[last]], left, np.repeat(owner[first:last], size))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners)), pa.array(pieces)], ["id", "piece"])
+                first = last
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "fields").mapInArrow(scanned, f"id {kind}, piece BIGINT")
+
+
 def _folded(text: str) -> Column:
     # Two letters equal an ASCII letter when case is ignored, yet are lower case themselves.
     return F.replace(F.replace(F.lower(text), F.lit("ı"), F.lit("i")), F.lit("ſ"), F.lit("s"))
@@ -134,11 +218,21 @@ def classify(
     folded = F.transform("raw", lambda field: F.replace(F.replace(F.lower(field), F.lit("ı"), F.lit("i")), F.lit("ſ"), F.lit("s")))
     texts = texts.select("id", folded.alias("fields"))
 
-    pieces = F.array_distinct(F.flatten(F.array_compact(F.transform("fields", _pieces))))
-    asked = texts.select("id", F.explode(pieces).alias("piece"))
-    met = asked.join(_rarest(split), "piece").select("id", "precedence", "pattern", "alternative", "needed")
-    held = met.join(texts, "id").where(F.exists("fields", lambda field: F.contains(field, F.col("needed"))))
-    found = held.where(_matches(F.col("alternative"))).select("id", "precedence", "pattern")
+    rarest = materialize(_rarest(split))
+    known = rarest.agg(F.count_distinct("piece").alias("pieces"), F.collect_set(F.least(F.length("needed"), F.lit(LONGEST))).alias("lengths"))
+    count, lengths = known.first()
+    bits = min(max((PIECE_BITS * count).bit_length(), LEAST_BITS), MOST_BITS)
+    asked = _asked(texts, lengths, bits, _bit_table(rarest.select("piece").distinct(), bits))
+    # An alternative that is its own run needs no expression; what is the same as the pattern is not carried along.
+    slim = rarest.select(
+        *("piece", "precedence", "pattern"),
+        F.when(F.lower("alternative") != F.col("needed"), F.col("alternative")).alias("alternative"),
+        F.when(F.col("needed") != F.col("pattern"), F.col("needed")).alias("needed"),
+    )
+    met = asked.join(slim, "piece").select("id", "precedence", "pattern", "alternative", "needed")
+    needed = F.coalesce("needed", "pattern")
+    held = met.join(texts, "id").where(F.exists("fields", lambda field: F.contains(field, needed)))
+    found = held.where(F.col("alternative").isNull() | _matches(F.col("alternative"))).select("id", "precedence", "pattern")
 
     # Settled by conditions, one for each: there are as many as the table has of this kind.
     open_rules = [(row.precedence, row.pattern, row.alternative) for row in split.where("needed IS NULL").collect()]

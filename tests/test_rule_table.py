@@ -75,3 +75,32 @@ def test_verdicts_ties_and_empty_tables(spark):
     documents = spark.createDataFrame([(1, "ALPHA", None, 1), (2, "beta", "", 2)], "document_id long, filename string, text string, precedence int")
     assert [(row.id, row.category_l1, row.reason) for row in rule_table.classify(documents, twice).collect()] == [(1, "B", "same place")]
     assert rule_table.classify(documents.limit(0), rules).collect() == [] and rule_table.classify(documents, rules.limit(0)).collect() == []
+
+
+def test_texts_leave_only_the_pieces_that_rules_ask_for(spark):
+    runs = ["exclamation", "alphabet", "gammas", "xyz"]
+    pieces = sorted({piece for run in runs for piece in rule_table._pieces(run)})
+    table = rule_table._bit_table(spark.createDataFrame([(piece,) for piece in pieces], "piece long"), 16)
+    filler = "".join(chr(ord("a") + (k * k + k // 7) % 23) for k in range(1000))
+    rows = [(k, ["name.txt", f"{filler}{k}"]) for k in range(200)]
+    rows += [(1000, ["ab", "c"]), (1001, ["gammas", "äöü xyz xyz"]), (1002, []), (1003, ["an exclamatio", "exclamation", "alphabe", "t"])]
+    texts = spark.createDataFrame(rows, "id long, fields array<string>")
+    asked = rule_table._asked(texts, [3, 6, 8], 16, table).collect()
+    of = {k: {row.piece for row in asked if row.id == k and row.piece in pieces} for k in range(1000, 1004)}
+    assert of[1001] == set(rule_table._pieces("gammas") + rule_table._pieces("xyz"))
+    assert of[1003] == set(rule_table._pieces("exclamation")) and not of[1000] and not of[1002]
+    # Each of the 200 texts has some 500 different pieces of three signs alone.
+    assert len(asked) == len({(row.id, row.piece) for row in asked}) < 400
+
+
+def test_runs_beyond_a_piece_and_long_fields(spark):
+    rules = [Rule(run, f"L{k}", "M", 0.5, "r") for k, run in enumerate(["alphabetical", "alphabetica", "ALPHABET", r"alphabets\b", "alphabex"])]
+    rows = [
+        (1, "x", "Alphabetical order"),
+        (2, "a" * (rule_table.CHUNK_BYTES + 5) + "lphabetica", "alphabe"),
+        (3, "alphabe", "t"),
+        (4, "ſtrange alphabetſ", "alphabetsx"),
+        (5, None, "ALPHABEX"),
+    ]
+    found, expected = both(spark, rows, rules)
+    assert found == expected == {1: 0, 2: 1, 4: 2, 5: 4}
