@@ -217,12 +217,27 @@ def _similar_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 PAIR = ("a", "a2", "b", "b2")
 
 
+# Of keys with at most this many prints only the prints are kept that are near another one of the key.
+SMALL_KEY = 6
+
+
 def _shared_keys(prints: DataFrame) -> DataFrame:
-    """(key, fp, beside, least, least2) of the keys of ``prints`` (fp, beside) that several have, each with the least print of the key."""
+    """(key, fp, beside, least, least2) of the keys of ``prints`` (fp, beside) that several have, each with the least print of the key.
+
+    Most keys are shared by chance, by few and unlike prints. A print of such a key that is in no pair is left out; of keys with
+    more than ``SMALL_KEY`` prints all stay.
+    """
     keys = prints.select("fp", "beside").mapInArrow(trimmed(_similar_keys), "key int, fp bigint, beside bigint")
     same = Window.partitionBy("key")
-    least = F.first(F.struct("fp", "beside")).over(same.orderBy("fp", "beside"))
-    held = keys.select("*", F.count("*").over(same).alias("n"), least.alias("first")).where("n > 1")
+    order = same.orderBy("fp", "beside")
+    least = F.first(F.struct("fp", "beside")).over(order)
+    near = F.col("n") > SMALL_KEY
+    for move in (F.lag, F.lead):
+        for far in range(1, SMALL_KEY):
+            bits = sum((F.bit_count(F.col(c).bitwiseXOR(move(c, far).over(order))) for c in ("fp", "beside")), F.lit(0))
+            near = near | F.coalesce(bits <= SIMILAR_BITS_OF_TWO, F.lit(False))
+    held = keys.select("*", F.count("*").over(same).alias("n"), least.alias("first"))
+    held = held.select("*", near.alias("near")).where("n > 1 AND near")
     return held.select("key", "fp", "beside", F.col("first.fp").alias("least"), F.col("first.beside").alias("least2"))
 
 

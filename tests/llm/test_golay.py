@@ -1,11 +1,14 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import xxhash
 
 from filewright.llm import golay
 from filewright.llm.components import components
+from filewright.llm.store import stage
 from helpers_llm import ODD_TEXTS, no_documents, odd_documents, words_of
 
 
@@ -136,3 +139,52 @@ def test_near_copies_are_found_down_to_the_bound(spark):
     for low, high in ((0.8, 0.87), (0.87, 1)):
         near = [i for i, j in wanted.items() if low <= j < high]
         assert sum(i not in kept for i in near) >= 0.98 * len(near)
+
+
+def test_keys_shared_by_chance_are_left_out_and_no_pair_is_lost(spark):
+    rng = random.Random(21)
+    prints = [(rng.getrandbits(64) - (1 << 63), rng.getrandbits(64) - (1 << 63)) for _ in range(600)]
+    # Unlike prints that share a key, near ones, and one large group of which some are near.
+    low = (1 << 43) - 1
+    prints += [((fp & low) | rng.getrandbits(20) << 43, rng.getrandbits(62)) for fp, _ in prints[:200]]
+    prints += [(fp ^ 1 << rng.randrange(63), beside ^ 1 << rng.randrange(63)) for fp, beside in prints[200:300]]
+    prints += [((prints[0][0] & low) | rng.getrandbits(20) << 43, prints[0][1] ^ rng.getrandbits(rng.choice([4, 60]))) for _ in range(40)]
+    frame = spark.createDataFrame(sorted(set(prints)), "fp long, beside long")
+    every = {}
+    for row in frame.mapInArrow(golay._similar_keys, "key int, fp bigint, beside bigint").collect():
+        every.setdefault(row.key, []).append((row.fp, row.beside))
+
+    def pairs(keys):
+        return {
+            (min(a, b), max(a, b))
+            for held in keys.values()
+            for a in held
+            for b in held
+            if a != b and sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b)) <= golay.SIMILAR_BITS_OF_TWO
+        }
+
+    kept, least = {}, set()
+    for row in golay._shared_keys(frame).collect():
+        kept.setdefault(row.key, []).append((row.fp, row.beside))
+        least.add((row.least, row.least2) == min(every[row.key]))
+    assert pairs(kept) == pairs(every) and len(pairs(every)) > 100 and least == {True}
+    assert any(len(held) > golay.SMALL_KEY for held in every.values())
+    shared = sum(len(held) for held in every.values() if len(held) > 1)
+    assert sum(map(len, kept.values())) < shared - 1000
+
+
+def test_shuffles_of_a_stored_table_are_removed(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {str(file) for folder in folders for file in Path(folder).glob("*/shuffle_*.data")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    value, before = spark.conf.get(setting), files()
+    made = stage(spark.range(0, 5000, 1, 4).repartition(3, "id").groupBy("id").count(), "shuffled")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(setting) == value
+    assert made.count() == 5000
