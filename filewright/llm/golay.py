@@ -11,13 +11,14 @@ the wanted kind meets in this way, and the difference is then counted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright.llm.components import components
@@ -164,6 +165,8 @@ FINGERPRINTS = 4
 # go on that are within four deviations of the latter, in the fingerprint where they meet and its neighbour and then in
 # all; of unlike texts half of the bits differ.
 SIMILAR_BITS, SIMILAR_BITS_OF_TWO = 73, 42
+# In sets of this size and more 39 bits differ on average, and at most 63 within four deviations.
+LARGE_SET, SIMILAR_BITS_OF_LARGE = 64, 63
 
 
 def similar_fingerprints(hashes: np.ndarray) -> list[int]:
@@ -186,120 +189,163 @@ def _signed(words: int):
             for s, e in zip(offsets, offsets[1:]):
                 runs = set(shingles(data[s:e].tobytes(), words))
                 hashes = np.array([xxhash.xxh64_intdigest(run, SEED) for run in runs], "<u8")
-                rows.append([len(runs), *similar_fingerprints(hashes)])
-            columns = np.array(rows, np.int64).reshape(len(rows), 1 + FINGERPRINTS).T
+                rows.append([len(runs), int(mix(hashes).sum(dtype=np.uint64).view(np.int64)), *similar_fingerprints(hashes)])
+            columns = np.array(rows, np.int64).reshape(len(rows), 2 + FINGERPRINTS).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(c)) for c in columns)],
-                ["id", "digest", "size", *(f"fp{k}" for k in range(FINGERPRINTS))],
+                ["id", "digest", "size", "sum", *(f"fp{k}" for k in range(FINGERPRINTS))],
             )
 
     return made
 
 
 def _similar_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, fp, beside) for all pairs of near codewords of two segments of ``fp``."""
+    """A key for all pairs of near codewords of two segments of the first column, beside all columns."""
     for batch in batches:
-        values, beside = (column.to_numpy() for column in batch.columns)
-        for low in range(0, len(values), 256):
-            part = values[low : low + 256]
-            found = [codewords(part >> shift & (1 << width) - 1) for shift, width in SEGMENTS]
+        columns = [column.to_numpy() for column in batch.columns]
+        for low in range(0, batch.num_rows, 256):
+            part = [column[low : low + 256] for column in columns]
+            found = [codewords(part[0] >> shift & (1 << width) - 1) for shift, width in SEGMENTS]
             keys, valid = [], []
             for at, (left, right) in enumerate(PAIRS):
                 key = (found[left][:, :, None] << 12 | found[right][:, None, :]) | at << 24
-                keys.append(key.reshape(len(part), -1))
-                valid.append(((found[left] >= 0)[:, :, None] & (found[right] >= 0)[:, None, :]).reshape(len(part), -1))
+                keys.append(key.reshape(len(part[0]), -1))
+                valid.append(((found[left] >= 0)[:, :, None] & (found[right] >= 0)[:, None, :]).reshape(len(part[0]), -1))
             near = np.concatenate(valid, axis=1)
             owner = np.nonzero(near)[0]
-            columns = [np.concatenate(keys, axis=1)[near].astype(np.int32), part[owner], beside[low : low + 256][owner]]
-            yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["key", "fp", "beside"])
-
-
-PAIR = ("a", "a2", "b", "b2")
+            made = [np.concatenate(keys, axis=1)[near].astype(np.int32), *(column[owner] for column in part)]
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in made], ["key", *batch.schema.names])
 
 
 # Of keys with at most this many prints only the prints are kept that are near another one of the key.
 SMALL_KEY = 6
+TURNED = ("fp", "beside", "third", "fourth")  # the fingerprints of a print, from the one by which it is filed
+
+
+def _near(columns: list[str], one: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
+    """Whether two prints differ in few bits, and may be alike by ``size`` and by ``alone``, if those are among ``columns``.
+
+    ``alone`` is how many shingles of a text no other one has of those where it is known; so many fewer can be in common.
+    """
+    bits = [F.bit_count(one(c).bitwiseXOR(other(c))) for c in TURNED if c in columns]
+    near = bits[0] + bits[1] <= SIMILAR_BITS_OF_TWO
+    if len(bits) > 2:
+        small = F.least(one("size"), other("size")) < LARGE_SET
+        most = F.when(small, SIMILAR_BITS).otherwise(SIMILAR_BITS_OF_LARGE)
+        near = near & (sum(bits[1:], bits[0]) <= most)
+    if "size" in columns:
+        near = near & (F.least(one("size"), other("size")) >= SIMILARITY * F.greatest(one("size"), other("size")))
+    if "alone" in columns:
+        common = F.least(one("size") - one("alone"), other("size") - other("alone"))
+        enough = common >= SIMILARITY * (one("size") + other("size") - common)
+        near = near & (enough | one("alone").isNull() | other("alone").isNull())
+    return near
 
 
 def _shared_keys(prints: DataFrame) -> DataFrame:
-    """(key, fp, beside, least, least2) of the keys of ``prints`` (fp, beside) that several have, each with the least print of the key.
+    """The keys of ``prints`` (fp, beside and more of ``TURNED``, size, one) that several have, each with the least print of the key.
 
     Most keys are shared by chance, by few and unlike prints. A print of such a key that is in no pair is left out; of keys with
-    more than ``SMALL_KEY`` prints all stay.
+    more than ``SMALL_KEY`` prints all stay. ``tied`` says whether a print and the least one are another and near, and ``met``
+    whether it is known to be near any.
     """
-    keys = prints.select("fp", "beside").mapInArrow(trimmed(_similar_keys), "key int, fp bigint, beside bigint")
+    columns = prints.columns
+    keys = prints.mapInArrow(trimmed(_similar_keys), "key int, " + ", ".join(f"{c} bigint" for c in columns))
     same = Window.partitionBy("key")
-    order = same.orderBy("fp", "beside")
-    least = F.first(F.struct("fp", "beside")).over(order)
-    near = F.col("n") > SMALL_KEY
+    order = same.orderBy(*columns)
+    near = F.lit(False)
     for move in (F.lag, F.lead):
         for far in range(1, SMALL_KEY):
-            bits = sum((F.bit_count(F.col(c).bitwiseXOR(move(c, far).over(order))) for c in ("fp", "beside")), F.lit(0))
-            near = near | F.coalesce(bits <= SIMILAR_BITS_OF_TWO, F.lit(False))
-    held = keys.select("*", F.count("*").over(same).alias("n"), least.alias("first"))
-    held = held.select("*", near.alias("near")).where("n > 1 AND near")
-    return held.select("key", "fp", "beside", F.col("first.fp").alias("least"), F.col("first.beside").alias("least2"))
+            print_ = move(F.struct(*columns), far).over(order)
+            near = near | F.coalesce(_near(columns, F.col, print_.getField), F.lit(False))
+    held = keys.select("*", F.count("*").over(same).alias("n"), F.first(F.struct(*columns)).over(order).alias("first"))
+    held = held.select("*", near.alias("near")).where(f"n > 1 AND (near OR n > {SMALL_KEY})")
+    tied = (F.struct(*columns) != F.col("first")) & _near(columns, F.col, F.col("first").getField)
+    held = held.withColumn("tied", tied).withColumn("met", F.col("near") | F.col("tied"))
+    return held.select("key", *columns, F.col("first.fp").alias("least"), F.col("first.beside").alias("least2"), "first", "tied", "met")
 
 
 def _pairs_with_least(shared: DataFrame) -> DataFrame:
-    """``PAIR`` of prints and the least print of one of their keys, if they differ in few bits: as many as there are keys at most."""
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) + F.bit_count(F.col("beside").bitwiseXOR(F.col("least2")))
-    other = (F.col("fp") != F.col("least")) | (F.col("beside") != F.col("least2"))
-    return shared.where(other & (bits <= SIMILAR_BITS_OF_TWO)).select("fp", "beside", "least", "least2").toDF(*PAIR).distinct()
+    """(a, b) of each print and one that is near: of the least prints of its keys the least, so no more pairs than prints."""
+    return shared.where("tied").groupBy("one").agg(F.min("first").alias("first")).select(F.col("one").alias("a"), F.col("first.one").alias("b"))
+
+
+def _turned(prints: DataFrame, names: list[str], at: int) -> DataFrame:
+    turned = [*names[at:], *names[:at]]
+    return prints.withColumnsRenamed(dict(zip(turned, TURNED))).select(*TURNED, *(c for c in prints.columns if c not in names))
+
+
+def _mixed(keys: DataFrame) -> DataFrame:
+    """The rows of those keys that prints of several components ``top`` share; ``main`` are those of its most frequent component."""
+    same = Window.partitionBy("key")
+    counted = keys.withColumn("n", F.count("*").over(Window.partitionBy("key", "top")))
+    counted = counted.withColumns({"most": F.max(F.struct("n", "top")).over(same), "low": F.min("top").over(same), "high": F.max("top").over(same)})
+    mixed = counted.where("low <> high").withColumn("main", F.col("top") == F.col("most.top"))
+    return mixed.drop("n", "most", "low", "high")
+
 
+def _pairs_with_centre(keys: DataFrame) -> DataFrame:
+    """(a, b) of each print and one that is near and of another component: of the prints with the smallest part of shingles
+    alone in each of its keys the first, so no more pairs than prints."""
+    columns = [c for c in keys.columns if c not in ("key", "main")]
+    part = F.coalesce(F.col("alone") / F.col("size"), F.lit(1.0)).alias("part")
+    held = keys.withColumn("first", F.min(F.struct(part, *columns)).over(Window.partitionBy("key")))
+    held = held.where((F.col("first.top") != F.col("top")) & _near(columns, F.col, F.col("first").getField))
+    return held.groupBy("one").agg(F.min("first").alias("first")).select(F.col("one").alias("a"), F.col("first.one").alias("b"))
 
-def _pairs_apart(shared: DataFrame, prints: DataFrame) -> DataFrame:
-    """``PAIR`` of all prints that share a key and differ in few bits, but those whose texts are one component.
 
-    ``low`` and ``high`` of ``prints`` are the least and greatest component of the texts of a print.
+def _pairs_apart(keys: DataFrame) -> DataFrame:
+    """(a, b) of all prints that share a key and are near, but those of one component.
+
+    In each key the prints of its most frequent component are held against the others alone.
     """
-    keys = shared.select("key", "fp", "beside").join(prints.select("fp", "beside", "low", "high"), ["fp", "beside"]).hint("merge")
-    bits = sum((F.bit_count(F.col(f"l.{n}").bitwiseXOR(F.col(f"r.{n}"))) for n in ("fp", "beside")), F.lit(0))
-    once = F.struct("l.fp", "l.beside") < F.struct("r.fp", "r.beside")
-    apart = (F.col("l.low") != F.col("r.low")) | (F.col("l.high") != F.col("r.high")) | (F.col("l.low") != F.col("l.high"))
-    met = keys.alias("l").join(keys.alias("r"), (F.col("l.key") == F.col("r.key")) & once & apart & (bits <= SIMILAR_BITS_OF_TWO))
-    return met.select("l.fp", "l.beside", "r.fp", "r.beside").toDF(*PAIR).distinct()
+    left, right = keys.where("NOT main").alias("l"), keys.alias("r")
+    near = _near(keys.columns, lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"))
+    once = F.col("r.main") | (F.col("l.one") < F.col("r.one"))
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.top") != F.col("r.top")) & once & near)
+    return met.select(F.col("l.one").alias("a"), F.col("r.one").alias("b"))
+
+
+def _pairs(found: list[DataFrame]) -> DataFrame:
+    """(a, b) with a > b of all of several lists, each once."""
+    every = [one.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() for one in found]
+    return stage(reduce(DataFrame.unionByName, every).distinct(), "similar-pairs")
 
 
-def _similar_candidates(nodes: DataFrame, names: list[str], shared: dict[str, DataFrame]) -> DataFrame:
-    """(a, b) of texts of like size whose fingerprints differ in few bits in all, found by each fingerprint in turn.
+def _topped(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """The prints, each with the component ``top`` that links of their texts make."""
+    roots = components(links).select(F.col("node").alias("one"), F.col("root").alias("top"))
+    return stage(prints.join(roots, "one", "left").withColumn("top", F.coalesce("top", "one")), "joined-prints")
 
-    ``nodes`` have a component ``top``, and only pairs of different components are given. In the first pass, which fills
-    ``shared`` with the keys, each print is held against the least one of its key alone, so a group of near copies makes pairs
-    in proportion to its size.
+
+def _similar_links(prints: DataFrame, same: DataFrame, names: list[str], nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) of texts with enough shingles in common, which join all that candidates join.
+
+    ``prints`` are the distinct sets of shingles, by the least text ``one`` of each, and ``same`` are the other texts of a set with
+    that one. Candidates are prints that share a key of one of their fingerprints and are near. First each print is held against
+    the least print of its keys alone, then, by what is not joined, against the print of its keys with the fewest
+    shingles alone, so a group of near copies makes pairs in proportion to its size; what is still apart then is held against all.
     """
-    first = not shared
-    worded = nodes.where("size > 0").select("node", "size", "top", *names)
-    left, right = (worded.select(*[F.col(c).alias(f"{side}_{c}") for c in worded.columns]) for side in ("a", "b"))
-    bits = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    sizes = F.least("a_size", "b_size") >= SIMILARITY * F.greatest("a_size", "b_size")
-    apart = (F.col("a_node") != F.col("b_node")) & (F.col("a_top") != F.col("b_top"))
-    pairs = None
-    for name, beside in zip(names, [*names[1:], names[0]]):
-        held = worded.withColumnsRenamed({name: "fp", beside: "beside"}).groupBy("fp", "beside")
-        held = held.agg(F.min("top").alias("low"), F.max("top").alias("high"), F.min("node").alias("one"), F.count("*").alias("n"))
-        prints = stage(held, f"prints-{name}")
-        if first:
-            shared[name] = stage(_shared_keys(prints), f"shared-keys-{name}")
-        found = stage(_pairs_with_least(shared[name]) if first else _pairs_apart(shared[name], prints), f"similar-{name}")
-        met = found.join(left, (F.col("a") == F.col(f"a_{name}")) & (F.col("a2") == F.col(f"a_{beside}")))
-        if first:
-            # Of each print one text, and the other texts of a print with that one.
-            one = prints.select(F.col("fp").alias("b"), F.col("beside").alias("b2"), F.col("one").alias("b_node"))
-            met = met.join(one, ["b", "b2"]).join(right, "b_node")
-            several = prints.where("n > 1").select(F.col("fp").alias(f"a_{name}"), F.col("beside").alias(f"a_{beside}"), F.col("one").alias("b_node"))
-            same = left.join(several, [f"a_{name}", f"a_{beside}"]).join(right, "b_node")
-        else:
-            met = met.join(right, (F.col("b") == F.col(f"b_{name}")) & (F.col("b2") == F.col(f"b_{beside}")))
-            mixed = prints.where("low <> high").select(F.col("fp").alias(f"a_{name}"), F.col("beside").alias(f"a_{beside}"))
-            same = left.join(mixed, [f"a_{name}", f"a_{beside}"], "left_semi")
-            same = same.join(right, (F.col(f"a_{name}") == F.col(f"b_{name}")) & (F.col(f"a_{beside}") == F.col(f"b_{beside}")))
-        columns = [*left.columns, *right.columns]
-        met = met.select(*columns).unionByName(same.select(*columns)).where((bits <= SIMILAR_BITS) & sizes & apart)
-        met = met.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
-        met = stage(met.distinct(), f"similar-pairs-{name}")
-        pairs = met if pairs is None else pairs.unionByName(met)
-    return pairs.distinct()
+    shared = []
+    for at, name in enumerate(names):
+        kept = _shared_keys(_turned(prints, names, at))
+        shared.append(stage(kept.select("key", "one", "tied", "met", F.when(F.col("tied"), F.col("first")).alias("first")), f"shared-keys-{name}"))
+    pairs = _pairs([*map(_pairs_with_least, shared), same])
+    links = _alike(pairs, nodes, rows)
+    joined = _topped(prints, links)
+    apart = [stage(_mixed(keys.join(joined.select("one", "top"), "one")).select("key", "one", "met"), "keys-apart") for keys in shared]
+    known = _runs(reduce(DataFrame.unionByName, apart).where("met").select(F.col("one").alias("node")), nodes, rows)
+    single = known.select("node", F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    single = single.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    alone = known.select("node").join(single, "node", "left").select(F.col("node").alias("one"), F.coalesce("alone", F.lit(0)).alias("alone"))
+    alone = stage(alone, "alone")
+
+    def open_keys(tops: DataFrame) -> list[DataFrame]:
+        facts = tops.join(alone, "one", "left")
+        return [stage(_mixed(keys.select("key", "one").join(_turned(facts, names, at), "one")), "keys-open") for at, keys in enumerate(apart)]
+
+    links = links.unionByName(_alike(_pairs([*map(_pairs_with_centre, open_keys(joined))]), nodes, rows))
+    return links.unionByName(_alike(_pairs([*map(_pairs_apart, open_keys(_topped(prints, links)))]), nodes, rows))
 
 
 def _shingle_hashes(words: int):
@@ -315,15 +361,18 @@ def _shingle_hashes(words: int):
     return made
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts, of ``rows``, have enough shingles in common."""
-    pairs = stage(pairs, "similar-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stage(ends.join(nodes.select("node", "digest", "first.id"), "node"), "similar-texts")
+def _runs(ends: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, runs) of the texts ``node`` of ``ends``: the hashes of their shingles."""
+    wanted = stage(ends.distinct().join(nodes.select("node", "digest", "first.id"), "node"), "similar-texts")
     texts = may_match(rows.select("id", "text", "digest"), ["digest"], wanted, ["digest"])
     chosen = texts.join(wanted.select("digest", F.col("id").alias("i")), "digest").where(F.col("id").eqNullSafe(F.col("i")))
     runs = chosen.select("digest", "text").mapInArrow(trimmed(_shingle_hashes(SIMILAR_WORDS)), "digest string, runs array<bigint>")
-    runs = stage(runs.dropDuplicates(["digest"]).join(wanted.select("digest", "node"), "digest").select("node", "runs"), "shingles")
+    return stage(runs.dropDuplicates(["digest"]).join(wanted.select("digest", "node"), "digest").select("node", "runs"), "shingles")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts, of ``rows``, have enough shingles in common."""
+    runs = _runs(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, rows)
     left, right = (runs.select(F.col("node").alias(n), F.col("runs").alias(f"runs_{n}")) for n in ("a", "b"))
     shared = F.size(F.array_intersect("runs_a", "runs_b"))
     enough = shared >= SIMILARITY * (F.size("runs_a") + F.size("runs_b") - shared)
@@ -337,31 +386,31 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     copies of each other. ``kept`` says whether the text stays for its group, ``least`` is the id of the row that
     stays then, and ``repeats`` says how often that row is there. Candidates meet in a pair of near
     codewords of one of four fingerprints, which misses few pairs even at the bound; each is verified on the whole texts.
-    A first pass joins most of each group through few of its texts; the second makes the pairs that the first left apart.
+    Two passes join most of each group through few of its texts; the last makes the pairs that they left apart.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.coalesce(text_col, F.lit(""))).alias("digest")
     )
     names = [f"fp{k}" for k in range(FINGERPRINTS)]
-    schema = f"id {kind}, digest string, size bigint, " + ", ".join(f"{name} bigint" for name in names)
+    schema = f"id {kind}, digest string, size bigint, sum bigint, " + ", ".join(f"{name} bigint" for name in names)
     signed = stage(rows.select("id", "text", "digest").mapInArrow(trimmed(_signed(SIMILAR_WORDS)), schema), "signatures")
     # Texts without a word are one node, whatever their white space.
     signed = signed.withColumn("digest", F.when(F.col("size") == 0, "").otherwise(F.col("digest")))
-    counted = signed.groupBy("digest", "id", "size", *names).agg(F.count("*").alias("repeats"))
+    alike = ["size", "sum", *names]
+    counted = signed.groupBy("digest", "id", *alike).agg(F.count("*").alias("repeats"))
     nodes = stage(
-        counted.groupBy("digest", "size", *names)
+        counted.groupBy("digest", *alike)
         .agg(F.min(F.struct(F.col("id").isNull(), "id", "repeats")).alias("first"), F.sum("repeats").alias("rows"))
         .withColumn("node", F.monotonically_increasing_id()),
         "texts",
     )
-    first = nodes.withColumn("top", F.col("node"))
-    shared: dict[str, DataFrame] = {}
-    alike = _alike(_similar_candidates(first, names, shared), nodes, rows)
-    roots = stage(components(alike).withColumnRenamed("root", "top"), "first-components")
-    second = nodes.join(roots, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    alike = alike.unionByName(_alike(_similar_candidates(stage(second, "joined-texts"), names, shared), nodes, rows))
-    roots = components(alike).withColumnRenamed("root", "top")
+    # Texts with the same shingles are one print, by the least of them.
+    worded = nodes.where("size > 0").select("node", *alike)
+    prints = stage(worded.groupBy(*alike).agg(F.min("node").alias("one"), F.count("*").alias("n")), "prints")
+    same = worded.join(prints.where("n > 1"), alike).where("node <> one").select(F.col("node").alias("a"), F.col("one").alias("b"))
+    links = _similar_links(prints.select(*names, "size", "one"), same, names, nodes, rows)
+    roots = components(links).withColumnRenamed("root", "top")
     rooted = nodes.join(roots, "node", "left").where("top IS NOT NULL OR rows > 1").withColumn("top", F.coalesce("top", "node"))
     best = rooted.groupBy("top").agg(F.min(F.struct("first", "node")).alias("best"))
     return rooted.join(best, "top").select(

@@ -141,6 +141,33 @@ def test_near_copies_are_found_down_to_the_bound(spark):
         assert sum(i not in kept for i in near) >= 0.98 * len(near)
 
 
+def test_a_group_of_near_copies_makes_pairs_in_proportion_to_its_size(spark, monkeypatch):
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for number in range(400):
+        words = list(base)
+        for edit in range(number % 12):
+            words[rng.randrange(150)] = f"e{number}x{edit}"
+        texts.append(words)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    wanted = brute_components(range(400), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    made = []
+
+    def counted(rows, name):
+        rows = stage(rows, name)
+        if name.startswith("similar-"):
+            made.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(golay, "stage", counted)
+    rows = [(number, " ".join(words)) for number, words in enumerate(texts)]
+    kept = {r["doc_id"] for r in golay.one_of_each(odd_documents(spark, rows)).collect()}
+    assert 100 < sum(root == 0 for root in wanted.values()) < 400
+    assert kept == set(wanted.values())
+    assert max(made) <= 5 * 400
+
+
 def test_keys_shared_by_chance_are_left_out_and_no_pair_is_lost(spark):
     rng = random.Random(21)
     prints = [(rng.getrandbits(64) - (1 << 63), rng.getrandbits(64) - (1 << 63)) for _ in range(600)]
