@@ -38,8 +38,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LATIN = 0xC3  # first byte of the letters from U+00C0 to U+00FF; two of these are signs
 KNOWN_PIECES = 1 << 18
+SLOT_BITS = 20  # of the table in which pieces are looked up first
 LONGEST = 64  # rounds of merging copy the piece, so longer ones go through the library
 BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+KEPT_POWERS = 1 << 20
 
 
 def _byte_names() -> list[str]:
@@ -56,6 +59,7 @@ class Encoder:
     def __init__(self, path: str):
         self.path = path
         self._library = None
+        self.powers = powers(BASE, 0), powers(INVERSE, 0)
         with open(path, encoding="utf-8") as file:
             entries = json.load(file)
         model = entries["model"]
@@ -88,6 +92,9 @@ class Encoder:
         self.begins = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        # Where the upper bits of a hash lead, the last piece met with such bits.
+        self.slot_hashes = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.slot_pieces = np.full(1 << SLOT_BITS, -1, np.int64)
 
     def _file(self, keys: np.ndarray) -> None:
         """A hash table of merges by rank: a pair is in one of few columns of its row."""
@@ -119,27 +126,45 @@ class Encoder:
         folded, starts, lengths, odd = pieces(offsets, data)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        places = np.repeat(starts, lengths) + within
-        values = (folded[places].astype(np.uint64) + np.uint64(1)) * powers(BASE, int(lengths.max()))[within]
-        sums = np.add.reduceat(values, np.cumsum(lengths) - lengths)
-        hashes = mix(sums * np.uint64(BASE) ^ (lengths.astype(np.uint64) << np.uint64(33)) ^ (odd.astype(np.uint64) << np.uint64(63)))
-        distinct, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
-        self._learn(distinct, first, folded, data, starts, lengths, odd)
-        known = np.array([self.known[value] for value in distinct.tolist()], np.int64)[codes]
+        hashes = self._hashes(folded, starts, lengths, odd)
+        known = self._known(hashes, folded, data, starts, lengths, odd)
         counts = self.counts[known]
-        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids = self.ids[np.repeat(self.begins[known], counts) + at]
-        text = np.searchsorted(offsets, starts, "right") - 1
-        return ids, np.bincount(text, counts, len(offsets) - 1).astype(np.int64)
+        ends = np.cumsum(counts)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.begins[known] - (ends - counts), counts)]
+        return ids, np.diff(np.append(0, ends)[np.searchsorted(starts, offsets)])
 
-    def _learn(self, distinct, first, folded, data, starts, lengths, odd) -> None:
-        """Make sure that the ids of these pieces are known."""
+    def _hashes(self, folded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """A hash of each piece: its bytes times powers, as a difference of sums from the begin of the data."""
+        size = len(folded)
+        if len(self.powers[0]) < size <= KEPT_POWERS:
+            self.powers = powers(BASE, size), powers(INVERSE, size)
+        ahead, back = self.powers if size <= KEPT_POWERS else (powers(BASE, size), powers(INVERSE, size))
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((folded + np.uint64(1)) * ahead[:size], out=sums[1:])
+        own = (sums[starts + lengths] - sums[starts]) * back[starts]
+        return mix(own * np.uint64(BASE) ^ (lengths.astype(np.uint64) << np.uint64(33)) ^ (odd.astype(np.uint64) << np.uint64(63)))
+
+    def _known(self, hashes, folded, data, starts, lengths, odd) -> np.ndarray:
+        """The number of each piece; those that are not in their slot are looked up, or learned, once each."""
         if len(self.known) > KNOWN_PIECES:
             self._forget()
-        fresh = np.array([value not in self.known for value in distinct.tolist()], bool)
+        slots = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        known = np.where(self.slot_hashes[slots] == hashes, self.slot_pieces[slots], -1)
+        missed = np.flatnonzero(known < 0)
+        if len(missed):
+            distinct, first, codes = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            found = self._learn(distinct, missed[first], folded, data, starts, lengths, odd)
+            known[missed] = found[codes]
+            slots = slots[missed[first]]
+            self.slot_hashes[slots], self.slot_pieces[slots] = distinct, found
+        return known
+
+    def _learn(self, distinct, first, folded, data, starts, lengths, odd) -> np.ndarray:
+        """The numbers of these pieces, whose ids are known then."""
+        found = np.array([self.known.get(value, -1) for value in distinct.tolist()], np.int64)
+        fresh = found < 0
         if not fresh.any():
-            return
+            return found
         hashes, first = distinct[fresh], first[fresh]
         usual = ~odd[first] & (lengths[first] <= LONGEST)
         counts = np.zeros(len(first), np.int64)
@@ -152,11 +177,15 @@ class Encoder:
             parts.append(np.array(made, np.uint32))
         # Lists in the order in which they were made: the usual new ones, then the others.
         order = np.concatenate((np.flatnonzero(usual), np.flatnonzero(~usual)))
-        self.known.update(zip(hashes[order].tolist(), range(len(self.counts), len(self.counts) + len(order))))
+        numbers = np.empty(len(order), np.int64)
+        numbers[order] = np.arange(len(self.counts), len(self.counts) + len(order))
+        found[fresh] = numbers
+        self.known.update(zip(hashes.tolist(), numbers.tolist()))
         counts = counts[order]
         self.begins = np.append(self.begins, len(self.ids) + np.cumsum(counts) - counts)
         self.counts = np.append(self.counts, counts)
         self.ids = np.concatenate((self.ids, *parts))
+        return found
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the merge of each pair, or a number above all."""

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filewright.llm.bpe import Encoder, encoder
-from filewright.llm.store import stage
+from filewright.llm.bpe import encoder
+from filewright.llm.store import passing, stage
 from filewright.llm.text import mix, text_chunks, trimmed
 
 SEQUENCE = 2048
@@ -135,8 +135,9 @@ def token_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def _cut(befores: dict[int, int], sequence: int, width: str, with_tokens: bool):
+def _cut(befores: dict[int, int], sequence: int, path: str, with_tokens: bool):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = token_type(encoder(path).size)
         for batch in batches:
             rows = []
             for at, (tokens, part, before) in enumerate(
@@ -178,24 +179,26 @@ def pack(
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    encoded = stage(
-        narrow.mapInArrow(trimmed(_encode(tokenizer)), f"id {kind}, tokens binary, n bigint, point array<double>"), "tokens"
-    )
-    places = range(DIMENSIONS)
-    moments = encoded.agg(
-        F.sum("n").alias("n"),
-        *(f(F.col("point")[j]).alias(f"{f.__name__}{j}") for j in places for f in (F.avg, F.stddev_pop)),
-    ).first()
-    means = np.array([moments[f"avg{j}"] or 0.0 for j in places])
-    spreads = np.array([moments[f"stddev_pop{j}"] or 1.0 for j in places])
-    keyed = encoded.mapInArrow(trimmed(_keyed(means, spreads)), f"id {kind}, tokens binary, n bigint, curve bigint")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (moments["n"] or 0) // PART_TOKENS, 1)
-    ordered = keyed.repartitionByRange(parts, "curve", "id", "n").sortWithinPartitions("curve", "id", "n")
-    schema = f"id {kind}, tokens binary, n bigint, curve bigint, part int, before bigint"
-    chained = stage(ordered.mapInArrow(trimmed(_chained), schema), "curve-order")
+    with passing(spark) as tables:
+        encoded = stage(
+            narrow.mapInArrow(trimmed(_encode(tokenizer)), f"id {kind}, tokens binary, n bigint, point array<double>"), "tokens"
+        )
+        places = range(DIMENSIONS)
+        moments = encoded.agg(
+            F.sum("n").alias("n"),
+            *(f(F.col("point")[j]).alias(f"{f.__name__}{j}") for j in places for f in (F.avg, F.stddev_pop)),
+        ).first()
+        means = np.array([moments[f"avg{j}"] or 0.0 for j in places])
+        spreads = np.array([moments[f"stddev_pop{j}"] or 1.0 for j in places])
+        keyed = encoded.mapInArrow(trimmed(_keyed(means, spreads)), f"id {kind}, tokens binary, n bigint, curve bigint")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (moments["n"] or 0) // PART_TOKENS, 1)
+        ordered = keyed.repartitionByRange(parts, "curve", "id", "n").sortWithinPartitions("curve", "id", "n")
+        schema = f"id {kind}, tokens binary, n bigint, curve bigint, part int, before bigint"
+        chained = stage(ordered.mapInArrow(trimmed(_chained), schema), "curve-order")
+        tables.pop()  # the order stays, the tokens are in it
     befores, total = {}, 0
     for row in chained.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row per partition
         befores[row["part"]], total = total, total + row["n"]
     made = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, curve bigint"
-    cut = _cut(befores, sequence, token_type(Encoder(tokenizer).size), with_tokens)
+    cut = _cut(befores, sequence, tokenizer, with_tokens)
     return chained.mapInArrow(trimmed(cut), made + (", ids array<int>" if with_tokens else ""))

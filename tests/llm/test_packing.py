@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from filewright.llm import bpe, packing
+from filewright.llm import bpe, packing, store
 from helpers_llm import ODD_TEXTS, no_documents, odd_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -98,3 +98,32 @@ def test_neighbours_on_the_curve_are_alike(spark):
     rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), PATH).where("start = 0").collect()
     order = [row["id"] % 2 for row in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"]))]
     assert sum(a != b for a, b in zip(order, order[1:])) < 20
+
+
+def test_known_pieces_are_not_looked_up_again(monkeypatch):
+    library, learned = Tokenizer.from_file(PATH), []
+    learn = bpe.Encoder._learn
+    monkeypatch.setattr(bpe.Encoder, "_learn", lambda self, distinct, *rest: learned.append(len(distinct)) or learn(self, distinct, *rest))
+    made, text = bpe.Encoder(PATH), "one two three, don't stop: one 22"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    for _ in range(3):
+        ids, counts = made.encode(np.array([0, len(raw)]), raw)
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    assert learned == [9]
+
+
+def test_pieces_that_share_a_slot(monkeypatch):
+    monkeypatch.setattr(bpe, "SLOT_BITS", 3)
+    monkeypatch.setattr(bpe, "KEPT_POWERS", 16)
+    rng, library, made = random.Random(5), Tokenizer.from_file(PATH), bpe.Encoder(PATH)
+    for _ in range(20):
+        texts = ["".join(rng.choice("abcdé 'st1.") for _ in range(rng.randint(0, 60))) for _ in range(5)]
+        raw = [text.encode() for text in texts]
+        ids, counts = made.encode(np.append(0, np.cumsum([len(r) for r in raw])), np.frombuffer(b"".join(raw), np.uint8))
+        assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_the_tokens_are_removed_when_they_are_in_order(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(store, "shared_folder", lambda _: str(tmp_path))
+    check(packing.pack(odd_documents(spark), PATH).collect(), ODD_TEXTS, packing.SEQUENCE)
+    assert [path.name.rsplit("-", 1)[0] for path in tmp_path.glob("llm/*")] == ["curve-order"]
