@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import accumulate, combinations
+from itertools import accumulate, chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright.llm.components import components
-from filewright.llm.store import attach, fresh, may_match, stage
+from filewright.llm.store import attach, fresh, may_match, passing, stage
 from filewright.llm.text import mix, powers, text_bytes, trimmed
 
 SEED = 42
@@ -217,8 +217,11 @@ def _similar_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(column) for column in made], ["key", *batch.schema.names])
 
 
-# Of keys with at most this many prints only the prints are kept that are near another one of the key.
-SMALL_KEY = 6
+# Of keys with at most this many prints only the prints are kept that are near another one of the key. Prints fall on keys
+# by chance in proportion to their number, some 20 on each of 2**24 in three tables at 12 million prints.
+SMALL_KEY = 40
+# Keys of the fingerprints are told apart by the bits above these.
+KEY_BITS = 26
 TURNED = ("fp", "beside", "third", "fourth")  # the fingerprints of a print, from the one by which it is filed
 
 
@@ -242,6 +245,73 @@ def _near(columns: list[str], one: Callable[[str], Column], other: Callable[[str
     return near
 
 
+def _near_rows(names: list[str], one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """``_near`` of rows side by side, by their columns ``names``."""
+    bits = [np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int16) for name, a, b in zip(names, one, other) if name in TURNED]
+    near = bits[0] + bits[1] <= SIMILAR_BITS_OF_TWO
+    if "size" in names:
+        a, b = (columns[names.index("size")] for columns in (one, other))
+        less, more = np.minimum(a, b), np.maximum(a, b)
+        near &= less >= SIMILARITY * more
+        if len(bits) > 2:
+            near &= sum(bits[1:], bits[0]) <= np.where(less < LARGE_SET, SIMILAR_BITS, SIMILAR_BITS_OF_LARGE)
+    return near
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of key and print those that ``_shared_keys`` keeps, with the first print of their key.
+
+    A row is settled when ``SMALL_KEY`` rows after it are known, so a key of any length passes in pieces.
+    """
+    columns, near, first, before = None, None, None, 0  # rows not yet settled, and the key that begins ahead of them
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            names = batch.schema.names[1:]
+            added = [column.to_numpy() for column in batch.columns]
+            columns = added if columns is None else [np.concatenate(both) for both in zip(columns, added)]
+            near = np.append(np.zeros(0, bool) if near is None else near, np.zeros(batch.num_rows, bool))
+        size = 0 if columns is None else len(near)
+        done = size if batch is None else size - SMALL_KEY
+        if done <= 0:
+            continue
+        key, prints = columns[0], columns[1:]
+        for far in range(1, min(SMALL_KEY, size)):
+            at = np.flatnonzero(key[far:] == key[:-far])
+            if not len(at):
+                break
+            at = at[~(near[at] & near[at + far])]
+            at = at[_near_rows(names, [c[at] for c in prints], [c[at + far] for c in prints])]
+            near[at] = near[at + far] = True
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        lengths = np.diff(np.append(starts, size))
+        total, place = np.repeat(lengths, lengths), np.arange(size) - np.repeat(starts, lengths)
+        begin = np.arange(size) - place
+        if first is not None and first[0] == key[0]:
+            total[: lengths[0]] += before
+            place[: lengths[0]] += before
+        else:
+            first = None
+        kept = np.flatnonzero((total > 1) & (near | (total > SMALL_KEY)) & (np.arange(size) < done))
+        firsts = [column[begin[kept]] for column in prints]
+        if first is not None:
+            for column, value in zip(firsts, first[1:]):
+                column[kept < lengths[0]] = value
+        if len(kept):
+            mine = [column[kept] for column in prints]
+            tied = (place[kept] > 0) & _near_rows(names, mine, firsts)
+            made = [key[kept], *mine, *firsts, tied, near[kept] | tied]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column) for column in made], ["key", *names, *(f"first_{name}" for name in names), "tied", "met"]
+            )
+        if done < size:
+            before = int(place[done])
+            if not before:
+                first = None
+            elif first is None or begin[done]:
+                first = [column[begin[done]] for column in columns]
+            columns, near = [column[done:] for column in columns], near[done:]
+
+
 def _shared_keys(prints: DataFrame) -> DataFrame:
     """The keys of ``prints`` (fp, beside and more of ``TURNED``, size, one) that several have, each with the least print of the key.
 
@@ -250,24 +320,21 @@ def _shared_keys(prints: DataFrame) -> DataFrame:
     whether it is known to be near any.
     """
     columns = prints.columns
-    keys = prints.mapInArrow(trimmed(_similar_keys), "key int, " + ", ".join(f"{c} bigint" for c in columns))
-    same = Window.partitionBy("key")
-    order = same.orderBy(*columns)
-    near = F.lit(False)
-    for move in (F.lag, F.lead):
-        for far in range(1, SMALL_KEY):
-            print_ = move(F.struct(*columns), far).over(order)
-            near = near | F.coalesce(_near(columns, F.col, print_.getField), F.lit(False))
-    held = keys.select("*", F.count("*").over(same).alias("n"), F.first(F.struct(*columns)).over(order).alias("first"))
-    held = held.select("*", near.alias("near")).where(f"n > 1 AND (near OR n > {SMALL_KEY})")
-    tied = (F.struct(*columns) != F.col("first")) & _near(columns, F.col, F.col("first").getField)
-    held = held.withColumn("tied", tied).withColumn("met", F.col("near") | F.col("tied"))
-    return held.select("key", *columns, F.col("first.fp").alias("least"), F.col("first.beside").alias("least2"), "first", "tied", "met")
+    numbers = ", ".join(f"{c} bigint" for c in columns)
+    keys = prints.mapInArrow(trimmed(_similar_keys), f"key int, {numbers}")
+    # Keys go by their first codeword: those of one print that have it in common follow each other, so that they compress.
+    dealt = keys.repartition(F.shiftright("key", 12)).sortWithinPartitions("key", *columns)
+    firsts = [F.col(f"first_{c}").alias(c) for c in columns]
+    schema = f"key int, {numbers}, " + ", ".join(f"first_{c} bigint" for c in columns) + ", tied boolean, met boolean"
+    held = dealt.mapInArrow(trimmed(_held), schema)
+    least = [F.col("first_fp").alias("least"), F.col("first_beside").alias("least2")]
+    return held.select("key", *columns, *least, F.struct(*firsts).alias("first"), "tied", "met")
 
 
 def _pairs_with_least(shared: DataFrame) -> DataFrame:
-    """(a, b) of each print and one that is near: of the least prints of its keys the least, so no more pairs than prints."""
-    return shared.where("tied").groupBy("one").agg(F.min("first").alias("first")).select(F.col("one").alias("a"), F.col("first.one").alias("b"))
+    """(a, b) of each print and one that is near: of the least prints of its keys the least of each
+    fingerprint, so no more pairs than prints for each."""
+    return shared.where("tied").groupBy("one", F.shiftright("key", KEY_BITS)).agg(F.min("first").alias("first")).select(F.col("one").alias("a"), F.col("first.one").alias("b"))
 
 
 def _turned(prints: DataFrame, names: list[str], at: int) -> DataFrame:
@@ -275,6 +342,14 @@ def _turned(prints: DataFrame, names: list[str], at: int) -> DataFrame:
     return prints.withColumnsRenamed(dict(zip(turned, TURNED))).select(*TURNED, *(c for c in prints.columns if c not in names))
 
 
+def _turned_by_key(keys: DataFrame, names: list[str]) -> DataFrame:
+    """Keys beside the fingerprints ``names`` of their prints, from the one by which each key was made."""
+    at = F.shiftright("key", KEY_BITS)
+    every = F.array(*names)
+    turned = [F.get(every, (at + k) % len(names)).alias(name) for k, name in enumerate(TURNED)]
+    return keys.select("key", *turned, *(c for c in keys.columns if c not in ("key", *names)))
+
+
 def _mixed(keys: DataFrame) -> DataFrame:
     """The rows of those keys that prints of several components ``top`` share; ``main`` are those of its most frequent component."""
     same = Window.partitionBy("key")
@@ -286,12 +361,12 @@ def _mixed(keys: DataFrame) -> DataFrame:
 
 def _pairs_with_centre(keys: DataFrame) -> DataFrame:
     """(a, b) of each print and one that is near and of another component: of the prints with the smallest part of shingles
-    alone in each of its keys the first, so no more pairs than prints."""
+    alone in each of its keys the first of each fingerprint, so no more pairs than prints for each."""
     columns = [c for c in keys.columns if c not in ("key", "main")]
     part = F.coalesce(F.col("alone") / F.col("size"), F.lit(1.0)).alias("part")
     held = keys.withColumn("first", F.min(F.struct(part, *columns)).over(Window.partitionBy("key")))
     held = held.where((F.col("first.top") != F.col("top")) & _near(columns, F.col, F.col("first").getField))
-    return held.groupBy("one").agg(F.min("first").alias("first")).select(F.col("one").alias("a"), F.col("first.one").alias("b"))
+    return held.groupBy("one", F.shiftright("key", KEY_BITS)).agg(F.min("first").alias("first")).select(F.col("one").alias("a"), F.col("first.one").alias("b"))
 
 
 def _pairs_apart(keys: DataFrame) -> DataFrame:
@@ -327,25 +402,26 @@ def _similar_links(prints: DataFrame, same: DataFrame, names: list[str], nodes:
     shingles alone, so a group of near copies makes pairs in proportion to its size; what is still apart then is held against all.
     """
     shared = []
-    for at, name in enumerate(names):
-        kept = _shared_keys(_turned(prints, names, at))
+    for at, name in enumerate(names):  # one at a time, as every print has many keys
+        kept = _shared_keys(_turned(prints, names, at)).withColumn("key", F.col("key") + F.lit(at << KEY_BITS))
         shared.append(stage(kept.select("key", "one", "tied", "met", F.when(F.col("tied"), F.col("first")).alias("first")), f"shared-keys-{name}"))
-    pairs = _pairs([*map(_pairs_with_least, shared), same])
+    shared = reduce(DataFrame.unionByName, shared)
+    pairs = _pairs([_pairs_with_least(shared), same])
     links = _alike(pairs, nodes, rows)
     joined = _topped(prints, links)
-    apart = [stage(_mixed(keys.join(joined.select("one", "top"), "one")).select("key", "one", "met"), "keys-apart") for keys in shared]
-    known = _runs(reduce(DataFrame.unionByName, apart).where("met").select(F.col("one").alias("node")), nodes, rows)
+    apart = stage(_mixed(shared.select("key", "one", "met").join(joined.select("one", "top"), "one")).select("key", "one", "met"), "keys-apart")
+    known = _runs(apart.where("met").select(F.col("one").alias("node")), nodes, rows)
     single = known.select("node", F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n"), F.min("node").alias("node"))
     single = single.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
     alone = known.select("node").join(single, "node", "left").select(F.col("node").alias("one"), F.coalesce("alone", F.lit(0)).alias("alone"))
     alone = stage(alone, "alone")
 
-    def open_keys(tops: DataFrame) -> list[DataFrame]:
+    def open_keys(tops: DataFrame) -> DataFrame:
         facts = tops.join(alone, "one", "left")
-        return [stage(_mixed(keys.select("key", "one").join(_turned(facts, names, at), "one")), "keys-open") for at, keys in enumerate(apart)]
+        return stage(_mixed(_turned_by_key(apart.select("key", "one").join(facts, "one"), names)), "keys-open")
 
-    links = links.unionByName(_alike(_pairs([*map(_pairs_with_centre, open_keys(joined))]), nodes, rows))
-    return links.unionByName(_alike(_pairs([*map(_pairs_apart, open_keys(_topped(prints, links)))]), nodes, rows))
+    links = links.unionByName(_alike(_pairs([_pairs_with_centre(open_keys(joined))]), nodes, rows))
+    return links.unionByName(_alike(_pairs([_pairs_apart(open_keys(_topped(prints, links)))]), nodes, rows))
 
 
 def _shingle_hashes(words: int):
@@ -424,7 +500,9 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of copies and near copies: that of the least id; NULL ids come last."""
     mark, digest, kept, least, repeats = (fresh(docs, n) for n in ("mark", "group_digest", "group_kept", "group_least", "group_repeats"))
-    groups = stage(similar_groups(docs, id_col, text_col), "groups").toDF(digest, kept, least, repeats)
+    with passing(docs.sparkSession) as tables:
+        groups = stage(similar_groups(docs, id_col, text_col), "groups").toDF(digest, kept, least, repeats)
+        tables.pop()  # the groups stay
     no_word = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     marked = docs.withColumn(mark, F.when(no_word, "").otherwise(F.md5(text_col)))
     joined = attach(marked, [mark], groups, [digest])

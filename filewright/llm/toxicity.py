@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filewright.llm.store import may_match, stage
+from filewright.llm.store import may_match, passing, stage
 from filewright.llm.text import trimmed
 
 MAX_TRAINING_TEXTS = 20_000
@@ -305,9 +305,10 @@ class Model:
 
 def train(texts: DataFrame) -> Model:
     """A model from (number, text, toxic). Without texts of both labels, the known words and prior weights hold."""
-    texts = stage(texts, "toxicity-training")
-    lexicon = learn_lexicon(texts)
-    rows = texts.mapInArrow(trimmed(_features(lexicon)), "features array<double>, toxic int").toPandas()
+    with passing(texts.sparkSession):
+        texts = stage(texts, "toxicity-training")
+        lexicon = learn_lexicon(texts)
+        rows = texts.mapInArrow(trimmed(_features(lexicon)), "features array<double>, toxic int").toPandas()
     if not 0 < rows["toxic"].sum() < len(rows):
         return Model(lexicon, PRIOR.copy())
     return Model(lexicon, fit_weights(np.stack(rows["features"].to_numpy()), rows["toxic"].to_numpy(float)))

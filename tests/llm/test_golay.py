@@ -4,9 +4,10 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from filewright.llm import golay
+from filewright.llm import golay, store
 from filewright.llm.components import components
 from filewright.llm.store import stage
 from helpers_llm import ODD_TEXTS, no_documents, odd_documents, words_of
@@ -200,6 +201,62 @@ def test_keys_shared_by_chance_are_left_out_and_no_pair_is_lost(spark):
     assert sum(map(len, kept.values())) < shared - 1000
 
 
+def test_keys_shared_by_chance_stay_few_as_prints_grow(spark):
+    rng = random.Random(23)
+    low = (1 << 43) - 1
+    same = rng.getrandbits(43)
+    # Thirty unlike prints that share the keys of two segments, and one that is near the first.
+    prints = [(same | rng.getrandbits(20) << 43, *(rng.getrandbits(62) for _ in range(3)), 80, one) for one in range(30)]
+    prints.append((prints[0][0] ^ 1 << 50, prints[0][1] ^ 1, *prints[0][2:5], 30))
+    assert all(print_[0] & low == same for print_ in prints)
+    frame = spark.createDataFrame(prints, "fp long, beside long, third long, fourth long, size long, one long")
+    assert {row.one for row in golay._shared_keys(frame).collect()} == {0, 30}
+
+
+def test_keys_pass_in_pieces_of_any_size():
+    rng = random.Random(29)
+    names = ["fp", "beside", "third", "fourth", "size", "one"]
+    rows = []
+    for key, count in enumerate([1, 3, 2, 39, 1, 40, 41, 5, 200, 1, 97]):
+        centre = [rng.getrandbits(64) - (1 << 63) for _ in range(4)]
+        for one in range(count):
+            flips = [sum(1 << bit for bit in rng.sample(range(63), rng.choice([2, 4, 25]))) for _ in range(4)]
+            rows.append((key, *(c ^ f for c, f in zip(centre, flips)), rng.choice([60, 64, 100]), 1000 * key + one))
+    rows.sort()
+
+    def near(a, b):
+        bits = [((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[1:5], b[1:5])]
+        most = golay.SIMILAR_BITS if min(a[5], b[5]) < golay.LARGE_SET else golay.SIMILAR_BITS_OF_LARGE
+        return sum(bits[:2]) <= golay.SIMILAR_BITS_OF_TWO and sum(bits) <= most and min(a[5], b[5]) >= 0.8 * max(a[5], b[5])
+
+    wanted = {}
+    for row in rows:
+        held = [other for other in rows if other[0] == row[0]]
+        if len(held) > golay.SMALL_KEY or any(near(row, other) for other in held if other != row):
+            if len(held) > 1:
+                wanted[row] = (held[0][1:], row != held[0] and near(row, held[0]))
+    assert 200 < len(wanted) < len(rows)
+    for step in (1, 7, 60, 1000):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*rows[at : at + step])], ["key", *names])
+            for at in range(0, len(rows), step)
+        ]
+        got = [tuple(row.values()) for batch in golay._held(iter(batches)) for row in batch.to_pylist()]
+        assert {row[:7]: (row[7:13], row[13]) for row in got} == wanted and len(got) == len(wanted)
+        assert all(row[14] for row in got if row[13])
+    assert list(golay._held(iter([]))) == []
+
+
+def test_only_the_groups_stay_of_the_tables_of_near_copies(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(store, "shared_folder", lambda _: str(tmp_path))
+    rng = random.Random(37)
+    base = words_of(rng, 60)
+    rows = [(3, " ".join(base)), (1, " ".join([*base, "more"])), (2, "other")]
+    got = golay.one_of_each(odd_documents(spark, rows))
+    assert {r["doc_id"] for r in got.collect()} == {1, 2}
+    assert [path.name.rsplit("-", 1)[0] for path in tmp_path.glob("llm/*")] == ["groups"]
+
+
 def test_shuffles_of_a_stored_table_are_removed(spark):
     folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
 
