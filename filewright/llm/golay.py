@@ -167,6 +167,7 @@ FINGERPRINTS = 4
 SIMILAR_BITS, SIMILAR_BITS_OF_TWO = 73, 42
 # In sets of this size and more 39 bits differ on average, and at most 63 within four deviations.
 LARGE_SET, SIMILAR_BITS_OF_LARGE = 64, 63
+SKETCH_BITS = 1024
 
 
 def similar_fingerprints(hashes: np.ndarray) -> list[int]:
@@ -181,19 +182,34 @@ def similar_fingerprints(hashes: np.ndarray) -> list[int]:
     return made
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``SKETCH_BITS`` cells whether an odd number of the hashes fall on it, as numbers of 64 bits.
+
+    The bits in which the sketches of two sets differ are at most as many as the hashes that only one of them has.
+    """
+    cells = np.bincount((hashes % SKETCH_BITS).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _signed(words: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, sketches = [], []
             offsets, data = text_bytes(batch.column(1)) if batch.num_rows else (np.zeros(1, np.int64), b"")
             for s, e in zip(offsets, offsets[1:]):
                 runs = set(shingles(data[s:e].tobytes(), words))
                 hashes = np.array([xxhash.xxh64_intdigest(run, SEED) for run in runs], "<u8")
                 rows.append([len(runs), int(mix(hashes).sum(dtype=np.uint64).view(np.int64)), *similar_fingerprints(hashes)])
+                sketches.append(odd_sketch(hashes))
             columns = np.array(rows, np.int64).reshape(len(rows), 2 + FINGERPRINTS).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(c)) for c in columns)],
-                ["id", "digest", "size", "sum", *(f"fp{k}" for k in range(FINGERPRINTS))],
+                [
+                    batch.column(0),
+                    batch.column(2),
+                    *(pa.array(np.ascontiguousarray(c)) for c in columns),
+                    pa.array(sketches, pa.list_(pa.int64())),
+                ],
+                ["id", "digest", "size", "sum", *(f"fp{k}" for k in range(FINGERPRINTS)), "sketch"],
             )
 
     return made
@@ -226,9 +242,10 @@ TURNED = ("fp", "beside", "third", "fourth")  # the fingerprints of a print, fro
 
 
 def _near(columns: list[str], one: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
-    """Whether two prints differ in few bits, and may be alike by ``size`` and by ``alone``, if those are among ``columns``.
+    """Whether two prints differ in few bits, and may be alike by ``size``, ``alone`` and ``sketch``, if those are among ``columns``.
 
     ``alone`` is how many shingles of a text no other one has of those where it is known; so many fewer can be in common.
+    Of a pair that is alike the sketches differ in no more bits than the shingles that one of both has.
     """
     bits = [F.bit_count(one(c).bitwiseXOR(other(c))) for c in TURNED if c in columns]
     near = bits[0] + bits[1] <= SIMILAR_BITS_OF_TWO
@@ -242,6 +259,11 @@ def _near(columns: list[str], one: Callable[[str], Column], other: Callable[[str
         common = F.least(one("size") - one("alone"), other("size") - other("alone"))
         enough = common >= SIMILARITY * (one("size") + other("size") - common)
         near = near & (enough | one("alone").isNull() | other("alone").isNull())
+    if "sketch" in columns:
+        words = [F.bit_count(F.get(one("sketch"), at).bitwiseXOR(F.get(other("sketch"), at))) for at in range(SKETCH_BITS // 64)]
+        both = one("size") + other("size")
+        common = (both - sum(words[1:], words[0])) / 2
+        near = near & (common >= SIMILARITY * (both - common))
     return near
 
 
@@ -393,13 +415,17 @@ def _topped(prints: DataFrame, links: DataFrame) -> DataFrame:
     return stage(prints.join(roots, "one", "left").withColumn("top", F.coalesce("top", "one")), "joined-prints")
 
 
-def _similar_links(prints: DataFrame, same: DataFrame, names: list[str], nodes: DataFrame, rows: DataFrame) -> DataFrame:
+def _similar_links(
+    prints: DataFrame, same: DataFrame, names: list[str], nodes: DataFrame, rows: DataFrame, signed: DataFrame
+) -> DataFrame:
     """(a, b) of texts with enough shingles in common, which join all that candidates join.
 
     ``prints`` are the distinct sets of shingles, by the least text ``one`` of each, and ``same`` are the other texts of a set with
     that one. Candidates are prints that share a key of one of their fingerprints and are near. First each print is held against
     the least print of its keys alone, then, by what is not joined, against the print of its keys with the fewest
     shingles alone, so a group of near copies makes pairs in proportion to its size; what is still apart then is held against all.
+    In these two passes the sketches of all shingles, from ``signed``, leave out nearly all pairs that are near by their
+    fingerprints and not alike, so texts of one origin that were changed too much make no pairs with each other.
     """
     shared = []
     for at, name in enumerate(names):  # one at a time, as every print has many keys
@@ -414,11 +440,12 @@ def _similar_links(prints: DataFrame, same: DataFrame, names: list[str], nodes:
     single = known.select("node", F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n"), F.min("node").alias("node"))
     single = single.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
     alone = known.select("node").join(single, "node", "left").select(F.col("node").alias("one"), F.coalesce("alone", F.lit(0)).alias("alone"))
-    alone = stage(alone, "alone")
+    sketches = _sketches(apart.select(F.col("one").alias("node")), nodes, signed).withColumnRenamed("node", "one")
+    facts = stage(sketches.join(alone, "one", "left"), "facts")
 
     def open_keys(tops: DataFrame) -> DataFrame:
-        facts = tops.join(alone, "one", "left")
-        return stage(_mixed(_turned_by_key(apart.select("key", "one").join(facts, "one"), names)), "keys-open")
+        mixed = _mixed(apart.select("key", "one").join(tops.select("one", "top"), "one"))
+        return stage(_turned_by_key(mixed.join(tops.drop("top").join(facts, "one"), "one"), names), "keys-open")
 
     links = links.unionByName(_alike(_pairs([_pairs_with_centre(open_keys(joined))]), nodes, rows))
     return links.unionByName(_alike(_pairs([_pairs_apart(open_keys(_topped(prints, links)))]), nodes, rows))
@@ -446,6 +473,14 @@ def _runs(ends: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return stage(runs.dropDuplicates(["digest"]).join(wanted.select("digest", "node"), "digest").select("node", "runs"), "shingles")
 
 
+def _sketches(ends: DataFrame, nodes: DataFrame, signed: DataFrame) -> DataFrame:
+    """(node, sketch) of the texts ``node`` of ``ends``."""
+    wanted = stage(ends.distinct().join(nodes.select("node", "digest", "first.id"), "node"), "sketched-texts")
+    known = may_match(signed.select("id", "sketch", "digest"), ["digest"], wanted, ["digest"])
+    chosen = known.join(wanted.select("node", "digest", F.col("id").alias("i")), "digest").where(F.col("id").eqNullSafe(F.col("i")))
+    return chosen.select("node", "sketch").dropDuplicates(["node"])
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts, of ``rows``, have enough shingles in common."""
     runs = _runs(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, rows)
@@ -470,6 +505,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     names = [f"fp{k}" for k in range(FINGERPRINTS)]
     schema = f"id {kind}, digest string, size bigint, sum bigint, " + ", ".join(f"{name} bigint" for name in names)
+    schema += ", sketch array<bigint>"
     signed = stage(rows.select("id", "text", "digest").mapInArrow(trimmed(_signed(SIMILAR_WORDS)), schema), "signatures")
     # Texts without a word are one node, whatever their white space.
     signed = signed.withColumn("digest", F.when(F.col("size") == 0, "").otherwise(F.col("digest")))
@@ -485,7 +521,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     worded = nodes.where("size > 0").select("node", *alike)
     prints = stage(worded.groupBy(*alike).agg(F.min("node").alias("one"), F.count("*").alias("n")), "prints")
     same = worded.join(prints.where("n > 1"), alike).where("node <> one").select(F.col("node").alias("a"), F.col("one").alias("b"))
-    links = _similar_links(prints.select(*names, "size", "one"), same, names, nodes, rows)
+    links = _similar_links(prints.select(*names, "size", "one"), same, names, nodes, rows, signed)
     roots = components(links).withColumnRenamed("root", "top")
     rooted = nodes.join(roots, "node", "left").where("top IS NOT NULL OR rows > 1").withColumn("top", F.coalesce("top", "node"))
     best = rooted.groupBy("top").agg(F.min(F.struct("first", "node")).alias("best"))

@@ -169,6 +169,44 @@ def test_a_group_of_near_copies_makes_pairs_in_proportion_to_its_size(spark, mon
     assert max(made) <= 5 * 400
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_in_hashes():
+    rng = np.random.default_rng(11)
+    for common, one, other in ((0, 0, 0), (0, 1, 0), (90, 10, 9), (60, 30, 35), (3000, 200, 100), (0, 5000, 5000)):
+        hashes = rng.integers(0, 1 << 64, common + one + other, dtype=np.uint64)
+        left, right = golay.odd_sketch(hashes[: common + one]), golay.odd_sketch(np.delete(hashes, slice(common, common + one)))
+        assert len(left) == golay.SKETCH_BITS // 64
+        differ = int(np.bitwise_count((left ^ right).view(np.uint64)).sum())
+        assert differ <= one + other
+        assert one + other > 100 or differ >= 0.85 * (one + other)
+
+
+def test_near_texts_that_are_not_alike_make_few_rows(spark, monkeypatch):
+    rng = random.Random(41)
+    base = [f"w{k}" for k in range(150)]
+    # Texts of one origin, each with several of a few edits: near by their fingerprints, seldom alike, and few shingles alone.
+    texts = []
+    for _ in range(400):
+        words = list(base)
+        for at in rng.sample(range(0, 150, 5), rng.randint(4, 9)):
+            words[at] = f"e{at}x{rng.randrange(2)}"
+        texts.append(words)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    wanted = brute_components(range(400), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    made, apart = [], golay._pairs_apart
+
+    def counted(keys):
+        found = apart(keys)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(golay, "_pairs_apart", counted)
+    rows = [(number, " ".join(words)) for number, words in enumerate(texts)]
+    kept = {r["doc_id"] for r in golay.one_of_each(odd_documents(spark, rows)).collect()}
+    assert 20 < len(set(wanted.values())) < 380
+    assert kept == set(wanted.values())
+    assert max(made) <= 5 * 400
+
+
 def test_keys_shared_by_chance_are_left_out_and_no_pair_is_lost(spark):
     rng = random.Random(21)
     prints = [(rng.getrandbits(64) - (1 << 63), rng.getrandbits(64) - (1 << 63)) for _ in range(600)]
