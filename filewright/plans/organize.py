@@ -245,16 +245,24 @@ def route(rows: DataFrame, existing: DataFrame | Names, run: Run, settings: Sett
     return rows.join(named, "document_id", "left").withColumn("status", final)
 
 
-def organize(files: DataFrame, tables: Tables, run: Run, settings: Settings) -> Organized:
-    """Plan a run. ``files`` has the columns of ``schemas.FILES`` and the run id of ``run``.
+# The settings by which rows are gathered; configurations that have them in common decide on the same rows.
+GATHERED_BY = (
+    *("rules", "stop_words", "prompt_version", "understanding_model", "classification_model"),
+    *("ocr_model", "parse_bool_strings", "hot_rows"),
+)
 
-    Texts are read once and reduced to facts where they lie. What is shuffled
-    is narrow, and is stored where a later step reads it more than once.
-    """
+
+def gather(files: DataFrame, tables: Tables, run: Run, settings: Settings) -> DataFrame:
+    """The files with all that is known of them before anything is decided."""
     described = materialize(describe(files, settings))
     prepared = prepare(described, tables, run.run_id, settings)
     answers = tables.responses.join(described.select("document_id"), "document_id", "left_semi")
-    decided = decide(attach_answers(prepared, typed_answers(answers, settings)), settings)
+    return attach_answers(prepared, typed_answers(answers, settings))
+
+
+def settle(gathered: DataFrame, tables: Tables, run: Run, settings: Settings) -> Organized:
+    """Decide on gathered files and give them their places."""
+    decided = decide(gathered, settings)
     taxonomy = tables.taxonomy
     if taxonomy is None:
         taxonomy = materialize(scan_taxonomy(tables.events, settings))
@@ -268,3 +276,28 @@ def organize(files: DataFrame, tables: Tables, run: Run, settings: Settings) ->
     )
     plan, seen_plan = _observed(plan, F.col("category_l1") == DUPLICATES, F.col("cached"), F.col("status") == "failed")
     return Organized(materialize(plan), run, settings, {"decided": seen, "planned": seen_plan})
+
+
+def organize(files: DataFrame, tables: Tables, run: Run, settings: Settings) -> Organized:
+    """Plan a run. ``files`` has the columns of ``schemas.FILES`` and the run id of ``run``.
+
+    Texts are read once and reduced to facts where they lie. What is shuffled
+    is narrow, and is stored where a later step reads it more than once.
+    """
+    return settle(gather(files, tables, run, settings), tables, run, settings)
+
+
+def organize_each(files: DataFrame, tables: Tables, run: Run, configs: Mapping[str, Settings]) -> dict[str, Organized]:
+    """The same run under several configurations. Those that gather alike read texts, caches and answers once."""
+    reads = {name: [getattr(settings, part) for part in GATHERED_BY] for name, settings in configs.items()}
+    kept: list[tuple[list, DataFrame]] = []
+    made = {}
+    for name, settings in configs.items():
+        rows = next((rows for read, rows in kept if read == reads[name]), None)
+        if rows is None:
+            rows = gather(files, tables, run, settings)
+            if list(reads.values()).count(reads[name]) > 1:
+                rows = materialize(rows)
+                kept.append((reads[name], rows))
+        made[name] = settle(rows, tables, run, settings)
+    return made

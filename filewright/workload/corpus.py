@@ -20,7 +20,7 @@ from filewright.functions.rules import rule_for_name, rule_for_text, rule_verdic
 from filewright.functions.text import quality_score, strip
 from filewright.operators.routing import destination_folder, destination_path, technical_folder
 from filewright.operators.ledger import closed, opened, undone_events
-from filewright.plans.organize import Organized, Tables, organize
+from filewright.plans.organize import Organized, Tables, organize, organize_each
 from filewright.settings import Run, Settings
 from filewright.sources.inbox import files_from_texts
 from filewright.sources.tables import materialize
@@ -354,10 +354,11 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organized(spark, sf_dir).plan
 
 
-@stored
-def strict_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan under another configuration: a higher threshold and no aliases."""
-    return organize(current_files(spark, sf_dir), tables(spark, sf_dir), CURRENT, STRICT).plan
+def configured_plans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The plan of the current run, and under another configuration: a higher threshold and no aliases."""
+    configs = {"default": SETTINGS, "strict": STRICT}
+    done = organize_each(current_files(spark, sf_dir), tables(spark, sf_dir), CURRENT, configs)
+    return {name: one.plan for name, one in done.items()}
 
 
 def inbox_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -417,7 +417,7 @@ def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def benchmark_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = corpus.benchmark_labels(spark, sf_dir)
-    plans = {"default": corpus.plan(spark, sf_dir), "strict": corpus.strict_plan(spark, sf_dir)}
+    plans = corpus.configured_plans(spark, sf_dir)
     return scoring.compare_reports({name: scoring.benchmark_cases(labels, plan) for name, plan in plans.items()})
 
 

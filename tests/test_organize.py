@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from filewright import schemas
+from filewright.operators import scoring
 from filewright.operators.ledger import current_runs
 from filewright.operators.state import State
+from filewright.plans import organize as organize_module
 from filewright.plans.benchmark import benchmark
 from filewright.plans.organize import Tables, organize
 from filewright.plans.output import write_organized
@@ -16,6 +18,7 @@ from filewright.settings import Run, Settings
 from filewright.sources.inbox import files_from_texts
 from filewright.streaming.incremental import batch_run, organize_batch
 from filewright.workload import corpus
+from filewright.workload.registered import QUERIES
 
 RUN = Run("r1", datetime(2024, 5, 1))
 SHOWN = ("document_id", "status", "category_l1", "category_l2", "reason", "destination_path", "confidence", "decision_source")
@@ -263,3 +266,21 @@ def test_batches_with_a_state_equal_batches_with_the_ledger(spark, tmp_path):
     assert sum("_Duplicates" in row[2] for row in kept) == 2
     ids = [row.event_id for row in spark.read.parquet(str(tmp_path / "kept")).collect()]
     assert len(set(ids)) == 9 and max(ids) == 2003
+
+
+def test_configurations_that_gather_alike_read_texts_once(spark, data, monkeypatch):
+    described = []
+    plain = organize_module.describe
+    monkeypatch.setattr(organize_module, "describe", lambda *given: described.append(given) or plain(*given))
+    folder = f"{data}/."  # nothing is stored under this name yet
+    got = {tuple(row) for row in QUERIES["benchmark_compare"](spark, folder).collect()}
+    assert len(described) == 1
+    tables, labels = corpus.tables(spark, folder), corpus.benchmark_labels(spark, folder)
+    configs = {"default": corpus.SETTINGS, "strict": corpus.STRICT, "other": replace(corpus.STRICT, stop_words=("the",), parse_bool_strings=True)}
+    each = organize_module.organize_each(corpus.current_files(spark, folder), tables, corpus.CURRENT, configs)
+    assert len(described) == 3
+    alone = {name: organize(corpus.current_files(spark, folder), tables, corpus.CURRENT, settings).plan for name, settings in configs.items()}
+    for name, plan in alone.items():
+        assert shown(each[name].plan) == shown(plan)
+    cases = {name: scoring.benchmark_cases(labels, alone[name]) for name in ("default", "strict")}
+    assert got == {tuple(row) for row in scoring.compare_reports(cases).collect()}
